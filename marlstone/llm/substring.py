@@ -3,6 +3,7 @@
 A span is a run of at least `SENTENCES` consecutive sentences with at least
 `WORDS` words: from each sentence on the shortest such run, and up to each
 sentence the shortest such run, so both ends of a repeated passage are reached.
+A sentence of `LONG` words or more is a span by itself too.
 Spans are hashed and met globally; every occurrence but the first, by doc_id and
 position, covers its sentences, and covered sentences are removed.
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import _MULT, mix64, steps, words_of
 
-SENTENCES, WORDS = 3, 25
+SENTENCES, WORDS, LONG = 2, 25, 50
 _Q = np.uint64(0xD1342543DE82EF95)
 _QINV = np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
 _END = np.zeros(256, dtype=bool)
@@ -68,8 +69,9 @@ def _spans(h: np.ndarray, sent: np.ndarray, first_sentence: np.ndarray):
     good = upto <= first_sentence[text + 1]
     back = np.minimum(i + 1 - SENTENCES, np.searchsorted(sent, stop - WORDS, side="right") - 1)
     fine = (back >= first_sentence[text]) & (stop >= WORDS)
-    a = np.concatenate([i[good], back[fine]])
-    b = np.concatenate([upto[good], i[fine] + 1])
+    alone = i[stop - begin >= LONG]
+    a = np.concatenate([i[good], back[fine], alone])
+    b = np.concatenate([upto[good], i[fine] + 1, alone + 1])
     a, b = np.unique(np.stack([a, b]), axis=1) if len(a) else (a, b)
     # Hash of the words from sent[a] to sent[b], from running sums.
     p = np.full(len(h) + 1, _Q, dtype=np.uint64)
