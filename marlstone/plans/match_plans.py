@@ -407,9 +407,9 @@ def a11_strength(spark: SparkSession, d: str) -> DataFrame:
     return B.strength(p.select("user_id", F.explode("achievements.kind").alias("kind")), p)
 
 
-@query(MATCH + "SELECT user_id, array_to_string(thin_areas, ',') AS thin_areas FROM thin")
+@query(MATCH + "SELECT user_id, array_to_string(list_sort(thin_areas), ',') AS thin_areas FROM thin")
 def a12_thin_areas(spark: SparkSession, d: str) -> DataFrame:
-    return _profiles(spark, d).select("user_id", F.array_join("thin_areas", ",").alias("thin_areas"))
+    return _profiles(spark, d).select("user_id", F.array_join(F.array_sort("thin_areas"), ",").alias("thin_areas"))
 
 
 @query(

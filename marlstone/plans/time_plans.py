@@ -1 +1,132 @@
-"""Placeholder."""
+"""Quotas, limits, retention and counting queries with their SQL twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import temporal as TM
+from ..sources import tables as T
+from ..sources.tables import EVENTS_NOW, ctes
+from .registry import query
+
+Q = """WITH r AS (SELECT event_id AS seq, ts AS tm, (event_id % 4 + 1)::BIGINT AS n FROM events), t AS (SELECT *, strftime(tm, '%Y-%m') AS period, sum(n) OVER (PARTITION BY strftime(tm, '%Y-%m') ORDER BY tm, seq ROWS UNBOUNDED PRECEDING) AS total FROM r)
+"""
+
+
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    return T.load(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("ts").alias("at"), (F.col("event_id") % 4 + 1).alias("n"))
+
+
+@query(Q + "SELECT seq, period, (least(1800, total) - least(1800, total - n))::BIGINT AS granted, least(1800, total)::BIGINT AS used FROM t")
+def h01_quota(spark: SparkSession, d: str) -> DataFrame:
+    return TM.quota(_requests(spark, d), 1800).select("seq", "period", "granted", "used")
+
+
+@query(Q + "SELECT period, least(1800, sum(n))::BIGINT AS used, (1800 - least(1800, sum(n)))::BIGINT AS remaining, sum(n) >= 1800 AS exhausted FROM t GROUP BY period")
+def h02_quota_status(spark: SparkSession, d: str) -> DataFrame:
+    return TM.quota_status(_requests(spark, d), 1800)
+
+
+def _fold_sql(key: str, limit: int, seconds: int, where: str = "true") -> str:
+    """The fold as a recursive query over each key's n-th action; the state is the list of accepted times."""
+    us = seconds * 1_000_000
+    return f"""WITH RECURSIVE e AS (SELECT event_id, {key} AS k, epoch_us(ts) AS t, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS n FROM events WHERE {where}),
+f AS (SELECT event_id, k, t, n, true AS accepted, [t] AS times FROM e WHERE n = 1
+  UNION ALL SELECT e.event_id, e.k, e.t, e.n, len(list_filter(f.times, lambda x: x >= e.t - {us})) < {limit},
+    CASE WHEN len(list_filter(f.times, lambda x: x >= e.t - {us})) < {limit} THEN list_append(list_filter(f.times, lambda x: x >= e.t - {us}), e.t) ELSE list_filter(f.times, lambda x: x >= e.t - {us}) END
+  FROM f JOIN e ON e.k = f.k AND e.n = f.n + 1)
+SELECT event_id, accepted FROM f"""
+
+
+def _fold(spark: SparkSession, d: str, key: str, limit: int, seconds: int) -> DataFrame:
+    rows = T.load(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
+    return TM.accepted(rows, key, limit, seconds, at="ts", seq="event_id").select("event_id", "accepted")
+
+
+@query(_fold_sql("user_id", 1, 3600 * 12))
+def h03_hourly_cap(spark: SparkSession, d: str) -> DataFrame:
+    """Searches of a user under a cap per window; the synthetic log is sparse, so one in twelve hours."""
+    return _fold(spark, d, "user_id", 1, 3600 * 12)
+
+
+@query(_fold_sql("event_type", 1, 3600 * 6))
+def h04_repeat(spark: SparkSession, d: str) -> DataFrame:
+    """Six-hour suppression of repeats, over all users."""
+    return _fold(spark, d, "event_type", 1, 3600 * 6)
+
+
+@query(_fold_sql("user_id", 2, 86400))
+def h05_reports(spark: SparkSession, d: str) -> DataFrame:
+    return _fold(spark, d, "user_id", 2, 86400)
+
+
+@query(_fold_sql("user_id", 5, 86400 * 2))
+def h06_admin_adds(spark: SparkSession, d: str) -> DataFrame:
+    return _fold(spark, d, "user_id", 5, 86400 * 2)
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)::BIGINT AS n FROM events")
+def w09_trailing_count(spark: SparkSession, d: str) -> DataFrame:
+    e = T.load(spark, d, "events").withColumn("us", F.unix_micros("ts"))
+    return e.select("event_id", F.count(F.lit(1)).over(Window.partitionBy("user_id").orderBy("us").rangeBetween(-86_400_000_000, 0)).alias("n"))
+
+
+_CUT = f"TIMESTAMP '{EVENTS_NOW}'"
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    return T.load(spark, d, "events").select("event_id", F.col("ts").alias("at"), F.when(F.col("event_id") % 2 == 0, F.col("ts")).alias("sent_at"))
+
+
+@query(f"SELECT event_id FROM events WHERE ts >= {_CUT} - INTERVAL 20 DAY")
+def h08_purged_queries(spark: SparkSession, d: str) -> DataFrame:
+    return TM.purge(_log(spark, d), _log(spark, d), T.events_now(), 20, 10)[0].select("event_id")
+
+
+@query(f"SELECT event_id FROM events WHERE NOT (ts < {_CUT} - INTERVAL 10 DAY AND event_id % 2 = 0)")
+def h08_purged_notifications(spark: SparkSession, d: str) -> DataFrame:
+    return TM.purge(_log(spark, d), _log(spark, d), T.events_now(), 20, 10)[1].select("event_id")
+
+
+@query(f"SELECT count(*) FILTER (WHERE ts < {_CUT} - INTERVAL 20 DAY)::BIGINT AS due, count(*)::BIGINT AS total, epoch_us(min(ts)) AS oldest FROM events")
+def h09_preview(spark: SparkSession, d: str) -> DataFrame:
+    return TM.retention_preview(_log(spark, d), T.events_now(), 20).withColumn("oldest", F.unix_micros("oldest"))
+
+
+_NEW = ["SUBMITTED", "ACCEPTED", "REJECTED", "WAITLISTED", "PREPARING"]
+
+
+@query(
+    f"""WITH o AS (SELECT o_orderkey AS app_id, {T._pick(_NEW, 'o_orderkey')} AS s, CASE WHEN o_orderkey % 2 = 0 THEN epoch(o_orderdate)::BIGINT END AS sub FROM orders)
+SELECT app_id, s AS status, CASE WHEN s = 'SUBMITTED' THEN epoch(TIMESTAMP '2000-01-15')::BIGINT ELSE sub END AS submitted, CASE WHEN s IN ('ACCEPTED', 'REJECTED', 'WAITLISTED') THEN epoch(TIMESTAMP '2000-01-15')::BIGINT END AS decided, CASE WHEN s IN ('ACCEPTED', 'REJECTED', 'WAITLISTED') THEN s END AS outcome FROM o"""
+)
+def h14_status(spark: SparkSession, d: str) -> DataFrame:
+    o = T.load(spark, d, "orders")
+    rows = o.select(F.col("o_orderkey").alias("app_id"), F.lit("STARTED").alias("status"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderdate")).alias("submitted_at"), F.lit(None).cast("timestamp").alias("decision_at"), F.lit(None).cast("string").alias("outcome"))
+    out = TM.status_effects(rows, T.pick(_NEW, F.col("app_id")), T.now())
+    return out.select("app_id", "status", F.unix_seconds("submitted_at").alias("submitted"), F.unix_seconds("decision_at").alias("decided"), "outcome")
+
+
+# ------------------------------------------------------------------- counting
+
+
+@query(ctes("opps") + "SELECT state, count(*)::BIGINT AS n, sum(count(*)) OVER ()::BIGINT AS total FROM opps GROUP BY state")
+def a01_state_counts(spark: SparkSession, d: str) -> DataFrame:
+    n = T.opportunities(spark, d).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(1))))
+
+
+@query("SELECT user_id, count(*)::BIGINT AS n, count(*) FILTER (WHERE value > 50)::BIGINT AS high, max(value) AS most FROM events GROUP BY user_id")
+def a02_filtered_counts(spark: SparkSession, d: str) -> DataFrame:
+    return T.load(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("high"), F.max("value").alias("most"))
+
+
+@query(ctes("opps") + "SELECT state, min({'a': first_seen_at, 'b': opp_id}).b AS oldest FROM opps GROUP BY state")
+def a17_oldest(spark: SparkSession, d: str) -> DataFrame:
+    return T.opportunities(spark, d).groupBy("state").agg(F.min_by("opp_id", F.struct("first_seen_at", "opp_id")).alias("oldest"))
+
+
+@query(ctes("opps") + "SELECT opp_id, state FROM opps ORDER BY state, first_seen_at DESC, opp_id LIMIT 25")
+def o04_review_queue(spark: SparkSession, d: str) -> DataFrame:
+    return T.opportunities(spark, d).orderBy("state", F.desc("first_seen_at"), "opp_id").limit(25).select("opp_id", "state")
