@@ -108,7 +108,7 @@ def v01_confidence(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumns({"confidence": P.confidence(F.col("method")), "needs_human": P.needs_human(F.col("field"), F.col("method"))})
 
 
-V04 = f"""WITH e AS (SELECT event_id // 20 AS id, {T._pick(FIELDS, 'event_id')} AS field, 'v' || (event_id % 3) AS value, {T._pick(METHODS, 'event_id * 3')} AS method, epoch(ts)::BIGINT AS tm, event_id % 20 AS n FROM events),
+V04 = f"""WITH e AS (SELECT event_id // 20 AS id, {T._pick(FIELDS, 'event_id')} AS field, 'v' || (event_id % 3) AS value, {T._pick(METHODS, 'event_id * 3')} AS method, floor(epoch(ts))::BIGINT AS tm, event_id % 20 AS n FROM events),
 o AS (SELECT * FROM e WHERE n < 4), i AS (SELECT id, field, 'v' || (tm % 2) AS value, method, tm FROM e WHERE n BETWEEN 5 AND 9 AND field <> 'summary'),
 j AS (SELECT coalesce(o.id, i.id) AS id, coalesce(o.field, i.field) AS field, o.id IS NOT NULL AS old, i.id IS NOT NULL AS new, o.value AS ov, i.value AS iv, o.method AS om, i.method AS im, o.tm AS oa, i.tm AS ia,
   {_map_sql(METHOD_RANK, 'i.method')} > {_map_sql(METHOD_RANK, 'o.method')} AS better FROM o FULL JOIN i ON o.id = i.id AND o.field = i.field)
@@ -122,7 +122,7 @@ def _provenance(spark: SparkSession, d: str) -> DataFrame:
     return P.merge(e.filter("n < 4").drop("n"), new)
 
 
-@query(V04 + "SELECT id, field, CASE WHEN new AND (NOT old OR better) THEN iv ELSE ov END AS value, CASE WHEN new AND (NOT old OR better) THEN im ELSE om END AS method, CASE WHEN new AND (NOT old OR better) OR old AND new AND ov = iv THEN ia ELSE oa END AS "at", old AND new AND ov <> iv AS conflict FROM j")
+@query(V04 + "SELECT id, field, CASE WHEN new AND (NOT old OR better) THEN iv ELSE ov END AS value, CASE WHEN new AND (NOT old OR better) THEN im ELSE om END AS method, CASE WHEN new AND (NOT old OR better) OR old AND new AND ov = iv THEN ia ELSE oa END AS \"at\", old AND new AND ov <> iv AS conflict FROM j")
 def v04_merge(spark: SparkSession, d: str) -> DataFrame:
     return _provenance(spark, d)
 
