@@ -46,7 +46,7 @@ def test_matches_brute_force(spark):
     word = lambda: "".join(r.choice("abcdé") for _ in range(3))
     items = [(i, " ".join(word() for _ in range(r.choice([2, 4, 15, 40, 90])))) for i in range(20)]
     docs = []
-    for d in range(60):
+    for d in range(120):
         w = [word() for _ in range(r.choice([0, 10, 80, 200]))]
         if d % 2:
             leak = items[d % 20][1].split()
