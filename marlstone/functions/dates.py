@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import domains as D
-from .patterns import first_match
+from .patterns import java
 
 _MONTH = "|".join(D.MONTHS)
 
@@ -96,16 +96,26 @@ def parse_date(text: Column, reference_year: Column | None = None) -> Column:
             (rf"\b(\d{{1,2}})(?:st|nd|rd|th)?\s+({_MONTH})\b(?!\s+\d{{4}})", None, "2", 1),
             (rf"\b({_MONTH})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?\b(?!,?\s+\d{{4}})", None, "1", 2),
         ]
-    out = []
-    for pattern, y, m, d in forms:
-        month = lookup(D.MONTHS, F.lower(first_match(text, pattern, int(m)))) if isinstance(m, str) else first_match(text, pattern, m).try_cast("int")
-        moment = _moment(first_match(text, pattern, y) if y else reference_year, month, first_match(text, pattern, d))
-        out.append(F.when(moment.isNotNull(), F.struct(moment.alias("date"), first_match(text, pattern).alias("raw"))))
-    numeric = r"\b(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})\b"
-    a, b, y = (first_match(text, numeric, k).try_cast("int") for k in (1, 2, 3))
-    moment = F.when((a > 12) & (b <= 12), _moment(y, b, a)).when((b > 12) & (a <= 12), _moment(y, a, b))
-    out.append(F.when(moment.isNotNull(), F.struct(moment.alias("date"), first_match(text, numeric).alias("raw"))))
-    return F.coalesce(*out)
+    def read(pattern: str, date) -> Column:
+        """struct(date, raw) of the pattern's first match; the match is found once and taken apart as a short text."""
+        raw = F.array(F.when(text.rlike("[0-9]"), F.nullif(F.regexp_extract(text, java(pattern), 0), F.lit(""))))
+        part = lambda r, k: F.regexp_extract(r, java(pattern), k)
+        found = F.get(F.transform(raw, lambda r: F.struct(date(lambda k: part(r, k)).alias("date"), r.alias("raw"))), F.lit(0))
+        return F.when(found["date"].isNotNull(), found)
+
+    def worded(y, m, d):
+        def date(part) -> Column:
+            month = lookup(D.MONTHS, F.lower(part(int(m)))) if isinstance(m, str) else part(m).try_cast("int")
+            return _moment(part(y) if y else reference_year, month, part(d))
+
+        return date
+
+    def numeric(part) -> Column:
+        a, b = part(1).try_cast("int"), part(2).try_cast("int")
+        return F.when((a > 12) & (b <= 12), _moment(part(3), b, a)).when((b > 12) & (a <= 12), _moment(part(3), a, b))
+
+    out = [read(pattern, worded(y, m, d)) for pattern, y, m, d in forms]
+    return F.coalesce(*out, read(r"\b(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})\b", numeric))
 
 
 def cycle_year(title: Column, url: Column, year: Column) -> Column:
