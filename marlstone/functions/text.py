@@ -52,6 +52,30 @@ def slug_ascii(text: Column) -> Column:
     return F.when(F.length(s) >= 2, s)
 
 
+def _decomposed(text: Column) -> Column:
+    import unicodedata
+
+    import pyarrow as pa
+
+    def nfkd(t: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else unicodedata.normalize("NFKD", x) for x in t.to_pylist()], pa.string())
+
+    nfkd.__annotations__ = {"t": pa.Array, "return": pa.Array}
+    return F.arrow_udf(nfkd, "string")(text)
+
+
+def slugify(title: Column, suffix: Column) -> Column:
+    """Listing slug: compatibility-decomposed letters and digits of any script, at most 60 characters, and six of the suffix.
+
+    Decomposition is the one step that Spark has no function for.
+    """
+    s = _decomposed(F.lower(title))
+    s = F.regexp_replace(s, r"[^\p{L}\p{N}\s-]", "")
+    s = F.regexp_replace(F.regexp_replace(trimmed(s), r"\s+", "-"), "-+", "-")
+    s = F.substring(F.regexp_replace(s, "^-|-$", ""), 1, 60)
+    return F.concat(F.when(s == "", F.lit("opportunity")).otherwise(s), F.lit("-"), F.substring(suffix, 1, 6))
+
+
 def slugs(texts: Column, most: int = 20) -> Column:
     return F.slice(F.array_distinct(F.filter(F.transform(texts, slug_ascii), lambda x: x.isNotNull())), 1, most)
 

@@ -123,6 +123,12 @@ def x19_blocked_address(spark: SparkSession, d: str) -> DataFrame:
     return T.load(spark, d, "events").select("event_id", address.alias("address")).withColumn("reason", X.blocked_reason(F.col("address")))
 
 
+@query(r"SELECT p_partkey, substr(regexp_replace(trim(lower(p_name || ' (' || p_type || ')'), ' ()'), '[ ()]+', '-', 'g'), 1, 60) || '-' || substr(md5(p_name), 1, 6) AS slug FROM part")
+def x01_slugify(spark: SparkSession, d: str) -> DataFrame:
+    p = T.load(spark, d, "part")
+    return p.select("p_partkey", X.slugify(F.concat("p_name", F.lit(" ("), "p_type", F.lit(")")), F.md5("p_name")).alias("slug"))
+
+
 EMAILS = ["", "parent@example.org", " Parent@Example.org ", "nobody", "a b@c.de", "student@example.org"]
 
 
