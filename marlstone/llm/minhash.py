@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, mix64, shingles_of, steps, words_of
 
-BANDS, ROWS, SHINGLE = 20, 5, 5
+BANDS, ROWS, SHINGLE = 25, 4, 5
 #: Rows of a bucket or cluster in one block, and shingles of a cluster in one block.
 BLOCK_ROWS, BLOCK_SHINGLES = 2_000, 2_000_000
 #: Signature agreement below which a pair at the threshold is out of the question:
-#: four standard errors of 100 minima under 0.85.
+#: about four standard errors of 100 minima.
 SLACK = 0.15
 
 _g = np.random.Generator(np.random.PCG64(77))
@@ -183,7 +183,7 @@ def _in_blocks(rows: DataFrame, blocks: F.Column) -> DataFrame:
     return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, rows_per_block: int = BLOCK_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, rows_per_block: int = BLOCK_ROWS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Linked are texts with 100 * |intersection| >= percent * |union| of their
@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, rows_per_block: int = BL
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the smallest doc_id.
 
     All columns stay. Of rows that repeat each other wholly one stays; rows

@@ -54,12 +54,13 @@ def found(spark, rows, **options):
 def test_components_match_brute_force(spark):
     # Upper-casing only touches A-Z: é stays as it is.
     rows = [(i, t and t.replace("É", "é")) for i, t in corpus()]
-    assert dict(found(spark, rows)) == brute(rows)
+    for percent in (80, 85):
+        assert dict(found(spark, rows, percent=percent)) == brute(rows, percent)
 
 
 def test_small_blocks_give_the_same(spark):
     rows = [(i, t and t.replace("É", "é")) for i, t in corpus(6)]
-    assert dict(found(spark, rows, rows_per_block=3)) == brute(rows)
+    assert dict(found(spark, rows, percent=85, rows_per_block=3)) == brute(rows)
 
 
 def test_edges(spark):
