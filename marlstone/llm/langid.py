@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, cut, mix64, steps
+from .common import _LOWER, cut, mix64, steps, unused
 
 BUCKETS, ORDERS = 1 << 13, (1, 2, 3)
 #: Rows the regression is fitted on, by hash order; a fifth of them sets the temperature.
@@ -188,8 +188,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     seen = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if not model.langs:
         return docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
-    out = docs.withColumn("found", F.when(seen, predict(model)("text")))
-    return out.withColumn("lang_pred", F.coalesce("found.lang", F.lit("und"))).withColumn("score", F.coalesce("found.score", F.lit(0.0))).drop("found")
+    found = unused(docs, "found")
+    out = docs.withColumn(found, F.when(seen, predict(model)("text")))
+    return out.withColumn("lang_pred", F.coalesce(F.col(found)["lang"], F.lit("und"))).withColumn("score", F.coalesce(F.col(found)["score"], F.lit(0.0))).drop(found)
 
 
 def held_out_languages(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, runs_of, steps, weighted_cut, words_of
+from .common import cut, runs_of, steps, unused, weighted_cut, words_of
 
 #: Hash buckets of a model, additive smoothing, shrinkage in features, features of the scale.
 BUCKETS, SMOOTHING, SHRINK, LENGTH = 1 << 16, 1.0, 50, 500
@@ -102,10 +102,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> tup
     return Model(log_ratio, level), scored
 
 
-def gumbel_key(seed: int = 29):
+def gumbel_key(seed: int = 29, weight: str = "log_weight"):
     """The cut key of (doc_id, log_weight): the larger weight plus noise, the smaller the key."""
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    score = F.col("log_weight") - F.log(-F.log(u))
+    score = F.col(weight) - F.log(-F.log(u))
     return F.greatest(F.lit(0.0), (F.lit(OFFSET) - score) * F.lit(SCALE)).cast("long")
 
 
@@ -130,7 +130,6 @@ def keep_selected(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABE
     """The selected rows of ``docs`` with all their columns; texts are weighed again instead of shuffled."""
     model, scored = fit(docs, labels, max_labels)
     limit = _limit(model, scored)
-    marked = docs.withColumn("log_weight", log_weight(model.log_ratio)("text")) if "log_weight" not in docs.columns else None
-    if marked is None:
-        raise ValueError("the column name log_weight is taken")
-    return marked.filter(gumbel_key() <= F.lit(limit)).drop("log_weight")
+    name = unused(docs, "log_weight")
+    marked = docs.withColumn(name, log_weight(model.log_ratio)("text"))
+    return marked.filter(gumbel_key(weight=name) <= F.lit(limit)).drop(name)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _MULT, mix64, steps, words_of
+from .common import _MULT, mix64, steps, unused, words_of
 
 SENTENCES, WORDS, LONG = 2, 25, 50
 _Q = np.uint64(0xD1342543DE82EF95)
@@ -146,9 +146,10 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     and rows without doc_id stay as they are. Rows with one doc_id count as one
     document. Input columns named n_sentences or n_removed are replaced.
     """
-    cuts = repeated_spans(docs).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans_to_cut"))
-    without = F.arrow_udf(_without, "struct<text string, n_sentences long, n_removed long>")
     rest = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    out = docs.select(*rest).join(cuts, "doc_id", "left").withColumn("cut_result", without("text", "spans_to_cut"))
-    out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.col("cut_result.text")))
-    return out.select(*rest, F.col("cut_result.n_sentences").alias("n_sentences"), F.col("cut_result.n_removed").alias("n_removed"))
+    spans, result = unused(docs, "spans_to_cut"), unused(docs, "cut_result")
+    cuts = repeated_spans(docs).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias(spans))
+    without = F.arrow_udf(_without, "struct<text string, n_sentences long, n_removed long>")
+    out = docs.select(*rest).join(cuts, "doc_id", "left").withColumn(result, without("text", spans))
+    out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.col(result)["text"]))
+    return out.select(*rest, F.col(result)["n_sentences"].alias("n_sentences"), F.col(result)["n_removed"].alias("n_removed"))

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.llm import html, langid, quality
 
@@ -61,8 +62,8 @@ def test_quality_keeps_clean_and_rejects_junk(spark, docs):
     clean = [got[d[0]] for d in docs]
     assert sum(clean) >= 0.97 * len(clean) and sum(got[j[0]] for j in junk) <= 3
     assert got[2000] and got[2001]
-    kept = quality.keep_selected(table, labels)
-    assert kept.columns == table.columns
+    kept = quality.keep_selected(table.withColumn("log_weight", F.lit("mine")), labels)
+    assert kept.columns == [*table.columns, "log_weight"]
     assert {x.doc_id for x in kept.collect()} == {i for i, k in got.items() if k}
 
 

@@ -3,12 +3,12 @@ import re
 
 from marlstone.llm import substring
 
-SCHEMA = "doc_id long, text string, n_removed string"
+SCHEMA = "doc_id long, text string, n_removed string, cut_result int, spans_to_cut int"
 
 
 def run(spark, rows):
-    got = substring.dedup_substrings(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA))
-    assert got.columns == ["doc_id", "text", "n_sentences", "n_removed"]
+    got = substring.dedup_substrings(spark.createDataFrame([(*r, "x", 1, 2) for r in rows], SCHEMA))
+    assert got.columns == ["doc_id", "text", "cut_result", "spans_to_cut", "n_sentences", "n_removed"]
     return got.collect()
 
 
