@@ -48,3 +48,16 @@ def erase_users(gone: DataFrame, owned: dict[str, DataFrame], queries: DataFrame
     blank = {c: F.when(F.col("_gone").isNull(), F.col(c)) for c in users.columns if c != "user_id"}
     out["users"] = u.withColumns(blank).withColumn("deleted", F.col("_gone").isNotNull()).drop("_gone")
     return out
+
+
+def decide(table: DataFrame, decisions: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(table with new states, audit rows) of reviewers' decisions: key, actor, action, new_state, note."""
+    out = table.join(decisions.select(key, "new_state"), key, "left").withColumn("state", F.coalesce("new_state", "state")).drop("new_state")
+    audit = decisions.join(table.select(key), key, "left_semi").select(key, "actor", "action", F.substring("note", 1, 500).alias("note"))
+    return out, audit
+
+
+def top_per_key(rows: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
+    """The first k rows of each key."""
+    w = Window.partitionBy(key).orderBy(*order)
+    return rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")

@@ -117,3 +117,9 @@ def any_pattern(text: Column, patterns: list[str]) -> Column:
 
 def page_text(text: Column) -> Column:
     return trimmed(collapse(text))
+
+
+def one_per_day(deadlines: DataFrame, key: str, order: str) -> DataFrame:
+    """The first deadline of each kind and UTC day, rolling ones included."""
+    w = Window.partitionBy(key, "kind", F.to_date("date")).orderBy(order)
+    return deadlines.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")

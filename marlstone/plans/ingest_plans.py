@@ -9,8 +9,10 @@ from ..domains import METHOD_CONFIDENCE, METHOD_RANK, NEVER_GENERATED_FIELDS
 from ..functions import text as X
 from ..operators import dedupe as K
 from ..operators import dml
+from ..operators import extract as E
 from ..operators import provenance as P
 from ..sources import tables as T
+from ..sources.tables import ctes
 from .registry import query
 from .text_plans import GRAMS, TOKENS, norm_sql
 
@@ -241,3 +243,58 @@ def j12_supersedes(spark: SparkSession, d: str) -> DataFrame:
 def w08_latest_k(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
     return T.load(spark, d, "events").withColumn("place", F.row_number().over(w)).filter("place <= 3").select("user_id", "event_id", "place")
+
+
+@query(ctes("dl") + "SELECT opp_id, deadline_id, kind FROM dl QUALIFY row_number() OVER (PARTITION BY opp_id, kind, date::DATE ORDER BY deadline_id) = 1")
+def t08_one_per_day(spark: SparkSession, d: str) -> DataFrame:
+    return E.one_per_day(T.deadlines(spark, d), "opp_id", "deadline_id").select("opp_id", "deadline_id", "kind")
+
+
+@query(ctes("opps") + ", n AS (SELECT opp_id FROM opps ORDER BY updated_at DESC, opp_id LIMIT 500) SELECT o_custkey AS opp_id, o_orderkey AS source_id FROM orders WHERE o_custkey IN (SELECT opp_id FROM n) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 5")
+def o03_corpus_window(spark: SparkSession, d: str) -> DataFrame:
+    """At most five sources of each of the 500 newest listings."""
+    newest = T.opportunities(spark, d).orderBy(F.desc("updated_at"), "opp_id").limit(500).select("opp_id")
+    sources = T.load(spark, d, "orders").select(F.col("o_custkey").alias("opp_id"), F.col("o_orderkey").alias("source_id"))
+    return dml.top_per_key(sources.join(newest, "opp_id", "left_semi"), "opp_id", [F.col("source_id")], 5)
+
+
+def _decided(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    o = T.opportunities(spark, d).select("opp_id", "state")
+    yes = F.col("opp_id") % 2 == 0
+    made = o.filter("state = 'NEEDS_REVIEW'").select("opp_id", F.lit("ADMIN").alias("actor"), F.when(yes, "APPROVED").otherwise("REJECTED").alias("action"), F.when(yes, "VERIFIED").otherwise("ARCHIVED").alias("new_state"), F.concat(F.lit("Looked at "), F.col("opp_id").cast("string")).alias("note"))
+    return dml.decide(o, made, "opp_id")
+
+
+@query(ctes("opps") + "SELECT opp_id, CASE WHEN state <> 'NEEDS_REVIEW' THEN state WHEN opp_id % 2 = 0 THEN 'VERIFIED' ELSE 'ARCHIVED' END AS state FROM opps")
+def h15_decisions(spark: SparkSession, d: str) -> DataFrame:
+    return _decided(spark, d)[0]
+
+
+@query(ctes("opps") + "SELECT opp_id, 'ADMIN' AS actor, CASE WHEN opp_id % 2 = 0 THEN 'APPROVED' ELSE 'REJECTED' END AS action, 'Looked at ' || opp_id AS note FROM opps WHERE state = 'NEEDS_REVIEW'")
+def h15_audit(spark: SparkSession, d: str) -> DataFrame:
+    return _decided(spark, d)[1]
+
+
+@query("SELECT event_id, p_partkey AS opp_id, p_name AS title FROM events JOIN part ON p_partkey = event_id % 250 WHERE event_type = 'error'")
+def j09_reports(spark: SparkSession, d: str) -> DataFrame:
+    e = T.load(spark, d, "events").filter("event_type = 'error'").select("event_id", (F.col("event_id") % 250).alias("opp_id"))
+    return e.join(T.load(spark, d, "part").select(F.col("p_partkey").alias("opp_id"), F.col("p_name").alias("title")), "opp_id")
+
+
+@query("SELECT e.event_id, c.c_custkey AS user_id FROM events e JOIN customer c ON sha256('t' || (e.event_id % 400)) = sha256('t' || c.c_custkey)")
+def j11_token_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Presented tokens meet stored hashes; the tokens themselves are never stored."""
+    stored = T.load(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), X.sha256(F.concat(F.lit("t"), F.col("c_custkey").cast("string"))).alias("hash"))
+    shown = T.load(spark, d, "events").select("event_id", X.sha256(F.concat(F.lit("t"), (F.col("event_id") % 400).cast("string"))).alias("hash"))
+    return shown.join(stored, "hash").select("event_id", "user_id")
+
+
+@query("SELECT doc_id, substr(text, 1, 300) AS title, substr(text, 1, 1200) AS summary FROM documents")
+def p04_truncated(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths at which stored titles and summaries end."""
+    return T.load(spark, d, "documents").select("doc_id", F.substring("text", 1, 300).alias("title"), F.substring("text", 1, 1200).alias("summary"))
+
+
+@query("SELECT user_id, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS kinds FROM events GROUP BY user_id")
+def a14_distinct_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return T.load(spark, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"))
