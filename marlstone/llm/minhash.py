@@ -7,7 +7,7 @@
    signatures; of each bucket only a spanning forest of likely pairs is passed on.
 3. Those links give candidate clusters (large-star / small-star). Every true
    link lies inside a cluster but for the banding's miss rate, about
-   (1 - 0.85**ROWS)**BANDS = 1e-5 at a similarity of 0.85.
+   (1 - 0.8**ROWS)**BANDS = 2e-6 at a similarity of 0.8.
 4. Inside a cluster the full shingle sets decide, again in blocks; pairs that
    are connected already need no check. Verified links give the components.
 
@@ -29,9 +29,9 @@ from .common import components, cut, mix64, shingles_of, steps, words_of
 BANDS, ROWS, SHINGLE = 25, 4, 5
 #: Rows of a bucket or cluster in one block, and shingles of a cluster in one block.
 BLOCK_ROWS, BLOCK_SHINGLES = 2_000, 2_000_000
-#: Signature agreement below which a pair at the threshold is out of the question:
-#: about four standard errors of 100 minima.
-SLACK = 0.15
+#: How far under the threshold signatures may agree before a pair is out of the question:
+#: five standard errors of 100 minima at 0.8, a chance of about 2e-6 like the banding's.
+SLACK = 0.2
 
 _g = np.random.Generator(np.random.PCG64(77))
 _A = _g.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
