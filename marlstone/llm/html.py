@@ -16,8 +16,9 @@ import functools
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterable
-from html.parser import HTMLParser
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,17 @@ HIDDEN = set("head script style noscript template svg math object iframe canvas
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag that ends an open element of its kind: kind -> where the search for it stops.
 CLOSES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
+#: The kinds that such a tag ends.
+ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: Elements whose content is no markup, with what ends them.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in ("script", "style", "textarea", "title")}
+
+_NAME = re.compile(r"<(/?)([A-Za-z][^\t\n\f\r />]*+)")
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\t\n\f\r >"'][^\t\n\f\r >]*+)"""
+_REST = re.compile(rf"((?:[\t\n\f\r /]++|[^\t\n\f\r />=]++(?:[\t\n\f\r ]*+=[\t\n\f\r ]*+{_VALUE}?+)?+|=)*+)>")
+_ATTR = re.compile(rf"([^\t\n\f\r />=]++)(?:[\t\n\f\r ]*+=[\t\n\f\r ]*+({_VALUE})?+)?+")
+_COMMENT = re.compile(r"<!--(?:-?>|.*?--!?>)", re.DOTALL)
+_BIG = re.compile(r"&#(?:[xX]0*+[0-9a-fA-F]{7,}|0*+[0-9]{8,});?")
 
 _PARTS = re.compile(r"[a-z]+")
 #: Words in class, id and role that tell what an element is for.
@@ -50,14 +62,19 @@ FEATURES = [*_TAGS, *MARKS, "hidden", "links", "bias"]
 EDGES = ["frame", "marked", "inner"]
 
 
+def shown(s: str) -> str:
+    """``s`` with character references decoded; numbers beyond any character are the replacement character."""
+    return unescape(_BIG.sub("\ufffd", s)) if "&" in s else s
+
+
 class Node:
     __slots__ = ("tag", "parent", "children", "marks", "hidden", "pieces", "chars", "linked", "keep")
 
-    def __init__(self, tag: str, parent: int, attrs: dict[str, str | None]):
+    def __init__(self, tag: str, parent: int, attrs: dict[str, str]):
         self.tag, self.parent, self.children = tag, parent, []
-        words = set(_PARTS.findall(" ".join(attrs.get(k) or "" for k in ("class", "id", "role")).lower()))
+        words = set(_PARTS.findall(" ".join(attrs.get(k, "") for k in ("class", "id", "role")).lower()))
         self.marks = [k for k, v in MARKS.items() if words & v]
-        self.hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "")
+        self.hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
         self.pieces = self.chars = self.linked = 0
         self.keep = attrs.get("data-keep")
 
@@ -66,7 +83,7 @@ class Node:
         return self.tag == tag and not (self.children or self.marks or self.hidden or self.keep)
 
 
-class Tree(HTMLParser):
+class Tree:
     """Block nodes of a page, parents first, and its shown text as (node, piece); None marks a break.
 
     A run of unmarked leaves of one kind - paragraphs, list items - is one
@@ -74,14 +91,57 @@ class Tree(HTMLParser):
     """
 
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
         self.nodes = [Node("html", -1, {})]
         self.stack = [0]
+        self.open = Counter()
         self.text: list[tuple[int, str | None]] = []
         self.skip: list[str] = []
         self.links = 0
-        self.feed(html)
-        self.close()
+        self._read(html)
+
+    def _read(self, html: str) -> None:
+        """Tags and text in order, in linear time; what no tag can be is text, an unfinished tag or comment at the end is none."""
+        i, n, quotes, unclosed = 0, len(html), True, set()
+        while i < n:
+            k = html.find("<", i)
+            k = n if k < 0 else k
+            if k > i:
+                self.handle_data(shown(html[i:k]))
+            if k == n:
+                return
+            if not (name := _NAME.match(html, k)):
+                if html.startswith("<!--", k):
+                    m = _COMMENT.match(html, k)
+                    i = m.end() if m else n
+                elif html.startswith(("<!", "<?", "</"), k):
+                    i = html.find(">", k) + 1 or n
+                else:
+                    self.handle_data("<")
+                    i = k + 1
+                continue
+            rest = _REST.match(html, name.end()) if quotes else None
+            if rest:
+                i, attrs = rest.end(), rest[1]
+            else:
+                # Quotes do not match up: from here on a tag ends at the next bracket.
+                i, attrs, quotes = html.find(">", name.end()) + 1 or n, "", False
+                if html[i - 1] != ">":
+                    return
+            tag = name[2].lower()
+            if name[1]:
+                self.handle_endtag(tag)
+                continue
+            self.handle_starttag(tag, {m[1].lower(): shown((m[2] or "").strip("\"'")) for m in _ATTR.finditer(attrs)} if attrs else {})
+            if attrs.endswith("/"):
+                if tag in self.skip:
+                    self.skip.pop()
+            elif tag in RAW and tag not in unclosed:
+                if m := RAW[tag].search(html, i):
+                    i = m.start()
+                elif tag in ("script", "style"):
+                    return
+                else:
+                    unclosed.add(tag)
 
     def handle_starttag(self, tag, attrs):
         if self.skip:
@@ -99,33 +159,30 @@ class Tree(HTMLParser):
             self.links += 1
         elif tag in BLOCKS and tag != "html":
             self._imply(tag)
-            node, family = Node(tag, self.stack[-1], dict(attrs)), self.nodes[self.stack[-1]].children
+            node, family = Node(tag, self.stack[-1], attrs), self.nodes[self.stack[-1]].children
             if family and self.nodes[family[-1]].plain_leaf(tag) and node.plain_leaf(tag):
                 self.stack.append(family[-1])
             else:
                 self.nodes.append(node)
                 family.append(len(self.nodes) - 1)
                 self.stack.append(len(self.nodes) - 1)
+            self.open[tag] += 1
             self.text.append((self.stack[-1], None))
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag in self.skip:
-            self.skip.pop()
-
     def _imply(self, tag: str) -> None:
         if self.nodes[self.stack[-1]].tag == "p":
             self._pop(len(self.stack) - 1)
-        if tag in CLOSES:
+        if any(self.open[t] for t in ENDS.get(tag, ())):
             for k in range(len(self.stack) - 1, 0, -1):
                 t = self.nodes[self.stack[k]].tag
-                if t == tag or {t, tag} <= {"dt", "dd"} or {t, tag} <= {"td", "th"}:
+                if t in ENDS[tag]:
                     self._pop(k)
                     break
                 if t in CLOSES[tag]:
                     break
 
     def _pop(self, k: int) -> None:
+        self.open.subtract(self.nodes[i].tag for i in self.stack[k:])
         del self.stack[k:]
         self.links = 0
         self.text.append((self.stack[-1], None))
@@ -137,7 +194,7 @@ class Tree(HTMLParser):
             return
         if tag == "a":
             self.links = max(0, self.links - 1)
-        elif tag in BLOCKS:
+        elif self.open[tag]:
             for k in range(len(self.stack) - 1, 0, -1):
                 if self.nodes[self.stack[k]].tag == tag:
                     self._pop(k)
