@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 BLOCKS = set("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption header footer nav aside form fieldset address details summary hgroup dialog menu center".split())
 #: Elements whose text is never shown as text of the page.
 HIDDEN = set("head script style noscript template svg math object iframe canvas audio video select option datalist button textarea title".split())
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag that ends an open element of its kind: kind -> where the search for it stops.
 CLOSES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 #: The kinds that such a tag ends.
@@ -145,7 +144,7 @@ class Tree:
 
     def handle_starttag(self, tag, attrs):
         if self.skip:
-            if tag == self.skip[-1] and tag not in VOID:
+            if tag == self.skip[-1]:
                 self.skip.append(tag)
             elif self.skip[-1] == "head" and tag == "body":
                 self.skip.clear()
@@ -158,6 +157,8 @@ class Tree:
         elif tag == "a":
             self.links += 1
         elif tag in BLOCKS and tag != "html":
+            if tag != "body":
+                self._body()
             self._imply(tag)
             node, family = Node(tag, self.stack[-1], attrs), self.nodes[self.stack[-1]].children
             if family and self.nodes[family[-1]].plain_leaf(tag) and node.plain_leaf(tag):
@@ -169,6 +170,14 @@ class Tree:
             self.open[tag] += 1
             self.text.append((self.stack[-1], None))
 
+    def _body(self) -> None:
+        """The body that a page without the tag has."""
+        if len(self.nodes) == 1:
+            self.nodes.append(Node("body", 0, {}))
+            self.nodes[0].children.append(1)
+            self.stack.append(1)
+            self.open["body"] += 1
+
     def _imply(self, tag: str) -> None:
         if self.nodes[self.stack[-1]].tag == "p":
             self._pop(len(self.stack) - 1)
@@ -202,6 +211,8 @@ class Tree:
 
     def handle_data(self, data):
         if not self.skip and data:
+            if not data.isspace():
+                self._body()
             i = self.stack[-1]
             self.text.append((i, data))
             n = self.nodes[i]
@@ -315,10 +326,16 @@ LAYOUTS = [
     '<main {K}><p>{s}</p></main><div class="sidebar" {D}><p>{s}</p></div>',
     '<header {D}>{s}</header><div {K}><div><p>{s}</p><ul>{i}</ul></div></div><div class="notice" {D}>{s}</div><footer {D}><div>{s}</div></footer>',
     '<div class="wrapper" {K}><section class="entry-content"><h2>{s}</h2>{p}<h2>{s}</h2><ul>{i}</ul></section></div><div class="reader-comments" {D}><h4>{s}</h4><ol><li>{p}</li><li><p>{s}</p></li></ol></div><div class="promo" {D}><p>{p}</p></div>',
+    '{p}',
+    '<p {K}>{s}</p>',
+    '<div {K}>{s}</div>',
+    '<ul {K}>{i}</ul>',
+    '<nav {D}><ul>{l}</ul></nav>{p}<footer {D}>{s}</footer>',
+    '<div {K}><p>{s}</p></div>',
 ]
 
 
-def labelled_pages(n: int = 114, seed: int = 11) -> list[str]:
+def labelled_pages(n: int = 150, seed: int = 11) -> list[str]:
     r = random.Random(seed)
 
     def words(lo: int, hi: int) -> str:
@@ -350,8 +367,6 @@ def main_text(html: str | None, model) -> str:
     if not html:
         return ""
     t = Tree(html)
-    if len(t.nodes) == 1 and not t.text:
-        return ""
     w, pair = model
     x, kinds = _vectors(t)
     m, _, _ = marginals(t.nodes, (x @ np.array(w)).tolist(), kinds, pair)
@@ -359,7 +374,7 @@ def main_text(html: str | None, model) -> str:
     for i, s in t.text:
         if s is None:
             pieces.append(" ")
-        elif m[i] > 0.5 or len(t.nodes) == 1:
+        elif m[i] > 0.5 or len(t.nodes) <= 2:
             pieces.append(s)
     return " ".join("".join(pieces).split())
 
@@ -368,7 +383,7 @@ def extract(pages: DataFrame, model=None) -> DataFrame:
     """One row per input row: page_id, url, text, n_chars.
 
     Null and empty html give an empty text. A page without any block element
-    is its shown text. Broken markup is read as far as it goes: what is open at
+    but its body is its shown text. Broken markup is read as far as it goes: what is open at
     the end is closed. Repeated rows come out as often; other columns are ignored.
     """
     model = model or default_model()

@@ -127,3 +127,24 @@ def test_model_on_other_labelled_pages():
         wrong += sum((a > 0.5) != bool(b) for a, b, node in zip(m, y, t.nodes, strict=True) if node.chars)
         n += sum(bool(node.chars) for node in t.nodes)
     assert wrong <= 0.02 * n
+
+
+def test_page_text_of_plain_and_broken_markup():
+    model = html.default_model()
+    for page, text in (
+        ("<p>a short line</p>", "a short line"),
+        ("Intro<p>para</p>", "Intro para"),
+        ("<ul><li>one<li>two</ul>", "one two"),
+        ("<p>a &#x0000041;&#66; &amp;lt; &#" + "9" * 5_000 + ";</p>", "a AB &lt; �"),
+        ("<p>a<![if x]>b<?php c?></p><p title=it's>d < e</p>", "ab d < e"),
+        ("<p>a</p><!-- > --><p>b<!--></p><script>if (1 < 2) '</p>'</script ><p>c <a href='x", "a b c"),
+        ("<p>a</p><script>never closed", "a"),
+    ):
+        assert html.main_text(page, model) == text, page[:60]
+
+
+def test_broken_markup_takes_linear_time():
+    model = html.default_model()
+    for piece in ("<", "<a ", "<!--", "<![", "<p a='", '<p a="', "<title>", "</", "&#"):
+        html.main_text(piece * 100_000, model)
+    html.main_text("<div>" * 20_000 + "</p>" * 20_000, model)
