@@ -24,15 +24,19 @@ _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 
-# Names begin at a word's first character and are of bounded length, so the time is linear in the text.
-_NAME = r"""(?<![\w$@])[A-Za-z_$@][\w$@]{0,127}+(?:(?:\.|->|::|-)[A-Za-z_$][\w$]{0,127}+){0,15}+"""
+# A name begins at a word's first character and is passed over as a whole where no value follows; a quoted name has no
+# quotes or brackets inside. So the time is linear in the text, whatever the length of names.
+_NAME = r"""(?<![\w$@])[A-Za-z_$@][\w$@]*+(?:(?:\.|->|::|-)[A-Za-z_$][\w$@]*+)*+"""
 _STRING = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"""
 _PAIR = re.compile(
-    rf"""(?:["'\[]["']?(?P<quoted>[\w.$@ -]{{1,80}}?)["']?["'\]]|(?P<name>{_NAME}))(?P<type>\x20*:\x20*[A-Za-z][\w<>\[\]]*+(?=\x20*=[^=]))?"""
-    rf"""[\x20\t]*(?P<op>:=|=>|=(?![=~])|:(?![:=/]))[\x20\t]*(?P<value>{_STRING}|[^\s"'`,;#{{}}()\[\]]+)""",
+    rf"""(?:["'\[]["']?(?P<quoted>[\w.$@ -]++)["']?["'\]]|(?P<name>{_NAME}))(?:(?P<type>\x20*:\x20*[A-Za-z][\w<>\[\]]*+(?=\x20*=[^=]))?"""
+    rf"""[\x20\t]*(?P<op>:=|=>|=(?![=~])|:(?![:=/]))[\x20\t]*(?P<value>{_STRING}|[^\s"'`,;#{{}}()\[\]]+))?+(?(value)|(?(name)|(?!)))""",
     re.ASCII,
 )
-_MORE = re.compile(rf"[\x20\t]*(?:\+|\.\.?|\\\n)[\x20\t]*({_STRING}|{_NAME})", re.ASCII)
+# A join goes on in the next line after its sign, or with its sign indented there: a diff's + is not, a sentence's stop has no space before it.
+_LINE = r"\\?\r?\n[\x20\t]*"
+_JOIN = rf"[\x20\t]*(?:\+|\.\.?)[\x20\t]*|[\x20\t]*(?:\+|\.\.|(?<=[\x20\t])\.)[\x20\t]*{_LINE}|[\x20\t]*\r?\n[\x20\t]+(?:\+|\.\.?)[\x20\t]*|[\x20\t]*\\\r?\n[\x20\t]*"
+_MORE = re.compile(rf"(?:{_JOIN})({_STRING}|{_NAME})", re.ASCII)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: Parts of names and how sensitive they make the target.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.7, "secret": 1.0, "secrets": 1.0, "token": 0.8, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.5, "bearer": 0.8, "private": 0.5, "signing": 0.5, "encryption": 0.5, "access": 0.4, "client": 0.2, "api": 0.4, "key": 0.5, "pat": 0.4, "jwt": 0.6, "dsn": 0.4, "salt": 0.4}
@@ -49,27 +53,69 @@ def name_score(name: str) -> float:
     return min(1.0, sum(SENSITIVE.get(p, 0.0) for p in parts))
 
 
-def literal_score(value: str) -> float:
-    """0 for what cannot be a credential, up to 1 by length, mixture and entropy of characters."""
-    if len(value) < 8 or _DULL.match(value) or any(c.isspace() for c in value):
+def literal_score(value: str, counts: dict[str, float] | None = None, length: float | None = None) -> float:
+    """0 for what cannot be a credential, up to 1 by length, mixture and entropy of characters.
+
+    ``value`` may be the first `HEAD` characters and the last one of a longer literal with these counts and this length.
+    """
+    counts = Counter(value) if counts is None else counts
+    length = len(value) if length is None else length
+    if length < 8 or _DULL.match(value) or any(c.isspace() for c in counts):
         return 0.0
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    classes = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    if entropy < 2.2 or (classes == 1 and not value.isdigit() and len(counts) < 6):
+    entropy = -sum(n / length * math.log2(n / length) for n in counts.values() if n / length)
+    classes = sum(any(f(c) for c in counts) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    if entropy < 2.2 or (classes == 1 and not all(map(str.isdigit, counts)) and len(counts) < 6):
         return 0.0
-    return min(1.0, 0.2 * classes + entropy / 8 + min(len(value), 40) / 100)
+    return min(1.0, 0.2 * classes + entropy / 8 + min(length, 40) / 100)
 
 
 def _is_string(v: str) -> bool:
     return v[:1] in "\"'`" and len(v) >= 2 and v[-1] == v[0]
 
 
+#: Longer than any word of `_DULL`, whose other patterns look at the beginning and the end.
+HEAD = 64
+
+
+class Literal:
+    """What a name stands for: its parts, each the span of a literal or another such value, and what the score needs of them.
+
+    Parts are shared and not copied, so a text's values together are as large as the text even where each takes
+    up the one before, or itself twice.
+    """
+
+    __slots__ = ("parts", "head", "last", "counts", "length")
+
+    def __init__(self, parts: list[tuple[str, int, int] | Literal]):
+        self.parts = [p if isinstance(p, Literal) else p[1:] for p in parts]
+        self.head = self.last = ""
+        self.counts, self.length = Counter(), 0
+        for p in parts:
+            head, last, counts, length = (p.head, p.last, p.counts, p.length) if isinstance(p, Literal) else (p[0], p[0][-1:], Counter(p[0]), len(p[0]))
+            self.head += head[: HEAD - len(self.head)]
+            self.last = last or self.last
+            self.length += length
+            self.counts.update(counts)
+        if any(c.isspace() for c in self.counts):
+            self.counts = Counter(" ")  # no credential, nor anything that takes it up
+        if self.length > 1e100:
+            # Doubled hundreds of times: only the shares of the characters matter.
+            self.length *= 1e-50
+            self.counts = Counter({c: n * 1e-50 for c, n in self.counts.items()})
+
+    def score(self) -> float:
+        return literal_score(self.head + (self.last if self.length > HEAD else ""), self.counts, self.length)
+
+
 def lexed(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name, directly or through constants, in order."""
-    constants: dict[str, list[tuple[str, int, int]]] = {}
+    constants: dict[str, Literal] = {}
     found: set[tuple[int, int]] = set()
+    taken: set[int] = set()
+    values: list[Literal] = []
     for m in _PAIR.finditer(text):
+        if m["value"] is None:
+            continue
         name = m["quoted"] or m["name"]
         parts = [(m["value"], m.start("value"))]
         at = m.end("value")
@@ -77,19 +123,29 @@ def lexed(text: str) -> list[tuple[int, int]]:
             while more := _MORE.match(text, at):
                 parts.append((more[1], more.start(1)))
                 at = more.end()
-        pieces: list[tuple[str, int, int]] = []
+        pieces: list[tuple[str, int, int] | Literal] = []
         for v, start in parts:
             if _is_string(v):
                 pieces.append((v[1:-1], start + 1, start + len(v) - 1))
             elif v in constants:
-                pieces += constants[v]
+                pieces.append(constants[v])
             elif len(parts) == 1:
                 pieces.append((v, start, start + len(v)))
-        pieces = pieces[:16]
-        constants[name] = pieces
+        value = constants[name] = pieces[0] if len(pieces) == 1 and isinstance(pieces[0], Literal) else Literal(pieces)
+        values.append(value)  # keeps it, so that its id is its own
         s = name_score(name)
-        if s and pieces and s + literal_score("".join(p[0] for p in pieces)) >= THRESHOLD + 0.3:
-            found.update((a, b) for _, a, b in pieces if b > a)
+        if s and value.parts and s + value.score() >= THRESHOLD + 0.3:
+            stack = [value]
+            while stack:
+                v = stack.pop()
+                if id(v) in taken:
+                    continue
+                taken.add(id(v))
+                for p in v.parts:
+                    if isinstance(p, Literal):
+                        stack.append(p)
+                    elif p[1] > p[0]:
+                        found.add(p)
     return sorted(found)
 
 

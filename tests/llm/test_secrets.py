@@ -69,3 +69,27 @@ def test_long_text_is_linear():
     assert secrets.spans_of('"' * 100_000 + ":" + "a:" * 50_000) is not None
     for t in ("x" * 300_000 + " b=1", "a-" * 100_000 + " b=1", "a.b::" * 60_000 + "=", '["' * 100_000 + "="):
         assert secrets.spans_of(t) == []
+
+
+def test_all_pieces_of_a_long_literal(spark):
+    pieces = [f"q{chr(97 + i % 26)}Z{i}x" for i in range(40)]
+    quoted = [f'"{p}"' for p in pieces]
+    for join in (" + ", " +\n    ", "\n    + ", " \\\n"):
+        assert named("signing_key = " + join.join(quoted)) == pieces, join
+    # Through constants, one taking up the one before, or the same value again and again.
+    chain = "\n".join([f"k0 = {quoted[0]}", *(f"k{i} = k{i - 1} + {quoted[i]}" for i in range(1, 40))])
+    assert named(chain + "\npassword = k39") == pieces
+    assert named(f"k = {quoted[0]} + {quoted[1]}\n" + "k = k + k\n" * 2000 + "password = k") == pieces[:2]
+    text = "password = " + " + ".join(quoted)
+    masked = secrets.mask_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0].text
+    assert not any(p in masked for p in pieces)
+    # The next line of a diff, or the next sentence, is not a part.
+    assert named('-  "token": "Zx81mQp7Lw"\n+  "token": "kd83Hs92mLq0Xz",') == ["Zx81mQp7Lw", "kd83Hs92mLq0Xz"]
+    assert named('token: "Zx81mQp7Lw".\n"So it was."') == ["Zx81mQp7Lw"]
+
+
+def test_names_of_any_length():
+    for name in (f'"{"a" * 100}_password"', "a" * 200 + "_password", "part." * 30 + "password"):
+        assert named(f'{name} = "hV7#kd92LqPz"') == ["hV7#kd92LqPz"], name
+    for t in ('"' + "a " * 300_000, '"a ' * 100_000 + "=", "part." * 100_000 + "x"):
+        assert secrets.spans_of(t) == []
