@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 #: Elements that start a block of their own. Everything else is inline.
 BLOCKS = set("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption header footer nav aside form fieldset address details summary hgroup dialog menu center".split())
 #: Elements whose text is never shown as text of the page.
-HIDDEN = set("head script style noscript template svg math object iframe canvas audio video select option datalist button textarea title".split())
+HIDDEN = set("head script style noscript template svg annotation annotation-xml object iframe canvas audio video select option datalist button textarea title".split())
+#: What can stand in a head. Any other start tag ends it, and so does text, as its end tag and the body's start tag can be left out.
+IN_HEAD = set("head html title meta link base script style noscript template".split())
 #: A start tag that ends an open element of its kind: kind -> where the search for it stops.
 CLOSES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 #: The kinds that such a tag ends.
@@ -144,11 +146,11 @@ class Tree:
 
     def handle_starttag(self, tag, attrs):
         if self.skip:
-            if tag == self.skip[-1]:
+            if tag == self.skip[-1] != "head":
                 self.skip.append(tag)
-            elif self.skip[-1] == "head" and tag == "body":
+            elif self.skip[0] == "head" and (tag == "body" or self.skip[-1] in ("head", "title") and tag not in IN_HEAD):
                 self.skip.clear()
-            if self.skip:
+            if self.skip and (tag not in HIDDEN or self.skip != ["head"] or tag == "head"):
                 return
         if tag in HIDDEN:
             self.skip.append(tag)
@@ -157,6 +159,8 @@ class Tree:
         elif tag == "a":
             self.links += 1
         elif tag in BLOCKS and tag != "html":
+            if tag == "body" and self.open["body"]:
+                return
             if tag != "body":
                 self._body()
             self._imply(tag)
@@ -198,7 +202,9 @@ class Tree:
 
     def handle_endtag(self, tag):
         if self.skip:
-            if tag == self.skip[-1]:
+            if tag == "head" == self.skip[0]:
+                self.skip.clear()
+            elif tag == self.skip[-1]:
                 self.skip.pop()
             return
         if tag == "a":
@@ -210,6 +216,8 @@ class Tree:
                     break
 
     def handle_data(self, data):
+        if self.skip == ["head"] and not data.isspace():
+            self.skip.clear()
         if not self.skip and data:
             if not data.isspace():
                 self._body()

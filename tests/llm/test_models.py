@@ -148,3 +148,17 @@ def test_broken_markup_takes_linear_time():
     for piece in ("<", "<a ", "<!--", "<![", "<p a='", '<p a="', "<title>", "</", "&#"):
         html.main_text(piece * 100_000, model)
     html.main_text("<div>" * 20_000 + "</p>" * 20_000, model)
+
+
+def test_html_head_without_end():
+    model = html.default_model()
+    for page, text in (
+        ("<html><head><title>T</title><p>Article text here, first.<p>Second one.", "Article text here, first. Second one."),
+        ("<head><title>T</title>Plain words", "Plain words"),
+        ("<head><meta charset=x><title>a</title><script>x()</script><style>b</style><noscript><p>no</p></noscript>\n<p>Text kept here.</p>", "Text kept here."),
+        ("<head><head><title>a</title></head><body><p>Text kept here.</p>", "Text kept here."),
+        ("<head><noscript><p>no<title>a</title></head><body><p>Text kept here.</p>", "Text kept here."),
+        ("<head><title>a<body><p>Text kept here.</p>", "Text kept here."),
+        ("<p>Sum <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> holds.", "Sum x=2 holds."),
+    ):
+        assert html.main_text(page, model) == text, page
