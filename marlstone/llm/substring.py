@@ -4,6 +4,13 @@ A span is a run of at least `SENTENCES` consecutive sentences with at least
 `WORDS` words: from each sentence on the shortest such run, and up to each
 sentence the shortest such run, so both ends of a repeated passage are reached.
 A sentence of `LONG` words or more is a span by itself too.
+
+Repeats of `LONG` words or more that keep to no sentences are found by runs of
+`LONG` - `GAP` + 1 words: of any `GAP` such runs in a row the one with the least hash is a
+span as well, unless a span of whole sentences lies inside it. The choice in a
+passage thus comes from the passage alone, and any `LONG` words that repeat
+another `LONG`, to the letter, hold an equal span of one kind or the other.
+
 Spans are hashed and met globally; every occurrence but the first, by doc_id and
 position, covers its sentences, and covered sentences are removed.
 
@@ -23,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import _MULT, mix64, steps, unused, words_of
 
-SENTENCES, WORDS, LONG = 2, 25, 50
+SENTENCES, WORDS, LONG, GAP = 2, 25, 50, 8
 _Q = np.uint64(0xD1342543DE82EF95)
 _QINV = np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
 _END = np.zeros(256, dtype=bool)
@@ -73,7 +80,13 @@ def _spans(h: np.ndarray, sent: np.ndarray, first_sentence: np.ndarray):
     a = np.concatenate([i[good], back[fine], alone])
     b = np.concatenate([upto[good], i[fine] + 1, alone + 1])
     a, b = np.unique(np.stack([a, b]), axis=1) if len(a) else (a, b)
-    # Hash of the words from sent[a] to sent[b], from running sums.
+    x = _hashes(h, sent[a], sent[b])
+    t = text[a] if len(a) else a
+    return t, a - first_sentence[t], b - first_sentence[t], x
+
+
+def _hashes(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of the words from a to b - 1, from running sums."""
     p = np.full(len(h) + 1, _Q, dtype=np.uint64)
     p[0] = 1
     np.multiply.accumulate(p, out=p)
@@ -81,9 +94,31 @@ def _spans(h: np.ndarray, sent: np.ndarray, first_sentence: np.ndarray):
     q[0] = 1
     np.multiply.accumulate(q, out=q)
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * p[:-1], dtype=np.uint64)])
-    x = mix64((sums[sent[b]] - sums[sent[a]]) * q[sent[a]] + (sent[b] - sent[a]).astype(np.uint64) * _MULT[0])
-    t = text[a] if len(a) else a
-    return t, a - first_sentence[t], b - first_sentence[t], x
+    return mix64((sums[b] - sums[a]) * q[a] + (b - a).astype(np.uint64) * _MULT[0])
+
+
+def _runs(h: np.ndarray, sent: np.ndarray, first_sentence: np.ndarray):
+    """(text, first word, word after the last, hash) of the chosen runs of words; words count from 0 in their text."""
+    size = LONG - GAP + 1
+    first, n, e = sent[first_sentence], len(h) - LONG + 1, np.zeros(0, dtype=np.int64)
+    if n <= 0:
+        return e, e, e, np.zeros(0, dtype=np.uint64)
+    a = np.arange(len(h) - size + 1)
+    text = np.searchsorted(first, a, side="right") - 1
+    # No run goes over the end of a text, and no choice is made where one would.
+    x = _hashes(h, a, a + size) | np.uint64(1)
+    x[a + size > first[text + 1]] = 0
+    least = x[:n].copy()
+    for k in range(1, GAP):
+        np.minimum(least, x[k : k + n], out=least)
+    most = np.zeros(len(x), dtype=np.uint64)
+    for k in range(GAP):
+        np.maximum(most[k : k + n], least, out=most[k : k + n])
+    a = np.flatnonzero((most == x) & (x > 0))
+    i, j = np.searchsorted(sent, a, side="right"), np.searchsorted(sent, a + size) - 1
+    a = a[(sent[j] - sent[i] < WORDS) | (j - i < SENTENCES)]
+    t = text[a]
+    return t, a - first[t], a - first[t] + size, mix64(x[a])
 
 
 def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,54 +127,58 @@ def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
         for r, _, data, offsets in steps(batch.column("text")):
             _, _, h, sent, firsts = sentences(data, offsets)
-            t, a, b, x = _spans(h, sent, firsts)
-            parts.append((ids[r + t], a, b, x))
+            for words, (t, a, b, x) in enumerate((_spans(h, sent, firsts), _runs(h, sent, firsts))):
+                parts.append((ids[r + t], a, b, x, np.full(len(t), bool(words))))
         if not parts:
             continue
-        d, a, b, x = (np.concatenate(c) for c in zip(*parts, strict=True))
+        d, a, b, x, words = (np.concatenate(c) for c in zip(*parts, strict=True))
         order = np.lexsort((a, d, x))
-        d, a, b, x = d[order], a[order], b[order], x[order]
+        d, a, b, x, words = d[order], a[order], b[order], x[order], words[order]
         new = np.ones(len(x), dtype=bool)
         new[1:] = x[1:] != x[:-1]
         head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(x) else np.zeros(0, dtype=np.int64)
         repeat = (d != d[head]) | (a != a[head])
-        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)), pa.array(d), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(repeat)], names=["h", "doc_id", "a", "b", "repeat"])
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)), pa.array(d), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(repeat), pa.array(words)], names=["h", "doc_id", "a", "b", "repeat", "words"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, a, b): sentences a to b - 1 of the document repeat an earlier span."""
+    """(doc_id, a, b, words): sentences, or words, a to b - 1 of the document repeat an earlier span."""
     texts = docs.filter("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = texts.mapInArrow(_span_rows, "h long, doc_id long, a int, b int, repeat boolean")
+    spans = texts.mapInArrow(_span_rows, "h long, doc_id long, a int, b int, repeat boolean, words boolean")
     # A known repeat needs no meeting: it gets a key of its own.
-    spans = spans.withColumn("h", F.when(F.col("repeat"), F.xxhash64("h", "doc_id", "a")).otherwise(F.col("h")))
+    spans = spans.withColumn("h", F.when(F.col("repeat"), F.xxhash64("h", "doc_id", "a", "words")).otherwise(F.col("h")))
     place = Window.partitionBy("h").orderBy("doc_id", "a")
-    return spans.withColumn("place", F.dense_rank().over(place)).filter("repeat or place > 1").select("doc_id", "a", "b")
+    return spans.withColumn("place", F.dense_rank().over(place)).filter("repeat or place > 1").select("doc_id", "a", "b", "words")
 
 
-def _without(text: pa.Array, spans: pa.Array) -> pa.Array:
+def _without(text: pa.Array, spans: pa.Array, windows: pa.Array) -> pa.Array:
     kept, total, gone = [], [], []
-    rows = spans.to_pylist()
+    rows, words = spans.to_pylist(), windows.to_pylist()
     for r, e, data, offsets in steps(text):
         starts, _, _, sent, firsts = sentences(data, offsets)
-        at = np.append(starts, len(data))[sent]  # where each sentence begins, in bytes
         for i in range(e - r):
             lo, hi = int(firsts[i]), int(firsts[i + 1])
-            drop = np.zeros(hi - lo, dtype=bool)
+            at = sent[lo : hi + 1] - sent[lo]  # the words at which sentences begin
+            drop = np.zeros(at[-1], dtype=bool)
             for s in rows[r + i] or ():
+                drop[at[min(s["a"], hi - lo)] : at[min(s["b"], hi - lo)]] = True
+            for s in words[r + i] or ():
                 drop[s["a"] : s["b"]] = True
             total.append(hi - lo)
-            gone.append(int(drop.sum()))
-            if not gone[-1]:
+            if not drop.any():
+                gone.append(0)
                 kept.append(data[offsets[i] : offsets[i + 1]].tobytes().decode())
                 continue
-            edges = np.append(at[lo:hi], offsets[i + 1])
+            gone.append(len(np.unique(np.searchsorted(at, np.flatnonzero(drop), side="right"))))
+            edges = np.append(starts[sent[lo] : sent[hi]], offsets[i + 1])
             edges[0] = offsets[i]
-            kept.append(b"".join(data[edges[j] : edges[j + 1]].tobytes() for j in np.flatnonzero(~drop)).decode())
+            turns = np.flatnonzero(np.diff(np.concatenate([[True], drop, [True]]).astype(np.int8))).reshape(-1, 2)
+            kept.append(b"".join(data[edges[j] : edges[k]].tobytes() for j, k in turns).decode())
     return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=["text", "n_sentences", "n_removed"])
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
-    """One row per input row: ``docs`` with repeated sentences cut from ``text``, plus n_sentences and n_removed.
+    """One row per input row: ``docs`` with repeated passages cut from ``text``, plus n_sentences and n_removed, the sentences that lose words.
 
     The first occurrence, by doc_id and position, stays. A text whose every
     sentence repeats becomes empty. Null texts stay null, texts without words
@@ -147,9 +186,10 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     document. Input columns named n_sentences or n_removed are replaced.
     """
     rest = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    spans, result = unused(docs, "spans_to_cut"), unused(docs, "cut_result")
-    cuts = repeated_spans(docs).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias(spans))
+    spans, words, result = unused(docs, "spans_to_cut"), unused(docs, "words_to_cut"), unused(docs, "cut_result")
+    span = F.struct("a", "b")
+    cuts = repeated_spans(docs).groupBy("doc_id").agg(F.collect_set(F.when(~F.col("words"), span)).alias(spans), F.collect_set(F.when(F.col("words"), span)).alias(words))
     without = F.arrow_udf(_without, "struct<text string, n_sentences long, n_removed long>")
-    out = docs.select(*rest).join(cuts, "doc_id", "left").withColumn(result, without("text", spans))
+    out = docs.select(*rest).join(cuts, "doc_id", "left").withColumn(result, without("text", spans, words))
     out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.col(result)["text"]))
     return out.select(*rest, F.col(result)["n_sentences"].alias("n_sentences"), F.col(result)["n_removed"].alias("n_removed"))

@@ -84,3 +84,25 @@ def test_edges(spark):
     # Repeated rows are one document: nothing of them is lost.
     again = [(1, long), (1, long)]
     assert [x.text for x in run(spark, again)] == [long, long]
+
+
+def test_repeats_without_sentence_limits(spark):
+    r = random.Random(4)
+    words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    rows, passages = [], []
+    for n in [*range(51, 81), *range(51, 81)]:
+        passages.append(words(n))
+        for _ in range(2):
+            rows.append((len(rows), f"{words(r.randint(1, 30))} {passages[-1]} {words(r.randint(1, 30))}"))
+    # Shorter repeats, of no two sentences, stay.
+    short = [words(n) for n in (25, 30, 35, 42)]
+    rows += [(1000 + i, f"{words(9)} {short[i // 2]} {words(9)}") for i in range(8)]
+    got = {x.doc_id: (x.text, x.n_removed) for x in run(spark, rows)}
+    for i, p in enumerate(passages):
+        assert got[2 * i] == (rows[2 * i][1], 0)
+        text, n = got[2 * i + 1]
+        before, after = rows[2 * i + 1][1].split(p)
+        assert text.startswith(before) and text.endswith(after) and n == 1
+        left = text[len(before) : len(text) - len(after)].split()
+        assert len(left) <= 2 * (substring.GAP - 1) and set(left) <= set(p.split())
+    assert all(got[i] == (t, 0) for i, t in rows if i >= 1000)
