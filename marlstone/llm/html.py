@@ -18,13 +18,14 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterable
-from html import unescape
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.markup import Markup
+
 #: Elements that start a block of their own. Everything else is inline.
 BLOCKS = set("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption header footer nav aside form fieldset address details summary hgroup dialog menu center".split())
 #: Elements whose text is never shown as text of the page.
@@ -35,16 +36,6 @@ IN_HEAD = set("head html title meta link base script style noscript template".sp
 CLOSES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 #: The kinds that such a tag ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}}
-#: Elements whose content is no markup, with what ends them.
-RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in ("script", "style", "textarea", "title")}
-
-_NAME = re.compile(r"<(/?)([A-Za-z][^\t\n\f\r />]*+)")
-_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\t\n\f\r >"'][^\t\n\f\r >]*+)"""
-_REST = re.compile(rf"((?:[\t\n\f\r /]++|[^\t\n\f\r />=]++(?:[\t\n\f\r ]*+=[\t\n\f\r ]*+{_VALUE}?+)?+|=)*+)>")
-_ATTR = re.compile(rf"([^\t\n\f\r />=]++)(?:[\t\n\f\r ]*+=[\t\n\f\r ]*+({_VALUE})?+)?+")
-_COMMENT = re.compile(r"<!--(?:-?>|.*?--!?>)", re.DOTALL)
-_BIG = re.compile(r"&#(?:[xX]0*+[0-9a-fA-F]{7,}|0*+[0-9]{8,});?")
-
 _PARTS = re.compile(r"[a-z]+")
 #: Words in class, id and role that tell what an element is for.
 MARKS = {
@@ -63,11 +54,6 @@ FEATURES = [*_TAGS, *MARKS, "hidden", "links", "bias"]
 EDGES = ["frame", "marked", "inner"]
 
 
-def shown(s: str) -> str:
-    """``s`` with character references decoded; numbers beyond any character are the replacement character."""
-    return unescape(_BIG.sub("\ufffd", s)) if "&" in s else s
-
-
 class Node:
     __slots__ = ("tag", "parent", "children", "marks", "hidden", "pieces", "chars", "linked", "keep")
 
@@ -84,7 +70,7 @@ class Node:
         return self.tag == tag and not (self.children or self.marks or self.hidden or self.keep)
 
 
-class Tree:
+class Tree(Markup):
     """Block nodes of a page, parents first, and its shown text as (node, piece); None marks a break.
 
     A run of unmarked leaves of one kind - paragraphs, list items - is one
@@ -98,51 +84,7 @@ class Tree:
         self.text: list[tuple[int, str | None]] = []
         self.skip: list[str] = []
         self.links = 0
-        self._read(html)
-
-    def _read(self, html: str) -> None:
-        """Tags and text in order, in linear time; what no tag can be is text, an unfinished tag or comment at the end is none."""
-        i, n, quotes, unclosed = 0, len(html), True, set()
-        while i < n:
-            k = html.find("<", i)
-            k = n if k < 0 else k
-            if k > i:
-                self.handle_data(shown(html[i:k]))
-            if k == n:
-                return
-            if not (name := _NAME.match(html, k)):
-                if html.startswith("<!--", k):
-                    m = _COMMENT.match(html, k)
-                    i = m.end() if m else n
-                elif html.startswith(("<!", "<?", "</"), k):
-                    i = html.find(">", k) + 1 or n
-                else:
-                    self.handle_data("<")
-                    i = k + 1
-                continue
-            rest = _REST.match(html, name.end()) if quotes else None
-            if rest:
-                i, attrs = rest.end(), rest[1]
-            else:
-                # Quotes do not match up: from here on a tag ends at the next bracket.
-                i, attrs, quotes = html.find(">", name.end()) + 1 or n, "", False
-                if html[i - 1] != ">":
-                    return
-            tag = name[2].lower()
-            if name[1]:
-                self.handle_endtag(tag)
-                continue
-            self.handle_starttag(tag, {m[1].lower(): shown((m[2] or "").strip("\"'")) for m in _ATTR.finditer(attrs)} if attrs else {})
-            if attrs.endswith("/"):
-                if tag in self.skip:
-                    self.skip.pop()
-            elif tag in RAW and tag not in unclosed:
-                if m := RAW[tag].search(html, i):
-                    i = m.start()
-                elif tag in ("script", "style"):
-                    return
-                else:
-                    unclosed.add(tag)
+        self.read(html)
 
     def handle_starttag(self, tag, attrs):
         if self.skip:
@@ -200,6 +142,11 @@ class Tree:
         self.links = 0
         self.text.append((self.stack[-1], None))
 
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag in self.skip:
+            self.skip.pop()
+
     def handle_endtag(self, tag):
         if self.skip:
             if tag == "head" == self.skip[0]:

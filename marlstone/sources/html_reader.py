@@ -1,6 +1,6 @@
 """HTML and JSON-LD reader: pages to raw facts, Arrow batches of pages per task.
 
-Only the parsing is Python, by the standard library's tolerant parser; what the
+Only the parsing is Python, by the tokenizer of `markup`; what the
 facts mean is decided by column expressions afterwards.
 """
 
@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, non_blank
+from .markup import Markup
 
 #: Elements whose text is not page text.
 DROPPED = {"script", "style", "noscript", "svg", "nav", "footer", "header", "form"}
@@ -24,16 +24,14 @@ FIELDS = ["name", "description", "startDate", "endDate", "applicationDeadline",
 SCHEMA = "page_id long, title string, og_title string, og_description string, body string, ld_name string, ld_description string, ld_start string, ld_end string, ld_deadline string, ld_opens string, ld_valid_through string, ld_price string, ld_currency string, ld_mode string"
 
 
-class Reader(HTMLParser):
+class Reader(Markup):
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
         self.stack: list[str] = []
         self.ld, self.meta, self.title, self.body = [], {}, [], []
-        self.feed(html)
-        self.close()
+        self.read(html)
 
     def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
+        a = attrs
         if tag == "meta":
             self.meta.setdefault(a.get("property") or a.get("name") or "", a.get("content"))
         elif tag == "title":

@@ -143,6 +143,13 @@ PAGE = """<html><head><title>Site title</title><meta property="og:title" content
 <body><nav>menu</nav><p>Body &amp; text</p><script>x()</script></body></html>"""
 
 
+def test_html_facts_of_broken_markup():
+    title, og, description, body = H._facts("""<![foo bar]><title>A &amp; B</title><meta property="og:title" content='"Q" it'><meta name=description content=d/><p>x<form action=/a/>no</form><script type="application/ld+json">{"@type":"Course","name":"A &amp; B"}""")[:4]
+    assert (title, og, description, body.split()) == ("A & B", '"Q" it', "d/", ["x"])
+    assert H._facts("""<script type="application/ld+json">{"@type":"Course","name":"A &amp; B"}""")[4] == "A &amp; B"
+    H._facts("<a b='" * 20_000)
+
+
 def test_html_facts(spark):
     pages = spark.createDataFrame([(1, PAGE), (2, "<title> Only  title </title><p>x"), (3, None), (4, '<script type="application/ld+json">broken{</script>')], "page_id long, html string")
     got = {r.page_id: r for r in H.facts(H.read(pages)).collect()}
