@@ -1,18 +1,18 @@
 """Substring dedup by sliding sentence spans.
 
 A span is a run of at least `SENTENCES` consecutive sentences with at least
-`WORDS` words: from each sentence on the shortest such run, and up to each
-sentence the shortest such run, so both ends of a repeated passage are reached.
-A sentence of `LONG` words or more is a span by itself too.
+`LONG` words: from each sentence on the shortest such run, and up to each
+sentence the shortest such run. Every longer run that repeats is made of such
+runs, so all runs count. A sentence of `LONG` words or more is a span by itself too.
 
-Repeats of `LONG` words or more that keep to no sentences are found by runs of
-`LONG` - `GAP` + 1 words: of any `GAP` such runs in a row the one with the least hash is a
-span as well, unless a span of whole sentences lies inside it. The choice in a
-passage thus comes from the passage alone, and any `LONG` words that repeat
-another `LONG`, to the letter, hold an equal span of one kind or the other.
+Repeats that keep to no sentences are found by runs of `LONG` - `GAP` + 1 words: of
+any `GAP` such runs in a row the one with the least hash is a span as well. The choice in
+a passage thus comes from the passage alone, and any `LONG` words that repeat
+another `LONG`, to the letter, hold an equal span.
 
 Spans are hashed and met globally; every occurrence but the first, by doc_id and
-position, covers its sentences, and covered sentences are removed.
+position, covers its sentences, and covered sentences are removed. A line or two that
+texts share are no span and stay.
 
 Within an Arrow batch only the first occurrence of a hash goes to the shuffle,
 later ones are known to be repeats at once. A passage that a third of all
@@ -30,21 +30,30 @@ from pyspark.sql import functions as F
 
 from .common import _MULT, mix64, steps, unused, words_of
 
-SENTENCES, WORDS, LONG, GAP = 2, 25, 50, 8
+SENTENCES, LONG, GAP = 2, 50, 8
 _Q = np.uint64(0xD1342543DE82EF95)
 _QINV = np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
-_END = np.zeros(256, dtype=bool)
-_END[list(b".!?")] = True
-_CAPITAL = np.zeros(256, dtype=bool)
-_CAPITAL[65:91] = True
+#: What ends a sentence, and what may close after it.
+STOPS, CLOSERS = ".!?…。！？؟۔।", ")]\"'“”’»"
+
+
+def _at_end(data: np.ndarray, ends: np.ndarray, marks: str) -> np.ndarray:
+    """Bytes of the mark that ends before each position, 0 where none does."""
+    size = np.zeros(len(ends), dtype=np.int64)
+    for mark in marks:
+        b = mark.encode()
+        same = ends >= len(b)
+        for k, x in enumerate(b):
+            same &= data[np.maximum(ends - len(b) + k, 0)] == x
+        size[same] = len(b)
+    return size
 
 
 def sentences(data: np.ndarray, offsets: np.ndarray):
     """Words, the word index at which each sentence begins (plus the total), and each text's first sentence.
 
-    A sentence ends after a word that ends in . ! or ?, before a line feed and
-    before a word with a capital initial (ASCII, or Latin-1 in UTF-8), so a
-    passage pasted into the middle of a sentence still begins one.
+    A sentence ends after a word that ends in a stop, up to two closing marks
+    behind it not counted, and before a line feed.
     """
     starts, ends, h, first = words_of(data, offsets)
     m = len(starts)
@@ -52,11 +61,14 @@ def sentences(data: np.ndarray, offsets: np.ndarray):
         return starts, ends, h, np.zeros(1, dtype=np.int64), np.zeros(len(offsets), dtype=np.int64)
     begins = np.zeros(m, dtype=bool)
     begins[first[:-1][first[:-1] < m]] = True
-    begins[1:] |= _END[data[ends[:-1] - 1]]
-    lead = data[starts]
-    begins |= _CAPITAL[lead]
-    second = data[np.minimum(starts + 1, len(data) - 1)]
-    begins |= (lead == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)
+    # Only words that do not end in a letter or digit of ASCII can end in a mark.
+    last = data[ends - 1] | 32
+    odd = np.flatnonzero(~(((last >= 97) & (last <= 122)) | ((last >= 48) & (last <= 57))))
+    at = ends[odd]
+    for _ in range(2):
+        at = at - _at_end(data, at, CLOSERS)
+    stop = odd[(at > starts[odd]) & (_at_end(data, at, STOPS) > 0)]
+    begins[stop[stop < m - 1] + 1] = True
     feeds = np.concatenate([[0], np.cumsum(data == 10)])
     begins[1:] |= feeds[starts[1:]] > feeds[ends[:-1]]
     sent = np.flatnonzero(begins)
@@ -72,10 +84,10 @@ def _spans(h: np.ndarray, sent: np.ndarray, first_sentence: np.ndarray):
     text = np.repeat(np.arange(len(first_sentence) - 1), np.diff(first_sentence))
     begin, stop = sent[:-1], sent[1:]
     i = np.arange(n)
-    upto = np.maximum(i + SENTENCES, np.searchsorted(sent, begin + WORDS))
+    upto = np.maximum(i + SENTENCES, np.searchsorted(sent, begin + LONG))
     good = upto <= first_sentence[text + 1]
-    back = np.minimum(i + 1 - SENTENCES, np.searchsorted(sent, stop - WORDS, side="right") - 1)
-    fine = (back >= first_sentence[text]) & (stop >= WORDS)
+    back = np.minimum(i + 1 - SENTENCES, np.searchsorted(sent, stop - LONG, side="right") - 1)
+    fine = (back >= first_sentence[text]) & (stop >= LONG)
     alone = i[stop - begin >= LONG]
     a = np.concatenate([i[good], back[fine], alone])
     b = np.concatenate([upto[good], i[fine] + 1, alone + 1])
@@ -115,8 +127,6 @@ def _runs(h: np.ndarray, sent: np.ndarray, first_sentence: np.ndarray):
     for k in range(GAP):
         np.maximum(most[k : k + n], least, out=most[k : k + n])
     a = np.flatnonzero((most == x) & (x > 0))
-    i, j = np.searchsorted(sent, a, side="right"), np.searchsorted(sent, a + size) - 1
-    a = a[(sent[j] - sent[i] < WORDS) | (j - i < SENTENCES)]
     t = text[a]
     return t, a - first[t], a - first[t] + size, mix64(x[a])
 
