@@ -6,7 +6,13 @@ the kind of child. Sum-product messages, upward then downward, give every
 node's exact content marginal; weights maximise the likelihood of labelled
 pages. The text of nodes with a marginal over one half is the main text.
 
-The labelled pages are made from the layouts in `LAYOUTS` with a fixed seed;
+Features are what a node is (its element, words in its class, id and role), what
+it holds (links, sentences, headings, its share of the page's text) and where it
+stands (inside or outside the page's article, depth, before or after most text,
+next to links). No single one of them decides.
+
+The labelled pages are made from the layouts in `LAYOUTS` with a fixed seed; their
+classes are known words, unknown ones or none, and such as tell of something else.
 ``fit`` takes any others in the same form (html with ``data-keep`` marks).
 """
 
@@ -40,34 +46,55 @@ _PARTS = re.compile(r"[a-z]+")
 #: Words in class, id and role that tell what an element is for.
 MARKS = {
     "menu": {"nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "toc", "tabs", "toolbar"},
-    "frame": {"header", "footer", "masthead", "banner", "topbar", "copyright", "legal", "site"},
-    "side": {"sidebar", "aside", "side", "widget", "related", "recommended", "trending", "popular", "teaser", "share", "social", "promo", "newsletter", "subscribe", "signup"},
+    "frame": {"header", "footer", "masthead", "banner", "topbar", "copyright", "colophon"},
+    "side": {"sidebar", "aside", "widget", "related", "recommended", "trending", "popular", "teaser", "share", "social", "promo", "newsletter", "subscribe", "signup"},
     "advert": {"ad", "ads", "advert", "advertisement", "adsbygoogle", "sponsor", "sponsored", "dfp", "promoted"},
     "notice": {"cookie", "cookies", "consent", "notice", "gdpr", "popup", "modal", "overlay", "alert", "notification", "paywall", "dialog"},
     "reader": {"comment", "comments", "disqus", "reply", "replies", "respond", "discussion", "commentlist"},
     "body": {"article", "content", "main", "post", "entry", "story", "body", "text", "prose"},
 }
+#: Parts of a class name that make it a state: it says what an element has, not what it is.
+STATES = {"has", "is", "no", "not", "with", "without", "hide", "show", "status", "enabled", "disabled", "open", "opened", "closed", "active", "type", "format", "style", "layout", "template", "single", "count", "allowed", "free"}
 _TAGS = ["article", "main", "section", "div", "p", "heading", "list", "li", "table", "quote", "nav", "header", "footer", "aside", "form", "body", "other"]
 _TAG_OF = {"h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "ul": "list", "ol": "list", "dl": "list", "menu": "list", "dt": "li", "dd": "li", "td": "table", "th": "table", "tr": "table", "thead": "table", "tbody": "table", "tfoot": "table", "caption": "table", "blockquote": "quote", "pre": "quote", "figcaption": "quote", "fieldset": "form", "dialog": "aside", "html": "body"}
-FEATURES = [*_TAGS, *MARKS, "hidden", "links", "bias"]
+#: Of the text: share of links in it and of sentences, headings in it, and its share of the page's text outside links.
+TEXT = ["links", "linky", "stops", "headed", "share", "most", "little"]
+#: Of the place: in the article, outside of one that the page has, marks inside an article, depth, text before and after, links beside it,
+#: a box beside one with most of the page's text, or in such a box.
+PLACE = ["inside", "outside", "header_inside", "marked_inside", "mixed", "depth", "early", "late", "by_links", "beside_most", "link_box", "in_beside"]
+FEATURES = [*_TAGS, *MARKS, *TEXT, *PLACE, "hidden", "bias"]
+_LEAVES = {"p", "li", "dt", "dd", "tr", "td", "th"}
+_BOXES = {"div", "section", "article", "main", "ul", "ol", "td", "center", "menu", "dl", "table", "body"}
+_AT = {f: i for i, f in enumerate(FEATURES)}
 #: Kinds of child for the pair potentials.
 EDGES = ["frame", "marked", "inner"]
+_STOP = re.compile(r"[.!?…。！？؟।](?:\s|$)")
+
+
+def marks_of(attrs: dict[str, str]) -> set[str]:
+    """What class, id and role say: of each name its kinds, state names left out; a part that is no content overrules one that is."""
+    out: set[str] = set()
+    for name in " ".join(attrs.get(k, "") for k in ("class", "id", "role")).lower().split():
+        parts = set(_PARTS.findall(name))
+        if len(parts) > 1 and parts & STATES:
+            continue
+        own = {k for k, v in MARKS.items() if parts & v}
+        out |= own - {"body"} or own
+    return out
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "marks", "hidden", "pieces", "chars", "linked", "keep")
+    __slots__ = ("tag", "parent", "children", "marks", "hidden", "chars", "linked", "stops", "keep")
 
     def __init__(self, tag: str, parent: int, attrs: dict[str, str]):
         self.tag, self.parent, self.children = tag, parent, []
-        words = set(_PARTS.findall(" ".join(attrs.get(k, "") for k in ("class", "id", "role")).lower()))
-        self.marks = [k for k, v in MARKS.items() if words & v]
+        self.marks = marks_of(attrs) if attrs else set()
         self.hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
-        self.pieces = self.chars = self.linked = 0
+        self.chars = self.linked = self.stops = 0
         self.keep = attrs.get("data-keep")
 
-
     def plain_leaf(self, tag: str) -> bool:
-        return self.tag == tag and not (self.children or self.marks or self.hidden or self.keep)
+        return self.tag == tag and tag in _LEAVES and not (self.children or self.marks or self.hidden or self.keep)
 
 
 class Tree(Markup):
@@ -174,24 +201,69 @@ class Tree(Markup):
             size = len(data.strip())
             n.chars += size
             n.linked += size if self.links else 0
+            n.stops += 0 if self.links else len(_STOP.findall(data))
 
 
 def _vectors(t: Tree) -> tuple[np.ndarray, list[int]]:
-    x = np.zeros((len(t.nodes), len(FEATURES)))
+    n = len(t.nodes)
+    x = np.zeros((n, len(FEATURES)))
+    total = [k.chars for k in t.nodes]
+    linked = [k.linked for k in t.nodes]
+    stops = [k.stops for k in t.nodes]
+    headed = [_TAG_OF.get(k.tag) == "heading" for k in t.nodes]
+    core = [k.tag in ("article", "main") for k in t.nodes]  # holds one
+    for i in range(n - 1, 0, -1):
+        p = t.nodes[i].parent
+        total[p] += total[i]
+        linked[p] += linked[i]
+        stops[p] += stops[i]
+        headed[p] = headed[p] or headed[i]
+        core[p] = core[p] or core[i]
+    plain = max(1, total[0] - linked[0])
+    within = [False] * n
+    depth = [0] * n
+    before = [0] * n  # characters of the page before the node's own
+    seen = 0
     kinds = []
-    total = [n.chars for n in t.nodes]
-    linked = [n.linked for n in t.nodes]
-    for i in range(len(t.nodes) - 1, 0, -1):
-        total[t.nodes[i].parent] += total[i]
-        linked[t.nodes[i].parent] += linked[i]
-    for i, n in enumerate(t.nodes):
-        tag = _TAG_OF.get(n.tag, n.tag)
-        x[i, FEATURES.index(tag if tag in _TAGS else "other")] = 1
-        for m in n.marks:
-            x[i, FEATURES.index(m)] = 1
-        x[i, -3:] = (n.hidden, linked[i] / total[i] if total[i] else 0, 1)
-        bad = n.hidden or any(m != "body" for m in n.marks)
+    for i, k in enumerate(t.nodes):
+        p = k.parent
+        within[i] = k.tag in ("article", "main") or (p >= 0 and within[p])
+        depth[i] = depth[p] + 1 if p >= 0 else 0
+        before[i], seen = seen, seen + k.chars
+        tag = _TAG_OF.get(k.tag, k.tag)
+        v = x[i]
+        v[_AT[tag if tag in _TAGS else "other"]] = 1
+        for m in k.marks:
+            v[_AT[m]] = 1
+        bad = k.hidden or bool(k.marks - {"body"})
+        of_links = linked[i] / total[i] if total[i] else 0.0
+        share = (total[i] - linked[i]) / plain
+        v[_AT["links"]], v[_AT["linky"]] = of_links, of_links > 0.5
+        v[_AT["stops"]] = min(1.0, 60 * stops[i] / (total[i] - linked[i] + 1))
+        v[_AT["headed"]] = headed[i]
+        v[_AT["share"]], v[_AT["most"]], v[_AT["little"]] = share, share > 0.5, share < 0.1
+        v[_AT["inside"]], v[_AT["outside"]] = within[i], core[0] and not (within[i] or core[i])
+        inner = p >= 0 and within[p]
+        v[_AT["header_inside"]] = inner and headed[i] and (tag == "header" or "frame" in k.marks)
+        v[_AT["marked_inside"]] = inner and bad
+        v[_AT["mixed"]] = bad and "body" in k.marks
+        v[_AT["depth"]] = min(depth[i], 12) / 12
+        v[_AT["early"]] = before[i] < 0.1 * total[0] and share < 0.5
+        v[_AT["late"]] = before[i] > 0.9 * total[0]
+        v[_AT["hidden"]], v[_AT["bias"]] = k.hidden, 1
         kinds.append(0 if tag in ("nav", "header", "footer", "aside", "form") else 1 if bad else 2)
+    text = [a - b for a, b in zip(total, linked)]
+    for i, k in enumerate(t.nodes):
+        boxes = [c for c in k.children if t.nodes[c].tag in _BOXES]
+        most = max(boxes, key=lambda c: text[c], default=-1)
+        for c in boxes:
+            x[c, _AT["beside_most"]] = c != most and text[most] > 0.4 * plain and text[c] < 0.25 * text[most]
+            x[c, _AT["link_box"]] = x[c, _AT["linky"]] and not stops[c]
+        for c in k.children:
+            x[c, _AT["in_beside"]] = max(x[i, _AT["beside_most"]], x[i, _AT["in_beside"]])
+        for a, b in zip(k.children, k.children[1:]):
+            x[a, _AT["by_links"]] = max(x[a, _AT["by_links"]], x[b, _AT["linky"]])
+            x[b, _AT["by_links"]] = max(x[b, _AT["by_links"]], x[a, _AT["linky"]])
     return x, kinds
 
 
@@ -227,89 +299,166 @@ def marginals(nodes: list[Node], unary: list[float], kinds: list[int], pair: lis
     return [math.exp(f[1] - log_z) for f in full], pairs, log_z
 
 
-def fit(pages: Iterable[str], rounds: int = 200, rate: float = 0.2, penalty: float = 0.001) -> tuple[list[float], list[list[list[float]]]]:
+def _depths(parent: np.ndarray) -> list[np.ndarray]:
+    """The nodes of each depth but the first; parents come before their children."""
+    depth = np.zeros(len(parent), dtype=np.int64)
+    for i, p in enumerate(parent.tolist()):
+        if p >= 0:
+            depth[i] = depth[p] + 1
+    return [np.flatnonzero(depth == d) for d in range(1, int(depth.max(initial=0)) + 1)]
+
+
+def forest_marginals(parent: np.ndarray, depths: list[np.ndarray], unary: np.ndarray, kinds: np.ndarray, pair: np.ndarray):
+    """`marginals` of many trees at once, one step a depth: content marginals and pair marginals (nodes, 2, 2)."""
+    n = len(parent)
+    up = np.stack([np.zeros(n), unary], axis=1)
+    sent = np.zeros((n, 2))
+    for at in reversed(depths):
+        sent[at] = np.logaddexp.reduce(pair[kinds[at]] + up[at][:, None, :], axis=2)
+        np.add.at(up, parent[at], sent[at])
+    log_z = np.logaddexp(up[:, 0], up[:, 1])  # of the tree, where the node is a root
+    full = up.copy()
+    joint = np.full((n, 2, 2), -np.inf)
+    for at in depths:
+        p = parent[at]
+        joint[at] = (full[p] - sent[at])[:, :, None] + pair[kinds[at]] + up[at][:, None, :]
+        full[at] = np.logaddexp(joint[at][:, 0], joint[at][:, 1])
+        log_z[at] = log_z[p]
+    return np.exp(full[:, 1] - log_z), np.exp(joint - log_z[:, None, None])
+
+
+def fit(pages: Iterable[str], rounds: int = 500, rate: float = 0.1, penalty: float = 0.0005) -> tuple[list[float], list[list[list[float]]]]:
     """Unary weights and pair potentials by gradient ascent (with moments) on the likelihood of labelled pages.
 
     An element's ``data-keep`` ("1" or "0") labels it and everything in it that
     has no mark of its own. Every page counts the same, whatever its size.
     """
-    data = []
+    parent, xs, kind, label, share, size = [], [], [], [], [], 0
     for html in pages:
         t = Tree(html)
         x, kinds = _vectors(t)
         y: list[int] = []
         for n in t.nodes:
             y.append(int(n.keep) if n.keep is not None else (y[n.parent] if n.parent >= 0 else 0))
-        data.append((t.nodes, x, kinds, np.array(y), 1 / math.sqrt(len(t.nodes))))
-    size = len(FEATURES)
-    theta = np.zeros(size + len(EDGES) * 4)
+        parent += [n.parent + size if n.parent >= 0 else -1 for n in t.nodes]
+        xs.append(x)
+        kind += kinds
+        label += y
+        share += [1 / math.sqrt(len(y))] * len(y)
+        size += len(y)
+    parent, x, kinds, y, share = np.array(parent), np.concatenate(xs), np.array(kind), np.array(label), np.array(share)
+    depths, count = _depths(parent), len(xs)
+    child = np.flatnonzero(parent >= 0)
+    seen = np.zeros((len(EDGES), 2, 2))
+    np.add.at(seen, (kinds[child], y[parent[child]], y[child]), share[child])
+    width = len(FEATURES)
+    theta = np.zeros(width + len(EDGES) * 4)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, rounds + 1):
-        w, pair = theta[:size], theta[size:].reshape(-1, 2, 2)
-        gw, gp = -penalty * len(data) * w, -penalty * len(data) * pair
-        for nodes, x, kinds, y, share in data:
-            m, pm, _ = marginals(nodes, (x @ w).tolist(), kinds, pair.tolist())
-            gw += share * (x.T @ (y - np.array(m)))
-            for i in range(1, len(nodes)):
-                gp[kinds[i], y[nodes[i].parent], y[i]] += share
-                gp[kinds[i]] -= share * np.array(pm[i])
-        g = np.concatenate([gw, gp.ravel()]) / len(data)
+        w, pair = theta[:width], theta[width:].reshape(-1, 2, 2)
+        m, both = forest_marginals(parent, depths, x @ w, kinds, pair)
+        gp = seen - penalty * count * pair
+        np.subtract.at(gp, kinds[child], share[child][:, None, None] * both[child])
+        g = np.concatenate([x.T @ (share * (y - m)) - penalty * count * w, gp.ravel()]) / count
         first = 0.9 * first + 0.1 * g
         second = 0.99 * second + 0.01 * g * g
         theta = theta + rate * (1 - k / (rounds + 1)) * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-8)
-    return theta[:size].tolist(), theta[size:].reshape(-1, 2, 2).tolist()
+    return theta[:width].tolist(), theta[width:].reshape(-1, 2, 2).tolist()
 
 
-#: Page layouts for the labelled pages: K keeps, D drops; {p} paragraphs, {s} short text, {l} links.
+#: Page layouts for the labelled pages: K keeps, D drops; {p} paragraphs, {s} short text, {l} links, {i} list items;
+#: {body}, {menu} and so on stand for a class of that kind, {odd} for one that is no known word.
 LAYOUTS = [
-    '<nav {D}><ul>{l}</ul></nav><div class="ad" {D}>{s}</div><article {K}><h1>{s}</h1>{p}</article><footer {D}>{s}</footer>',
+    '<nav {D}><ul>{l}</ul></nav><div {advert} {D}>{s}</div><article {K}><h1>{s}</h1>{p}</article><footer {D}>{s}</footer>',
+    '<nav {D}><ul>{l}</ul></nav><div {advert} {D}>{p}</div><article {body} {K}><h1>{s}</h1><p>{s}</p><p>{s}</p></article><footer {D}>{s}</footer>',
     '<header {D}><div class="logo">{s}</div><nav>{l}</nav></header><main {K}><h1>{s}</h1>{p}<ul>{i}</ul>{p}<blockquote>{p}</blockquote></main><aside {D}><h3>{s}</h3><p>{s}</p>{l}</aside><footer {D}><p>{s}</p></footer>',
-    '<div id="cookie-notice" {D}><p>{s}</p>{p}</div><div class="menu" {D}>{l}</div><div class="content" {K}><h2>{s}</h2>{p}<table><tr><td>{s}</td><td>{s}</td></tr></table>{p}</div><div class="comments" {D}><h3>{s}</h3><div class="comment">{p}</div><div class="comment"><p>{s}</p></div></div>',
-    '<div {D}><ul class="breadcrumb">{l}</ul></div><div><div class="post" {K}><h1>{s}</h1>{p}<div class="ad" {D}>{p}</div>{p}<section id="comments" {D}><ul><li>{p}</li><li>{s}</li></ul></section></div><div class="sidebar" {D}>{p}{l}</div></div><div class="footer" {D}>{s}</div>',
-    '<header class="site-header" {D}><p>{s}</p></header><article {K}><header {D}><p>{s}</p></header><h1>{s}</h1><div>{p}</div><figure><figcaption>{s}</figcaption></figure><form {D}><p>{s}</p><label>{s}</label></form><div><p>{s}</p>{p}</div><aside {D}>{p}</aside></article><section class="related" {D}><h2>{s}</h2>{l}</section><footer {D}>{p}</footer>',
-    '<div class="banner" {D}><p>{s}</p></div><section {K}><h1>{s}</h1>{p}<ol>{i}</ol><pre>{s}</pre></section><div class="newsletter" {D}><form><p>{p}</p></form></div><div id="disqus_thread" {D}>{p}</div>',
-    '<div {K}><p>{s}</p>{p}<h2>{s}</h2>{p}</div><div class="cookie-consent" {D}><div><p>{s}</p>{p}</div></div><ul class="pagination" {D}>{l}</ul>',
-    '<main {K}><article><h1>{s}</h1><p>{s}</p><dl><dt>{s}</dt><dd>{p}</dd></dl>{p}<footer {D}><p>{s}</p></footer><div class="share" {D}>{l}</div></article><div class="advertisement" {D}><p>{s}</p></div></main><div role="dialog" class="modal" {D}>{p}</div>',
+    '<div {notice} {D}><p>{s}</p>{p}</div><div {menu} {D}>{l}</div><div {body} {K}><h2>{s}</h2>{p}<table><tr><td>{s}</td><td>{s}</td></tr></table>{p}</div><div {reader} {D}><h3>{s}</h3><div class="comment">{p}</div><div class="comment"><p>{s}</p></div></div>',
+    '<div {D}><ul {menu}>{l}</ul></div><div><div {body} {K}><h1>{s}</h1>{p}<div {advert} {D}>{p}</div>{p}<section id="comments" {D}><ul><li>{p}</li><li>{s}</li></ul></section></div><div {side} {D}>{p}{l}</div></div><div {frame} {D}>{s}</div>',
+    '<header {frame} {D}><p>{s}</p></header><article {K}><header {D}><p>{s}</p></header><h1>{s}</h1><div>{p}</div><figure><figcaption>{s}</figcaption></figure><form {D}><p>{s}</p><label>{s}</label></form><div><p>{s}</p>{p}</div><aside {D}>{p}</aside></article><section {side} {D}><h2>{s}</h2>{l}</section><footer {D}>{p}</footer>',
+    '<header {D}><h2>{s}</h2><p>{s}</p></header><article {body} {K}><header><h1>{s}</h1></header>{p}<section {odd}><h2>{s}</h2>{p}</section></article><footer {D}>{s}</footer>',
+    '<header {D}><p>{s}</p>{l}</header><main {K}><article><header {odd}><h1>{s}</h1><p>{s}</p></header><div {odd}>{p}</div></article></main><footer {D}><p>{s}</p>{l}</footer>',
+    '<div {frame} {D}><p>{s}</p></div><section {K}><h1>{s}</h1>{p}<ol>{i}</ol><pre>{s}</pre></section><div {side} {D}><form><p>{p}</p></form></div><div {reader} {D}>{p}</div>',
+    '<div {K}><p>{s}</p>{p}<h2>{s}</h2>{p}</div><div {notice} {D}><div><p>{s}</p>{p}</div></div><ul {menu} {D}>{l}</ul>',
+    '<main {K}><article {body}><h1>{s}</h1><p>{s}</p><dl><dt>{s}</dt><dd>{p}</dd></dl>{p}<footer {D}><p>{s}</p></footer><div {side} {D}>{l}</div></article><div {advert} {D}><p>{s}</p></div></main><div role="dialog" {notice} {D}>{p}</div>',
     '<p {K}>{s}</p><h3 {K}>{s}</h3><p {K}>{s}</p><footer {D}>{s}</footer><nav {D}>{l}</nav>',
     '<article {K}><h1>{s}</h1><p>{s}</p></article>',
     '<article {K}><p>{s}</p></article>',
     '<header {D}><h1>{s}</h1><p>{s}</p></header><article {K}><h1>{s}</h1>{p}</article><footer {D}><p>{s}</p></footer>',
     '<h1 {K}>{s}</h1>{p}',
     '<div {K}><div><h1>{s}</h1><div>{s}</div><div>{s}</div></div></div>',
-    '<div id="content" {K}><h1>{s}</h1><p>{s}</p><p>{s}</p></div>',
-    '<nav {D}><ul>{l}</ul></nav><div class="ad" {D}>{p}</div><article {K}><h1>{s}</h1><p>{s}</p><p>{s}</p></article><footer {D}>{s}</footer>',
-    '<main {K}><p>{s}</p></main><div class="sidebar" {D}><p>{s}</p></div>',
-    '<header {D}>{s}</header><div {K}><div><p>{s}</p><ul>{i}</ul></div></div><div class="notice" {D}>{s}</div><footer {D}><div>{s}</div></footer>',
-    '<div class="wrapper" {K}><section class="entry-content"><h2>{s}</h2>{p}<h2>{s}</h2><ul>{i}</ul></section></div><div class="reader-comments" {D}><h4>{s}</h4><ol><li>{p}</li><li><p>{s}</p></li></ol></div><div class="promo" {D}><p>{p}</p></div>',
+    '<div {body} {K}><h1>{s}</h1><p>{s}</p><p>{s}</p></div>',
+    '<main {K}><p>{s}</p></main><div {side} {D}><p>{s}</p></div>',
+    '<header {D}>{s}</header><div {K}><div><p>{s}</p><ul>{i}</ul></div></div><div {notice} {D}>{s}</div><footer {D}><div>{s}</div></footer>',
+    '<div {K}><section {body}><h2>{s}</h2>{p}<h2>{s}</h2><ul>{i}</ul></section></div><div {reader} {D}><h4>{s}</h4><ol><li>{p}</li><li><p>{s}</p></li></ol></div><div {side} {D}><p>{p}</p></div>',
     '{p}',
     '<p {K}>{s}</p>',
     '<div {K}>{s}</div>',
     '<ul {K}>{i}</ul>',
+    '<div {odd} {K}><ul>{i}</ul><table><tr><td>{s}</td></tr></table></div>',
     '<nav {D}><ul>{l}</ul></nav>{p}<footer {D}>{s}</footer>',
     '<div {K}><p>{s}</p></div>',
+    '<div {odd} {D}>{l}</div><div {odd} {K}><h1>{s}</h1>{b}{p}</div><div {odd} {D}>{s}</div>',
+    '<div {odd} {D}><ul>{l}</ul></div><div {odd}><div {odd} {K}><h1>{s}</h1>{b}<div {odd}>{p}</div></div><div {odd} {D}><h3>{s}</h3><ul>{l}</ul></div></div><div {odd} {D}><p>{c}</p></div>',
+    '<div {odd} {D}>{a}</div><article {body} {K}><h1>{s}</h1>{b}</article><div {odd} {D}>{c}</div>',
+    '<div {odd} {D}>{a}</div><main {K}><div {odd}><h1>{s}</h1>{b}{p}</div></main><section {odd} {D}><h3>{s}</h3><p>{c}</p>{l}</section>',
+    '<div {odd} {D}>{l}</div><article {K}><header><h1>{s}</h1></header>{b}</article><div {odd} {D}><p>{a}</p></div>',
+    '<div {odd} {D}><p>{a}</p></div><div {odd} {K}><h1>{s}</h1>{b}</div><div {odd} {D}>{c}</div>',
+    '<div {odd} {D}>{l}</div><div {odd} {K}>{b}</div><div {odd} {D}><h3>{s}</h3><ul>{l}</ul></div>',
+    '<table><tr><td {D}><ul>{l}</ul></td><td {K}><h1>{s}</h1>{b}</td></tr></table>',
+    '<div {odd} {D}>{l}</div><div {odd}><div {odd} {K}><h2>{s}</h2>{b}</div><div {odd} {D}><h3>{s}</h3>{l}</div></div><div {odd} {D}><h3>{s}</h3><p>{a}</p></div>',
+    '<div {odd} {K}><h1>{s}</h1><div {odd}>{b}</div><div {odd}><h2>{s}</h2>{p}</div><div>{p}</div></div>',
+    '<div {odd} {K}>{b}</div><div {odd} {K}><h2>{s}</h2>{p}</div><div {odd} {K}>{b}{p}</div>',
+    '<div {odd}><div {odd} {D}><a href=/>{s}</a><ul>{l}</ul></div><div {odd} {K}>{b}<div {advert} {D}>{c}</div>{p}</div></div><div {odd} {D}>{c}{l}</div>',
 ]
+#: Other names that an element of a kind may have in a labelled page, beside the words of `MARKS`.
+_STATE_NAMES = ["has-sidebar", "share-enabled", "comment-status-open", "no-comments", "with-ads", "type-post", "ad-free", "is-popular"]
 
 
-def labelled_pages(n: int = 150, seed: int = 11) -> list[str]:
+def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
     r = random.Random(seed)
+    words_of = {k: sorted(v) for k, v in MARKS.items()}
+
+    def word() -> str:
+        return "".join(r.choice("aeiounrstlmd") for _ in range(r.randint(2, 9)))
 
     def words(lo: int, hi: int) -> str:
-        return " ".join("".join(r.choice("aeiounrstlmd") for _ in range(r.randint(2, 9))) for _ in range(r.randint(lo, hi)))
+        return " ".join(word() for _ in range(r.randint(lo, hi)))
+
+    def sentences(lo: int, hi: int) -> str:
+        return " ".join(f"{words(4, 20).capitalize()}{r.choice('...!?')}" for _ in range(r.randint(lo, hi)))
+
+    def named(kind: str) -> str:
+        name = word() if kind == "odd" else r.choice(words_of[kind])
+        name = r.choice([name, name, f"{word()}-{name}", f"{name}-{word()}", f"{name} {word()}"])
+        if kind == "body":
+            name = r.choice([name, name, f"{name} {r.choice(_STATE_NAMES)}", f"{name} {r.choice(words_of['side'])}", word(), ""])
+        if kind == "odd" and r.random() < 0.3:
+            return ""
+        return f'{r.choice(["class", "class", "id"])}="{name}"' if name else ""
 
     def fill(m: re.Match) -> str:
         k = m[1]
         if k in "KD":
             return f'data-keep="{int(k == "K")}"'
+        if k in MARKS or k == "odd":
+            return named(k)
         if k == "p":
-            # Any number and length, and sentences that end or not: none of it tells content from the rest.
+            # Any number and length, and sentences that end or not.
             return "".join(f"<p>{r.choice(['', '<b>'])}{words(3, r.choice([12, 60, 250])).capitalize()}{r.choice(['', '', f' <a href=/>{words(1, 4)}</a> and <a href=/>{words(1, 2)}</a>'])}{r.choice(['.', ''])}</p>" for _ in range(r.choice([1, 2, 3, 5, 9])))
+        if k == "b":
+            return "".join(f"<p>{sentences(2, 8)}</p>" for _ in range(r.randint(2, 6)))
         if k == "l":
-            return "".join(f"<li><a href=/>{words(1, 3)}</a></li>" for _ in range(r.randint(2, 7)))
+            tag = r.choice(["li", "li", "span"])
+            return " ".join(f"<{tag}><a href=/>{words(1, 3)}</a></{tag}>" for _ in range(r.randint(2, 7)))
         if k == "i":
             return "".join(f"<li>{words(3, 20)}</li>" for _ in range(r.randint(2, 5)))
+        if k == "a":
+            return r.choice([words(2, 9), sentences(1, 1), f"<a href=/>{words(2, 9)}</a>"])
+        if k == "c":
+            return r.choice([words(1, 6), f"&copy; {words(2, 5)}", sentences(1, 1)])
         return words(1, 9)
 
-    return [f"<html><head><title>{words(2, 6)}</title></head><body data-keep=1>{re.sub(r'{(.)}', fill, LAYOUTS[i % len(LAYOUTS)])}</body></html>" for i in range(n)]
+    return [f"<html><head><title>{words(2, 6)}</title></head><body data-keep=1>{re.sub(r'{(\w+)}', fill, LAYOUTS[i % len(LAYOUTS)])}</body></html>" for i in range(n)]
 
 
 @functools.cache

@@ -1,6 +1,8 @@
 import random
+import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +145,51 @@ def test_page_text_of_plain_and_broken_markup():
         assert html.main_text(page, model) == text, page[:60]
 
 
+BODY = "<p>The river rose by two metres in the night, and the bridge was closed.</p><p>Nobody was hurt. The mayor spoke at noon to those who had to leave their homes.</p><p>Repairs will take a month, she said.</p>"
+LINKS = '<ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li><li><a href="/c">Sport</a></li></ul>'
+SAID = " ".join(re.findall(r">([^<]+)</p>", BODY))
+
+
+def test_page_text_whatever_the_classes_are_called():
+    model = html.default_model()
+    for page, text in (
+        (f'<div class="site-content">{BODY}</div>', SAID),
+        (f'<article class="story share-enabled">{BODY}</article>', SAID),
+        (f'<article class="post comment-status-open">{BODY}</article>', SAID),
+        (f'<article><h1>Law</h1>{BODY}<section class="legal"><p>The law of 1990 is cited here.</p></section></article>', f"Law {SAID} The law of 1990 is cited here."),
+        (f'<div class="c1"><a href=/>Home</a> <a href=/>News</a> <a href=/>Sport</a></div><div class="c2">{BODY}</div>', SAID),
+        (f'<div class="c1">{LINKS}</div><div class="c2"><h1>Flood</h1>{BODY}</div>', f"Flood {SAID}"),
+        (f'<div class="werbung">Jetzt kaufen und sparen!</div><article><h1>Flut</h1>{BODY}</article>', f"Flut {SAID}"),
+        (f"<article><header><h1>Flood</h1></header>{BODY}</article>", f"Flood {SAID}"),
+        (f"<article><header><h1>Flood</h1><p>By A. Writer</p></header>{BODY}</article>", f"Flood By A. Writer {SAID}"),
+        (f"<header><h1>Daily News</h1>{LINKS}</header><main><article><h1>Flood</h1>{BODY}</article></main><aside><h3>Related</h3>{LINKS}</aside><footer><p>&copy; 2020 Daily News.</p></footer>", f"Flood {SAID}"),
+        (f'<div class="navigation">{LINKS}</div><div class="spalte1"><h1>Flut</h1>{BODY}</div><div class="spalte2"><h3>Meist gelesen</h3>{LINKS}</div><div id="kommentare"><h3>Kommentare</h3><p>Sehr gut!</p></div>', f"Flut {SAID}"),
+        (f'<div id="page"><div id="content" class="site-content"><article id="post-12" class="post-12 post type-post status-publish"><h1 class="entry-title">Flood</h1><div class="entry-content">{BODY}</div><footer class="entry-footer">Posted in News</footer></article><div id="comments" class="comments-area"><h2>2 thoughts</h2><ol><li><p>Great article, I liked it.</p></li></ol></div></div><div id="secondary" class="widget-area"><p>About me: I write here every day.</p></div></div>', f"Flood {SAID}"),
+        (f"<table><tr><td>{LINKS}</td><td><h1>Flood</h1>{BODY}</td></tr></table>", f"Flood {SAID}"),
+        (f'<nav>{LINKS}</nav><article><h1>Flood</h1><p>Short one.</p></article><div class="ad">{BODY}</div><footer>x</footer>', "Flood Short one."),
+        (f'<section class="publicite"><p>Achetez maintenant.</p></section><main class="contenu"><h1>Crue</h1>{BODY}</main><section class="commentaires"><h3>Avis</h3><p>Merci beaucoup.</p></section>', f"Crue {SAID}"),
+        (f"<div>{BODY}</div><div><h2>Later</h2>{BODY}</div>", f"{SAID} Later {SAID}"),
+        (f"<div><h1>Flood</h1><div>{BODY}</div><div><h2>Later</h2><p>It ended well for all.</p></div></div>", f"Flood {SAID} Later It ended well for all."),
+    ):
+        assert html.main_text(f"<html><body>{page}</body></html>", model) == text, page.replace(BODY, "BODY").replace(LINKS, "LINKS")
+
+
+def test_forest_and_tree_marginals_agree():
+    r = random.Random(6)
+    trees = [html.Tree(p).nodes for p in html.labelled_pages(12, seed=3)]
+    pair = [[[r.uniform(-1, 1) for _ in range(2)] for _ in range(2)] for _ in range(3)]
+    parent, unary, kinds, want, both = [], [], [], [], []
+    for nodes in trees:
+        u, k = [r.uniform(-2, 2) for _ in nodes], [r.randrange(3) for _ in nodes]
+        m, pm, _ = html.marginals(nodes, u, k, pair)
+        parent += [n.parent + len(want) if n.parent >= 0 else -1 for n in nodes]
+        want, both, unary, kinds = want + m, both + pm, unary + u, kinds + k
+    parent = np.array(parent)
+    got, joint = html.forest_marginals(parent, html._depths(parent), np.array(unary), np.array(kinds), np.array(pair))
+    assert got.tolist() == pytest.approx(want)
+    assert all(joint[i].tolist() == [pytest.approx(x) for x in b] for i, b in enumerate(both) if b)
+
+
 def test_broken_markup_takes_linear_time():
     model = html.default_model()
     for piece in ("<", "<a ", "<!--", "<![", "<p a='", '<p a="', "<title>", "</", "&#"):
