@@ -100,8 +100,8 @@ def parse_date(text: Column, reference_year: Column | None = None) -> Column:
         """struct(date, raw) of the pattern's first match; the match is found once and taken apart as a short text."""
         raw = F.array(F.when(text.rlike("[0-9]"), F.nullif(F.regexp_extract(text, java(pattern), 0), F.lit(""))))
         part = lambda r, k: F.regexp_extract(r, java(pattern), k)
-        found = F.get(F.transform(raw, lambda r: F.struct(date(lambda k: part(r, k)).alias("date"), r.alias("raw"))), F.lit(0))
-        return F.when(found["date"].isNotNull(), found)
+        found = F.transform(F.filter(raw, lambda r: r.isNotNull()), lambda r: F.struct(date(lambda k: part(r, k)).alias("date"), r.alias("raw")))
+        return F.get(F.filter(found, lambda x: x["date"].isNotNull()), F.lit(0))
 
     def worded(y, m, d):
         def date(part) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+#: An edge before what can only be a word character, or groups of such, and one after it at the end.
+_BEFORE, _AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 
 def java(pattern: str, ignore_case: bool = True) -> str:
@@ -14,7 +18,10 @@ def java(pattern: str, ignore_case: bool = True) -> str:
     Java's own ``\b`` counts letters beyond ASCII as word characters, so
     "éfree" would not begin a word at "free".
     """
-    p = pattern.replace(r"\b", _EDGE).replace(r"[-\s]", "[-~]").replace(r"\s", r"[\s\x{A0}]").replace("[-~]", r"[-\s\x{A0}]")
+    # At its ends a pattern has words or numbers inside, so a one-sided look is enough.
+    p = re.sub(r"^\\b(?=(?:\((?:\?:)?)*(?:[A-Za-z]|\\d))", lambda _: _BEFORE, pattern)
+    p = re.sub(r"(?<=[a-z)])\\b$", lambda _: _AFTER, p)
+    p = p.replace(r"\b", _EDGE).replace(r"[-\s]", "[-~]").replace(r"\s", r"[\s\x{A0}]").replace("[-~]", r"[-\s\x{A0}]")
     return ("(?i)" if ignore_case else "") + p
 
 
@@ -24,7 +31,9 @@ def matches(text: Column, pattern: str, ignore_case: bool = True) -> Column:
 
 def first_match(text: Column, pattern: str, group: int = 0, ignore_case: bool = True) -> Column:
     """The group of the first match, null where there is none."""
-    return F.when(matches(text, pattern, ignore_case), F.regexp_extract(text, java(pattern, ignore_case), group))
+    found = F.regexp_extract(text, java(pattern, ignore_case), group)
+    # No pattern matches the empty text, so an empty match is none.
+    return F.nullif(found, F.lit("")) if group == 0 else F.when(matches(text, pattern, ignore_case), found)
 
 
 def first_kind(text: Column, kinds: list[tuple[str, str]], otherwise: str | None = None) -> Column:

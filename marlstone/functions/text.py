@@ -11,8 +11,12 @@ from .patterns import matches
 _SPACE = r"[\s\u00a0\ufeff\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u1680]+"
 
 
+#: A white space other than a single blank.
+_WIDE = r" {2}|[\t-\r\u00a0\ufeff\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u1680]"
+
+
 def collapse(text: Column) -> Column:
-    return F.regexp_replace(text, _SPACE, " ")
+    return F.when(text.rlike(_WIDE), F.regexp_replace(text, _SPACE, " ")).otherwise(text)
 
 
 def trimmed(text: Column) -> Column:
@@ -157,7 +161,7 @@ def sha256(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences of white-space-collapsed text: after . ! ? ; and a blank, and before a bullet."""
     parts = F.split(collapse(text), r"(?<=[.!?;])\s+|(?=•)")
-    return F.filter(F.transform(parts, trimmed), lambda s: F.length(s) > 0)
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: F.length(s) > 0)
 
 
 def appears_verbatim(needle: Column, text: Column) -> Column:

@@ -7,6 +7,8 @@ decoded once per rule, before rules meet students.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,89 +38,96 @@ def _number(x: Column) -> Column:
     return F.when(x == F.floor(x), x.cast("long").cast("string")).otherwise(x.cast("string"))
 
 
-def _stated() -> Column:
-    low, high = F.col("low"), F.col("high")
+def _stated(low: Column, high: Column) -> Column:
     return F.when(low.isNotNull() & high.isNotNull(), F.concat(_number(low), F.lit("–"), _number(high))).when(low.isNotNull(), F.concat(_number(low), F.lit("+"))).otherwise(F.concat(F.lit("up to "), _number(high)))
 
 
+def _lit(x: Column | str) -> Column:
+    return F.lit(x) if isinstance(x, str) else x
+
+
 def _answer(verdict: Column | str, text: Column | str) -> Column:
-    c = lambda x: F.lit(x) if isinstance(x, str) else x
-    return F.struct(c(verdict).alias("verdict"), c(text).alias("text"))
+    return F.struct(_lit(verdict).alias("verdict"), _lit(text).alias("text"))
 
 
-def _unknown(text: str) -> Column:
-    return _answer("UNKNOWN", text)
+def _verdict_only(verdict: Column | str, text: Column | str) -> Column:
+    return _lit(verdict)
 
 
 def _yes(ok: Column, otherwise: str = "MISMATCH") -> Column:
     return F.when(ok, "MATCH").otherwise(otherwise)
 
 
-def verdict() -> Column:
-    """struct(verdict, text) of a decoded rule next to a student's columns."""
+def verdict(rule: Callable[[str], Column] = F.col, answer: Callable[[Column | str, Column | str], Column] = _answer) -> Column:
+    """struct(verdict, text) of a decoded rule next to a student's columns, or what else ``answer`` makes of the two.
+
+    ``rule`` gives the rule's fields by name.
+    """
+    _unknown = lambda text: answer("UNKNOWN", text)
     age, grade = F.col("age"), F.col("grade")
-    no_bounds = F.col("low").isNull() & F.col("high").isNull()
-    items, joined = F.col("items"), F.array_join("items", ", ")
-    inside = lambda x: F.coalesce(x >= F.col("low"), F.lit(True)) & F.coalesce(x <= F.col("high"), F.lit(True))
-    not_in = F.col("operator") == "NOT_IN"
+    low, high = rule("low"), rule("high")
+    no_bounds = low.isNull() & high.isNull()
+    items, joined = rule("items"), F.array_join(rule("items"), ", ")
+    inside = lambda x: F.coalesce(x >= low, F.lit(True)) & F.coalesce(x <= high, F.lit(True))
+    not_in = rule("operator") == "NOT_IN"
 
     age_rule = F.when(age.isNull(), _unknown("Your age is not set, so this could not be checked.")).when(no_bounds, _unknown("The age requirement could not be read from the source page.")).otherwise(
-        _answer(_yes(inside(age)), F.concat(F.lit("You're "), age.cast("string"), F.lit("; this is open to ages "), _stated(), F.lit(".")))
+        answer(_yes(inside(age)), F.concat(F.lit("You're "), age.cast("string"), F.lit("; this is open to ages "), _stated(low, high), F.lit(".")))
     )
     in_list = in_loosely(items, grade.cast("string"))
     grade_said = F.concat(F.lit("You're in year "), grade.cast("string"))
     unreadable_grade = _unknown("The grade requirement could not be read from the source page.")
     grade_rule = (
         F.when(grade.isNull(), _unknown("Your grade or year is not set, so this could not be checked."))
-        .when((F.col("operator") == "IN") & items.isNull(), unreadable_grade)
-        .when(F.col("operator") == "IN", _answer(_yes(in_list), F.when(in_list, F.concat(grade_said, F.lit(", which is eligible."))).otherwise(F.concat(grade_said, F.lit("; this is open to years "), joined, F.lit(".")))))
+        .when((rule("operator") == "IN") & items.isNull(), unreadable_grade)
+        .when(rule("operator") == "IN", answer(_yes(in_list), F.when(in_list, F.concat(grade_said, F.lit(", which is eligible."))).otherwise(F.concat(grade_said, F.lit("; this is open to years "), joined, F.lit(".")))))
         .when(no_bounds, unreadable_grade)
-        .otherwise(_answer(_yes(inside(grade)), F.concat(grade_said, F.lit("; this is open to years "), _stated(), F.lit("."))))
+        .otherwise(answer(_yes(inside(grade)), F.concat(grade_said, F.lit("; this is open to years "), _stated(low, high), F.lit("."))))
     )
     level = F.col("education_level")
     has_level = in_loosely(items, level)
     level_rule = F.when(level.isNull(), _unknown("Your education level is not set, so this could not be checked.")).when(items.isNull(), _unknown("The education-level requirement could not be read from the source page.")).otherwise(
         # The sentence follows membership even where the operator turns the verdict round.
-        _answer(_yes(has_level != not_in), F.when(has_level, "Your education level is eligible.").otherwise("Your education level is outside the stated range for this opportunity."))
+        answer(_yes(has_level != not_in), F.when(has_level, "Your education level is eligible.").otherwise("Your education level is outside the stated range for this opportunity."))
     )
     country = F.col("country_code")
-    noun = F.when(F.col("dimension") == "COUNTRY", "location").when(F.col("dimension") == "RESIDENCY", "residency").otherwise("citizenship")
+    noun = F.when(rule("dimension") == "COUNTRY", "location").when(rule("dimension") == "RESIDENCY", "residency").otherwise("citizenship")
     in_place = in_loosely(items, country) != not_in
     place_rule = F.when(country.isNull(), _unknown("Your country is not set, so this could not be checked.")).when(items.isNull(), _unknown("The location requirement could not be read from the source page.")).otherwise(
-        _answer(_yes(in_place), F.when(in_place, F.concat(F.lit("You meet the "), noun, F.lit(" requirement."))).otherwise(F.concat(F.lit("This is restricted by "), noun, F.lit(", and your profile country is not included."))))
+        answer(_yes(in_place), F.when(in_place, F.concat(F.lit("You meet the "), noun, F.lit(" requirement."))).otherwise(F.concat(F.lit("This is restricted by "), noun, F.lit(", and your profile country is not included."))))
     )
     curriculum = F.col("curriculum")
     named = in_loosely(items, curriculum)
     curriculum_rule = F.when(curriculum.isNull() | (curriculum == "UNKNOWN"), _unknown("Your curriculum is not set, so this could not be checked.")).when(items.isNull(), _unknown("The curriculum requirement could not be read from the source page.")).otherwise(
-        _answer(_yes(named, "PARTIAL"), F.when(named, "Your curriculum is explicitly eligible.").otherwise(F.concat(F.lit("This names "), joined, F.lit(". Yours is not listed — worth confirming with the organiser."))))
+        answer(_yes(named, "PARTIAL"), F.when(named, "Your curriculum is explicitly eligible.").otherwise(F.concat(F.lit("This names "), joined, F.lit(". Yours is not listed — worth confirming with the organiser."))))
     )
     speaks = F.exists(items, lambda x: in_loosely(F.col("languages"), x))
     language_rule = F.when(F.size("languages") == 0, _unknown("Your languages are not set, so this could not be checked.")).when(items.isNull(), _unknown("The language requirement could not be read from the source page.")).otherwise(
-        _answer(_yes(speaks), F.when(speaks, "You speak a language this is delivered in.").otherwise(F.concat(F.lit("This is delivered in "), joined, F.lit(", which is not on your profile."))))
+        answer(_yes(speaks), F.when(speaks, "You speak a language this is delivered in.").otherwise(F.concat(F.lit("This is delivered in "), joined, F.lit(", which is not on your profile."))))
     )
     held = F.size(F.filter(items, lambda s: F.exists("interests", lambda i: i["slug"] == s)))
     subject_rule = (
         F.when(items.isNull(), _unknown("The subject requirement could not be read from the source page."))
-        .when(held == F.size(items), _answer("MATCH", "You have the subject background this asks for."))
-        .when(held > 0, _answer("PARTIAL", "You have some of the subject background this asks for, but not all of it."))
-        .otherwise(_answer("PARTIAL", "This asks for subject background your profile does not yet show."))
+        .when(held == F.size(items), answer("MATCH", "You have the subject background this asks for."))
+        .when(held > 0, answer("PARTIAL", "You have some of the subject background this asks for, but not all of it."))
+        .otherwise(answer("PARTIAL", "This asks for subject background your profile does not yet show."))
     )
-    relevant = F.filter("achievements", lambda a: F.array_contains("kinds", a["kind"]) | F.arrays_overlap(a["tag_slugs"], F.col("tag_slugs")))
+    relevant = F.filter("achievements", lambda a: F.array_contains(rule("kinds"), a["kind"]) | F.arrays_overlap(a["tag_slugs"], rule("tag_slugs")))
     many = F.concat(F.size(relevant).cast("string"), F.lit(" related activities"))
     prior_rule = (
-        F.when((F.size("kinds") == 0) & (F.size("tag_slugs") == 0), _answer("PARTIAL", "This asks for prior experience. Check the wording below against your own background."))
-        .when(F.size(relevant) == 0, _answer("PARTIAL", "This asks for prior experience your profile does not yet record. You may still be able to make the case."))
-        .otherwise(_answer("PARTIAL", F.concat(F.lit("This asks for prior experience. Your profile shows "), F.when(F.size(relevant) == 1, F.get(relevant, F.lit(0))["title"]).otherwise(many), F.lit(" — you may need to make that case explicitly."))))
+        F.when((F.size(rule("kinds")) == 0) & (F.size(rule("tag_slugs")) == 0), answer("PARTIAL", "This asks for prior experience. Check the wording below against your own background."))
+        .when(F.size(relevant) == 0, answer("PARTIAL", "This asks for prior experience your profile does not yet record. You may still be able to make the case."))
+        .otherwise(answer("PARTIAL", F.concat(F.lit("This asks for prior experience. Your profile shows "), F.when(F.size(relevant) == 1, F.get(relevant, F.lit(0))["title"]).otherwise(many), F.lit(" — you may need to make that case explicitly."))))
     )
     enrolled = level != "GAP_YEAR"
     school_rule = (
         F.when(level.isNull(), _unknown("Your education level is not set, so this could not be checked."))
-        .when(~F.col("flag"), _answer("MATCH", "No school-enrolment requirement."))
-        .otherwise(_answer(_yes(enrolled), F.when(enrolled, "You are currently enrolled, which this requires.").otherwise("This requires current school enrolment, and your profile says you are on a gap year.")))
+        .when(~rule("flag"), answer("MATCH", "No school-enrolment requirement."))
+        .otherwise(answer(_yes(enrolled), F.when(enrolled, "You are currently enrolled, which this requires.").otherwise("This requires current school enrolment, and your profile says you are on a gap year.")))
     )
-    d = F.col("dimension")
+    d = rule("dimension")
     return (
-        F.when(F.col("operator") == "FREE_TEXT", _unknown(JUDGE))
+        F.when(rule("operator") == "FREE_TEXT", _unknown(JUDGE))
         .when(d == "AGE", age_rule)
         .when(d == "GRADE", grade_rule)
         .when(d == "EDUCATION_LEVEL", level_rule)
@@ -160,3 +169,31 @@ def eligibility(pairs: DataFrame, evaluations: DataFrame) -> DataFrame:
     )
     out = pairs.select("user_id", "opp_id").join(sums, ["user_id", "opp_id"], "left").fillna(0, ["blocking", "concerns", "satisfied", "unevaluated"])
     return out.withColumn("eligible", F.col("blocking") == 0)
+
+
+def rules_of(rules: DataFrame) -> DataFrame:
+    """(opp_id, rules): the decoded rules of each opportunity, in order; there are as many as its page states."""
+    r = decode_rules(rules).withColumn("is_hard", F.col("dimension").isin(D.HARD_DIMENSIONS))
+    return r.groupBy("opp_id").agg(F.array_sort(F.collect_list(F.struct("rule_no", "dimension", "operator", "low", "high", "items", "kinds", "tag_slugs", "flag", "is_hard"))).alias("rules"))
+
+
+def is_blocked() -> Column:
+    """Whether a hard rule of ``rules`` rules the student of the row out."""
+    hard = F.filter("rules", lambda r: r["is_hard"])
+    return F.coalesce(F.exists(hard, lambda r: verdict(lambda f: r[f], _verdict_only) == "MISMATCH"), F.lit(False))
+
+
+def eligibility_of(pairs: DataFrame, rules: DataFrame, profiles: DataFrame) -> DataFrame:
+    """`eligibility` without the sentences: a pair's rules are an array in its row, so pairs are not multiplied and not grouped again."""
+    rows = pairs.select("user_id", "opp_id").join(rules_of(rules), "opp_id", "left").join(profiles.select(*PROFILE), "user_id")
+    verdicts = F.transform("rules", lambda r: F.struct(r["is_hard"].alias("hard"), verdict(lambda f: r[f], _verdict_only).alias("v")))
+    rows = rows.select("user_id", "opp_id", F.explode(F.array(F.coalesce(verdicts, F.array().cast("array<struct<hard:boolean,v:string>>")))).alias("vs"))
+    n = lambda test: F.size(F.filter("vs", test)).cast("long")
+    return rows.select(
+        "user_id",
+        "opp_id",
+        n(lambda x: x["hard"] & (x["v"] == "MISMATCH")).alias("blocking"),
+        n(lambda x: (x["v"] == "PARTIAL") | (~x["hard"] & (x["v"] == "MISMATCH"))).alias("concerns"),
+        n(lambda x: x["v"] == "MATCH").alias("satisfied"),
+        n(lambda x: x["v"] == "UNKNOWN").alias("unevaluated"),
+    ).withColumn("eligible", F.col("blocking") == 0)

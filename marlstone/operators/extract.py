@@ -29,10 +29,11 @@ def dates(rows: DataFrame, key: str, reference_year: Column | None = None) -> Da
     and has no instant (1970 stands for it). Other sentences need a purpose and a date.
     """
     s = F.col("sentence")
-    rolling = matches(s, D.ROLLING)
-    kind = date_kind(s)
-    r = rows.withColumn("is_rolling", rolling).withColumn("kind", F.when(rolling, F.coalesce(kind, F.lit("APPLICATION_DEADLINE"))).otherwise(kind)).filter("kind is not null")
-    r = r.withColumn("date", F.when(F.col("is_rolling"), F.lit("1970-01-01").cast("timestamp")).otherwise(parse_date(s, reference_year)["date"])).filter("date is not null")
+    # Generators, so that filters do not evaluate the patterns again.
+    r = rows.select("*", F.inline(F.array(F.struct(matches(s, D.ROLLING).alias("is_rolling"), date_kind(s).alias("kind")))))
+    r = r.withColumn("kind", F.coalesce("kind", F.when(F.col("is_rolling"), "APPLICATION_DEADLINE"))).filter("kind is not null")
+    date = F.when(F.col("is_rolling"), F.lit("1970-01-01").cast("timestamp")).otherwise(parse_date(s, reference_year)["date"])
+    r = r.select("*", F.explode(F.array(date)).alias("date")).filter("date is not null")
     first = Window.partitionBy(key, "kind", "date", "is_rolling").orderBy("pos")
     return r.withColumn("rn", F.row_number().over(first)).filter("rn = 1").select(key, "pos", "kind", "date", "is_rolling", F.col("sentence").alias("raw_text"))
 

@@ -6,6 +6,8 @@ score. Scores are row-wise arithmetic in declared order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,10 @@ from .. import domains as D
 from ..functions.dates import days_between, is_actionable, round_half_up
 from ..functions.text import humanise, same_loosely
 from ..functions.values import strings_only
+from .eligibility import is_blocked, rules_of
 
+#: Makes something of a dimension's value, sentence and, where it isn't the value's, verdict.
+Say = Callable[..., Column]
 #: How sentences call the service that shows them.
 SERVICE = "we"
 
@@ -24,61 +29,63 @@ def _score(value: Column | float | None, text: Column | str, verdict: str | None
     return F.struct(v.alias("value"), (F.lit(verdict) if verdict else by_value).alias("verdict"), (F.lit(text) if isinstance(text, str) else text).alias("text"))
 
 
+def _value(value: Column | float | None, text: Column | str, verdict: str | None = None) -> Column:
+    return F.lit(value).cast("double") if not isinstance(value, Column) else value.cast("double")
+
+
 def _text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def subject() -> Column:
-    topical = F.filter("tags", lambda t: t["kind"].isin("SUBJECT", "INTEREST"))
-    strength = F.map_from_entries(F.transform("interests", lambda i: F.struct(i["slug"], i["strength"])))
-    total = F.aggregate(topical, F.lit(0.0), lambda s, t: s + t["weight"])
+def subject(score: Say = _score) -> Column:
+    topical, strength, total = F.col("topical"), F.col("strength"), F.col("topical_weight")
     earned = F.aggregate(topical, F.lit(0.0), lambda s, t: s + F.coalesce(t["weight"] * (F.lit(0.6) + F.lit(0.4) * (strength[t["slug"]] / F.lit(5.0))), F.lit(0.0)))
     matched = F.transform(F.filter(topical, lambda t: strength[t["slug"]].isNotNull()), lambda t: humanise(t["slug"]))
     names = F.array_join(F.slice(matched, 1, 2), " and ")
     said = F.when(F.size(matched) == 0, "None of your stated interests match this listing’s subject areas.").when(F.size(matched) <= 2, _text("Matches your interest in ", names, ".")).otherwise(_text("Matches ", F.size(matched).cast("string"), " of your interests, including ", names, "."))
-    return F.when(F.size(topical) == 0, _score(None, "This listing does not state a subject area.")).when(F.size("interests") == 0, _score(None, f"Add your interests and {SERVICE} can judge subject fit.")).otherwise(_score(F.least(F.lit(1.0), F.try_divide(earned, total)), said))
+    return F.when(F.size(topical) == 0, score(None, "This listing does not state a subject area.")).when(F.size("interests") == 0, score(None, f"Add your interests and {SERVICE} can judge subject fit.")).otherwise(score(F.least(F.lit(1.0), F.try_divide(earned, total)), said))
 
 
-def career() -> Column:
-    pool = F.concat(F.transform(F.filter("tags", lambda t: t["kind"] == "CAREER_FIELD"), lambda t: t["slug"]), F.col("categories"))
+def career(score: Say = _score) -> Column:
+    pool = F.col("career_pool")
     hits = F.filter("career_directions", lambda c: F.array_contains(pool, c))
     n = F.size(hits)
     return (
-        F.when(F.size("career_directions") == 0, _score(None, f"Add a career direction and {SERVICE} can weigh this."))
-        .when(F.size(pool) == 0, _score(None, "This listing does not state a career field."))
-        .when(n == 0, _score(0.2, "Outside the career directions on your profile — which can still be a good reason to try it.", "PARTIAL"))
-        .otherwise(_score(F.least(F.lit(1.0), F.lit(0.7) + F.lit(0.3) * n), _text("Points at ", humanise(F.get(hits, F.lit(0))), ", which you've named as a direction.")))
+        F.when(F.size("career_directions") == 0, score(None, f"Add a career direction and {SERVICE} can weigh this."))
+        .when(F.size(pool) == 0, score(None, "This listing does not state a career field."))
+        .when(n == 0, score(0.2, "Outside the career directions on your profile — which can still be a good reason to try it.", "PARTIAL"))
+        .otherwise(score(F.least(F.lit(1.0), F.lit(0.7) + F.lit(0.3) * n), _text("Points at ", humanise(F.get(hits, F.lit(0))), ", which you've named as a direction.")))
     )
 
 
-def format_location() -> Column:
+def format_location(score: Say = _score) -> Column:
     wanted = F.col("format_preference").isin("ONLINE", "ANY", "HYBRID")
     no_place = (F.coalesce("country_code", F.lit("")) == "") | (F.coalesce("location_country", F.lit("")) == "")
     same_city = F.coalesce((F.col("city") != "") & (F.col("location_city") != "") & same_loosely(F.col("city"), F.col("location_city")), F.lit(False))
     return (
-        F.when(F.col("format") == "UNKNOWN", _score(None, "Format is not stated on the source page."))
-        .when((F.col("format") == "ONLINE") & wanted, _score(1.0, "Runs online, so location is not a barrier."))
-        .when(F.col("format") == "ONLINE", _score(0.5, "Runs online, though your profile prefers in-person."))
-        .when(F.col("format_preference") == "ONLINE", _score(0.15, "Requires attending in person, and your profile prefers online."))
-        .when(no_place, _score(None, "Location could not be compared with your profile."))
-        .when(F.lower("country_code") != F.lower("location_country"), _score(0.25, "Held in another country — factor in travel, cost and any visa you would need.", "PARTIAL"))
-        .when(same_city, _score(1.0, _text("Held in ", F.col("location_city"), ", where you are.")))
-        .otherwise(_score(0.8, "Held in your country."))
+        F.when(F.col("format") == "UNKNOWN", score(None, "Format is not stated on the source page."))
+        .when((F.col("format") == "ONLINE") & wanted, score(1.0, "Runs online, so location is not a barrier."))
+        .when(F.col("format") == "ONLINE", score(0.5, "Runs online, though your profile prefers in-person."))
+        .when(F.col("format_preference") == "ONLINE", score(0.15, "Requires attending in person, and your profile prefers online."))
+        .when(no_place, score(None, "Location could not be compared with your profile."))
+        .when(F.lower("country_code") != F.lower("location_country"), score(0.25, "Held in another country — factor in travel, cost and any visa you would need.", "PARTIAL"))
+        .when(same_city, score(1.0, _text("Held in ", F.col("location_city"), ", where you are.")))
+        .otherwise(score(0.8, "Held in your country."))
     )
 
 
-def cost() -> Column:
+def cost(score: Say = _score) -> Column:
     kind, amount = F.col("cost_type"), F.col("cost_amount")
     differ = F.coalesce((F.col("cost_currency") != "") & (F.col("budget_currency") != "") & (F.col("cost_currency") != F.col("budget_currency")), F.lit(False))
     return (
-        F.when(kind == "FREE", _score(1.0, "Free to enter."))
-        .when((kind == "UNKNOWN") | ((kind == "PAID") & amount.isNull()), _score(None, "Cost is not stated on the source page."))
-        .when(kind == "FREE_WITH_AID", _score(0.9, "Paid, but the organiser states financial aid is available."))
-        .when(F.col("budget_ceiling").isNull(), _score(None, f"Set a budget and {SERVICE} can tell you whether this fits it."))
-        .when(differ, _score(None, _text("Priced in ", F.col("cost_currency"), ", and your budget is in ", F.col("budget_currency"), " — compare these yourself.")))
-        .when(amount <= F.col("budget_ceiling"), _score(1.0, "Within the budget on your profile."))
-        .when(F.coalesce("aid_available", F.lit(False)), _score(0.5, "Above your budget, though the organiser states financial aid is available.", "PARTIAL"))
-        .otherwise(_score(0.0, "Costs more than the budget on your profile."))
+        F.when(kind == "FREE", score(1.0, "Free to enter."))
+        .when((kind == "UNKNOWN") | ((kind == "PAID") & amount.isNull()), score(None, "Cost is not stated on the source page."))
+        .when(kind == "FREE_WITH_AID", score(0.9, "Paid, but the organiser states financial aid is available."))
+        .when(F.col("budget_ceiling").isNull(), score(None, f"Set a budget and {SERVICE} can tell you whether this fits it."))
+        .when(differ, score(None, _text("Priced in ", F.col("cost_currency"), ", and your budget is in ", F.col("budget_currency"), " — compare these yourself.")))
+        .when(amount <= F.col("budget_ceiling"), score(1.0, "Within the budget on your profile."))
+        .when(F.coalesce("aid_available", F.lit(False)), score(0.5, "Above your budget, though the organiser states financial aid is available.", "PARTIAL"))
+        .otherwise(score(0.0, "Costs more than the budget on your profile."))
     )
 
 
@@ -94,7 +101,7 @@ def timing_facts(deadlines: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def timing(now: Column) -> Column:
+def timing(now: Column, score: Say = _score) -> Column:
     """Needs the columns of `timing_facts`; null ones (no dates at all) count as false."""
     days = days_between(F.col("next_at"), now)
     rolling = F.coalesce("rolling", F.lit(False))
@@ -102,14 +109,14 @@ def timing(now: Column) -> Column:
     soon = F.when(days <= 0, "under a day").otherwise(_text(days.cast("string"), " days"))
     closes = lambda tail: _text("Closes in ", days.cast("string"), tail)
     return (
-        F.when(F.col("next_at").isNull() & ~rolling & F.coalesce("any_actionable", F.lit(False)), _score(0.0, "The application deadline has passed.", "MISMATCH"))
-        .when(F.col("next_at").isNull() & ~rolling, _score(None, "No application deadline is stated on the source page."))
-        .when(outside, _score(0.25, "The programme runs outside the availability window on your profile.", "PARTIAL"))
-        .when(F.col("next_at").isNull(), _score(0.9, "Rolling admissions — no fixed deadline to race."))
-        .when(days <= 2, _score(0.3, _text("Closes in ", soon, " — only worth starting if you can move fast."), "PARTIAL"))
-        .when(days <= 7, _score(0.65, closes(" days — tight but workable.")))
-        .when(days <= 30, _score(1.0, closes(" days, which is comfortable.")))
-        .otherwise(_score(0.95, _text("Closes in ", round_half_up(days / 7).cast("string"), " weeks — plenty of runway.")))
+        F.when(F.col("next_at").isNull() & ~rolling & F.coalesce("any_actionable", F.lit(False)), score(0.0, "The application deadline has passed.", "MISMATCH"))
+        .when(F.col("next_at").isNull() & ~rolling, score(None, "No application deadline is stated on the source page."))
+        .when(outside, score(0.25, "The programme runs outside the availability window on your profile.", "PARTIAL"))
+        .when(F.col("next_at").isNull(), score(0.9, "Rolling admissions — no fixed deadline to race."))
+        .when(days <= 2, score(0.3, _text("Closes in ", soon, " — only worth starting if you can move fast."), "PARTIAL"))
+        .when(days <= 7, score(0.65, closes(" days — tight but workable.")))
+        .when(days <= 30, score(1.0, closes(" days, which is comfortable.")))
+        .otherwise(score(0.95, _text("Closes in ", round_half_up(days / 7).cast("string"), " weeks — plenty of runway.")))
     )
 
 
@@ -119,25 +126,25 @@ def experience_facts(rules: DataFrame) -> DataFrame:
     return prior.groupBy("opp_id").agg(F.lit(True).alias("asks_experience"), F.array_distinct(F.flatten(F.collect_list(strings_only(F.col("value"), "$.kinds")))).alias("wanted_kinds"))
 
 
-def experience() -> Column:
+def experience(score: Say = _score) -> Column:
     """Needs the columns of `experience_facts`. Looks at kinds only, not at tags."""
     held = F.filter("achievements", lambda a: F.array_contains("wanted_kinds", a["kind"]))
     national = F.exists(held, lambda a: F.coalesce(a["level"].isin("NATIONAL", "INTERNATIONAL"), F.lit(False)))
     said = F.when(F.size(held) == 1, "relevant experience").otherwise(_text(F.size(held).cast("string"), " relevant activities"))
     return (
-        F.when(F.col("asks_experience").isNull(), _score(None, "No prior experience requirement is stated."))
-        .when(F.size("wanted_kinds") == 0, _score(0.5, "Asks for prior experience without specifying what — read the requirement below.", "PARTIAL"))
-        .when(F.size(held) == 0, _score(0.25, "Asks for experience your profile does not yet record.", "PARTIAL"))
-        .otherwise(_score(F.when(national, 1.0).otherwise(0.75), _text("Your profile already records ", said, ".")))
+        F.when(F.col("asks_experience").isNull(), score(None, "No prior experience requirement is stated."))
+        .when(F.size("wanted_kinds") == 0, score(0.5, "Asks for prior experience without specifying what — read the requirement below.", "PARTIAL"))
+        .when(F.size(held) == 0, score(0.25, "Asks for experience your profile does not yet record.", "PARTIAL"))
+        .otherwise(score(F.when(national, 1.0).otherwise(0.75), _text("Your profile already records ", said, ".")))
     )
 
 
-def profile_gap() -> Column:
-    wanted = F.filter("categories", lambda c: F.array_contains("thin_areas", c) & (F.exists("interests", lambda i: i["slug"] == c) | F.array_contains("career_directions", c)))
+def profile_gap(score: Say = _score) -> Column:
+    wanted = F.filter("categories", lambda c: F.array_contains("wanted_areas", c))
     return (
-        F.when(F.size("thin_areas") == 0, _score(None, "Not enough profile history to judge balance yet."))
-        .when(F.size(wanted) == 0, _score(None, "Does not target a gap you have said you want to close."))
-        .otherwise(_score(1.0, _text("You have less ", humanise(F.get(wanted, F.lit(0))), " experience than your other areas, and you've said you want more of it.")))
+        F.when(F.size("thin_areas") == 0, score(None, "Not enough profile history to judge balance yet."))
+        .when(F.size(wanted) == 0, score(None, "Does not target a gap you have said you want to close."))
+        .otherwise(score(1.0, _text("You have less ", humanise(F.get(wanted, F.lit(0))), " experience than your other areas, and you've said you want more of it.")))
     )
 
 
@@ -146,22 +153,56 @@ def opportunity_facts(opportunities: DataFrame, deadlines: DataFrame, rules: Dat
     return opportunities.join(timing_facts(deadlines, now), "opp_id", "left").join(experience_facts(rules), "opp_id", "left")
 
 
+def _prepared(facts: DataFrame) -> DataFrame:
+    """What scoring looks at of an opportunity's tags, once per opportunity."""
+    topical = F.filter("tags", lambda t: t["kind"].isin("SUBJECT", "INTEREST"))
+    pool = F.concat(F.transform(F.filter("tags", lambda t: t["kind"] == "CAREER_FIELD"), lambda t: t["slug"]), F.col("categories"))
+    return facts.withColumns({"topical": topical, "topical_weight": F.aggregate(topical, F.lit(0.0), lambda s, t: s + t["weight"]), "career_pool": pool})
+
+
+def _looking(profiles: DataFrame) -> DataFrame:
+    """Strength by interest, and the thin areas that a student wants more of, once per student."""
+    strength = F.map_from_entries(F.transform("interests", lambda i: F.struct(i["slug"], i["strength"])))
+    wanted = F.filter("thin_areas", lambda c: F.exists("interests", lambda i: i["slug"] == c) | F.array_contains("career_directions", c))
+    return profiles.withColumns({"strength": strength, "wanted_areas": wanted})
+
+
+def _own(now: Column, score: Say) -> dict[str, Column]:
+    """The dimensions in declared order, as ``score`` makes them."""
+    return {"SUBJECT": subject(score), "CAREER": career(score), "FORMAT_LOCATION": format_location(score), "COST": cost(score), "TIMING": timing(now, score), "EXPERIENCE": experience(score), "PROFILE_GAP": profile_gap(score)}
+
+
 def dimensions(pairs: DataFrame, facts: DataFrame, profiles: DataFrame, now: Column) -> DataFrame:
     """One row per pair with a struct column for each dimension."""
-    rows = pairs.select("user_id", "opp_id").join(facts, "opp_id").join(profiles, "user_id")
-    own = {"SUBJECT": subject(), "CAREER": career(), "FORMAT_LOCATION": format_location(), "COST": cost(), "TIMING": timing(now), "EXPERIENCE": experience(), "PROFILE_GAP": profile_gap()}
-    return rows.select("user_id", "opp_id", *[c.alias(name) for name, c in own.items()])
+    rows = pairs.select("user_id", "opp_id").join(_prepared(facts), "opp_id").join(_looking(profiles), "user_id")
+    return rows.select("user_id", "opp_id", *[c.alias(name) for name, c in _own(now, _score).items()])
+
+
+def _composed(rows: DataFrame, value: Callable[[str], Column]) -> DataFrame:
+    num = sum((F.coalesce(value(d) * F.lit(float(w)), F.lit(0.0)) for d, w in D.DIMENSION_WEIGHTS.items()), F.lit(0.0))
+    den = sum((F.when(value(d).isNotNull(), float(w)).otherwise(0.0) for d, w in D.DIMENSION_WEIGHTS.items()), F.lit(0.0))
+    known = sum((value(d).isNotNull().cast("int") for d in D.DIMENSION_WEIGHTS), F.lit(0))
+    unknown = F.concat_ws(",", *[F.when(value(d).isNull(), d) for d in D.DIMENSION_WEIGHTS])
+    fit = F.when(den == 0, F.lit(0)).otherwise(round_half_up(num / den * F.lit(100.0)))
+    return rows.select("user_id", "opp_id", "eligible", F.when(F.col("eligible"), fit).otherwise(0).cast("long").alias("score"), F.when(known >= 6, "HIGH").when(known >= 4, "MEDIUM").otherwise("LOW").alias("confidence"), unknown.alias("unknown_dimensions"))
 
 
 def compose(dims: DataFrame, eligible: DataFrame) -> DataFrame:
     """user_id, opp_id, eligible, score, confidence, unknown_dimensions of each pair."""
-    num = sum((F.coalesce(F.col(d)["value"] * F.lit(float(w)), F.lit(0.0)) for d, w in D.DIMENSION_WEIGHTS.items()), F.lit(0.0))
-    den = sum((F.when(F.col(d)["value"].isNotNull(), float(w)).otherwise(0.0) for d, w in D.DIMENSION_WEIGHTS.items()), F.lit(0.0))
-    known = sum((F.col(d)["value"].isNotNull().cast("int") for d in D.DIMENSION_WEIGHTS), F.lit(0))
-    unknown = F.filter(F.array(*[F.when(F.col(d)["value"].isNull(), d) for d in D.DIMENSION_WEIGHTS]), lambda x: x.isNotNull())
-    rows = dims.join(eligible.select("user_id", "opp_id", "eligible"), ["user_id", "opp_id"])
-    fit = F.when(den == 0, F.lit(0)).otherwise(round_half_up(num / den * F.lit(100.0)))
-    return rows.select("user_id", "opp_id", "eligible", F.when(F.col("eligible"), fit).otherwise(0).cast("long").alias("score"), F.when(known >= 6, "HIGH").when(known >= 4, "MEDIUM").otherwise("LOW").alias("confidence"), F.array_join(unknown, ",").alias("unknown_dimensions"))
+    return _composed(dims.join(eligible.select("user_id", "opp_id", "eligible"), ["user_id", "opp_id"]), lambda d: F.col(d)["value"])
+
+
+def scores(pairs: DataFrame, facts: DataFrame, rules: DataFrame, profiles: DataFrame, now: Column) -> DataFrame:
+    """What `compose` gives, in one pass over the pairs and without any sentence.
+
+    Pairs meet their opportunity, with its rules as an array, and their student
+    once; all else is arithmetic within the row. Values stand behind a
+    generator, so a filter on eligibility comes first and nothing is evaluated twice.
+    """
+    rows = pairs.select("user_id", "opp_id").join(_prepared(facts).join(rules_of(rules), "opp_id", "left"), "opp_id").join(_looking(profiles), "user_id")
+    rows = rows.select("*", F.explode(F.array(~is_blocked())).alias("eligible"))
+    values = [c.alias(d) for d, c in _own(now, _value).items()]
+    return _composed(rows.select("user_id", "opp_id", "eligible", F.inline(F.array(F.struct(*values)))), F.col)
 
 
 def reasons(dims: DataFrame, evaluations: DataFrame) -> DataFrame:

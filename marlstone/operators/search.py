@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import domains as D
+from ..functions.layout import spread
 from ..functions.patterns import first_match, matches
 from ..functions.text import humanise_lower
 
@@ -68,6 +69,10 @@ def search(opportunities: DataFrame, f: Filters, now: Column, categories: DataFr
     return out
 
 
+#: Countries whose lists are broadcast: at most this many times a list's length of number pairs.
+MOST_COUNTRIES = 1_000
+
+
 def candidates(opportunities: DataFrame, profiles: DataFrame, limit: int = 200) -> DataFrame:
     """(user_id, opp_id): for each student the newest ``limit`` visible opportunities open to their country.
 
@@ -90,8 +95,12 @@ def candidates(opportunities: DataFrame, profiles: DataFrame, limit: int = 200)
     shared = countries.join(open_list, F.lit(True)).select("key", F.inline("list"))
     lists = top(placed.unionByName(shared, allowMissingColumns=True).select("key", "opp_id", "updated_at"), "key").select("key", "opp_id")
     homeless = first(seen).agg(F.collect_list("opp_id").alias("list"))
-    some = profiles.select("user_id", F.col("country_code").alias("key")).join(lists, "key").select("user_id", "opp_id")
-    none = profiles.filter("country_code is null").select("user_id").join(homeless, F.lit(True)).select("user_id", F.explode("list").alias("opp_id"))
+    # A student becomes a list's length of pairs.
+    students = spread(profiles.select("user_id", "country_code"))
+    # Countries are few; where codes are not, the join is left to the planner.
+    few = countries.limit(MOST_COUNTRIES + 1).count() <= MOST_COUNTRIES
+    some = students.select("user_id", F.col("country_code").alias("key")).join(F.broadcast(lists) if few else lists, "key").select("user_id", "opp_id")
+    none = students.filter("country_code is null").select("user_id").join(homeless, F.lit(True)).select("user_id", F.explode("list").alias("opp_id"))
     return some.unionByName(none)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import domains as D
 from ..functions import dates as DT
 from ..functions import text as X
+from ..functions.layout import spread
 from ..operators import extract as E
 from ..sources import html_reader as H
 from ..sources import tables as T
@@ -33,7 +34,7 @@ NEEDS = ["Send two letters of recommendation.", "Upload an academic transcript a
 
 
 def _texts(spark: SparkSession, d: str, parts: list[str], n: int) -> DataFrame:
-    o = T.load(spark, d, "orders")
+    o = spread(T.load(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"))
     k = F.col("o_orderkey")
     date = F.concat(F.date_format("o_orderdate", "d"), F.lit(" "), F.date_format("o_orderdate", "MMMM"), F.lit(" "), F.date_format("o_orderdate", "yyyy"))
     pieces = [T.pick(parts, k * (i + 1) + i) for i in range(n)]

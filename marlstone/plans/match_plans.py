@@ -122,7 +122,7 @@ for _name, _dims in {
 @query(EV + ELIG + "SELECT user_id, count(*) FILTER (WHERE blocking = 0)::BIGINT AS eligible, sum(blocking)::BIGINT AS blocking, sum(concerns)::BIGINT AS concerns, sum(satisfied)::BIGINT AS satisfied, sum(unevaluated)::BIGINT AS unevaluated FROM el GROUP BY user_id")
 def e11_eligibility(spark: SparkSession, d: str) -> DataFrame:
     pairs = _pairs(spark, d)
-    out = E.eligibility(pairs, _evaluations(spark, d, pairs))
+    out = E.eligibility_of(pairs, T.rules(spark, d), T.profiles(spark, d))
     return out.groupBy("user_id").agg(F.count_if("eligible").alias("eligible"), *[F.sum(c).alias(c) for c in ("blocking", "concerns", "satisfied", "unevaluated")])
 
 
@@ -249,8 +249,7 @@ SCORE = (
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _pairs(spark, d)
-    return M.compose(_dims(spark, d, pairs), E.eligibility(pairs, _evaluations(spark, d, pairs)))
+    return M.scores(_pairs(spark, d), _facts(spark, d), T.rules(spark, d), _profiles(spark, d), T.now())
 
 
 @query(SCORE + "SELECT opp_id, eligible, score, confidence, unknown_dimensions, count(*)::BIGINT AS n FROM scored GROUP BY ALL")
