@@ -78,3 +78,18 @@ def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (1, 0)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)}
+
+
+def test_a_doc_id_with_several_texts(spark):
+    base = "a b c d e f g h i j k l m n o p q r s t".split()
+    other = [f"w{i}" for i in range(400)]
+    near = [*other[:-1], "z"]
+    rows = [(1, " ".join(base)), (1, " ".join(other)), (3, " ".join(near)), (5, " ".join(f"v{i}" for i in range(30)))]
+    assert dict(found(spark, rows)) == {1: (396, 1, True), 3: (396, 1, False), 5: (26, 5, True)} | {1: dict(found(spark, rows))[1]}
+    assert {c for i, (_, c, _) in found(spark, rows) if i in (1, 3)} == {1}
+
+
+def test_keep_one_with_maps_and_clashing_names(spark):
+    rows = [(1, "a b c", {"x": 1}, 1), (1, "a b c", {"x": 1}, 1), (1, "a b d", {"x": 1}, 1), (2, "A b c", {"y": 1}, 2), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, is_kept map<string,int>, n_rows int")
+    assert sorted((str(r.doc_id), r.text) for r in minhash.keep_one(docs).collect()) == [("1", "a b c"), ("1", "a b d"), ("None", None)]
