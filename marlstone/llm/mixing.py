@@ -4,9 +4,10 @@ Every document copy gets a virtual finish time: the tokens its source has sent
 up to and including it, in shuffled order, divided by the source's target. The
 mix is the copies in order of finish time, cut at the total budget.
 
-The shuffled order is a hash of seed and doc_id. Running totals are kept per
-(source, hash bucket) with the sums of earlier buckets added, so no task holds
-a whole source; the cut is found by histograms (`common.weighted_cut`).
+The shuffled order is a hash of seed and doc_id. Documents are range-sorted by source and
+that order, rows of equal keys too, so no task holds a whole source or all rows of one
+doc_id; each range adds the sums of its source's earlier ranges. Copies are then
+range-sorted by finish time over all sources and cut in the range in which the budget ends.
 """
 
 from __future__ import annotations
@@ -14,12 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, weighted_cut
+from .common import WORD, cut
 
 #: Virtual finish times are integers of 1 / UNIT, at most 2**48 - 1.
 UNIT = 1 << 30
-#: Hex digits of the shuffle key that name a bucket: 16**3 buckets a source.
-BUCKET_DIGITS = 3
 
 
 def cyclic_weight(rank: Column) -> Column:
@@ -68,25 +67,46 @@ def targets(plan: DataFrame, share: float = 1.0, max_repeats: int = 3, weights:
     return s.select("src", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("level") * F.col("w")).alias("target"))
 
 
+def _ranged(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` range-sorted, with the number of their range as ``part``."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id())
+
+
+def _end(copies: DataFrame, budget: float) -> int | None:
+    """The finish time of the first copy, in the global order of (f, size) rows, that no longer fits the budget; None: all fit."""
+    stream = cut(_ranged(copies, "f"))
+    # One row a range, then the rows of one range.
+    parts = stream.groupBy("part").agg(F.sum("size").alias("s"))
+    upto = F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = parts.withColumn("upto", upto).filter(F.col("upto") > F.lit(budget)).orderBy("part").first()
+    if last is None:
+        return None
+    ends = stream.filter(F.col("part") == last["part"]).groupBy("f").agg(F.sum("size").alias("s"))
+    upto = F.lit(last["upto"] - last["s"]) + F.sum("s").over(Window.orderBy("f").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return ends.withColumn("upto", upto).filter(F.col("upto") > F.lit(budget)).agg(F.min("f")).first()[0]
+
+
 def mix(docs: DataFrame, share: float = 1.0, max_repeats: int = 3, weights: dict[str, float] | None = None, seed: int = 17) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, finish, taken, copies.
 
     ``taken`` is size times ``copies``, the number of passes in which the mix
     takes the document. Null text has size 0, null sources are one source, a
     source of weight 0 or without words has taken 0. Repeated rows count as
-    documents of their own; equal shuffle keys go by size. An empty table gives
+    documents of their own, whose keys are equal; equal shuffle keys go by size. An empty table gives
     no rows. Same input and seed, same mix.
     """
     plan = cut(_plan(docs, seed))
     goal = targets(plan, share, max_repeats, weights)
-    plan = plan.withColumn("bucket", F.substring("k", 1, BUCKET_DIGITS))
-    sums = plan.groupBy("src", "bucket").agg(F.sum("size").alias("bucket_size"))
-    earlier = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("src", "bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("before"))
+    order = ["k", "size", "doc_id", "row"]
+    plan = cut(_ranged(plan.withColumn("row", F.monotonically_increasing_id()), "src", *order))
+    sums = plan.groupBy("src", "part").agg(F.sum("size").alias("part_size"))
+    earlier = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("src", "part", F.coalesce(F.sum("part_size").over(earlier), F.lit(0)).alias("before"))
     sums = sums.join(goal, "src", "left")
-    inside = Window.partitionBy("src", "bucket").orderBy("k", "size", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("src", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sent = F.col("before") + F.sum("size").over(inside)
-    rows = cut(plan.join(sums, ["src", "bucket"]).withColumn("sent", sent).select("doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), "sent"))
+    rows = cut(plan.join(sums, ["src", "part"]).withColumn("sent", sent).select("doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), "sent"))
 
     def finish(copy: int) -> Column:
         t = F.floor((F.lit(copy) * F.col("source_size") + F.col("sent")).cast("double") / F.col("target") * F.lit(float(UNIT)))
@@ -95,7 +115,7 @@ def mix(docs: DataFrame, share: float = 1.0, max_repeats: int = 3, weights: dict
     rows = rows.withColumns({f"f{c}": finish(c) for c in range(max_repeats)})
     copies = rows.select("size", F.explode(F.array(*[F.col(f"f{c}") for c in range(max_repeats)])).alias("f")).filter("f is not null")
     budget = rows.agg(F.sum("size")).first()[0] or 0
-    limit = weighted_cut(copies, "f", "size", budget * share)
+    limit = _end(copies, budget * share)
     taken = [F.coalesce(F.col(f"f{c}") < F.lit(limit if limit is not None else 2**62), F.lit(False)).cast("long") for c in range(max_repeats)]
     out = rows.withColumn("copies", sum(taken[1:], taken[0]))
     return out.select("doc_id", "source", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), "target", F.col("f0").alias("finish"), (F.col("size") * F.col("copies")).alias("taken"), "copies")
