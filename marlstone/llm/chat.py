@@ -3,7 +3,7 @@
 A finite-state machine over roles validates the order of turns; a declarative
 template says which literal and escaped segments a turn emits and which of them
 carry loss. Control strings inside texts are escaped reversibly, so `read_back`
-recovers roles, texts and loss segments from the formatted string alone.
+recovers roles and texts from the formatted string alone, and the loss from the flags of its segments.
 """
 
 from __future__ import annotations

@@ -37,11 +37,14 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local one is made only where none is configured (tests on one machine)."""
+    """The cluster's ``spark.checkpoint.dir``; a local one is made only where none is configured and all is on one machine, as in tests."""
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return named or sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:

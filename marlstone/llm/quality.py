@@ -1,12 +1,15 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed word unigrams and bigrams - one of labelled
-good text (the target), one of all text (raw) - give each document a log
-importance weight: its mean log ratio a feature, shrunk for short texts and
-scaled to a text of `LENGTH` features. A document is selected by Gumbel top-k:
-weight plus Gumbel noise of its doc_id, the k largest of all documents. k is the
+good text (the target), one of all text (raw) - give each document the log ratio
+of its probabilities. The log importance weight is that ratio, tempered by
+`LENGTH` / (features + `SHRINK`): as if every text had `LENGTH` features, so that long
+texts do not outweigh all others. A document is selected by Gumbel top-k: weight
+plus standard Gumbel noise of its doc_id, the k largest of all documents, which
+samples k documents without replacement in proportion to their weights. k is the
 number of documents whose weight reaches the level that all but `LOSS` of the
-held-back labelled good documents reach.
+held-back labelled good documents reach. Where weights lie far apart, as those of prose
+and of junk do, noise of this scale turns the choice of few documents only.
 """
 
 from __future__ import annotations
@@ -127,7 +130,11 @@ def _limit(model: Model, scored: DataFrame) -> int:
 
 
 def keep_selected(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
-    """The selected rows of ``docs`` with all their columns; texts are weighed again instead of shuffled."""
+    """The selected rows of ``docs`` with all their columns; texts are weighed again instead of shuffled.
+
+    Null and empty texts weigh 0. Rows of one doc_id and text are kept or dropped together,
+    and so are ties at the cut. An empty table gives no rows; without labels of good documents all stay.
+    """
     model, scored = fit(docs, labels, max_labels)
     limit = _limit(model, scored)
     name = unused(docs, "log_weight")

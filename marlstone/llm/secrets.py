@@ -209,6 +209,10 @@ def _mask(text: pa.Array) -> pa.Array:
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
-    """``docs`` with every secret replaced by ``[secret]``, and n_chars, where it exists, counted again."""
+    """``docs`` with every secret replaced by ``[secret]``, and n_chars, where it exists, counted again.
+
+    Spans that overlap or touch become one mark. Null and empty texts stay; every row,
+    repeated ones too, stands alone; an empty table gives no rows.
+    """
     out = docs.withColumn("text", F.arrow_udf(_mask, "string")("text"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
