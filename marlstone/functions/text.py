@@ -175,6 +175,13 @@ def escape_ics(text: Column) -> Column:
     return F.replace(F.regexp_replace(text, r"([,;\\])", r"\\$1"), F.lit("\n"), F.lit("\\n"))
 
 
+def escape_html(text: Column) -> Column:
+    """Text for the inside of an element or a quoted attribute."""
+    for char, ref in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        text = F.replace(text, F.lit(char), F.lit(ref))
+    return text
+
+
 def violates_claims(text: Column) -> Column:
     return matches(text, "|".join(D.BANNED_CLAIMS))
 

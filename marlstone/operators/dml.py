@@ -24,6 +24,32 @@ def update_where(table: DataFrame, condition: Column, values: dict[str, Column])
     return table.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()})
 
 
+def toggle_tasks(tasks: DataFrame, applications: DataFrame, changes: DataFrame) -> DataFrame:
+    """Tasks after students ticked them: changes (user_id, task_id, complete, at), the last of a task counts.
+
+    A change only reaches a task whose application is the student's own; all others do nothing.
+    Unticking clears the time.
+    """
+    own = changes.join(tasks.select("task_id", "app_id"), "task_id").join(applications.select("app_id", "user_id"), ["app_id", "user_id"], "left_semi")
+    last = top_per_key(own, "task_id", [F.desc("at"), F.desc("complete")], 1).select("task_id", "complete", "at")
+    done = F.when(F.col("complete").isNotNull(), F.when(F.col("complete"), F.col("at"))).otherwise(F.col("completed_at"))
+    return tasks.join(last, "task_id", "left").withColumns({"is_complete": F.coalesce("complete", "is_complete"), "completed_at": done}).select(*tasks.columns)
+
+
+def nested_create(records: DataFrame, key: str, children: dict[str, str]) -> dict[str, DataFrame]:
+    """One table of parents and one of each kind of children from nested records.
+
+    ``children`` names the array columns by table; a child has the parent's key, its place from 0
+    and its fields. Empty and null arrays give no rows.
+    """
+    out = {"parents": records.drop(*children.values())}
+    for name, column in children.items():
+        element = records.schema[column].dataType.elementType.typeName()
+        rows = records.select(key, F.posexplode(column).alias("pos", "value"))
+        out[name] = rows.select(key, "pos", "value.*") if element == "struct" else rows
+    return out
+
+
 def delete_where(table: DataFrame, condition: Column) -> DataFrame:
     """A condition that is null deletes nothing."""
     return table.filter(~F.coalesce(condition, F.lit(False)))

@@ -54,6 +54,11 @@ def due_within(deadlines: DataFrame, days: int, now: Column) -> DataFrame:
     return deadlines.filter(F.col("kind").isin("APPLICATION_DEADLINE", "REGISTRATION_DEADLINE") & F.col("date").between(now, last)).select("opp_id")
 
 
+def with_method(records: DataFrame, provenance: str, method: str) -> DataFrame:
+    """Records of which some field is known by the method; the provenance is JSON by field, as stored text."""
+    return records.filter(F.contains(F.col(provenance), F.lit(f'"{method}"')))
+
+
 def search(opportunities: DataFrame, f: Filters, now: Column, categories: DataFrame | None = None, tags: DataFrame | None = None, deadlines: DataFrame | None = None, saved: DataFrame | None = None) -> DataFrame:
     """Opportunities that pass every filter. Relations are semi and anti joins, so no row is ever doubled."""
     out = opportunities.filter(functools.reduce(operator.and_, predicates(f)))

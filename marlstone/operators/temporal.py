@@ -64,6 +64,46 @@ def accepted(actions: DataFrame, key: str, limit: int, window_seconds: int, at:
     return rows.mapInArrow(fold, schema)
 
 
+def reports(actions: DataFrame, user: str, listing: str, limit: int = 20, cap_seconds: int = 86_400, same_seconds: int = 7 * 86_400, at: str = "at", seq: str = "seq") -> DataFrame:
+    """Adds ``outcome``: `capped` where the user has filed ``limit`` reports in the day up to it, else `already` where
+    one of them in the week up to it is of the same listing, else `reported`. Only the last kind is filed.
+
+    Ends of windows count. The state is the reports that a user filed within the longer window.
+    """
+    cap, same = cap_seconds * 1_000_000, same_seconds * 1_000_000
+    cols = [c for c in actions.columns if c not in ("outcome", "fold_at")]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, filed, latest = object(), deque(), {}
+        for b in batches:
+            out = []
+            for k, o, t in zip(b.column(user).to_pylist(), b.column(listing).to_pylist(), b.column("fold_at").to_pylist(), strict=True):
+                if k != current:
+                    current, filed, latest = k, deque(), {}
+                while filed and filed[0] < t - cap:
+                    filed.popleft()
+                if len(filed) >= limit:
+                    out.append("capped")
+                elif latest.get(o, t - same - 1) >= t - same:
+                    out.append("already")
+                else:
+                    out.append("reported")
+                    filed.append(t)
+                    latest = {x: y for x, y in latest.items() if y >= t - same} | {o: t}
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(out, pa.string())], names=[*cols, "outcome"])
+
+    rows = actions.select(*cols, F.unix_micros(at).alias("fold_at")).repartition(user).sortWithinPartitions(user, "fold_at", seq)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in actions.select(*cols).schema) + ", outcome string"
+    return rows.mapInArrow(fold, schema)
+
+
+def reported_states(listings: DataFrame, outcomes: DataFrame, key: str) -> DataFrame:
+    """A listing with a filed report needs review, unless it is archived."""
+    hit = outcomes.filter("outcome = 'reported'").select(key).distinct().withColumn("_hit", F.lit(True))
+    out = listings.join(hit, key, "left")
+    return out.withColumn("state", F.when(F.col("_hit") & (F.col("state") != "ARCHIVED"), "NEEDS_REVIEW").otherwise(F.col("state"))).drop("_hit")
+
+
 def purge(queries: DataFrame, notifications: DataFrame, now: Column, query_days: int = 90, notification_days: int = 60) -> tuple[DataFrame, DataFrame]:
     """What stays: queries younger than the limit, and notifications that are younger or not yet sent."""
     cut = lambda days: now - F.make_dt_interval(days=F.lit(days))

@@ -11,6 +11,7 @@ from ..operators import dedupe as K
 from ..operators import dml
 from ..operators import extract as E
 from ..operators import provenance as P
+from ..operators import search as S
 from ..sources import tables as T
 from ..sources.tables import ctes
 from .registry import query
@@ -298,3 +299,58 @@ def p04_truncated(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT user_id, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS kinds FROM events GROUP BY user_id")
 def a14_distinct_kinds(spark: SparkSession, d: str) -> DataFrame:
     return T.load(spark, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"))
+
+
+# ------------------------------------------------- scoped and nested changes
+
+
+def _tasks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tasks, applications, changes): every fourth change is of a task that isn't the student's."""
+    li = T.load(spark, d, "lineitem").filter("l_linenumber <= 3")
+    key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("task_id")
+    even = F.col("l_linenumber") == 2
+    tasks = li.select(key, F.col("l_orderkey").alias("app_id"), even.alias("is_complete"), F.when(even, F.lit("1999-01-01").cast("timestamp")).alias("completed_at")).dropDuplicates(["task_id"])
+    apps = T.load(spark, d, "orders").select(F.col("o_orderkey").alias("app_id"), F.col("o_custkey").alias("user_id"))
+    asked = tasks.filter("task_id % 3 = 0").join(apps, "app_id")
+    user = F.when(F.col("task_id") % 4 == 0, F.col("user_id") + 1).otherwise(F.col("user_id"))
+    changes = asked.select(user.alias("user_id"), "task_id", (F.col("task_id") % 2 == 0).alias("complete"), T.now().alias("at"))
+    return tasks, apps, changes
+
+
+@query(f"""WITH t AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS task_id, l_orderkey AS app_id, l_linenumber = 2 AS done FROM lineitem WHERE l_linenumber <= 3)
+SELECT task_id, CASE WHEN task_id % 3 = 0 AND task_id % 4 <> 0 AND o_orderkey IS NOT NULL THEN task_id % 2 = 0 ELSE done END AS is_complete,
+  CASE WHEN task_id % 3 = 0 AND task_id % 4 <> 0 AND o_orderkey IS NOT NULL THEN CASE WHEN task_id % 2 = 0 THEN epoch(TIMESTAMP '{T.NOW}')::BIGINT END WHEN done THEN epoch(TIMESTAMP '1999-01-01')::BIGINT END AS completed_at
+FROM t LEFT JOIN orders ON o_orderkey = app_id""")
+def f16_own_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """Ticks reach a task only through an application of the same student."""
+    return dml.toggle_tasks(*_tasks(spark, d)).select("task_id", "is_complete", F.unix_seconds("completed_at").alias("completed_at"))
+
+
+@query(ctes("opps") + """SELECT 'parent' AS part, opp_id, NULL::INT AS pos, title AS value FROM opps
+UNION ALL SELECT 'tag', opp_id, unnest(range(len(tags)))::INT, unnest(list_transform(tags, lambda t: t.slug)) FROM opps
+UNION ALL SELECT 'category', opp_id, unnest(range(len(categories)))::INT, unnest(categories) FROM opps""")
+def u14_nested_create(spark: SparkSession, d: str) -> DataFrame:
+    """The tables that nested records are written to, here one below the other."""
+    o = T.opportunities(spark, d).select("opp_id", "title", "tags", "categories")
+    made = dml.nested_create(o, "opp_id", {"tags": "tags", "categories": "categories"})
+    row = lambda part, df, pos, value: df.select(F.lit(part).alias("part"), "opp_id", pos.alias("pos"), F.col(value).alias("value"))
+    return row("parent", made["parents"], F.lit(None).cast("int"), "title").unionByName(row("tag", made["tags"], F.col("pos"), "slug")).unionByName(row("category", made["categories"], F.col("pos"), "value"))
+
+
+@query("SELECT event_id FROM events WHERE event_id % 5 IN (1, 3)")
+def f13_by_method(spark: SparkSession, d: str) -> DataFrame:
+    method = F.when(F.col("event_id") % 5 == 1, "AI_EXTRACTED").otherwise("AI_EXTRACTED_BY_HAND")
+    stored = F.when(F.col("event_id") % 5 == 3, F.lit('{"title":{"method":"ADMIN_ENTERED"},"cost":{"method":"AI_EXTRACTED"}}')).otherwise(F.concat(F.lit('{"title":{"method":"'), method, F.lit('"}}')))
+    rows = T.load(spark, d, "events").select("event_id", stored.alias("provenance"))
+    return S.with_method(rows, "provenance", "AI_EXTRACTED").select("event_id")
+
+
+@query("SELECT page_id, url FROM pages ORDER BY page_id LIMIT 8")
+def o08_first_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The pages of one run."""
+    return T.load(spark, d, "pages").select("page_id", "url").orderBy("page_id").limit(8)
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;') AS shown FROM pages")
+def x17_escape_html(spark: SparkSession, d: str) -> DataFrame:
+    return T.load(spark, d, "pages").select("page_id", X.escape_html(F.col("html")).alias("shown"))

@@ -44,10 +44,39 @@ def _fold(spark: SparkSession, d: str, key: str, limit: int, seconds: int) -> Da
     return TM.accepted(rows, key, limit, seconds, at="ts", seq="event_id").select("event_id", "accepted")
 
 
-@query(_fold_sql("user_id", 1, 3600 * 12))
+#: The log is sparse, so its times are drawn together and its users are taken together, until limits are reached.
+_START = "2024-01-01 00:00:00"
+
+
+def _dense(spark: SparkSession, d: str, users: int, closer: int, kind: str | None = None) -> DataFrame:
+    e = T.load(spark, d, "events")
+    start = F.unix_micros(F.lit(_START).cast("timestamp"))
+    rows = e if kind is None else e.filter(F.col("event_type") == kind)
+    return rows.select("event_id", (F.col("user_id") % users).alias("actor"), (F.col("event_id") % 250).alias("opp_id"), F.timestamp_micros(start + F.floor((F.unix_micros("ts") - start) / closer)).alias("at"))
+
+
+def _dense_sql(users: int, closer: int, kind: str | None = None) -> str:
+    start = f"epoch_us(TIMESTAMP '{_START}')"
+    where = f" WHERE event_type = '{kind}'" if kind else ""
+    return f"e0 AS (SELECT event_id, user_id % {users} AS k, event_id % 250 AS o, {start} + (epoch_us(ts) - {start}) // {closer} AS t FROM events{where}),\ne AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t, event_id) AS n FROM e0)"
+
+
+def _cap_sql(users: int, closer: int, limit: int, seconds: int, kind: str | None = None) -> str:
+    near = f"list_filter(f.times, lambda x: x >= e.t - {seconds * 1_000_000})"
+    return f"""WITH RECURSIVE {_dense_sql(users, closer, kind)},
+f AS (SELECT event_id, k, n, true AS accepted, [t] AS times FROM e WHERE n = 1
+  UNION ALL SELECT e.event_id, e.k, e.n, len({near}) < {limit}, CASE WHEN len({near}) < {limit} THEN list_append({near}, e.t) ELSE {near} END FROM f JOIN e ON e.k = f.k AND e.n = f.n + 1)
+SELECT event_id, accepted FROM f"""
+
+
+def _cap(spark: SparkSession, d: str, users: int, closer: int, limit: int, seconds: int, kind: str | None = None) -> DataFrame:
+    return TM.accepted(_dense(spark, d, users, closer, kind), "actor", limit, seconds, seq="event_id").select("event_id", "accepted")
+
+
+@query(_cap_sql(10, 16, 12, 3600))
 def h03_hourly_cap(spark: SparkSession, d: str) -> DataFrame:
-    """Searches of a user under a cap per window; the synthetic log is sparse, so one in twelve hours."""
-    return _fold(spark, d, "user_id", 1, 3600 * 12)
+    """Twelve executed searches of a user in an hour."""
+    return _cap(spark, d, 10, 16, 12, 3600)
 
 
 @query(_fold_sql("event_type", 1, 3600 * 6))
@@ -56,14 +85,38 @@ def h04_repeat(spark: SparkSession, d: str) -> DataFrame:
     return _fold(spark, d, "event_type", 1, 3600 * 6)
 
 
-@query(_fold_sql("user_id", 2, 86400))
+_DAY, _WEEK = 86_400_000_000, 7 * 86_400_000_000
+_REPORTS = f"""WITH RECURSIVE {_dense_sql(10, 4, "error")},
+f AS (SELECT event_id, k, o, n, 'reported' AS outcome, [{{'t': t, 'o': o}}] AS filed FROM e WHERE n = 1
+  UNION ALL SELECT event_id, k, o, n, outcome, CASE WHEN outcome = 'reported' THEN list_append(filed, {{'t': t, 'o': o}}) ELSE filed END FROM (
+    SELECT e.event_id, e.k, e.o, e.n, e.t, f.filed, CASE WHEN len(list_filter(f.filed, lambda x: x.t >= e.t - {_DAY})) >= 20 THEN 'capped'
+      WHEN len(list_filter(f.filed, lambda x: x.o = e.o AND x.t >= e.t - {_WEEK})) > 0 THEN 'already' ELSE 'reported' END AS outcome
+    FROM f JOIN e ON e.k = f.k AND e.n = f.n + 1))
+"""
+
+
+def _reports(spark: SparkSession, d: str) -> DataFrame:
+    return TM.reports(_dense(spark, d, 10, 4, "error"), "actor", "opp_id", seq="event_id")
+
+
+@query(_REPORTS + "SELECT event_id, outcome FROM f")
 def h05_reports(spark: SparkSession, d: str) -> DataFrame:
-    return _fold(spark, d, "user_id", 2, 86400)
+    """Twenty reports of a user in a day; one of the same listing within a week is done already."""
+    return _reports(spark, d).select("event_id", "outcome")
+
+
+@query(
+    _REPORTS.replace("WITH RECURSIVE ", "WITH RECURSIVE " + ctes("opps")[5:] + ", ")
+    + "SELECT opp_id, CASE WHEN state <> 'ARCHIVED' AND opp_id IN (SELECT o FROM f WHERE outcome = 'reported') THEN 'NEEDS_REVIEW' ELSE state END AS state FROM opps"
+)
+def h05_states(spark: SparkSession, d: str) -> DataFrame:
+    return TM.reported_states(T.opportunities(spark, d).select("opp_id", "state"), _reports(spark, d), "opp_id")
 
 
-@query(_fold_sql("user_id", 5, 86400 * 2))
+@query(_cap_sql(3, 64, 30, 3600, "signup"))
 def h06_admin_adds(spark: SparkSession, d: str) -> DataFrame:
-    return _fold(spark, d, "user_id", 5, 86400 * 2)
+    """Thirty additions of an admin in an hour; other events of the log do not count."""
+    return _cap(spark, d, 3, 64, 30, 3600, "signup")
 
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)::BIGINT AS n FROM events")

@@ -7,6 +7,7 @@ facts mean is decided by column expressions afterwards.
 from __future__ import annotations
 
 import json
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -60,15 +61,15 @@ class Reader(Markup):
 
 
 def nodes(blocks: list[str]) -> list[dict]:
-    """Opportunity nodes of JSON-LD blocks, breadth first; children in @graph are queued, broken blocks skipped."""
-    out, queue = [], []
+    """Opportunity nodes of JSON-LD blocks, breadth first; children in @graph are queued, broken and bottomless blocks skipped."""
+    out, queue = [], deque()
     for b in blocks:
         try:
             queue.append(json.loads(b))
-        except ValueError:
+        except (ValueError, RecursionError):
             continue
     while queue:
-        x = queue.pop(0)
+        x = queue.popleft()
         if isinstance(x, list):
             queue.extend(x)
         elif isinstance(x, dict):
