@@ -17,27 +17,38 @@ from marlstone.llm.common import shared_folder, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling against the labelled good ones selects."""
+    """Documents that importance resampling against the labelled good ones selects.
+
+    Null and empty texts weigh 0; rows of one doc_id and text, and ties at the cut, stay or go
+    together; without labels of good documents all stay. Columns stay as they are.
+    """
     return quality.keep_selected(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near duplicates."""
+    """One document, that of the smallest doc_id, of each group of near duplicates.
+
+    Null and empty texts and rows without doc_id stay; of rows that repeat each other wholly one stays.
+    """
     return minhash.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item. Null and empty texts and rows without doc_id stay, repeated rows go or stay together."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked in their texts."""
+    """All documents, with secrets masked in their texts. Null and empty texts and repeated rows stay as they are."""
     return secrets.mask_secrets(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document with the number of times that it is taken."""
+    """The mix: each document that is taken, by its id, with the number of times.
+
+    Documents without words are never taken; null sources are one source; repeated rows are documents of
+    their own; of rows with one doc_id, source and size the first ones are taken.
+    """
     return mixing.mix(docs).filter("copies > 0").select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
 
 

@@ -61,13 +61,14 @@ def t01_kind(spark: SparkSession, d: str) -> DataFrame:
     return E.split_rows(_texts(spark, d, SENTENCES, 3), "id").select("id", "pos", E.date_kind(F.col("sentence")).alias("kind"))
 
 
+_ROLLING = f"regexp_matches(s, '{D.ROLLING}', 'i')"
 _DATE = r"""coalesce(try_strptime(regexp_extract(s, '(\d{4}-\d{2}-\d{2})', 1), '%Y-%m-%d'), try_strptime(nullif(regexp_extract(s, '(\d{1,2} [A-Z][a-z]+ \d{4})', 1), ''), '%d %B %Y')) + INTERVAL 23 HOUR + INTERVAL 59 MINUTE"""
 
 
 @query(
     _sql(SENTENCES, 3)
-    + f""", k AS (SELECT id, pos, contains(s, 'rolling') AS is_rolling, CASE WHEN contains(s, 'rolling') THEN coalesce({_KIND}, 'APPLICATION_DEADLINE') ELSE {_KIND} END AS kind,
-  CASE WHEN contains(s, 'rolling') THEN TIMESTAMP '1970-01-01' ELSE {_DATE} END AS date FROM se)
+    + f""", k AS (SELECT id, pos, {_ROLLING} AS is_rolling, CASE WHEN {_ROLLING} THEN coalesce({_KIND}, 'APPLICATION_DEADLINE') ELSE {_KIND} END AS kind,
+  CASE WHEN {_ROLLING} THEN TIMESTAMP '1970-01-01' ELSE {_DATE} END AS date FROM se)
 SELECT id, pos, kind, epoch(date)::BIGINT AS at, is_rolling FROM k WHERE kind IS NOT NULL AND date IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id, kind, date, is_rolling ORDER BY pos) = 1"""
 )
 def t02_dates(spark: SparkSession, d: str) -> DataFrame:
@@ -106,15 +107,24 @@ def t03_age_range(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     _sql(MONEY, 1)
-    + r""", n AS (SELECT *, CASE WHEN contains(text, '£') OR contains(text, '₹') OR contains(text, 'USD') THEN regexp_extract(text, '(\d+)', 1)::DOUBLE END AS amount FROM tx)
-SELECT id, CASE WHEN contains(text, 'USD') OR contains(text, 'bursaries') THEN 'FREE_WITH_AID' WHEN amount IS NOT NULL THEN 'PAID' WHEN contains(text, 'no application fee') THEN 'FREE' ELSE 'UNKNOWN' END AS cost_type,
-  amount, CASE WHEN contains(text, '£') THEN 'GBP' WHEN contains(text, '₹') THEN 'INR' WHEN contains(text, 'USD') THEN 'USD' END AS currency FROM n"""
+    + f""", n AS (SELECT id, text, try_cast(replace(CASE WHEN regexp_matches(text, '{D.FEE_BEFORE}', 'i') THEN regexp_extract(text, '{D.FEE_BEFORE}', 2, 'i') ELSE regexp_extract(text, '{D.FEE_AFTER}', 2, 'i') END, ',', '') AS DOUBLE) AS priced,
+  coalesce(nullif(regexp_extract(text, '{D.FEE_BEFORE}', 1, 'i'), ''), nullif(regexp_extract(text, '{D.FEE_AFTER}', 1, 'i'), '')) AS sign,
+  regexp_extract(text, '{D.FEE_CODE}', 1) AS code, try_cast(replace(regexp_extract(text, '{D.FEE_CODE}', 2), ',', '') AS DOUBLE) AS coded,
+  regexp_matches(text, '{D.AID}', 'i') AS aid, regexp_matches(text, '{D.FREE}', 'i') AS free FROM tx),
+m AS (SELECT *, coded IS NOT NULL AND list_contains({T._list(D.CURRENCY_CODES)}, code) AS by_code FROM n)
+SELECT id, CASE WHEN priced IS NOT NULL OR by_code THEN CASE WHEN aid THEN 'FREE_WITH_AID' ELSE 'PAID' END WHEN free THEN 'FREE' WHEN aid THEN 'FREE_WITH_AID' ELSE 'UNKNOWN' END AS cost_type,
+  CASE WHEN priced IS NOT NULL THEN priced WHEN by_code THEN coded END AS amount,
+  CASE WHEN priced IS NOT NULL THEN CASE sign {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in D.CURRENCY_SYMBOLS.items())} END WHEN by_code THEN code END AS currency FROM m"""
 )
 def t04_cost(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d, MONEY, 1).select("id", E.cost(F.col("text")).alias("c")).select("id", "c.*")
 
 
-@query(_sql(PLACE, 1) + "SELECT id, CASE WHEN contains(text, 'hybrid') OR contains(text, 'on-campus') THEN 'HYBRID' WHEN contains(text, 'in person') THEN 'IN_PERSON' WHEN contains(text, 'online') THEN 'ONLINE' ELSE 'UNKNOWN' END AS format FROM tx")
+@query(
+    _sql(PLACE, 1)
+    + f""", p AS (SELECT id, regexp_matches(text, '{D.HYBRID}', 'i') AS h, regexp_matches(text, '{D.IN_PERSON}', 'i') AS p, regexp_matches(text, '{D.ONLINE}', 'i') AS o FROM tx)
+SELECT id, CASE WHEN h OR p AND o THEN 'HYBRID' WHEN p THEN 'IN_PERSON' WHEN o THEN 'ONLINE' ELSE 'UNKNOWN' END AS format FROM p"""
+)
 def t05_format(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d, PLACE, 1).select("id", E.attendance(F.col("text")).alias("format"))
 
@@ -127,11 +137,10 @@ def t06_requirements(spark: SparkSession, d: str) -> DataFrame:
     return E.requirements(E.split_rows(_texts(spark, d, NEEDS, 3), "id"), "id")
 
 
-@query(r"""SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g')), '') AS title FROM pages WHERE NOT regexp_matches(html, '&[a-z]*</title>') """)
+@query(r"""SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&(amp|lt|gt|quot)$', '&\1;'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g')), '') AS title FROM pages""")
 def t07_html_title(spark: SparkSession, d: str) -> DataFrame:
-    """Titles of all pages but those whose title ends in the middle of a character reference."""
-    pages = T.load(spark, d, "pages")
-    return H.facts(H.read(pages.filter(~F.col("html").rlike("&[a-z]*</title>")))).select("page_id", "title")
+    """Titles of all pages; a reference that the title's end cuts off is one without its semicolon, if a whole name is left."""
+    return H.facts(H.read(T.load(spark, d, "pages"))).select("page_id", "title")
 
 
 @query()
