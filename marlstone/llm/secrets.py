@@ -2,7 +2,8 @@
 
 Three base patterns find assignments, access keys and hex runs. On top, texts
 are lexed as source or configuration syntax into name-literal pairs (quoted,
-concatenated and bare values; names with dots, quotes, brackets, camel case);
+prefixed, triple-quoted, concatenated and bare values; names with dots, quotes, brackets,
+camel case; elements and key-value attributes of XML; command-line flags);
 names assigned to names carry their constant along; and each literal is scored
 by how sensitive its target name is and how much it looks like a credential.
 """
@@ -13,6 +14,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +29,11 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 # A name begins at a word's first character and is passed over as a whole where no value follows; a quoted name has no
 # quotes or brackets inside. So the time is linear in the text, whatever the length of names.
 _NAME = r"""(?<![\w$@])[A-Za-z_$@][\w$@]*+(?:(?:\.|->|::|-)[A-Za-z_$][\w$@]*+)*+"""
-_STRING = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"""
+_STRING = (
+    r"""(?:(?:[fF][rR]?|[rR][bBfF]?|[bB][rR]?|[uU])?(?:"{3}(?:[^"\\]|\\[\s\S]|"(?!""))*+"{3}|'{3}(?:[^'\\]|\\[\s\S]|'(?!''))*+'{3}"""
+    r"""|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|`[^`\n]*`)"""
+)
+_INSIDE = re.compile(r"""[fFrRbBuU]{0,2}("{3}|'{3}|"|'|`)""")
 _PAIR = re.compile(
     rf"""(?:["'\[]["']?(?P<quoted>[\w.$@ -]++)["']?["'\]]|(?P<name>{_NAME}))(?:(?P<type>\x20*:\x20*[A-Za-z][\w<>\[\]]*+(?=\x20*=[^=]))?"""
     rf"""[\x20\t]*(?P<op>:=|=>|=(?![=~])|:(?![:=/]))[\x20\t]*(?P<value>{_STRING}|[^\s"'`,;#{{}}()\[\]]+))?+(?(value)|(?(name)|(?!)))""",
@@ -37,9 +43,13 @@ _PAIR = re.compile(
 _LINE = r"\\?\r?\n[\x20\t]*"
 _JOIN = rf"[\x20\t]*(?:\+|\.\.?)[\x20\t]*|[\x20\t]*(?:\+|\.\.|(?<=[\x20\t])\.)[\x20\t]*{_LINE}|[\x20\t]*\r?\n[\x20\t]+(?:\+|\.\.?)[\x20\t]*|[\x20\t]*\\\r?\n[\x20\t]*"
 _MORE = re.compile(rf"(?:{_JOIN})({_STRING}|{_NAME})", re.ASCII)
+#: Names and values that no sign joins: elements, attributes by key and value, and flags.
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*+)(?:\s[^<>]*+)?+>([^<>]++)</", re.ASCII)
+_KEYED = re.compile(r"""\b(?:key|name)\s*+=\s*+["']([\w.:$ -]++)["']\s++value\s*+=\s*+(?:"([^"<>\n]*+)"|'([^'<>\n]*+)')""", re.ASCII)
+_FLAG = re.compile(rf"(?<![\w-])--?([A-Za-z][\w-]*+)[ \t]++(?!-)({_STRING}|[^\s\"'`;|&<>()]++)", re.ASCII)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: Parts of names and how sensitive they make the target.
-SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.7, "secret": 1.0, "secrets": 1.0, "token": 0.8, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.5, "bearer": 0.8, "private": 0.5, "signing": 0.5, "encryption": 0.5, "access": 0.4, "client": 0.2, "api": 0.4, "key": 0.5, "pat": 0.4, "jwt": 0.6, "dsn": 0.4, "salt": 0.4}
+SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.7, "mnemonic": 0.8, "phrase": 0.5, "seed": 0.4, "secret": 1.0, "secrets": 1.0, "token": 0.8, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.5, "bearer": 0.8, "private": 0.5, "signing": 0.5, "encryption": 0.5, "access": 0.4, "client": 0.2, "api": 0.4, "key": 0.5, "pat": 0.4, "jwt": 0.6, "dsn": 0.4, "salt": 0.4}
 #: Parts that say the value is about a secret, not one.
 HARMLESS = {"id", "name", "type", "count", "length", "len", "size", "public", "max", "min", "limit", "url", "uri", "path", "file", "field", "label", "hint", "expiry", "expires", "ttl", "policy", "prefix", "header", "column", "index", "primary", "foreign", "sort", "hash", "enabled", "required", "reset"}
 _DULL = re.compile(r"(?i)^(?:changeme|change_me|example.*|placeholder|dummy|sample|test(?:ing)?|none|null|nil|true|false|undefined|todo|fixme|string|str|your[-_].*|my[-_]?.*|x{3,}|\*+|\.+|-+|<.*>|\$\{.*\}?|\{\{.*|%\(.*|\$[A-Za-z_].*|env\..*|os\.environ.*|process\.env.*|getenv.*)$")
@@ -53,6 +63,15 @@ def name_score(name: str) -> float:
     return min(1.0, sum(SENSITIVE.get(p, 0.0) for p in parts))
 
 
+#: Names whose literals may be several words.
+_PHRASES = {"passphrase", "mnemonic", "seed", "phrase"}
+
+
+def _is_phrase(name: str, value: str) -> bool:
+    """At least four words under a name that asks for such."""
+    return bool(_PHRASES & {p.lower() for p in _WORDS.findall(name)}) and len(value.split()) >= 4 and not _DULL.match(value)
+
+
 def literal_score(value: str, counts: dict[str, float] | None = None, length: float | None = None) -> float:
     """0 for what cannot be a credential, up to 1 by length, mixture and entropy of characters.
 
@@ -69,8 +88,26 @@ def literal_score(value: str, counts: dict[str, float] | None = None, length: fl
     return min(1.0, 0.2 * classes + entropy / 8 + min(length, 40) / 100)
 
 
-def _is_string(v: str) -> bool:
-    return v[:1] in "\"'`" and len(v) >= 2 and v[-1] == v[0]
+def _inside(v: str) -> tuple[int, int] | None:
+    """Where a string literal's content begins and ends in it; None for what is no string."""
+    m = _INSIDE.match(v)
+    return (m.end(), len(v) - len(m[1])) if m and len(v) >= m.end() + len(m[1]) and v.endswith(m[1]) else None
+
+
+def _stated(text: str) -> Iterator[tuple[str, str, int]]:
+    """(name, value, start of the value) of elements, keyed attributes and flags."""
+    if "</" in text:
+        for m in _ELEMENT.finditer(text):
+            v = m[2].strip()
+            yield m[1].rpartition(":")[2], v, m.start(2) + m[2].find(v)
+    if "value" in text:
+        for m in _KEYED.finditer(text):
+            k = 2 if m[2] is not None else 3
+            yield m[1], m[k], m.start(k)
+    if "-" in text:
+        for m in _FLAG.finditer(text):
+            a, b = _inside(m[2]) or (0, len(m[2]))
+            yield m[1], m[2][a:b], m.start(2) + a
 
 
 #: Longer than any word of `_DULL`, whose other patterns look at the beginning and the end.
@@ -119,14 +156,16 @@ def lexed(text: str) -> list[tuple[int, int]]:
         name = m["quoted"] or m["name"]
         parts = [(m["value"], m.start("value"))]
         at = m.end("value")
-        if _is_string(m["value"]) or m["value"] in constants:
+        if _inside(m["value"]) or m["value"] in constants:
             while more := _MORE.match(text, at):
                 parts.append((more[1], more.start(1)))
                 at = more.end()
         pieces: list[tuple[str, int, int] | Literal] = []
         for v, start in parts:
-            if _is_string(v):
-                pieces.append((v[1:-1], start + 1, start + len(v) - 1))
+            if own := _inside(v):
+                held = v[own[0] : own[1]].strip()
+                begin = start + v.find(held, own[0])
+                pieces.append((held, begin, begin + len(held)))
             elif v in constants:
                 pieces.append(constants[v])
             elif len(parts) == 1:
@@ -134,7 +173,7 @@ def lexed(text: str) -> list[tuple[int, int]]:
         value = constants[name] = pieces[0] if len(pieces) == 1 and isinstance(pieces[0], Literal) else Literal(pieces)
         values.append(value)  # keeps it, so that its id is its own
         s = name_score(name)
-        if s and value.parts and s + value.score() >= THRESHOLD + 0.3:
+        if s and value.parts and (s + value.score() >= THRESHOLD + 0.3 or (len(parts) == 1 and _inside(m["value"]) and _is_phrase(name, m["value"][slice(*_inside(m["value"]))]))):
             stack = [value]
             while stack:
                 v = stack.pop()
@@ -146,6 +185,12 @@ def lexed(text: str) -> list[tuple[int, int]]:
                         stack.append(p)
                     elif p[1] > p[0]:
                         found.add(p)
+    # The name in a keyed attribute is no value, although `key` is a name.
+    found -= {(m.start(1), m.end(1)) for m in _KEYED.finditer(text)} if "value" in text else set()
+    for name, v, start in _stated(text):
+        s = name_score(name)
+        if v and s and (s + literal_score(v) >= THRESHOLD + 0.3 or _is_phrase(name, v)):
+            found.add((start, start + len(v)))
     return sorted(found)
 
 
@@ -156,7 +201,7 @@ def spans_of(text: str | None) -> list[tuple[int, str, int]]:
     out = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8] if ":" in text or "=" in text else []
     out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    if ":" in text or "=" in text:
+    if ":" in text or "=" in text or "</" in text or " -" in text or text.startswith("-"):
         out += [(a, 3, b) for a, b in lexed(text)]
     return [(a, KINDS[k], b) for a, k, b in sorted(out)]
 

@@ -93,3 +93,29 @@ def test_names_of_any_length():
         assert named(f'{name} = "hV7#kd92LqPz"') == ["hV7#kd92LqPz"], name
     for t in ('"' + "a " * 300_000, '"a ' * 100_000 + "=", "part." * 100_000 + "x"):
         assert secrets.spans_of(t) == []
+
+
+def test_elements_flags_prefixes_and_phrases():
+    for text, want in (
+        ("<password>hunter2Secr3t</password>", ["hunter2Secr3t"]),
+        ("<x:clientSecret kind='a'>\n  a9X-33kdDk2\n</x:clientSecret><title>Some long title</title>", ["a9X-33kdDk2"]),
+        ('<add key="ApiSecret" value="a9X-33kdDk2"/><add key="Colour" value="a9X-33kdDk3"/>', ["a9X-33kdDk2"]),
+        ("mysql --password s3cretVal99 -h host1234567", ["s3cretVal99"]),
+        ("run --api-key 'k3y-Value-77' --verbose output1234", ["k3y-Value-77"]),
+        ('auth_token = f"abC123xyz789"; key = Rb\'a8Dk2lsP0x\'', ["abC123xyz789", "a8Dk2lsP0x"]),
+        ("client_secret = \'\'\'\nA1b2C3d4E5\n\'\'\'", ["A1b2C3d4E5"]),
+        ('db.password = """Zx9-kkLm22"""', ["Zx9-kkLm22"]),
+        ('passphrase = "correct horse battery staple"', ["correct horse battery staple"]),
+        ('password: "Enter your new password here"', []),
+        ("the -- password is not here", []),
+    ):
+        assert named(text) == want, text
+
+
+def test_new_forms_take_linear_time():
+    import time
+
+    for piece in ("<a ", "<a>b", "--a b ", 'key="a" value="', 'x = """', "x = f\"", "\'\'\'", "<password>aaaaaaaaa1", "--password aaaaaaa1 "):
+        start = time.time()
+        secrets.spans_of(piece * 40_000)
+        assert time.time() - start < 10, piece
