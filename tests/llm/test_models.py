@@ -209,3 +209,79 @@ def test_html_head_without_end():
         ("<p>Sum <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> holds.", "Sum x=2 holds."),
     ):
         assert html.main_text(page, model) == text, page
+
+
+def test_ftrl_step_by_step():
+    """Weights of twenty rows against a plain loop over coordinates."""
+    import math
+
+    r = random.Random(9)
+    rows = []
+    for _ in range(20):
+        at = sorted(r.sample(range(60), 8))
+        rows.append((r.randrange(3), np.array(at, dtype=np.int64), np.array([r.uniform(0.1, 1) for _ in at])))
+    z, n = {}, {}
+
+    def weight(i, k):
+        v = z.get((i, k), 0.0)
+        return 0.0 if abs(v) <= langid.L1 else -(v - math.copysign(langid.L1, v)) / ((langid.BETA + math.sqrt(n.get((i, k), 0.0))) / langid.ALPHA + langid.L2)
+
+    order = np.random.Generator(np.random.PCG64(5))
+    for _ in range(langid.EPOCHS):
+        for i in order.permutation(len(rows)):
+            y, at, val = rows[i]
+            x = [*zip(at.tolist(), val.tolist(), strict=True), (langid.BUCKETS, 0.5)]
+            logits = [sum(v * weight(j, k) for j, v in x) for k in range(3)]
+            top = max(logits)
+            p = [math.exp(t - top) for t in logits]
+            p = [q / sum(p) for q in p]
+            before = {(j, k): weight(j, k) for j, _ in x for k in range(3)}
+            for j, v in x:
+                for k in range(3):
+                    g = v * (p[k] - (k == y))
+                    old = n.get((j, k), 0.0)
+                    z[j, k] = z.get((j, k), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / langid.ALPHA * before[j, k]
+                    n[j, k] = old + g * g
+    got, bias = langid._ftrl(rows, 3)
+    for j in range(60):
+        assert got[j].tolist() == pytest.approx([weight(j, k) for k in range(3)], abs=1e-6)
+    assert bias.tolist() == pytest.approx([0.5 * weight(langid.BUCKETS, k) for k in range(3)])
+    assert (got == 0).sum() > 0  # the first penalty leaves weights out
+
+
+def test_ngram_counts_by_plain_strings():
+    texts = ["Ab 12 ab", "", "été, été!", "x"]
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0] + [len(t.encode()) for t in texts])
+    got = langid._counts(np.frombuffer(data, dtype=np.uint8), offsets)
+    for row, t in zip(got, texts, strict=True):
+        s = "".join(c if c.isalpha() else " " for c in t.lower())
+        s = re.sub(" +", " ", s)
+        want = {}
+        for k in langid.ORDERS:
+            for i in range(len(s) - k + 1):
+                h = 0
+                for c in s[i : i + k]:
+                    h = (h * 0x9E3779B97F4A7C15 + int.from_bytes(c.encode(), "big")) % 2**64
+                b = int(langid.mix64(np.array([(h + k - 1) % 2**64], dtype=np.uint64))[0]) % langid.BUCKETS
+                want[b] = want.get(b, 0) + 1
+        assert {i: int(v) for i, v in enumerate(row) if v} == want, t
+
+
+def test_gumbel_top_k_by_brute_force(spark, docs):
+    table = spark.createDataFrame(docs, DOCS)
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 300, 2)], "doc_id long, quality int")
+    model, scored = quality.fit(table, labels)
+    rows = scored.select("doc_id", "log_weight", F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1 << 52)).alias("u")).collect()
+    key = {r.doc_id: r.log_weight - np.log(-np.log((r.u + 0.5) / 2**52)) for r in rows}
+    k = sum(r.log_weight >= model.level for r in rows)
+    best = sorted(key, key=key.get, reverse=True)[:k]
+    assert {r.doc_id for r in quality.resample(table, labels).collect() if r.kept} == set(best)
+    # The weight of each text is the tempered log ratio of the two models over its words and word pairs.
+    from marlstone.llm.common import runs_of, words_of
+
+    for r, d in zip(sorted(rows, key=lambda r: r.doc_id)[:40], sorted(docs)[:40], strict=True):
+        b = np.frombuffer(d[1].encode(), dtype=np.uint8)
+        h = words_of(b, np.array([0, len(b)]))[2]
+        f = [int(x) % quality.BUCKETS for x in [*h, *runs_of(h, 2)]]
+        assert r.doc_id == d[0] and r.log_weight == pytest.approx(quality.LENGTH * sum(model.log_ratio[i] for i in f) / (len(f) + quality.SHRINK))
