@@ -14,13 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _LOWER, cut, mix64, steps, unused
 
 BUCKETS, ORDERS = 1 << 13, (1, 2, 3)
-#: Rows the regression is fitted on, by hash order; a fifth of them sets the temperature.
+#: Rows the regression is fitted on, in turn of each language by hash order; a fifth of them sets the temperature.
 MAX_ROWS = 4_000
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 0.02, 0.02, 3
 
@@ -152,7 +152,10 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
     # Different rows only: a doc_id that a third of all rows share is learned from once for each of its texts.
     marked = known.withColumn("h", F.xxhash64("doc_id", "lang", "text"))
-    chosen = cut(marked.select("h", F.xxhash64(F.lit("sample"), "h").alias("k")).distinct().orderBy("k", "h").limit(max_rows).select("h"))
+    # Languages take turns, so that a rare one is learned from too; of each only ``max_rows`` rows can be wanted.
+    turn = Window.partitionBy("lang").orderBy("k", "h")
+    rows = marked.select("h", "lang", F.xxhash64(F.lit("sample"), "h").alias("k")).distinct().withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= max_rows)
+    chosen = cut(rows.orderBy("turn", "k", "h").limit(max_rows).select("h"))
     sample = marked.join(F.broadcast(chosen), "h").groupBy("h").agg(F.first("text").alias("text"), F.first("lang").alias("lang"))
     sample = sample.select("text", "lang").mapInArrow(_sparse(idf), "lang string, at array<int>, val array<float>")
     got = sample.collect()

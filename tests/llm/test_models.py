@@ -47,6 +47,14 @@ def test_labels_of_held_out_rows_do_not_matter(spark, docs):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
+def test_a_rare_language_is_learned(spark, docs):
+    r = random.Random(12)
+    rare = [(5000 + i, words(r, "cc", 40), "cc", "x") for i in range(12)]
+    common = [d for d in docs if d[2] != "cc"]
+    got = {x.doc_id: x for x in langid.held_out_languages(spark.createDataFrame(common + rare, DOCS), max_rows=60).collect()}
+    assert sum(got[d[0]].lang_pred == "cc" for d in rare) >= 11
+
+
 def test_few_languages(spark):
     one = spark.createDataFrame([(i, "der und", "bb", "x") for i in range(9)], DOCS)
     assert {r.lang_pred for r in langid.held_out_languages(one).collect()} == {"bb"}
