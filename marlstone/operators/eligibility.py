@@ -16,7 +16,7 @@ from .. import domains as D
 from ..functions import values
 from ..functions.text import in_loosely
 
-JUDGE = "Stated by the organiser — read the wording below and judge for yourself."
+JUDGE = "The organiser says this in words of its own; please judge by the quotation."
 
 
 def decode_rules(rules: DataFrame) -> DataFrame:
@@ -71,59 +71,59 @@ def verdict(rule: Callable[[str], Column] = F.col, answer: Callable[[Column | st
     inside = lambda x: F.coalesce(x >= low, F.lit(True)) & F.coalesce(x <= high, F.lit(True))
     not_in = rule("operator") == "NOT_IN"
 
-    age_rule = F.when(age.isNull(), _unknown("Your age is not set, so this could not be checked.")).when(no_bounds, _unknown("The age requirement could not be read from the source page.")).otherwise(
-        answer(_yes(inside(age)), F.concat(F.lit("You're "), age.cast("string"), F.lit("; this is open to ages "), _stated(low, high), F.lit(".")))
+    age_rule = F.when(age.isNull(), _unknown("Unchecked: the profile has no age.")).when(no_bounds, _unknown("Unchecked: the page's age limits are unclear.")).otherwise(
+        answer(_yes(inside(age)), F.concat(F.lit("You are "), age.cast("string"), F.lit(" years old; ages wanted: "), _stated(low, high), F.lit(".")))
     )
     in_list = in_loosely(items, grade.cast("string"))
-    grade_said = F.concat(F.lit("You're in year "), grade.cast("string"))
-    unreadable_grade = _unknown("The grade requirement could not be read from the source page.")
+    grade_said = F.concat(F.lit("Your school year is "), grade.cast("string"))
+    unreadable_grade = _unknown("Unchecked: the page's school years are unclear.")
     grade_rule = (
-        F.when(grade.isNull(), _unknown("Your grade or year is not set, so this could not be checked."))
+        F.when(grade.isNull(), _unknown("Unchecked: the profile has no school year."))
         .when((rule("operator") == "IN") & items.isNull(), unreadable_grade)
-        .when(rule("operator") == "IN", answer(_yes(in_list), F.when(in_list, F.concat(grade_said, F.lit(", which is eligible."))).otherwise(F.concat(grade_said, F.lit("; this is open to years "), joined, F.lit(".")))))
+        .when(rule("operator") == "IN", answer(_yes(in_list), F.when(in_list, F.concat(grade_said, F.lit(", one of those wanted."))).otherwise(F.concat(grade_said, F.lit("; years wanted: "), joined, F.lit(".")))))
         .when(no_bounds, unreadable_grade)
-        .otherwise(answer(_yes(inside(grade)), F.concat(grade_said, F.lit("; this is open to years "), _stated(low, high), F.lit("."))))
+        .otherwise(answer(_yes(inside(grade)), F.concat(grade_said, F.lit("; years wanted: "), _stated(low, high), F.lit("."))))
     )
     level = F.col("education_level")
     has_level = in_loosely(items, level)
-    level_rule = F.when(level.isNull(), _unknown("Your education level is not set, so this could not be checked.")).when(items.isNull(), _unknown("The education-level requirement could not be read from the source page.")).otherwise(
+    level_rule = F.when(level.isNull(), _unknown("Unchecked: the profile has no level of education.")).when(items.isNull(), _unknown("Unchecked: the page's levels of education are unclear.")).otherwise(
         # The sentence follows membership even where the operator turns the verdict round.
-        answer(_yes(has_level != not_in), F.when(has_level, "Your education level is eligible.").otherwise("Your education level is outside the stated range for this opportunity."))
+        answer(_yes(has_level != not_in), F.when(has_level, "Open to students at your level of education.").otherwise("Meant for other levels of education than yours."))
     )
     country = F.col("country_code")
     noun = F.when(rule("dimension") == "COUNTRY", "location").when(rule("dimension") == "RESIDENCY", "residency").otherwise("citizenship")
     in_place = in_loosely(items, country) != not_in
-    place_rule = F.when(country.isNull(), _unknown("Your country is not set, so this could not be checked.")).when(items.isNull(), _unknown("The location requirement could not be read from the source page.")).otherwise(
-        answer(_yes(in_place), F.when(in_place, F.concat(F.lit("You meet the "), noun, F.lit(" requirement."))).otherwise(F.concat(F.lit("This is restricted by "), noun, F.lit(", and your profile country is not included."))))
+    place_rule = F.when(country.isNull(), _unknown("Unchecked: the profile has no country.")).when(items.isNull(), _unknown("Unchecked: the page's list of places is unclear.")).otherwise(
+        answer(_yes(in_place), F.when(in_place, F.concat(F.lit("Fine as to "), noun, F.lit(" of applicants."))).otherwise(F.concat(F.lit("Limited as to "), noun, F.lit(" of applicants, and your country is left out."))))
     )
     curriculum = F.col("curriculum")
     named = in_loosely(items, curriculum)
-    curriculum_rule = F.when(curriculum.isNull() | (curriculum == "UNKNOWN"), _unknown("Your curriculum is not set, so this could not be checked.")).when(items.isNull(), _unknown("The curriculum requirement could not be read from the source page.")).otherwise(
-        answer(_yes(named, "PARTIAL"), F.when(named, "Your curriculum is explicitly eligible.").otherwise(F.concat(F.lit("This names "), joined, F.lit(". Yours is not listed — worth confirming with the organiser."))))
+    curriculum_rule = F.when(curriculum.isNull() | (curriculum == "UNKNOWN"), _unknown("Unchecked: the profile has no curriculum.")).when(items.isNull(), _unknown("Unchecked: the page's curricula are unclear.")).otherwise(
+        answer(_yes(named, "PARTIAL"), F.when(named, "Names the curriculum that you follow.").otherwise(F.concat(F.lit("Names "), joined, F.lit(" and not yours; ask the organiser whether others count."))))
     )
     speaks = F.exists(items, lambda x: in_loosely(F.col("languages"), x))
-    language_rule = F.when(F.size("languages") == 0, _unknown("Your languages are not set, so this could not be checked.")).when(items.isNull(), _unknown("The language requirement could not be read from the source page.")).otherwise(
-        answer(_yes(speaks), F.when(speaks, "You speak a language this is delivered in.").otherwise(F.concat(F.lit("This is delivered in "), joined, F.lit(", which is not on your profile."))))
+    language_rule = F.when(F.size("languages") == 0, _unknown("Unchecked: the profile has no languages.")).when(items.isNull(), _unknown("Unchecked: the page's languages are unclear.")).otherwise(
+        answer(_yes(speaks), F.when(speaks, "Held in a language that you speak.").otherwise(F.concat(F.lit("Held in "), joined, F.lit(" only, and the profile has no such language."))))
     )
     held = F.size(F.filter(items, lambda s: F.exists("interests", lambda i: i["slug"] == s)))
     subject_rule = (
-        F.when(items.isNull(), _unknown("The subject requirement could not be read from the source page."))
-        .when(held == F.size(items), answer("MATCH", "You have the subject background this asks for."))
-        .when(held > 0, answer("PARTIAL", "You have some of the subject background this asks for, but not all of it."))
-        .otherwise(answer("PARTIAL", "This asks for subject background your profile does not yet show."))
+        F.when(items.isNull(), _unknown("Unchecked: the page's subjects are unclear."))
+        .when(held == F.size(items), answer("MATCH", "All subjects that are wanted are among yours."))
+        .when(held > 0, answer("PARTIAL", "Some of the subjects that are wanted are among yours."))
+        .otherwise(answer("PARTIAL", "None of the subjects that are wanted is among yours so far."))
     )
     relevant = F.filter("achievements", lambda a: F.array_contains(rule("kinds"), a["kind"]) | F.arrays_overlap(a["tag_slugs"], rule("tag_slugs")))
-    many = F.concat(F.size(relevant).cast("string"), F.lit(" related activities"))
+    many = F.concat(F.size(relevant).cast("string"), F.lit(" activities of yours"))
     prior_rule = (
-        F.when((F.size(rule("kinds")) == 0) & (F.size(rule("tag_slugs")) == 0), answer("PARTIAL", "This asks for prior experience. Check the wording below against your own background."))
-        .when(F.size(relevant) == 0, answer("PARTIAL", "This asks for prior experience your profile does not yet record. You may still be able to make the case."))
-        .otherwise(answer("PARTIAL", F.concat(F.lit("This asks for prior experience. Your profile shows "), F.when(F.size(relevant) == 1, F.get(relevant, F.lit(0))["title"]).otherwise(many), F.lit(" — you may need to make that case explicitly."))))
+        F.when((F.size(rule("kinds")) == 0) & (F.size(rule("tag_slugs")) == 0), answer("PARTIAL", "Wants earlier experience; the quotation says of what kind."))
+        .when(F.size(relevant) == 0, answer("PARTIAL", "Wants earlier experience of which the profile says nothing yet."))
+        .otherwise(answer("PARTIAL", F.concat(F.lit("Wants earlier experience, such as "), F.when(F.size(relevant) == 1, F.get(relevant, F.lit(0))["title"]).otherwise(many), F.lit(" — you will have to make that case in the application."))))
     )
     enrolled = level != "GAP_YEAR"
     school_rule = (
-        F.when(level.isNull(), _unknown("Your education level is not set, so this could not be checked."))
-        .when(~rule("flag"), answer("MATCH", "No school-enrolment requirement."))
-        .otherwise(answer(_yes(enrolled), F.when(enrolled, "You are currently enrolled, which this requires.").otherwise("This requires current school enrolment, and your profile says you are on a gap year.")))
+        F.when(level.isNull(), _unknown("Unchecked: the profile has no level of education."))
+        .when(~rule("flag"), answer("MATCH", "Open whether or not you are at school."))
+        .otherwise(answer(_yes(enrolled), F.when(enrolled, "For students who are enrolled, as you are.").otherwise("For students who are enrolled, and you are taking a year off.")))
     )
     d = rule("dimension")
     return (

@@ -42,8 +42,8 @@ def subject(score: Say = _score) -> Column:
     earned = F.aggregate(topical, F.lit(0.0), lambda s, t: s + F.coalesce(t["weight"] * (F.lit(0.6) + F.lit(0.4) * (strength[t["slug"]] / F.lit(5.0))), F.lit(0.0)))
     matched = F.transform(F.filter(topical, lambda t: strength[t["slug"]].isNotNull()), lambda t: humanise(t["slug"]))
     names = F.array_join(F.slice(matched, 1, 2), " and ")
-    said = F.when(F.size(matched) == 0, "None of your stated interests match this listing’s subject areas.").when(F.size(matched) <= 2, _text("Matches your interest in ", names, ".")).otherwise(_text("Matches ", F.size(matched).cast("string"), " of your interests, including ", names, "."))
-    return F.when(F.size(topical) == 0, score(None, "This listing does not state a subject area.")).when(F.size("interests") == 0, score(None, f"Add your interests and {SERVICE} can judge subject fit.")).otherwise(score(F.least(F.lit(1.0), F.try_divide(earned, total)), said))
+    said = F.when(F.size(matched) == 0, "No subject of the listing is among your interests.").when(F.size(matched) <= 2, _text("In line with your interest in ", names, ".")).otherwise(_text("In line with ", F.size(matched).cast("string"), " interests of yours, among them ", names, "."))
+    return F.when(F.size(topical) == 0, score(None, "The listing names no subject.")).when(F.size("interests") == 0, score(None, f"Without interests on the profile {SERVICE} cannot compare subjects.")).otherwise(score(F.least(F.lit(1.0), F.try_divide(earned, total)), said))
 
 
 def career(score: Say = _score) -> Column:
@@ -51,10 +51,10 @@ def career(score: Say = _score) -> Column:
     hits = F.filter("career_directions", lambda c: F.array_contains(pool, c))
     n = F.size(hits)
     return (
-        F.when(F.size("career_directions") == 0, score(None, f"Add a career direction and {SERVICE} can weigh this."))
-        .when(F.size(pool) == 0, score(None, "This listing does not state a career field."))
-        .when(n == 0, score(0.2, "Outside the career directions on your profile — which can still be a good reason to try it.", "PARTIAL"))
-        .otherwise(score(F.least(F.lit(1.0), F.lit(0.7) + F.lit(0.3) * n), _text("Points at ", humanise(F.get(hits, F.lit(0))), ", which you've named as a direction.")))
+        F.when(F.size("career_directions") == 0, score(None, f"Without a career on the profile {SERVICE} cannot compare fields."))
+        .when(F.size(pool) == 0, score(None, "The listing names no career field."))
+        .when(n == 0, score(0.2, "Leads elsewhere than the careers you named, and may be new to you for that.", "PARTIAL"))
+        .otherwise(score(F.least(F.lit(1.0), F.lit(0.7) + F.lit(0.3) * n), _text("Leads towards ", humanise(F.get(hits, F.lit(0))), ", a career you named.")))
     )
 
 
@@ -63,14 +63,14 @@ def format_location(score: Say = _score) -> Column:
     no_place = (F.coalesce("country_code", F.lit("")) == "") | (F.coalesce("location_country", F.lit("")) == "")
     same_city = F.coalesce((F.col("city") != "") & (F.col("location_city") != "") & same_loosely(F.col("city"), F.col("location_city")), F.lit(False))
     return (
-        F.when(F.col("format") == "UNKNOWN", score(None, "Format is not stated on the source page."))
-        .when((F.col("format") == "ONLINE") & wanted, score(1.0, "Runs online, so location is not a barrier."))
-        .when(F.col("format") == "ONLINE", score(0.5, "Runs online, though your profile prefers in-person."))
-        .when(F.col("format_preference") == "ONLINE", score(0.15, "Requires attending in person, and your profile prefers online."))
-        .when(no_place, score(None, "Location could not be compared with your profile."))
-        .when(F.lower("country_code") != F.lower("location_country"), score(0.25, "Held in another country — factor in travel, cost and any visa you would need.", "PARTIAL"))
-        .when(same_city, score(1.0, _text("Held in ", F.col("location_city"), ", where you are.")))
-        .otherwise(score(0.8, "Held in your country."))
+        F.when(F.col("format") == "UNKNOWN", score(None, "The page does not say how it is held."))
+        .when((F.col("format") == "ONLINE") & wanted, score(1.0, "Online, so you can join from anywhere."))
+        .when(F.col("format") == "ONLINE", score(0.5, "Online, while you would rather be there."))
+        .when(F.col("format_preference") == "ONLINE", score(0.15, "You would have to be there, while you would rather join online."))
+        .when(no_place, score(None, "Either the place or your country is unknown."))
+        .when(F.lower("country_code") != F.lower("location_country"), score(0.25, "Abroad for you: think of the journey, its price and a visa.", "PARTIAL"))
+        .when(same_city, score(1.0, _text("Held in ", F.col("location_city"), ", the city you live in.")))
+        .otherwise(score(0.8, "In the country you live in."))
     )
 
 
@@ -78,14 +78,14 @@ def cost(score: Say = _score) -> Column:
     kind, amount = F.col("cost_type"), F.col("cost_amount")
     differ = F.coalesce((F.col("cost_currency") != "") & (F.col("budget_currency") != "") & (F.col("cost_currency") != F.col("budget_currency")), F.lit(False))
     return (
-        F.when(kind == "FREE", score(1.0, "Free to enter."))
-        .when((kind == "UNKNOWN") | ((kind == "PAID") & amount.isNull()), score(None, "Cost is not stated on the source page."))
-        .when(kind == "FREE_WITH_AID", score(0.9, "Paid, but the organiser states financial aid is available."))
-        .when(F.col("budget_ceiling").isNull(), score(None, f"Set a budget and {SERVICE} can tell you whether this fits it."))
-        .when(differ, score(None, _text("Priced in ", F.col("cost_currency"), ", and your budget is in ", F.col("budget_currency"), " — compare these yourself.")))
-        .when(amount <= F.col("budget_ceiling"), score(1.0, "Within the budget on your profile."))
-        .when(F.coalesce("aid_available", F.lit(False)), score(0.5, "Above your budget, though the organiser states financial aid is available.", "PARTIAL"))
-        .otherwise(score(0.0, "Costs more than the budget on your profile."))
+        F.when(kind == "FREE", score(1.0, "Costs nothing."))
+        .when((kind == "UNKNOWN") | ((kind == "PAID") & amount.isNull()), score(None, "The page gives no price."))
+        .when(kind == "FREE_WITH_AID", score(0.9, "Has a price, and help with it can be asked for."))
+        .when(F.col("budget_ceiling").isNull(), score(None, f"Without a budget on the profile {SERVICE} cannot compare prices."))
+        .when(differ, score(None, _text("Priced in ", F.col("cost_currency"), " while your budget is in ", F.col("budget_currency"), " — compare these yourself.")))
+        .when(amount <= F.col("budget_ceiling"), score(1.0, "No dearer than your budget."))
+        .when(F.coalesce("aid_available", F.lit(False)), score(0.5, "Dearer than your budget, but help can be asked for.", "PARTIAL"))
+        .otherwise(score(0.0, "Dearer than your budget."))
     )
 
 
@@ -109,14 +109,14 @@ def timing(now: Column, score: Say = _score) -> Column:
     soon = F.when(days <= 0, "under a day").otherwise(_text(days.cast("string"), " days"))
     closes = lambda tail: _text("Closes in ", days.cast("string"), tail)
     return (
-        F.when(F.col("next_at").isNull() & ~rolling & F.coalesce("any_actionable", F.lit(False)), score(0.0, "The application deadline has passed.", "MISMATCH"))
-        .when(F.col("next_at").isNull() & ~rolling, score(None, "No application deadline is stated on the source page."))
-        .when(outside, score(0.25, "The programme runs outside the availability window on your profile.", "PARTIAL"))
-        .when(F.col("next_at").isNull(), score(0.9, "Rolling admissions — no fixed deadline to race."))
-        .when(days <= 2, score(0.3, _text("Closes in ", soon, " — only worth starting if you can move fast."), "PARTIAL"))
-        .when(days <= 7, score(0.65, closes(" days — tight but workable.")))
-        .when(days <= 30, score(1.0, closes(" days, which is comfortable.")))
-        .otherwise(score(0.95, _text("Closes in ", round_half_up(days / 7).cast("string"), " weeks — plenty of runway.")))
+        F.when(F.col("next_at").isNull() & ~rolling & F.coalesce("any_actionable", F.lit(False)), score(0.0, "The last day to apply has passed.", "MISMATCH"))
+        .when(F.col("next_at").isNull() & ~rolling, score(None, "The page gives no last day to apply."))
+        .when(outside, score(0.25, "Takes place when you are not free.", "PARTIAL"))
+        .when(F.col("next_at").isNull(), score(0.9, "Applications are taken all the time."))
+        .when(days <= 2, score(0.3, _text("Closes in ", soon, ", so begin at once or not at all."), "PARTIAL"))
+        .when(days <= 7, score(0.65, closes(" days, which is little time but enough.")))
+        .when(days <= 30, score(1.0, closes(" days, so there is time.")))
+        .otherwise(score(0.95, _text("Closes in ", round_half_up(days / 7).cast("string"), " weeks, so there is much time.")))
     )
 
 
@@ -130,21 +130,21 @@ def experience(score: Say = _score) -> Column:
     """Needs the columns of `experience_facts`. Looks at kinds only, not at tags."""
     held = F.filter("achievements", lambda a: F.array_contains("wanted_kinds", a["kind"]))
     national = F.exists(held, lambda a: F.coalesce(a["level"].isin("NATIONAL", "INTERNATIONAL"), F.lit(False)))
-    said = F.when(F.size(held) == 1, "relevant experience").otherwise(_text(F.size(held).cast("string"), " relevant activities"))
+    said = F.when(F.size(held) == 1, "an activity that counts").otherwise(_text(F.size(held).cast("string"), " activities that count"))
     return (
-        F.when(F.col("asks_experience").isNull(), score(None, "No prior experience requirement is stated."))
-        .when(F.size("wanted_kinds") == 0, score(0.5, "Asks for prior experience without specifying what — read the requirement below.", "PARTIAL"))
-        .when(F.size(held) == 0, score(0.25, "Asks for experience your profile does not yet record.", "PARTIAL"))
-        .otherwise(score(F.when(national, 1.0).otherwise(0.75), _text("Your profile already records ", said, ".")))
+        F.when(F.col("asks_experience").isNull(), score(None, "Nothing is said of earlier experience."))
+        .when(F.size("wanted_kinds") == 0, score(0.5, "Wants earlier experience but does not say which.", "PARTIAL"))
+        .when(F.size(held) == 0, score(0.25, "Wants experience of which the profile says nothing yet.", "PARTIAL"))
+        .otherwise(score(F.when(national, 1.0).otherwise(0.75), _text("On your profile: ", said, ".")))
     )
 
 
 def profile_gap(score: Say = _score) -> Column:
     wanted = F.filter("categories", lambda c: F.array_contains("wanted_areas", c))
     return (
-        F.when(F.size("thin_areas") == 0, score(None, "Not enough profile history to judge balance yet."))
-        .when(F.size(wanted) == 0, score(None, "Does not target a gap you have said you want to close."))
-        .otherwise(score(1.0, _text("You have less ", humanise(F.get(wanted, F.lit(0))), " experience than your other areas, and you've said you want more of it.")))
+        F.when(F.size("thin_areas") == 0, score(None, "The profile holds too little to see what is missing."))
+        .when(F.size(wanted) == 0, score(None, "Adds to no area of which you wanted more."))
+        .otherwise(score(1.0, _text("So far you have done less ", humanise(F.get(wanted, F.lit(0))), " than elsewhere, and you wanted more of it.")))
     )
 
 

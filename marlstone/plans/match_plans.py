@@ -35,43 +35,43 @@ er AS (SELECT pairs.user_id, pairs.opp_id, rule_no, dimension, operator, low, hi
   list_transform(items, lambda x: lower(trim(x))) AS low_items
   FROM pairs JOIN rd USING (opp_id) JOIN profiles p USING (user_id)),
 ev0 AS (SELECT *, CASE
-  WHEN operator = 'FREE_TEXT' THEN ['UNKNOWN', 'Stated by the organiser — read the wording below and judge for yourself.']
-  WHEN dimension = 'AGE' THEN CASE WHEN age IS NULL THEN ['UNKNOWN', 'Your age is not set, so this could not be checked.']
-    WHEN low IS NULL AND high IS NULL THEN ['UNKNOWN', 'The age requirement could not be read from the source page.']
-    ELSE [CASE WHEN age < low OR age > high THEN 'MISMATCH' ELSE 'MATCH' END, 'You''re ' || age || '; this is open to ages ' || stated || '.'] END
-  WHEN dimension = 'GRADE' THEN CASE WHEN grade IS NULL THEN ['UNKNOWN', 'Your grade or year is not set, so this could not be checked.']
-    WHEN operator = 'IN' AND items IS NULL OR operator <> 'IN' AND low IS NULL AND high IS NULL THEN ['UNKNOWN', 'The grade requirement could not be read from the source page.']
-    WHEN operator = 'IN' THEN CASE WHEN list_contains(low_items, grade::VARCHAR) THEN ['MATCH', 'You''re in year ' || grade || ', which is eligible.']
-      ELSE ['MISMATCH', 'You''re in year ' || grade || '; this is open to years ' || joined || '.'] END
-    ELSE [CASE WHEN grade < low OR grade > high THEN 'MISMATCH' ELSE 'MATCH' END, 'You''re in year ' || grade || '; this is open to years ' || stated || '.'] END
-  WHEN dimension = 'EDUCATION_LEVEL' THEN CASE WHEN education_level IS NULL THEN ['UNKNOWN', 'Your education level is not set, so this could not be checked.']
-    WHEN items IS NULL THEN ['UNKNOWN', 'The education-level requirement could not be read from the source page.']
+  WHEN operator = 'FREE_TEXT' THEN ['UNKNOWN', 'The organiser says this in words of its own; please judge by the quotation.']
+  WHEN dimension = 'AGE' THEN CASE WHEN age IS NULL THEN ['UNKNOWN', 'Unchecked: the profile has no age.']
+    WHEN low IS NULL AND high IS NULL THEN ['UNKNOWN', 'Unchecked: the page''s age limits are unclear.']
+    ELSE [CASE WHEN age < low OR age > high THEN 'MISMATCH' ELSE 'MATCH' END, 'You are ' || age || ' years old; ages wanted: ' || stated || '.'] END
+  WHEN dimension = 'GRADE' THEN CASE WHEN grade IS NULL THEN ['UNKNOWN', 'Unchecked: the profile has no school year.']
+    WHEN operator = 'IN' AND items IS NULL OR operator <> 'IN' AND low IS NULL AND high IS NULL THEN ['UNKNOWN', 'Unchecked: the page''s school years are unclear.']
+    WHEN operator = 'IN' THEN CASE WHEN list_contains(low_items, grade::VARCHAR) THEN ['MATCH', 'Your school year is ' || grade || ', one of those wanted.']
+      ELSE ['MISMATCH', 'Your school year is ' || grade || '; years wanted: ' || joined || '.'] END
+    ELSE [CASE WHEN grade < low OR grade > high THEN 'MISMATCH' ELSE 'MATCH' END, 'Your school year is ' || grade || '; years wanted: ' || stated || '.'] END
+  WHEN dimension = 'EDUCATION_LEVEL' THEN CASE WHEN education_level IS NULL THEN ['UNKNOWN', 'Unchecked: the profile has no level of education.']
+    WHEN items IS NULL THEN ['UNKNOWN', 'Unchecked: the page''s levels of education are unclear.']
     ELSE [CASE WHEN list_contains(low_items, lower(education_level)) <> (operator = 'NOT_IN') THEN 'MATCH' ELSE 'MISMATCH' END,
-      CASE WHEN list_contains(low_items, lower(education_level)) THEN 'Your education level is eligible.' ELSE 'Your education level is outside the stated range for this opportunity.' END] END
-  WHEN dimension IN ('COUNTRY', 'RESIDENCY', 'CITIZENSHIP') THEN CASE WHEN country_code IS NULL THEN ['UNKNOWN', 'Your country is not set, so this could not be checked.']
-    WHEN items IS NULL THEN ['UNKNOWN', 'The location requirement could not be read from the source page.']
-    WHEN list_contains(low_items, lower(country_code)) <> (operator = 'NOT_IN') THEN ['MATCH', 'You meet the ' || CASE dimension WHEN 'COUNTRY' THEN 'location' WHEN 'RESIDENCY' THEN 'residency' ELSE 'citizenship' END || ' requirement.']
-    ELSE ['MISMATCH', 'This is restricted by ' || CASE dimension WHEN 'COUNTRY' THEN 'location' WHEN 'RESIDENCY' THEN 'residency' ELSE 'citizenship' END || ', and your profile country is not included.'] END
-  WHEN dimension = 'CURRICULUM' THEN CASE WHEN curriculum IS NULL OR curriculum = 'UNKNOWN' THEN ['UNKNOWN', 'Your curriculum is not set, so this could not be checked.']
-    WHEN items IS NULL THEN ['UNKNOWN', 'The curriculum requirement could not be read from the source page.']
-    WHEN list_contains(low_items, lower(curriculum)) THEN ['MATCH', 'Your curriculum is explicitly eligible.']
-    ELSE ['PARTIAL', 'This names ' || joined || '. Yours is not listed — worth confirming with the organiser.'] END
-  WHEN dimension = 'LANGUAGE' THEN CASE WHEN len(languages) = 0 THEN ['UNKNOWN', 'Your languages are not set, so this could not be checked.']
-    WHEN items IS NULL THEN ['UNKNOWN', 'The language requirement could not be read from the source page.']
-    WHEN list_has_any(low_items, languages) THEN ['MATCH', 'You speak a language this is delivered in.']
-    ELSE ['MISMATCH', 'This is delivered in ' || joined || ', which is not on your profile.'] END
-  WHEN dimension = 'SUBJECT_BACKGROUND' THEN CASE WHEN items IS NULL THEN ['UNKNOWN', 'The subject requirement could not be read from the source page.']
-    WHEN held = len(items) THEN ['MATCH', 'You have the subject background this asks for.']
-    WHEN held > 0 THEN ['PARTIAL', 'You have some of the subject background this asks for, but not all of it.']
-    ELSE ['PARTIAL', 'This asks for subject background your profile does not yet show.'] END
-  WHEN dimension = 'PRIOR_EXPERIENCE' THEN CASE WHEN len(kinds) = 0 AND len(tag_slugs) = 0 THEN ['PARTIAL', 'This asks for prior experience. Check the wording below against your own background.']
-    WHEN len(rel) = 0 THEN ['PARTIAL', 'This asks for prior experience your profile does not yet record. You may still be able to make the case.']
-    ELSE ['PARTIAL', 'This asks for prior experience. Your profile shows ' || CASE WHEN len(rel) = 1 THEN rel[1].title ELSE len(rel) || ' related activities' END || ' — you may need to make that case explicitly.'] END
-  WHEN dimension = 'SCHOOL_ENROLMENT' THEN CASE WHEN education_level IS NULL THEN ['UNKNOWN', 'Your education level is not set, so this could not be checked.']
-    WHEN NOT flag THEN ['MATCH', 'No school-enrolment requirement.']
-    WHEN education_level <> 'GAP_YEAR' THEN ['MATCH', 'You are currently enrolled, which this requires.']
-    ELSE ['MISMATCH', 'This requires current school enrolment, and your profile says you are on a gap year.'] END
-  ELSE ['UNKNOWN', 'Stated by the organiser — read the wording below and judge for yourself.'] END AS a FROM er),
+      CASE WHEN list_contains(low_items, lower(education_level)) THEN 'Open to students at your level of education.' ELSE 'Meant for other levels of education than yours.' END] END
+  WHEN dimension IN ('COUNTRY', 'RESIDENCY', 'CITIZENSHIP') THEN CASE WHEN country_code IS NULL THEN ['UNKNOWN', 'Unchecked: the profile has no country.']
+    WHEN items IS NULL THEN ['UNKNOWN', 'Unchecked: the page''s list of places is unclear.']
+    WHEN list_contains(low_items, lower(country_code)) <> (operator = 'NOT_IN') THEN ['MATCH', 'Fine as to ' || CASE dimension WHEN 'COUNTRY' THEN 'location' WHEN 'RESIDENCY' THEN 'residency' ELSE 'citizenship' END || ' of applicants.']
+    ELSE ['MISMATCH', 'Limited as to ' || CASE dimension WHEN 'COUNTRY' THEN 'location' WHEN 'RESIDENCY' THEN 'residency' ELSE 'citizenship' END || ' of applicants, and your country is left out.'] END
+  WHEN dimension = 'CURRICULUM' THEN CASE WHEN curriculum IS NULL OR curriculum = 'UNKNOWN' THEN ['UNKNOWN', 'Unchecked: the profile has no curriculum.']
+    WHEN items IS NULL THEN ['UNKNOWN', 'Unchecked: the page''s curricula are unclear.']
+    WHEN list_contains(low_items, lower(curriculum)) THEN ['MATCH', 'Names the curriculum that you follow.']
+    ELSE ['PARTIAL', 'Names ' || joined || ' and not yours; ask the organiser whether others count.'] END
+  WHEN dimension = 'LANGUAGE' THEN CASE WHEN len(languages) = 0 THEN ['UNKNOWN', 'Unchecked: the profile has no languages.']
+    WHEN items IS NULL THEN ['UNKNOWN', 'Unchecked: the page''s languages are unclear.']
+    WHEN list_has_any(low_items, languages) THEN ['MATCH', 'Held in a language that you speak.']
+    ELSE ['MISMATCH', 'Held in ' || joined || ' only, and the profile has no such language.'] END
+  WHEN dimension = 'SUBJECT_BACKGROUND' THEN CASE WHEN items IS NULL THEN ['UNKNOWN', 'Unchecked: the page''s subjects are unclear.']
+    WHEN held = len(items) THEN ['MATCH', 'All subjects that are wanted are among yours.']
+    WHEN held > 0 THEN ['PARTIAL', 'Some of the subjects that are wanted are among yours.']
+    ELSE ['PARTIAL', 'None of the subjects that are wanted is among yours so far.'] END
+  WHEN dimension = 'PRIOR_EXPERIENCE' THEN CASE WHEN len(kinds) = 0 AND len(tag_slugs) = 0 THEN ['PARTIAL', 'Wants earlier experience; the quotation says of what kind.']
+    WHEN len(rel) = 0 THEN ['PARTIAL', 'Wants earlier experience of which the profile says nothing yet.']
+    ELSE ['PARTIAL', 'Wants earlier experience, such as ' || CASE WHEN len(rel) = 1 THEN rel[1].title ELSE len(rel) || ' activities of yours' END || ' — you will have to make that case in the application.'] END
+  WHEN dimension = 'SCHOOL_ENROLMENT' THEN CASE WHEN education_level IS NULL THEN ['UNKNOWN', 'Unchecked: the profile has no level of education.']
+    WHEN NOT flag THEN ['MATCH', 'Open whether or not you are at school.']
+    WHEN education_level <> 'GAP_YEAR' THEN ['MATCH', 'For students who are enrolled, as you are.']
+    ELSE ['MISMATCH', 'For students who are enrolled, and you are taking a year off.'] END
+  ELSE ['UNKNOWN', 'The organiser says this in words of its own; please judge by the quotation.'] END AS a FROM er),
 ev AS (SELECT user_id, opp_id, rule_no, dimension, a[1] AS verdict, a[2] AS text,
   dimension IN ('AGE', 'GRADE', 'EDUCATION_LEVEL', 'COUNTRY', 'RESIDENCY', 'CITIZENSHIP', 'SCHOOL_ENROLMENT') AS is_hard FROM ev0)
 """
@@ -152,47 +152,47 @@ j AS (SELECT *, list_filter(topical, lambda t: st[t.slug] IS NOT NULL) AS mt, li
     + _DAYS
     + """ AS days FROM j0),
 dims0 AS (SELECT user_id, opp_id, next_at, first_seen_at,
-  CASE WHEN len(topical) = 0 THEN {'v': NULL::DOUBLE, 'o': NULL::VARCHAR, 't': 'This listing does not state a subject area.'}
-    WHEN len(interests) = 0 THEN {'v': NULL, 'o': NULL, 't': 'Add your interests and we can judge subject fit.'}
+  CASE WHEN len(topical) = 0 THEN {'v': NULL::DOUBLE, 'o': NULL::VARCHAR, 't': 'The listing names no subject.'}
+    WHEN len(interests) = 0 THEN {'v': NULL, 'o': NULL, 't': 'Without interests on the profile we cannot compare subjects.'}
     ELSE {'v': least(1.0::DOUBLE, list_sum(list_transform(topical, lambda t: coalesce(t.weight * (0.6::DOUBLE + 0.4::DOUBLE * (st[t.slug] / 5.0::DOUBLE)), 0.0::DOUBLE))) / list_sum(list_transform(topical, lambda t: t.weight))), 'o': NULL,
-      't': CASE WHEN len(mt) = 0 THEN 'None of your stated interests match this listing’s subject areas.' WHEN len(mt) <= 2 THEN 'Matches your interest in ' || array_to_string(list_transform(mt[1:2], lambda t: translate(t.slug, '-_', '  ')), ' and ') || '.'
-        ELSE 'Matches ' || len(mt) || ' of your interests, including ' || array_to_string(list_transform(mt[1:2], lambda t: translate(t.slug, '-_', '  ')), ' and ') || '.' END} END AS subject,
-  CASE WHEN len(career_directions) = 0 THEN {'v': NULL::DOUBLE, 'o': NULL::VARCHAR, 't': 'Add a career direction and we can weigh this.'}
-    WHEN len(pool) = 0 THEN {'v': NULL, 'o': NULL, 't': 'This listing does not state a career field.'}
-    WHEN len(hits) = 0 THEN {'v': 0.2::DOUBLE, 'o': 'PARTIAL', 't': 'Outside the career directions on your profile — which can still be a good reason to try it.'}
-    ELSE {'v': least(1.0::DOUBLE, 0.7::DOUBLE + 0.3::DOUBLE * len(hits)), 'o': NULL, 't': 'Points at ' || translate(hits[1], '-_', '  ') || ', which you''ve named as a direction.'} END AS career,
-  CASE WHEN format = 'UNKNOWN' THEN {'v': NULL::DOUBLE, 'o': NULL::VARCHAR, 't': 'Format is not stated on the source page.'}
-    WHEN format = 'ONLINE' AND format_preference <> 'IN_PERSON' THEN {'v': 1.0::DOUBLE, 'o': NULL, 't': 'Runs online, so location is not a barrier.'}
-    WHEN format = 'ONLINE' THEN {'v': 0.5::DOUBLE, 'o': NULL, 't': 'Runs online, though your profile prefers in-person.'}
-    WHEN format_preference = 'ONLINE' THEN {'v': 0.15::DOUBLE, 'o': NULL, 't': 'Requires attending in person, and your profile prefers online.'}
-    WHEN country_code IS NULL OR location_country IS NULL THEN {'v': NULL, 'o': NULL, 't': 'Location could not be compared with your profile.'}
-    WHEN country_code <> location_country THEN {'v': 0.25::DOUBLE, 'o': 'PARTIAL', 't': 'Held in another country — factor in travel, cost and any visa you would need.'}
-    WHEN city = location_city THEN {'v': 1.0::DOUBLE, 'o': NULL, 't': 'Held in ' || location_city || ', where you are.'}
-    ELSE {'v': 0.8::DOUBLE, 'o': NULL, 't': 'Held in your country.'} END AS format_location,
-  CASE WHEN cost_type = 'FREE' THEN {'v': 1.0::DOUBLE, 'o': NULL::VARCHAR, 't': 'Free to enter.'}
-    WHEN cost_type = 'UNKNOWN' OR cost_type = 'PAID' AND cost_amount IS NULL THEN {'v': NULL, 'o': NULL, 't': 'Cost is not stated on the source page.'}
-    WHEN cost_type = 'FREE_WITH_AID' THEN {'v': 0.9::DOUBLE, 'o': NULL, 't': 'Paid, but the organiser states financial aid is available.'}
-    WHEN budget_ceiling IS NULL THEN {'v': NULL, 'o': NULL, 't': 'Set a budget and we can tell you whether this fits it.'}
-    WHEN cost_currency <> budget_currency THEN {'v': NULL, 'o': NULL, 't': 'Priced in ' || cost_currency || ', and your budget is in ' || budget_currency || ' — compare these yourself.'}
-    WHEN cost_amount <= budget_ceiling THEN {'v': 1.0::DOUBLE, 'o': NULL, 't': 'Within the budget on your profile.'}
-    WHEN aid_available THEN {'v': 0.5::DOUBLE, 'o': 'PARTIAL', 't': 'Above your budget, though the organiser states financial aid is available.'}
-    ELSE {'v': 0.0::DOUBLE, 'o': NULL, 't': 'Costs more than the budget on your profile.'} END AS cost,
-  CASE WHEN next_at IS NULL AND NOT coalesce(rolling, false) AND coalesce(any_act, false) THEN {'v': 0.0::DOUBLE, 'o': 'MISMATCH', 't': 'The application deadline has passed.'}
-    WHEN next_at IS NULL AND NOT coalesce(rolling, false) THEN {'v': NULL::DOUBLE, 'o': NULL::VARCHAR, 't': 'No application deadline is stated on the source page.'}
-    WHEN start_at < available_from OR start_at > available_until THEN {'v': 0.25::DOUBLE, 'o': 'PARTIAL', 't': 'The programme runs outside the availability window on your profile.'}
-    WHEN next_at IS NULL THEN {'v': 0.9::DOUBLE, 'o': NULL, 't': 'Rolling admissions — no fixed deadline to race.'}
-    WHEN days <= 2 THEN {'v': 0.3::DOUBLE, 'o': 'PARTIAL', 't': 'Closes in ' || CASE WHEN days <= 0 THEN 'under a day' ELSE days || ' days' END || ' — only worth starting if you can move fast.'}
-    WHEN days <= 7 THEN {'v': 0.65::DOUBLE, 'o': NULL, 't': 'Closes in ' || days || ' days — tight but workable.'}
-    WHEN days <= 30 THEN {'v': 1.0::DOUBLE, 'o': NULL, 't': 'Closes in ' || days || ' days, which is comfortable.'}
-    ELSE {'v': 0.95::DOUBLE, 'o': NULL, 't': 'Closes in ' || floor(days / 7 + 0.5)::BIGINT || ' weeks — plenty of runway.'} END AS timing,
-  CASE WHEN asks IS NULL THEN {'v': NULL::DOUBLE, 'o': NULL::VARCHAR, 't': 'No prior experience requirement is stated.'}
-    WHEN len(wanted) = 0 THEN {'v': 0.5::DOUBLE, 'o': 'PARTIAL', 't': 'Asks for prior experience without specifying what — read the requirement below.'}
-    WHEN len(heldx) = 0 THEN {'v': 0.25::DOUBLE, 'o': 'PARTIAL', 't': 'Asks for experience your profile does not yet record.'}
+      't': CASE WHEN len(mt) = 0 THEN 'No subject of the listing is among your interests.' WHEN len(mt) <= 2 THEN 'In line with your interest in ' || array_to_string(list_transform(mt[1:2], lambda t: translate(t.slug, '-_', '  ')), ' and ') || '.'
+        ELSE 'In line with ' || len(mt) || ' interests of yours, among them ' || array_to_string(list_transform(mt[1:2], lambda t: translate(t.slug, '-_', '  ')), ' and ') || '.' END} END AS subject,
+  CASE WHEN len(career_directions) = 0 THEN {'v': NULL::DOUBLE, 'o': NULL::VARCHAR, 't': 'Without a career on the profile we cannot compare fields.'}
+    WHEN len(pool) = 0 THEN {'v': NULL, 'o': NULL, 't': 'The listing names no career field.'}
+    WHEN len(hits) = 0 THEN {'v': 0.2::DOUBLE, 'o': 'PARTIAL', 't': 'Leads elsewhere than the careers you named, and may be new to you for that.'}
+    ELSE {'v': least(1.0::DOUBLE, 0.7::DOUBLE + 0.3::DOUBLE * len(hits)), 'o': NULL, 't': 'Leads towards ' || translate(hits[1], '-_', '  ') || ', a career you named.'} END AS career,
+  CASE WHEN format = 'UNKNOWN' THEN {'v': NULL::DOUBLE, 'o': NULL::VARCHAR, 't': 'The page does not say how it is held.'}
+    WHEN format = 'ONLINE' AND format_preference <> 'IN_PERSON' THEN {'v': 1.0::DOUBLE, 'o': NULL, 't': 'Online, so you can join from anywhere.'}
+    WHEN format = 'ONLINE' THEN {'v': 0.5::DOUBLE, 'o': NULL, 't': 'Online, while you would rather be there.'}
+    WHEN format_preference = 'ONLINE' THEN {'v': 0.15::DOUBLE, 'o': NULL, 't': 'You would have to be there, while you would rather join online.'}
+    WHEN country_code IS NULL OR location_country IS NULL THEN {'v': NULL, 'o': NULL, 't': 'Either the place or your country is unknown.'}
+    WHEN country_code <> location_country THEN {'v': 0.25::DOUBLE, 'o': 'PARTIAL', 't': 'Abroad for you: think of the journey, its price and a visa.'}
+    WHEN city = location_city THEN {'v': 1.0::DOUBLE, 'o': NULL, 't': 'Held in ' || location_city || ', the city you live in.'}
+    ELSE {'v': 0.8::DOUBLE, 'o': NULL, 't': 'In the country you live in.'} END AS format_location,
+  CASE WHEN cost_type = 'FREE' THEN {'v': 1.0::DOUBLE, 'o': NULL::VARCHAR, 't': 'Costs nothing.'}
+    WHEN cost_type = 'UNKNOWN' OR cost_type = 'PAID' AND cost_amount IS NULL THEN {'v': NULL, 'o': NULL, 't': 'The page gives no price.'}
+    WHEN cost_type = 'FREE_WITH_AID' THEN {'v': 0.9::DOUBLE, 'o': NULL, 't': 'Has a price, and help with it can be asked for.'}
+    WHEN budget_ceiling IS NULL THEN {'v': NULL, 'o': NULL, 't': 'Without a budget on the profile we cannot compare prices.'}
+    WHEN cost_currency <> budget_currency THEN {'v': NULL, 'o': NULL, 't': 'Priced in ' || cost_currency || ' while your budget is in ' || budget_currency || ' — compare these yourself.'}
+    WHEN cost_amount <= budget_ceiling THEN {'v': 1.0::DOUBLE, 'o': NULL, 't': 'No dearer than your budget.'}
+    WHEN aid_available THEN {'v': 0.5::DOUBLE, 'o': 'PARTIAL', 't': 'Dearer than your budget, but help can be asked for.'}
+    ELSE {'v': 0.0::DOUBLE, 'o': NULL, 't': 'Dearer than your budget.'} END AS cost,
+  CASE WHEN next_at IS NULL AND NOT coalesce(rolling, false) AND coalesce(any_act, false) THEN {'v': 0.0::DOUBLE, 'o': 'MISMATCH', 't': 'The last day to apply has passed.'}
+    WHEN next_at IS NULL AND NOT coalesce(rolling, false) THEN {'v': NULL::DOUBLE, 'o': NULL::VARCHAR, 't': 'The page gives no last day to apply.'}
+    WHEN start_at < available_from OR start_at > available_until THEN {'v': 0.25::DOUBLE, 'o': 'PARTIAL', 't': 'Takes place when you are not free.'}
+    WHEN next_at IS NULL THEN {'v': 0.9::DOUBLE, 'o': NULL, 't': 'Applications are taken all the time.'}
+    WHEN days <= 2 THEN {'v': 0.3::DOUBLE, 'o': 'PARTIAL', 't': 'Closes in ' || CASE WHEN days <= 0 THEN 'under a day' ELSE days || ' days' END || ', so begin at once or not at all.'}
+    WHEN days <= 7 THEN {'v': 0.65::DOUBLE, 'o': NULL, 't': 'Closes in ' || days || ' days, which is little time but enough.'}
+    WHEN days <= 30 THEN {'v': 1.0::DOUBLE, 'o': NULL, 't': 'Closes in ' || days || ' days, so there is time.'}
+    ELSE {'v': 0.95::DOUBLE, 'o': NULL, 't': 'Closes in ' || floor(days / 7 + 0.5)::BIGINT || ' weeks, so there is much time.'} END AS timing,
+  CASE WHEN asks IS NULL THEN {'v': NULL::DOUBLE, 'o': NULL::VARCHAR, 't': 'Nothing is said of earlier experience.'}
+    WHEN len(wanted) = 0 THEN {'v': 0.5::DOUBLE, 'o': 'PARTIAL', 't': 'Wants earlier experience but does not say which.'}
+    WHEN len(heldx) = 0 THEN {'v': 0.25::DOUBLE, 'o': 'PARTIAL', 't': 'Wants experience of which the profile says nothing yet.'}
     ELSE {'v': CASE WHEN len(list_filter(heldx, lambda a: a.level IN ('NATIONAL', 'INTERNATIONAL'))) > 0 THEN 1.0 ELSE 0.75 END::DOUBLE, 'o': NULL,
-      't': 'Your profile already records ' || CASE WHEN len(heldx) = 1 THEN 'relevant experience' ELSE len(heldx) || ' relevant activities' END || '.'} END AS experience,
-  CASE WHEN len(thin_areas) = 0 THEN {'v': NULL::DOUBLE, 'o': NULL::VARCHAR, 't': 'Not enough profile history to judge balance yet.'}
-    WHEN len(gap) = 0 THEN {'v': NULL, 'o': NULL, 't': 'Does not target a gap you have said you want to close.'}
-    ELSE {'v': 1.0::DOUBLE, 'o': NULL, 't': 'You have less ' || translate(gap[1], '-_', '  ') || ' experience than your other areas, and you''ve said you want more of it.'} END AS profile_gap
+      't': 'On your profile: ' || CASE WHEN len(heldx) = 1 THEN 'an activity that counts' ELSE len(heldx) || ' activities that count' END || '.'} END AS experience,
+  CASE WHEN len(thin_areas) = 0 THEN {'v': NULL::DOUBLE, 'o': NULL::VARCHAR, 't': 'The profile holds too little to see what is missing.'}
+    WHEN len(gap) = 0 THEN {'v': NULL, 'o': NULL, 't': 'Adds to no area of which you wanted more.'}
+    ELSE {'v': 1.0::DOUBLE, 'o': NULL, 't': 'So far you have done less ' || translate(gap[1], '-_', '  ') || ' than elsewhere, and you wanted more of it.'} END AS profile_gap
   FROM j)
 """
 )
@@ -354,19 +354,19 @@ def _pair_rows(spark: SparkSession, d: str) -> DataFrame:
     + """, x AS (SELECT *, list_filter(tags, lambda t: t.kind IN ('SUBJECT', 'INTEREST') AND list_contains(list_transform(interests, lambda i: i.slug), t.slug)) AS shared,
   list_transform(achievements, lambda a: a.kind) AS ak, list_filter(categories, lambda c: list_contains(career_directions, c))[1] AS hit FROM b),
 y AS (SELECT opp_id, list_concat(list_transform(stated_benefits, lambda t: {'tier': 'STATED', 'text': t}),
-  list_transform(list_filter([CASE WHEN list_contains(categories, 'competition') THEN 'Competitive format, so you will be working to a standard set by other entrants.' END,
-    CASE WHEN list_contains(categories, 'research') THEN 'Research-based, which usually means producing something you can describe and discuss later.' END,
-    CASE WHEN list_contains(categories, 'mun') THEN 'Involves speaking and arguing in front of others.' END,
-    CASE WHEN list_contains(categories, 'hackathon') THEN 'Team-based and time-boxed, ending in something you have built.' END,
-    CASE WHEN list_contains(categories, 'volunteering') THEN 'Direct community work rather than a classroom setting.' END,
-    CASE WHEN format = 'IN_PERSON' THEN 'Held in person, so you would meet the other participants and the organisers face to face.' END,
-    CASE WHEN duration_days >= 21 THEN 'Runs for about ' || floor(duration_days / 7 + 0.5)::BIGINT || ' weeks — long enough to go past an introduction.' END], lambda t: t IS NOT NULL), lambda t: {'tier': 'STRUCTURAL', 'text': t}),
+  list_transform(list_filter([CASE WHEN list_contains(categories, 'competition') THEN 'A contest: you will see how others solve the same task.' END,
+    CASE WHEN list_contains(categories, 'research') THEN 'Research: at its end there is a question you have worked on yourself.' END,
+    CASE WHEN list_contains(categories, 'mun') THEN 'Practice in putting a case to an audience.' END,
+    CASE WHEN list_contains(categories, 'hackathon') THEN 'Teamwork against the clock, with a thing made at the end.' END,
+    CASE WHEN list_contains(categories, 'volunteering') THEN 'Work with people outside school.' END,
+    CASE WHEN format = 'IN_PERSON' THEN 'You would be there together with those who take part and those who run it.' END,
+    CASE WHEN duration_days >= 21 THEN 'Runs for about ' || floor(duration_days / 7 + 0.5)::BIGINT || ' weeks, which is more than a first taste.' END], lambda t: t IS NOT NULL), lambda t: {'tier': 'STRUCTURAL', 'text': t}),
   list_transform(CASE WHEN len(shared) = 0 AND len(interests) = 0 AND NOT (list_contains(ak, 'COMPETITION') AND list_contains(categories, 'research')) AND NOT (list_contains(ak, 'LEADERSHIP') AND list_contains(categories, 'mun')) AND hit IS NULL
-    THEN ['Add your interests to your profile and we can say something more specific about why this might be worth your time.']
-    ELSE list_filter([CASE WHEN len(shared) > 0 THEN 'You have already said you''re interested in ' || translate(shared[1].slug, '-_', '  ') || '. This would give you something concrete in that area rather than an interest you can only describe.' END,
-    CASE WHEN list_contains(ak, 'COMPETITION') AND list_contains(categories, 'research') THEN 'Your profile is strong on competitions and lighter on research. This is a different kind of work — slower, and less about a single result.' END,
-    CASE WHEN list_contains(ak, 'LEADERSHIP') AND list_contains(categories, 'mun') THEN 'You already have leadership experience. This would add the competitive speaking side of it.' END,
-    CASE WHEN hit IS NOT NULL THEN 'You''ve named ' || translate(hit, '-_', '  ') || ' as a direction. This is a low-commitment way to find out whether you actually enjoy the work.' END], lambda t: t IS NOT NULL) END, lambda t: {'tier': 'INTERPRETED', 'text': t})) AS l FROM x),
+    THEN ['With interests on the profile we could say more about what you would gain.']
+    ELSE list_filter([CASE WHEN len(shared) > 0 THEN 'You named an interest in ' || translate(shared[1].slug, '-_', '  ') || '; here is a way to do something with it.' END,
+    CASE WHEN list_contains(ak, 'COMPETITION') AND list_contains(categories, 'research') THEN 'You have mostly entered contests. Research goes at another pace and has no winner.' END,
+    CASE WHEN list_contains(ak, 'LEADERSHIP') AND list_contains(categories, 'mun') THEN 'You have led others before; here you would also have to win them over in debate.' END,
+    CASE WHEN hit IS NOT NULL THEN 'You named ' || translate(hit, '-_', '  ') || ' as a career; this lets you try it without tying yourself down.' END], lambda t: t IS NOT NULL) END, lambda t: {'tier': 'INTERPRETED', 'text': t})) AS l FROM x),
 z AS (SELECT opp_id, unnest(range(len(l)))::INT AS pos, unnest(l) AS u FROM y)
 SELECT opp_id, pos, u.tier AS tier, u.text AS text, count(*)::BIGINT AS n FROM z GROUP BY ALL"""
 )
@@ -383,10 +383,10 @@ w AS (SELECT user_id, opp_id, CASE WHEN d IS NULL THEN 'UNKNOWN' WHEN d <= 3 THE
   CASE WHEN n <= 2 THEN 'LOW' WHEN n <= 5 THEN 'MEDIUM' ELSE 'HIGH' END AS application_effort,
   CASE WHEN cost_type = 'FREE' THEN 'Free' WHEN cost_type = 'FREE_WITH_AID' THEN 'Paid, aid available' WHEN cost_type = 'PAID' AND cost_amount IS NOT NULL THEN cost_currency || ' ' || CASE WHEN cost_amount = floor(cost_amount) THEN cost_amount::BIGINT::VARCHAR ELSE cost_amount::VARCHAR END ELSE 'Not stated' END AS cost_label,
   CASE WHEN len(interests) = 0 THEN 'UNKNOWN' WHEN ov >= 2 THEN 'HIGH' WHEN ov = 1 THEN 'MEDIUM' ELSE 'LOW' END AS skill_relevance,
-  CASE WHEN score >= 75 AND n <= 5 THEN 'Probably worth applying if you want to build experience in ' || coalesce(translate(categories[1], '-_', '  '), 'this area') || '. The application looks manageable relative to what it offers.'
-    WHEN score >= 75 THEN 'Likely a good fit, but the application is substantial. Worth it if ' || coalesce(translate(categories[1], '-_', '  '), 'this area') || ' is a real priority for you this year rather than a maybe.'
-    WHEN score >= 50 THEN 'A reasonable fit rather than an obvious one. Worth a look if nothing stronger is competing for the same weeks.'
-    ELSE 'Not an obvious fit for your profile as it stands. Read the eligibility wording before spending time on it.' END AS assessment FROM q)
+  CASE WHEN score >= 75 AND n <= 5 THEN 'A strong match if you want to do more in ' || coalesce(translate(categories[1], '-_', '  '), 'this area') || ', and there is little to hand in.'
+    WHEN score >= 75 THEN 'A strong match with much to hand in: take it on if ' || coalesce(translate(categories[1], '-_', '  '), 'this area') || ' is what you most want this year.'
+    WHEN score >= 50 THEN 'A fair match: look at it when nothing better falls into the same weeks.'
+    ELSE 'A weak match so far: see whether you may apply before you do more.' END AS assessment FROM q)
 SELECT opp_id, time_commitment, application_effort, cost_label, skill_relevance, assessment, count(*)::BIGINT AS n FROM w GROUP BY ALL"""
 )
 def b04_worth(spark: SparkSession, d: str) -> DataFrame:

@@ -46,7 +46,7 @@ def test_hard_age_rule(spark):
 def test_soft_rules_are_concerns(spark):
     _, _, ev, e, _ = run(spark, rules=[("CURRICULUM", "IN", '["IB"]'), ("LANGUAGE", "IN", '["fr"]'), ("PRIOR_EXPERIENCE", "REQUIRES", '{"kinds":["PROJECT"]}')], p={"achievements": [("PROJECT", "SCHOOL", ["x"], "My project")]})
     assert e.eligible and e.concerns == 3 and [x.verdict for x in ev] == ["PARTIAL", "MISMATCH", "PARTIAL"]
-    assert "My project — you may need to make that case" in ev[2].text
+    assert "My project — you will have to make that case" in ev[2].text
 
 
 def test_unknown_cost(spark):
@@ -63,9 +63,9 @@ def test_little_is_known(spark):
     "o,p,verdict,part",
     [
         ({"cost_type": "PAID", "cost_amount": 5000.0, "cost_currency": "INR"}, {}, "UNKNOWN", "compare these yourself"),
-        ({"cost_type": "PAID", "cost_amount": 250.0, "cost_currency": "GBP"}, {}, "MISMATCH", "more than the budget"),
-        ({"cost_type": "PAID", "cost_amount": 250.0, "cost_currency": "GBP", "aid_available": True}, {}, "PARTIAL", "aid is available"),
-        ({"cost_type": "PAID", "cost_amount": 50.0, "cost_currency": "GBP"}, {}, "MATCH", "Within"),
+        ({"cost_type": "PAID", "cost_amount": 250.0, "cost_currency": "GBP"}, {}, "MISMATCH", "Dearer"),
+        ({"cost_type": "PAID", "cost_amount": 250.0, "cost_currency": "GBP", "aid_available": True}, {}, "PARTIAL", "help can be asked"),
+        ({"cost_type": "PAID", "cost_amount": 50.0, "cost_currency": "GBP"}, {}, "MATCH", "No dearer"),
     ],
 )
 def test_costs(spark, o, p, verdict, part):
@@ -79,8 +79,8 @@ def test_costs(spark, o, p, verdict, part):
         ([("PROGRAM_START", "2026-08-23", False), ("APPLICATION_DEADLINE", "2026-09-17", False)], "MATCH", "30 days"),
         ([("APPLICATION_DEADLINE", "2026-08-17", False)], "MISMATCH", "passed"),
         ([("APPLICATION_DEADLINE", "2026-08-19", False)], "PARTIAL", "1 days"),
-        ([("APPLICATION_DEADLINE", "1970-01-01", True)], "MATCH", "Rolling"),
-        ([("RESULT_DATE", "2026-08-30", False)], "UNKNOWN", "No application deadline"),
+        ([("APPLICATION_DEADLINE", "1970-01-01", True)], "MATCH", "all the time"),
+        ([("RESULT_DATE", "2026-08-30", False)], "UNKNOWN", "no last day to apply"),
     ],
 )
 def test_timing(spark, due, verdict, part):
