@@ -96,6 +96,24 @@ DATE_KINDS = [
 ]
 ROLLING = r"\b(rolling\s+(?:admission|basis|deadline)|applications?\s+(?:are\s+)?accepted\s+(?:on\s+a\s+rolling|year[-\s]?round)|no\s+fixed\s+deadline|open\s+until\s+filled)\b"
 
+AGE_RANGES = [
+    r"\b(?:ages?|aged)\s*(?:between\s*)?(\d{1,2})\s*(?:-|–|—|to|and)\s*(\d{1,2})\b",
+    r"\b(\d{1,2})\s*(?:-|–|—|to)\s*(\d{1,2})[\s-]*year[\s-]*olds?\b",
+]
+AGE_UNDER = r"\b(?:under|below|younger than)\s*(?:the age of\s*)?(\d{1,2})\b"
+AGE_OVER = r"\b(?:at least|minimum(?: age)? of|aged?|over|above)\s*(\d{1,2})\s*(?:years?(?:\s+old)?|or (?:older|above|over)|\+)\b"
+
+#: What a student's own sentence may say of filters.
+QUERY_AGES = [r"\bfor\s+(\d{1,2})[-\s]?year[-\s]?olds?\b", r"\b(?:aged?|age)\s+(\d{1,2})\b", r"\b(\d{1,2})[-\s]?year[-\s]?olds?\b"]
+QUERY_FREE = r"\bfree\b|\bno (?:entry |application )?fee\b|\bfully funded\b|\bno cost\b"
+QUERY_FORMATS = [("ONLINE", r"\bonline\b|\bvirtual\b|\bremote\b"), ("IN_PERSON", r"\bin[-\s]person\b|\bon[-\s]?campus\b|\bresidential\b")]
+QUERY_LEVELS = [
+    ("SENIOR_SECONDARY", r"\bhigh[-\s]?school\b|\bsecondary\b|\bsixth form\b|\bgrade (?:9|10|11|12)\b"),
+    ("UNDERGRAD", r"\bundergraduate?\b|\buniversity students?\b|\bcollege students?\b"),
+    ("MIDDLE", r"\bmiddle school\b"),
+]
+QUERY_SOON, QUERY_MONTH = r"\bthis (?:week)\b|\bclosing soon\b|\burgent\b", r"\bthis month\b"
+
 CURRENCY_SYMBOLS = {"£": "GBP", "$": "USD", "€": "EUR", "₹": "INR", "¥": "JPY", "₦": "NGN", "₱": "PHP", "R$": "BRL"}
 CURRENCY_CODES = "USD EUR GBP INR AUD CAD SGD AED CHF JPY CNY NGN ZAR KES PKR BDT BRL MXN SEK NOK DKK PLN NZD".split()
 FREE = r"\b(free\s+of\s+charge|no\s+(?:entry|application|registration|participation)\s+fee|free\s+to\s+(?:enter|apply|participate|attend)|there\s+is\s+no\s+fee|fully\s+funded|no\s+cost\s+to\s+(?:participants|students))\b"

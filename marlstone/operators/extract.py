@@ -42,11 +42,9 @@ def age_range(text: Column) -> Column:
     """struct(min, max, raw) of the first form that gives plausible ages; null without one."""
     n = lambda p, k: first_match(text, p, k).try_cast("int")
     fine = lambda x: x.between(5, 99)
-    both = [r"\b(?:ages?|aged)\s*(?:between\s*)?(\d{1,2})\s*(?:-|–|—|to|and)\s*(\d{1,2})\b", r"\b(\d{1,2})\s*(?:-|–|—|to)\s*(\d{1,2})[\s-]*year[\s-]*olds?\b"]
     none = F.lit(None).cast("int")
-    out = [F.when(fine(n(p, 1)) & fine(n(p, 2)) & (n(p, 1) <= n(p, 2)), F.struct(n(p, 1).alias("min"), n(p, 2).alias("max"), first_match(text, p).alias("raw"))) for p in both]
-    under = r"\b(?:under|below|younger than)\s*(?:the age of\s*)?(\d{1,2})\b"
-    over = r"\b(?:at least|minimum(?: age)? of|aged?|over|above)\s*(\d{1,2})\s*(?:years?(?:\s+old)?|or (?:older|above|over)|\+)\b"
+    out = [F.when(fine(n(p, 1)) & fine(n(p, 2)) & (n(p, 1) <= n(p, 2)), F.struct(n(p, 1).alias("min"), n(p, 2).alias("max"), first_match(text, p).alias("raw"))) for p in D.AGE_RANGES]
+    under, over = D.AGE_UNDER, D.AGE_OVER
     out.append(F.when(fine(n(under, 1)), F.struct(none.alias("min"), (n(under, 1) - 1).alias("max"), first_match(text, under).alias("raw"))))
     out.append(F.when(fine(n(over, 1)), F.struct(n(over, 1).alias("min"), none.alias("max"), first_match(text, over).alias("raw"))))
     return F.coalesce(*out)

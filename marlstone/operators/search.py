@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import domains as D
 from ..functions.layout import spread
-from ..functions.patterns import first_match, matches
+from ..functions.patterns import EDGE, first_kind, first_match, matches
 from ..functions.text import humanise_lower
 
 
@@ -116,18 +116,17 @@ def parse_query(q: Column) -> dict[str, Column]:
     """Columns of the filters that a student's own sentence states."""
     names = lambda terms: F.filter(F.array(*[F.when(matches(q, p), F.lit(s)) for s, p in terms]), lambda x: x.isNotNull())
     first = lambda terms: F.coalesce(*[F.when(matches(q, p), F.lit(s)) for s, p in terms])
-    ages = [r"\bfor\s+(\d{1,2})[-\s]?year[-\s]?olds?\b", r"\b(?:aged?|age)\s+(\d{1,2})\b", r"\b(\d{1,2})[-\s]?year[-\s]?olds?\b"]
-    age = F.coalesce(*[first_match(q, p, 1) for p in ages]).cast("int")
+    age = F.coalesce(*[first_match(q, p, 1) for p in D.QUERY_AGES]).cast("int")
     return {
         "categories": names(D.CATEGORY_TERMS),
         "subjects": names(D.SUBJECT_TERMS),
         "country": first(D.COUNTRY_TERMS),
-        "cost_free": F.when(matches(q, r"\bfree\b|\bno (?:entry |application )?fee\b|\bfully funded\b|\bno cost\b"), F.lit(True)),
-        "format": F.when(matches(q, r"\bonline\b|\bvirtual\b|\bremote\b"), "ONLINE").when(matches(q, r"\bin[-\s]person\b|\bon[-\s]?campus\b|\bresidential\b"), "IN_PERSON"),
+        "cost_free": F.when(matches(q, D.QUERY_FREE), F.lit(True)),
+        "format": first_kind(q, D.QUERY_FORMATS),
         "age": F.when(age.between(5, 30), age),
-        "education_level": F.when(matches(q, r"\bhigh[-\s]?school\b|\bsecondary\b|\bsixth form\b|\bgrade (?:9|10|11|12)\b"), "SENIOR_SECONDARY").when(matches(q, r"\bundergraduate?\b|\buniversity students?\b|\bcollege students?\b"), "UNDERGRAD").when(matches(q, r"\bmiddle school\b"), "MIDDLE"),
+        "education_level": first_kind(q, D.QUERY_LEVELS),
         "month": F.coalesce(*[F.when(matches(q, rf"\b{m}\b"), F.lit(i + 1)) for i, m in enumerate(D.MONTH_NAMES)]),
-        "within_days": F.when(matches(q, r"\bthis (?:week)\b|\bclosing soon\b|\burgent\b"), 7).when(matches(q, r"\bthis month\b"), 30),
+        "within_days": F.when(matches(q, D.QUERY_SOON), 7).when(matches(q, D.QUERY_MONTH), 30),
     }
 
 
@@ -143,7 +142,7 @@ def residual_keywords(q: Column, categories: Column, subjects: Column, country:
 
 
 def _java_ascii(pattern: str) -> str:
-    return re.sub(r"\\b", lambda _: "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))", pattern)
+    return re.sub(r"\\b", lambda _: EDGE, pattern)
 
 
 def chips(filters: DataFrame, key: str) -> DataFrame:
