@@ -199,3 +199,8 @@ def test_json_values(spark):
     check(spark, V.strings_only, {'["a",1,null,"b"]': ["a", "b"], "{}": [], "bad{": []})
     got = column(spark, ['{"min":14,"max":18}', '{"min":"14"}', '{"max":2.5}', "{}", "bad{"], V.bounds)
     assert [r and (r["min"], r["max"]) for r in got] == [(14.0, 18.0), None, (None, 2.5), None, None]
+
+
+def test_edges_of_patterns_at_signs(spark):
+    check(spark, lambda x: E.age_range(x)["min"], {"Open to those over 16+ years": None, "at least 16 years old": 16, "over 16+a": 16, "éaged 14-18": 14, "aaged 14-18": None})
+    check(spark, E.date_kind, {"results announcedé": "RESULT_DATE", "results announced_": None, "xresults announced": None})
