@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import domains as D
 from ..functions.dates import lookup, parse_date
 from ..functions.patterns import first_kind, first_match, matches
-from ..functions.text import collapse, sentences, title_case, trimmed
+from ..functions.text import appears_verbatim, collapse, non_blank, sentences, title_case, trimmed
 
 
 def date_kind(sentence: Column) -> Column:
@@ -97,8 +97,6 @@ def guarded_gap_fill(pages: DataFrame, model_output: DataFrame, key: str) -> Dat
     again from the quoted words, and nothing that the page already gave is
     replaced.
     """
-    from ..functions.text import appears_verbatim
-
     r = pages.join(model_output, key, "left")
     quoted = lambda c: appears_verbatim(F.col(c), F.col("text"))
     kept = {
@@ -110,6 +108,58 @@ def guarded_gap_fill(pages: DataFrame, model_output: DataFrame, key: str) -> Dat
     return r.select(key, *[c.alias(n) for n, c in kept.items()])
 
 
+#: Lists of a model's answer are read up to these lengths.
+MOST_REQUIREMENTS, MOST_BENEFITS = 10, 8
+
+
+def fill_gaps(pages: DataFrame, answers: DataFrame, key: str, year: Column | None = None) -> DataFrame:
+    """Facts of pages, with what a model's answer adds to them and what of it was turned down.
+
+    ``pages`` has text and the facts found so far: title, summary, organizer, format, deadline, age_min,
+    age_max, cost_type, cost_amount, cost_currency and the array requirements; ``answers`` has title, summary, organizer, format,
+    deadline_text, age_min, age_max, age_text, cost_text and the arrays requirements and benefits. Only pages of 200
+    characters or more are filled. A quotation must stand in the page; a format is a choice of three and needs
+    none. Dates and costs are read again from the quotation. What the page gave is never replaced.
+    Adds ``benefits`` and ``rejected``, the fields whose quotation or second reading failed, in order.
+    """
+    names = ["title", "summary", "organizer", "format", "deadline_text", "age_min", "age_max", "age_text", "cost_text", "requirements", "benefits"]
+    r = pages.join(answers.select(key, F.struct(*names).alias("answer")), key, "left")
+    text, said = F.col("text"), lambda f: F.col("answer")[f]
+    open_ = F.coalesce(F.length("text") >= 200, F.lit(False))
+    here = lambda v: F.coalesce(appears_verbatim(v, text), F.lit(False))
+    given = lambda f: non_blank(said(f))
+    asked = {f: open_ & F.col(f).isNull() & given(f).isNotNull() for f in ("title", "summary", "organizer")}
+    asked["deadline"] = open_ & F.col("deadline").isNull() & given("deadline_text").isNotNull()
+    no_age = F.col("age_min").isNull() & F.col("age_max").isNull()
+    asked["age"] = open_ & no_age & given("age_text").isNotNull()
+    asked["cost"] = open_ & F.col("cost_type").isNull() & given("cost_text").isNotNull()
+    quote = {"title": "title", "summary": "summary", "organizer": "organizer", "deadline": "deadline_text", "age": "age_text", "cost": "cost_text"}
+    quoted = {f: asked[f] & here(given(q)) for f, q in quote.items()}
+    date = F.when(quoted["deadline"], parse_date(given("deadline_text"), year)["date"])
+    price = F.when(quoted["cost"], cost(given("cost_text")))
+    priced = F.coalesce(price["cost_type"] != "UNKNOWN", F.lit(False))
+    list_of = lambda f, n: F.slice(F.filter(F.coalesce(said(f), F.array().cast("array<string>")), lambda x: F.length(F.trim(x)) > 0), 1, n)
+    needs, gains = list_of("requirements", MOST_REQUIREMENTS), list_of("benefits", MOST_BENEFITS)
+    no_needs = open_ & (F.coalesce(F.size("requirements"), F.lit(0)) <= 0)
+    told = F.when(open_, F.filter(gains, here))
+    bad = [F.when(asked[f] & ~quoted[f], F.lit(f)) for f in ("title", "summary", "organizer")]
+    bad.append(F.when(asked["deadline"] & date.isNull(), F.lit("deadline")))
+    bad += [F.when(asked[f] & ~quoted[f], F.lit(f)) for f in ("age", "cost")]
+    listed = [F.when(test, F.transform(F.filter(v, lambda x: ~here(x)), lambda x: F.concat(F.lit(f"{f}: "), x))) for f, v, test in (("requirement", needs, no_needs), ("benefit", gains, open_))]
+    empty = F.array().cast("array<string>")
+    return r.select(
+        key,
+        *[F.coalesce(F.col(f), F.when(quoted[f], given(f))).alias(f) for f in ("title", "summary", "organizer")],
+        F.coalesce("format", F.when(open_ & said("format").isin("ONLINE", "IN_PERSON", "HYBRID"), said("format"))).alias("format"),
+        F.coalesce("deadline", date).alias("deadline"),
+        *[F.coalesce(f, F.when(quoted["age"], said(f))).alias(f) for f in ("age_min", "age_max")],
+        *[F.coalesce(F.col(c), F.when(priced, price[p])).alias(c) for c, p in (("cost_type", "cost_type"), ("cost_amount", "amount"), ("cost_currency", "currency"))],
+        F.when(no_needs, F.filter(needs, here)).otherwise(F.col("requirements")).alias("requirements"),
+        F.coalesce(told, empty).alias("benefits"),
+        F.concat(F.filter(F.array(*bad), lambda x: x.isNotNull()), *[F.coalesce(x, empty) for x in listed]).alias("rejected"),
+    )
+
+
 def any_pattern(text: Column, patterns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [matches(text, p) for p in patterns])
 

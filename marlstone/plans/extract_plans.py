@@ -156,3 +156,46 @@ def x16_verbatim(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     quoted = F.upper(F.regexp_replace(t, " ", "  "))
     return T.load(spark, d, "conversations").select("conv_id", "turn", X.appears_verbatim(quoted, t).alias("verbatim"), X.appears_verbatim(F.lit("zz-not-there"), t).alias("other"))
+
+
+_PAGE = "The River School offers a summer course by the sea. Applications close DATE. The application fee is £AMOUNT. It is open to students aged 14-18. Send two letters of recommendation. You receive a certificate and a place to stay. Lessons are held daily."
+
+
+@query(
+    f"""WITH p AS (SELECT o_orderkey AS id, o_orderkey AS k, epoch(date_trunc('day', o_orderdate) + INTERVAL 23 HOUR + INTERVAL 59 MINUTE)::BIGINT AS day, floor(o_totalprice)::BIGINT AS price,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'Short page.' ELSE replace(replace('{_PAGE}', 'DATE', day(o_orderdate) || ' ' || monthname(o_orderdate) || ' ' || year(o_orderdate)), 'AMOUNT', (floor(o_totalprice)::BIGINT)::VARCHAR) END AS text FROM orders),
+a AS (SELECT *, length(text) >= 200 AS o FROM p)
+SELECT id, CASE WHEN k % 2 = 0 THEN 'Known' WHEN o THEN 'a summer course' END AS title,
+  CASE WHEN o AND k % 3 = 0 THEN 'THE RIVER  school' END AS organizer, CASE WHEN o AND k % 4 <> 3 THEN 'HYBRID' END AS format,
+  CASE WHEN o AND k % 4 = 0 THEN day END AS deadline, CASE WHEN o AND k % 2 = 1 THEN 14 END AS age_min,
+  CASE WHEN k % 11 = 0 THEN 'FREE' WHEN o AND k % 5 <> 2 THEN 'PAID' END AS cost_type, CASE WHEN k % 11 <> 0 AND o AND k % 5 <> 2 THEN price::DOUBLE END AS cost_amount,
+  CASE WHEN o THEN 'two letters' ELSE '' END AS requirements, CASE WHEN o THEN 'a certificate' ELSE '' END AS benefits,
+  CASE WHEN o THEN concat_ws(',', CASE WHEN k % 3 = 1 THEN 'organizer' END, CASE WHEN k % 4 IN (1, 2) THEN 'deadline' END, CASE WHEN k % 2 = 0 THEN 'age' END, CASE WHEN k % 11 <> 0 AND k % 5 = 2 THEN 'cost' END,
+    'requirement: a passport,requirement: a passport,requirement: a passport,requirement: a passport,requirement: a passport,requirement: a passport,requirement: a passport,requirement: a passport,requirement: a passport,benefit: a prize') ELSE '' END AS rejected
+FROM a"""
+)
+def t11_fill_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """What a model's answer may add to a page: quoted words only, read again, lists up to their lengths."""
+    k = F.col("id")
+    texts = _texts(spark, d, [_PAGE], 1).select("id", F.when(k % 7 == 0, "Short page.").otherwise(F.col("text")).alias("text"))
+    none = lambda t: F.lit(None).cast(t)
+    empty = F.array().cast("array<string>")
+    pages = texts.select("id", "text", F.when(k % 2 == 0, "Known").alias("title"), none("string").alias("summary"), none("string").alias("organizer"), none("string").alias("format"), none("timestamp").alias("deadline"), none("int").alias("age_min"), none("int").alias("age_max"), F.when(k % 11 == 0, "FREE").alias("cost_type"), none("double").alias("cost_amount"), none("string").alias("cost_currency"), empty.alias("requirements"))
+    close, fee = F.regexp_extract("text", r"(Applications close [^.]*)", 1), F.regexp_extract("text", r"(application fee is [^.]*)", 1)
+    many = F.concat(F.array_repeat(F.lit("a passport"), 9), F.array(F.lit("two letters"), F.lit("a certificate")))
+    answers = texts.select(
+        "id",
+        F.lit(" a summer course ").alias("title"),
+        none("string").alias("summary"),
+        F.when(k % 3 == 0, "THE RIVER  school").when(k % 3 == 1, "Hill School").alias("organizer"),
+        F.when(k % 4 == 3, "ELSEWHERE").otherwise("HYBRID").alias("format"),
+        F.when(k % 4 == 0, close).when(k % 4 == 1, "Applications close soon").when(k % 4 == 2, fee).alias("deadline_text"),
+        F.lit(14).alias("age_min"),
+        F.lit(18).alias("age_max"),
+        F.when(k % 2 == 1, "aged 14–18").otherwise("aged 10-12").alias("age_text"),
+        F.when(k % 5 == 2, "the fee is £1 only").otherwise(fee).alias("cost_text"),
+        many.alias("requirements"),
+        F.array(F.lit("a certificate"), F.lit("a prize")).alias("benefits"),
+    )
+    f = E.fill_gaps(pages, answers, "id")
+    return f.select("id", "title", "organizer", "format", F.unix_seconds("deadline").alias("deadline"), "age_min", "cost_type", "cost_amount", *[F.array_join(c, ",").alias(c) for c in ("requirements", "benefits", "rejected")])
