@@ -216,3 +216,7 @@ def test_calendar(spark, tmp_path):
 def test_verbatim(spark):
     df = spark.createDataFrame([("Due “May  5”", 'it is due "may 5" then'), ("ab", "ab"), (None, "x")], "a string, b string")
     assert [r[0] for r in df.select(X.appears_verbatim(F.col("a"), F.col("b"))).collect()] == [True, False, False]
+
+
+def test_markup_without_bottom():
+    assert H.nodes(["[" * 200_000, "{", '{"@type": "Course", "name": "x"}']) == [{"@type": "Course", "name": "x"}]
