@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import _MULT, mix64, steps, unused, words_of
 
-SENTENCES, LONG, GAP = 2, 50, 8
+SENTENCES, LONG, GAP = 2, 50, 12
 _Q = np.uint64(0xD1342543DE82EF95)
 _QINV = np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
 #: What ends a sentence, and what may close after it.
@@ -148,17 +148,23 @@ def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[1:] = x[1:] != x[:-1]
         head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(x) else np.zeros(0, dtype=np.int64)
         repeat = (d != d[head]) | (a != a[head])
-        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)), pa.array(d), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(repeat), pa.array(words)], names=["h", "doc_id", "a", "b", "repeat", "words"])
+        # A known repeat needs no meeting: it gets a key of its own.
+        own = mix64(x ^ mix64(d.astype(np.uint64) * _Q + a.astype(np.uint64)))
+        key = np.where(repeat, own, x).astype(np.int64)
+        # In one number, as most of what is shuffled are these rows: a span has at most `LONG` sentences or words, but for a lone sentence.
+        place = (a << 10) | ((b - a) << 2) | (words.astype(np.int64) << 1) | repeat
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(d), pa.array(place)], names=["h", "doc_id", "place"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, a, b, words): sentences, or words, a to b - 1 of the document repeat an earlier span."""
     texts = docs.filter("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = texts.mapInArrow(_span_rows, "h long, doc_id long, a int, b int, repeat boolean, words boolean")
-    # A known repeat needs no meeting: it gets a key of its own.
-    spans = spans.withColumn("h", F.when(F.col("repeat"), F.xxhash64("h", "doc_id", "a", "words")).otherwise(F.col("h")))
-    place = Window.partitionBy("h").orderBy("doc_id", "a")
-    return spans.withColumn("place", F.dense_rank().over(place)).filter("repeat or place > 1").select("doc_id", "a", "b", "words")
+    spans = texts.mapInArrow(_span_rows, "h long, doc_id long, place long")
+    a = F.shiftright("place", 10)
+    turn = F.dense_rank().over(Window.partitionBy("h").orderBy("doc_id", a))
+    again = spans.withColumn("turn", turn).filter("place & 1 = 1 or turn > 1")
+    size = F.shiftright("place", 2).bitwiseAND(F.lit(255))
+    return again.select("doc_id", a.cast("int").alias("a"), (a + size).cast("int").alias("b"), (F.col("place").bitwiseAND(F.lit(2)) == 2).alias("words"))
 
 
 def _without(text: pa.Array, spans: pa.Array, windows: pa.Array) -> pa.Array:

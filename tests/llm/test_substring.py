@@ -13,7 +13,7 @@ def run(spark, rows):
 
 
 def brute(rows):
-    """By plain strings, each text without repeated runs of sentences, and without repeated runs of 43 words."""
+    """By plain strings, each text without repeated runs of sentences, and without repeated runs of 39 words."""
     docs = {}
     for i, t in rows:
         words = [(m.start(), m[0]) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
@@ -25,7 +25,7 @@ def brute(rows):
         for i in sorted(docs):
             words, b = docs[i]
             n = len(words)
-            runs = [(k, k + 43) for k in range(n - 42)] if kind else [(b[s], b[e]) for s in range(len(b) - 1) for e in range(s + 1, len(b)) if b[e] - b[s] >= 50]
+            runs = [(k, k + 39) for k in range(n - 38)] if kind else [(b[s], b[e]) for s in range(len(b) - 1) for e in range(s + 1, len(b)) if b[e] - b[s] >= 50]
             for s, e in runs:
                 if seen.setdefault(tuple(w.lower() for _, w in words[s:e]), (i, s)) != (i, s):
                     gone[i] |= set(range(s, e))
@@ -54,7 +54,7 @@ def test_matches_brute_force(spark):
     want = brute(rows)
     got = {x.doc_id: x.text for x in run(spark, rows)}
     for i, (most, least) in want.items():
-        # Beyond whole sentences a passage goes on for a few words, of which up to seven may stay.
+        # Beyond whole sentences a passage goes on for a few words, of which up to eleven may stay.
         assert got[i] == most or len(least) <= len(got[i]) < len(most)
     assert sum(got[i] == want[i][0] != t for i, t in rows) > 5 and sum(got[i] != want[i][0] for i in got) < 5
     # Every passage stays once, and all texts that share nothing long stay as they are.
@@ -102,7 +102,7 @@ def test_repeats_without_sentence_limits(spark):
         for _ in range(2):
             rows.append((len(rows), f"{words(r.randint(1, 30))} {passages[-1]} {words(r.randint(1, 30))}"))
     # Shorter repeats, of no two sentences, stay.
-    short = [words(n) for n in (25, 30, 35, 42)]
+    short = [words(n) for n in (25, 30, 35, 38)]
     rows += [(1000 + i, f"{words(9)} {short[i // 2]} {words(9)}") for i in range(8)]
     got = {x.doc_id: (x.text, x.n_removed) for x in run(spark, rows)}
     for i, p in enumerate(passages):
