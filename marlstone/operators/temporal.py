@@ -22,12 +22,18 @@ from ..functions.dates import age_on, period_key
 def quota(requests: DataFrame, limit: int, at: str = "at", n: str = "n", seq: str = "seq") -> DataFrame:
     """Adds period, granted, used of monthly reservations in order: what a request gets is what its month has left.
 
-    used_i = min(limit, sum of requests so far), so no fold is needed.
+    used_i = min(limit, sum of requests so far), so no fold is needed. Sums run within a day and
+    start from those of the month's earlier days, so no task holds a month.
     """
-    upto = Window.partitionBy("period").orderBy(at, seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = requests.withColumn("period", period_key(F.col(at))).withColumn("total", F.sum(n).over(upto))
+    r = requests.withColumn("period", period_key(F.col(at))).withColumn("_day", F.to_date(at))
+    earlier = Window.partitionBy("period").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = r.groupBy("period", "_day").agg(F.sum(n).alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(earlier), F.lit(0)))
+    days = days.select(F.col("period").alias("_p"), F.col("_day").alias("_d"), "_before")
+    r = r.join(days, F.col("period").eqNullSafe(F.col("_p")) & F.col("_day").eqNullSafe(F.col("_d")))
+    upto = Window.partitionBy("period", "_day").orderBy(at, seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    r = r.withColumn("total", F.col("_before") + F.sum(n).over(upto))
     used = F.least(F.lit(limit), F.col("total"))
-    return r.withColumn("granted", used - F.least(F.lit(limit), F.col("total") - F.col(n))).withColumn("used", used).drop("total")
+    return r.withColumn("granted", used - F.least(F.lit(limit), F.col("total") - F.col(n))).withColumn("used", used).drop("total", "_day", "_p", "_d", "_before")
 
 
 def quota_status(requests: DataFrame, limit: int, at: str = "at", n: str = "n") -> DataFrame:
