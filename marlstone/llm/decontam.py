@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, runs_of, steps, words_of
+from .common import cut, mix64, runs_of, steps, words_of
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 19
 CHUNK_ITEMS, CHUNK_BYTES = 1_000, 8_000_000
@@ -198,7 +198,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     """
     texts = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, similarity double, first_word long, n_words long"
-    parts = [texts.mapInArrow(_scan(chunk, threshold), schema) for chunk in _chunks(benchmark)]
+    parts, chunks = [], _chunks(benchmark)
+    chunk = next(chunks, None)
+    while chunk:
+        found, chunk = texts.mapInArrow(_scan(chunk, threshold), schema), next(chunks, None)
+        # A finished chunk leaves the driver.
+        parts.append(cut(found) if parts or chunk else found)
     if not parts:
         return texts.sparkSession.createDataFrame([], schema)
     best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("similarity"), "first_word", "n_words")
