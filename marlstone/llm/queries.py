@@ -14,34 +14,42 @@ BENCH_CHAT = "<|im_end|><|im_start|>assistant ok"
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix of all documents: words taken of each. Null text has size 0, null sources are one source, repeated rows are documents of their own, an empty table gives no rows."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without passages that repeat earlier ones. Null texts stay null, rows without doc_id stay whole, rows of one doc_id are one document, an empty table gives no rows."""
     return substring.dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_sentences", "n_removed")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole text. Null and empty texts have none, every row stands alone, an empty table gives no rows."""
     return secrets.find_secrets(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near duplicates at 85 %. Texts without words and rows without doc_id are linked with nothing, repeated rows share a component, an empty table gives no rows."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages, learned from two folds of three. Null texts and texts without a letter are `und`, rows without doc_id are in no fold, an empty table gives no rows."""
     return langid.held_out_languages(table(spark, sf_dir, "documents"))
 
 
 def op6_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling selects. Null and empty texts weigh 0, ties at the cut are kept, without good labels all stay, an empty table gives no rows."""
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page. Null and empty html give an empty text, broken markup is read as far as it goes, repeated rows come out as often, an empty table gives no rows."""
     return html.extract(table(spark, sf_dir, "pages"))
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as formatted and read back. Null texts and roles are empty, repeated rows are turns of their own, rows without conv_id are one conversation; the added conversation comes out alone from an empty table."""
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", BENCH_CHAT), (-1, 1, "assistant", BENCH_CHAT)], given.schema)
     read = chat.read_back(chat.format_chats(given.unionByName(extra)))
@@ -58,10 +66,12 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every 20th vector. Unusable vectors take no part, ties go to the smaller vec_id, repeated rows count once, an empty table gives no rows."""
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in documents, with their best window. Null and empty texts and items match nothing, repeated rows count once, empty tables give no rows."""
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
