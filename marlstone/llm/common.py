@@ -186,25 +186,42 @@ def weighted_cut(df: DataFrame, key: str, weight: str | None, budget: float) ->
 # ------------------------------------------------------------------ components
 
 
-def _hop(edges: DataFrame, large: bool) -> DataFrame:
+#: Edges that make a node a hub, at least, and hubs that are broadcast, at most.
+HUB, MOST_HUBS = 1_000, 100_000
+
+
+def _told(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
+    """(u, v, m): each edge with the least node that its u knows of.
+
+    Hubs, of which there are at most 2 * edges / ``hub``, are broadcast, so their edges stay where
+    they lie; only edges of other nodes are dealt out by node.
+    """
+    hubs = F.broadcast(least.filter(F.col("n") > hub).select("u", "m"))
+    known = edges.join(hubs, "u", "left")
+    rest = known.filter("m is null").drop("m").join(least.filter(F.col("n") <= hub).select("u", "m"), "u")
+    return known.filter("m is not null").unionByName(rest)
+
+
+def _hop(edges: DataFrame, large: bool, hub: int) -> DataFrame:
     """One star operation on (u, v) rows with u > v.
 
     Large-star: of each node u, link every larger neighbour to the smallest of
     u and its neighbours. Small-star: link u's smaller neighbours and u itself
     to the smallest. Minima are combined before the shuffle, and neighbourhoods
-    are never gathered, so a hub costs no more than its edges.
+    are never gathered.
     """
+    n = F.count(F.lit(1)).alias("n")
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        out = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), n)
+        out = _told(both.filter("v > u"), least, hub).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least = edges.groupBy("u").agg(F.min("v").alias("m"), n)
+        out = _told(edges, least, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.filter("u > v").distinct()
 
 
-def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60, hub: int = HUB) -> DataFrame:
     """(node, component) of every node with a link; component is the smallest node reachable.
 
     Alternates large-star and small-star until the edges stay the same (row
@@ -212,10 +229,13 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     repeats, self links and either order.
     """
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct())
-    seen = None
+    state = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    seen = state(e)
     for _ in range(max_rounds):
-        e = cut(_hop(_hop(e, True), False))
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        # Between the hops there are at most twice as many edges, and each counts for both of its nodes.
+        most = max(hub, 4 * seen[0] // MOST_HUBS)
+        e = cut(_hop(_hop(e, True, most), False, most))
+        now = state(e)
         if now == seen:
             break
         seen = now

@@ -77,7 +77,11 @@ def test_keep_one(spark):
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (1, 0)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
-    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)}
+    want = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)}
+    assert got == want
+    # The same with hubs told apart, and with every node a hub.
+    for hub in (10, 0):
+        assert {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b", hub=hub).collect()} == want
 
 
 def test_a_doc_id_with_several_texts(spark):
