@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, html, langid, minhash, mixing, quality, secrets, substring
+from . import ann, chat, decontam, exact, html, langid, merkle, minhash, mixing, quality, secrets, substring, whitening
 from .common import table
 
 BENCH_CHAT = "<|im_end|><|im_start|>assistant ok"
@@ -75,12 +75,35 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts. A null text is an empty one, of rows with one doc_id one stays, rows without doc_id come last, an empty table gives no rows."""
+    groups = exact.exact_duplicates(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened embeddings. Unusable vectors take no part, repeated rows count as often as they come, vectors without spread have no components, an empty table gives no rows."""
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every row, checked with some texts changed. Nulls are `-`, rows without lang come first, repeated rows are leaves of their own, an empty table gives no rows."""
+    docs = table(spark, sf_dir, "documents")
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    changed = merkle.row_leaf([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), F.translate("text", letters, letters.lower())])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.unhex(changed))
+    rows = merkle.merkle_manifest(docs, carry={"tampered": tampered})
+    rows = merkle.verified(rows, F.coalesce(F.lower(F.hex("tampered")), F.col("leaf")))
+    proof = F.sha2(F.array_join(F.transform("proof", lambda s: s["siblings"]), ""), 256)
+    return rows.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_substring_dedup, op3_secret_scan, op4_minhash_near_dedup, op5_language_id, op6_quality_resample, op7_html_text, op8_chat_format, op9_nearest_neighbours, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_substring_dedup, op3_secret_scan, op4_minhash_near_dedup, op5_language_id, op6_quality_resample, op7_html_text, op8_chat_format, op9_nearest_neighbours, op10_decontaminate, op11_exact_dedup, op12_embedding_whitening, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op8_chat_format": OP8_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op8_chat_format": OP8_SQL, "op11_exact_dedup": OP11_SQL, "op13_merkle_manifest": _op13_sql()}
 
 
 OP1_SQL = r"""
@@ -127,3 +150,41 @@ a AS (
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars,
        sha256(loss) AS loss_sha256, formatted_chars FROM a
 """
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h)::BIGINT AS group_size,
+       row_number() OVER (PARTITION BY h ORDER BY doc_id NULLS LAST) = 1 AS kept, h AS text_sha256 FROM d
+"""
+
+
+def _op13_sql(depth: int = 8) -> str:
+    """Levels of both trees one below the other, up to 8**``depth`` leaves a language and as many languages."""
+    field = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}::VARCHAR) || ':' || {x} END"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    # CRC-32 bit by bit: 256 and a byte brings the byte in, 0 shifts.
+    steps = "flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [256 + ascii(c), 0, 0, 0, 0, 0, 0, 0, 0]))"
+    crc = f"xor(4294967295, list_reduce({steps}, lambda a, x: CASE WHEN x >= 256 THEN xor(a, x - 256) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END, 4294967295::BIGINT))"
+    parts = [f"d AS (SELECT doc_id, {leaf('text')} AS leaf, CASE WHEN doc_id IS NOT NULL AND {crc} % 3 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS seen, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS g FROM documents)"]
+    parts.append("p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d)")
+
+    def levels(name: str, first: str) -> None:
+        parts.append(f"{name}0 AS ({first})")
+        for k in range(depth):
+            w = "PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN"
+            # What is beside each node, and its parent, while a group has several nodes; then the node stays alone.
+            parts.append(f"{name}s{k} AS (SELECT g, i, h, count(*) OVER (PARTITION BY g) > 1 AS more, coalesce(string_agg(h, '') OVER ({w} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER ({w} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k})")
+            parts.append(f"{name}{k + 1} AS (SELECT g, i // 8 AS i, CASE WHEN any_value(more) THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h FROM {name}s{k} GROUP BY g, i // 8)")
+
+    levels("a", "SELECT g, i, leaf AS h FROM p")
+    levels("b", f"SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, h FROM a{depth}")
+    parts.append(f"u AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS j FROM a{depth})")
+    tables = [f"{name}s{k}" for name in "ab" for k in range(depth)]
+    joins = "".join(f" JOIN {t} ON {t}.g = " + (f"p.g AND {t}.i = p.i // {8 ** int(t[2:])}" if t[0] == "a" else f"'' AND {t}.i = u.j // {8 ** int(t[2:])}") for t in tables)
+    beside = " || ".join(f"{t}.l || {t}.r" for t in tables)
+    columns = ", ".join(f"{t}.more AS m{k}, {t}.l AS l{k}, {t}.r AS r{k}" for k, t in enumerate(tables))
+    parts.append(f"f0 AS (SELECT p.doc_id, p.leaf, u.h AS subroot, sha256({beside}) AS proof_sha256, p.seen AS x, {columns} FROM p JOIN u ON u.g = p.g{joins})")
+    for k in range(len(tables)):
+        parts.append(f"f{k + 1} AS (SELECT * EXCLUDE (x), CASE WHEN m{k} THEN sha256(l{k} || x || r{k}) ELSE x END AS x FROM f{k})")
+    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, leaf, subroot, b{depth}.h AS root, proof_sha256, x AS folded_root, x = b{depth}.h AS verified FROM f{2 * depth}, b{depth}"
