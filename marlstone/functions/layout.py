@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
@@ -9,3 +11,16 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt over all cores where its files have fewer splits than that: for rows that mean much work each."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder in ``spark.checkpoint.dir``, where every executor can read it again.
+
+    A local folder is made only where none is set and all is on one machine, as in tests.
+    """
+    sc, named = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()

@@ -1,22 +1,19 @@
 """State over time: quotas, rate limits, suppression, retention, consent and status changes.
 
 Only accepted actions count against a limit, so acceptance is a fold over each
-key's actions in order. A fold keeps a bounded state (the accepted times within
-the window), and Arrow batches stream through it, so a key of any size is never
-held whole.
+key's actions in order (`folds`): its state is bounded, and a key of any size is
+spread over all tasks.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import domains as D
 from ..functions.dates import age_on, period_key
+from ..functions.layout import checkpointed
+from .folds import Accept, Budget, Quota, Report, fold_log
 
 
 def quota(requests: DataFrame, limit: int, at: str = "at", n: str = "n", seq: str = "seq") -> DataFrame:
@@ -36,71 +33,77 @@ def quota(requests: DataFrame, limit: int, at: str = "at", n: str = "n", seq: st
     return r.withColumn("granted", used - F.least(F.lit(limit), F.col("total") - F.col(n))).withColumn("used", used).drop("total", "_day", "_p", "_d", "_before")
 
 
+def varying_quota(requests: DataFrame, limit: Column, at: str = "at", n: str = "n", seq: str = "seq") -> DataFrame:
+    """Adds period, granted, used like `quota`, under a limit that may change from request to request.
+
+    A request gets what is left under the limit as it is then; what is used never falls, whatever the limit does. Null and
+    negative n ask for nothing, a null limit is 0. Requests without time have no period and get null.
+    """
+    columns = {"n": F.coalesce(n, F.lit(0)).cast("long"), "limit": F.coalesce(limit, F.lit(0)).cast("long")}
+    r = fold_log(requests.withColumn("period", period_key(F.col(at))), F.col("period"), Quota(), "quota", columns, at, seq)
+    return r.withColumns({"granted": F.col("quota.granted"), "used": F.col("quota.used")}).drop("quota")
+
+
 def quota_status(requests: DataFrame, limit: int, at: str = "at", n: str = "n") -> DataFrame:
     s = requests.groupBy(period_key(F.col(at)).alias("period")).agg(F.least(F.lit(limit), F.sum(n)).alias("used"))
     return s.withColumns({"remaining": F.lit(limit) - F.col("used"), "exhausted": F.col("used") >= limit})
 
 
-def accepted(actions: DataFrame, key: str, limit: int, window_seconds: int, at: str = "at", seq: str = "seq") -> DataFrame:
+def accepted(actions: DataFrame, key: str, limit: int, window_seconds: int, at: str = "at", seq: str = "seq", counts: Column | None = None) -> DataFrame:
     """Adds ``accepted``: an action passes while fewer than ``limit`` accepted ones of its key lie in the
     window up to it, both ends included. ``limit`` 1 is suppression of repeats.
 
-    The key's rows are sorted by the shuffle, not collected; the state is at
-    most ``limit`` times. Rows without key are one key.
+    ``counts`` says which actions count once they are accepted, all by default: failed runs, say, do not
+    suppress a repeat; null is no. Rows without key are one key. Rows without time are neither accepted nor refused (null).
     """
-    micros = window_seconds * 1_000_000
-    cols = [c for c in actions.columns if c not in ("accepted", "fold_at")]
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, times = object(), deque()
-        for b in batches:
-            ok = []
-            for k, t in zip(b.column(key).to_pylist(), b.column("fold_at").to_pylist(), strict=True):
-                if k != current:
-                    current, times = k, deque()
-                while times and times[0] < t - micros:
-                    times.popleft()
-                ok.append(len(times) < limit)
-                if ok[-1]:
-                    times.append(t)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(ok, pa.bool_())], names=[*cols, "accepted"])
-
-    rows = actions.select(*cols, F.unix_micros(at).alias("fold_at")).repartition(key).sortWithinPartitions(key, "fold_at", seq)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in actions.select(*cols).schema) + ", accepted boolean"
-    return rows.mapInArrow(fold, schema)
+    columns = {} if counts is None else {"counts": F.coalesce(counts, F.lit(False))}
+    return fold_log(actions, F.col(key), Accept(limit, window_seconds * 1_000_000), "accepted", columns, at, seq)
 
 
 def reports(actions: DataFrame, user: str, listing: str, limit: int = 20, cap_seconds: int = 86_400, same_seconds: int = 7 * 86_400, at: str = "at", seq: str = "seq") -> DataFrame:
     """Adds ``outcome``: `capped` where the user has filed ``limit`` reports in the day up to it, else `already` where
     one of them in the week up to it is of the same listing, else `reported`. Only the last kind is filed.
 
-    Ends of windows count. The state is the reports that a user filed within the longer window.
+    Ends of windows count. ``listing`` is a number or a string; null is a listing too.
+    """
+    fold = Report(limit, cap_seconds * 1_000_000, same_seconds * 1_000_000)
+    return fold_log(actions, F.col(user), fold, "outcome", {"listing": F.coalesce(F.col(listing).cast("string"), F.lit(""))}, at, seq)
+
+
+def live_runs(runs: DataFrame, limit: Column, cap: int = 12, cap_seconds: int = 3600, repeat_seconds: int = 6 * 3600, at: str = "at", seq: str = "seq") -> tuple[DataFrame, int]:
+    """Runs (user, query, n, failed, at, seq) under all three limits together, with ``outcome`` and ``granted``; and the rounds that took.
+
+    In order, a run is `capped` where its user has ``cap`` executed ones in the hour up to it, `exhausted` where the month's
+    searches are used up or none is left for it, `recent` where an executed run of the same query in the six hours up to it
+    has not failed, else `executed`; only executed runs enter the logs, and each takes as many of its n searches as its month has left.
+    ``limit`` is the month's limit as set at the time of the run; a month whose limit is reached stays closed.
+
+    Each limit has a log with a key of its own, so in every round each is folded under what the other two
+    said last. What is true of all runs before some time comes out right for the first run after it too, so every
+    round settles the earliest run that was still wrong, and what no round changes any more is
+    the answer, and the only one. Rounds are as many as runs hang on each other across logs, few in practice.
     """
-    cap, same = cap_seconds * 1_000_000, same_seconds * 1_000_000
-    cols = [c for c in actions.columns if c not in ("outcome", "fold_at")]
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, filed, latest = object(), deque(), {}
-        for b in batches:
-            out = []
-            for k, o, t in zip(b.column(user).to_pylist(), b.column(listing).to_pylist(), b.column("fold_at").to_pylist(), strict=True):
-                if k != current:
-                    current, filed, latest = k, deque(), {}
-                while filed and filed[0] < t - cap:
-                    filed.popleft()
-                if len(filed) >= limit:
-                    out.append("capped")
-                elif latest.get(o, t - same - 1) >= t - same:
-                    out.append("already")
-                else:
-                    out.append("reported")
-                    filed.append(t)
-                    latest = {x: y for x, y in latest.items() if y >= t - same} | {o: t}
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(out, pa.string())], names=[*cols, "outcome"])
-
-    rows = actions.select(*cols, F.unix_micros(at).alias("fold_at")).repartition(user).sortWithinPartitions(user, "fold_at", seq)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in actions.select(*cols).schema) + ", outcome string"
-    return rows.mapInArrow(fold, schema)
+    no = F.lit(False)
+    own = [c for c in runs.columns if c not in ("outcome", "granted")]
+    rows = runs.select(*own).withColumns({"run_capped": no, "run_recent": no, "run_spent": F.struct(F.lit(0).cast("long").alias("granted"), no.alias("exhausted"))})
+    clear = lambda *names: ~F.greatest(no, *[F.coalesce(F.col("run_spent.exhausted") if n == "run_spent" else F.col(n), no) for n in names])
+    rounds = 0
+    while True:
+        before = rows.withColumn("run_before", F.struct("run_capped", "run_recent", "run_spent"))
+        rows = accepted(before, "user", cap, cap_seconds, at, seq, counts=clear("run_recent", "run_spent"))
+        rows = rows.withColumn("run_capped", ~F.col("accepted")).drop("accepted")
+        rows = accepted(rows, "query", 1, repeat_seconds, at, seq, counts=clear("run_capped", "run_spent") & ~F.coalesce("failed", no))
+        rows = rows.withColumn("run_recent", ~F.col("accepted")).drop("accepted")
+        asks = clear("run_capped", "run_recent")
+        rows = fold_log(rows, period_key(F.col(at)), Budget(), "run_spent", {"n": F.coalesce("n", F.lit(0)).cast("long"), "limit": F.coalesce(limit, F.lit(0)).cast("long"), "asks": asks}, at, seq)
+        rounds += 1
+        rows = checkpointed(rows)
+        if not rows.filter(~F.col("run_before").eqNullSafe(F.struct("run_capped", "run_recent", "run_spent"))).head(1):
+            break
+        rows = rows.drop("run_before")
+    outcome = F.when(F.col(at).isNull(), None).when(F.col("run_capped"), "capped").when(F.col("run_spent.exhausted"), "exhausted").when(F.col("run_recent"), "recent").otherwise("executed")
+    out = rows.withColumn("outcome", outcome).withColumn("granted", F.when(F.col("outcome") == "executed", F.col("run_spent.granted")).otherwise(0))
+    return out.select(*own, "outcome", "granted"), rounds
 
 
 def reported_states(listings: DataFrame, outcomes: DataFrame, key: str) -> DataFrame:

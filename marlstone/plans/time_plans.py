@@ -28,6 +28,21 @@ def h02_quota_status(spark: SparkSession, d: str) -> DataFrame:
     return TM.quota_status(_requests(spark, d), 1800)
 
 
+_VARYING = "CASE WHEN event_id % 50 < 25 THEN 1500 ELSE 1500 + event_id // 2 END"
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT event_id, strftime(ts, '%Y-%m') AS period, event_id % 4 + 1 AS n, ({_VARYING})::BIGINT AS lim, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m') ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT event_id, period, i, least(n, greatest(lim, 0)) AS granted, least(n, greatest(lim, 0)) AS used FROM e WHERE i = 1
+  UNION ALL SELECT e.event_id, e.period, e.i, least(e.n, greatest(0, e.lim - f.used)), f.used + least(e.n, greatest(0, e.lim - f.used)) FROM f JOIN e ON e.period = f.period AND e.i = f.i + 1)
+SELECT event_id AS seq, period, granted::BIGINT AS granted, used::BIGINT AS used FROM f"""
+)
+def h01_varying_quota(spark: SparkSession, d: str) -> DataFrame:
+    """A month's quota whose limit goes up and down between requests."""
+    limit = F.when(F.col("seq") % 50 < 25, 1500).otherwise(1500 + F.floor(F.col("seq") / 2))
+    return TM.varying_quota(_requests(spark, d), limit).select("seq", "period", "granted", "used")
+
+
 def _fold_sql(key: str, limit: int, seconds: int, where: str = "true") -> str:
     """The fold as a recursive query over each key's n-th action; the state is the list of accepted times."""
     us = seconds * 1_000_000
@@ -85,6 +100,39 @@ def h04_repeat(spark: SparkSession, d: str) -> DataFrame:
     return _fold(spark, d, "event_type", 1, 3600 * 6)
 
 
+_ERRORS = _fold_sql("event_id % 40", 1, 3600 * 6).replace("ts) AS t,", "ts) AS t, event_type <> 'error' AS clean,").replace("SELECT event_id, k, t, n, true AS accepted, [t] AS times", "SELECT event_id, k, t, n, true AS accepted, CASE WHEN clean THEN [t] ELSE [] END AS times").replace("< 1 THEN list_append", "< 1 AND e.clean THEN list_append")
+
+
+@query(_ERRORS)
+def h04_error_free(spark: SparkSession, d: str) -> DataFrame:
+    """Suppression of repeats for six hours, by runs that did not fail only."""
+    rows = T.load(spark, d, "events").select("event_id", (F.col("event_id") % 40).alias("text"), "event_type", "ts")
+    return TM.accepted(rows, "text", 1, 3600 * 6, at="ts", seq="event_id", counts=F.col("event_type") != "error").select("event_id", "accepted")
+
+
+#: Runs of ten users over 600 query texts; the limit is raised now and then.
+_RUNS = """WITH RECURSIVE e0 AS (SELECT event_id, user_id % 10 AS u, event_id % 600 AS q, event_id % 4 + 1 AS n, event_type = 'error' AS failed, (5000 + 100 * (event_id % 3))::BIGINT AS lim, {start} + (epoch_us(ts) - {start}) // 16 AS t FROM events),
+e AS MATERIALIZED (SELECT *, strftime(make_timestamp(t), '%Y-%m') AS p, row_number() OVER (ORDER BY t, event_id) AS i FROM e0),
+f AS (SELECT 0::BIGINT AS i, 0::BIGINT AS event_id, '' AS outcome, 0::BIGINT AS granted, []::STRUCT(t BIGINT, u BIGINT, q BIGINT, failed BOOLEAN)[] AS log, '' AS p, 0::BIGINT AS used, NULL::BIGINT AS stored
+  UNION ALL SELECT i, event_id, CASE WHEN outcome = 'executed' AND granted = 0 THEN 'exhausted' ELSE outcome END, granted,
+    CASE WHEN outcome = 'executed' AND granted > 0 THEN list_append(near, {{'t': t, 'u': u, 'q': q, 'failed': failed}}) ELSE near END, p, used + granted, CASE WHEN outcome = 'executed' THEN lim ELSE stored END
+  FROM (SELECT *, CASE WHEN outcome = 'executed' THEN least(n, greatest(0, lim - used)) ELSE 0 END::BIGINT AS granted
+  FROM (SELECT *, CASE WHEN len(list_filter(near, lambda x: x.u = u AND x.t >= t - 3600000000)) >= 12 THEN 'capped' WHEN used >= coalesce(stored, lim) THEN 'exhausted' WHEN len(list_filter(near, lambda x: x.q = q AND NOT x.failed)) > 0 THEN 'recent' ELSE 'executed' END AS outcome
+  FROM (SELECT e.*, list_filter(f.log, lambda x: x.t >= e.t - 21600000000) AS near, CASE WHEN e.p = f.p THEN f.used ELSE 0 END AS used, CASE WHEN e.p = f.p THEN f.stored END AS stored FROM f JOIN e ON e.i = f.i + 1))))
+SELECT event_id, outcome, granted FROM f WHERE i > 0"""
+
+
+@query(_RUNS.format(start=f"epoch_us(TIMESTAMP '{_START}')"))
+def h_live_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly cap, repeat rule and monthly quota as one decision; only executed runs enter the logs."""
+    e = T.load(spark, d, "events")
+    start = F.unix_micros(F.lit(_START).cast("timestamp"))
+    at = F.timestamp_micros(start + F.floor((F.unix_micros("ts") - start) / 16))
+    runs = e.select("event_id", (F.col("user_id") % 10).alias("user"), (F.col("event_id") % 600).alias("query"), (F.col("event_id") % 4 + 1).alias("n"), (F.col("event_type") == "error").alias("failed"), at.alias("at"))
+    out, _ = TM.live_runs(runs, 5000 + 100 * (F.col("event_id") % 3), seq="event_id")
+    return out.select("event_id", "outcome", "granted")
+
+
 _DAY, _WEEK = 86_400_000_000, 7 * 86_400_000_000
 _REPORTS = f"""WITH RECURSIVE {_dense_sql(10, 4, "error")},
 f AS (SELECT event_id, k, o, n, 'reported' AS outcome, [{{'t': t, 'o': o}}] AS filed FROM e WHERE n = 1
