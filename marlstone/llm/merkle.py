@@ -90,7 +90,7 @@ def _placed(leaves: DataFrame, block: int) -> DataFrame:
     """``leaves`` (code, key, leaf, kept) with pos, their place in their group, and size, the group's leaves, dealt by aligned blocks."""
     n = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["code", "key", "leaf", "row"]
-    leaves = leaves.withColumn("row", F.monotonically_increasing_id())
+    leaves = cut(leaves.withColumn("row", F.monotonically_increasing_id()))  # a range sort reads its rows twice
     ranged = cut(leaves.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("row").withColumn("at", F.monotonically_increasing_id()))
     ranged = ranged.withColumn("part", F.shiftright("at", 33))
     # One row for each range and group.
