@@ -1,18 +1,18 @@
 """Substring dedup by sliding sentence spans.
 
-A span is a run of at least `SENTENCES` consecutive sentences with at least
-`LONG` words: from each sentence on the shortest such run, and up to each
-sentence the shortest such run. Every longer run that repeats is made of such
-runs, so all runs count. A sentence of `LONG` words or more is a span by itself too.
+A text is a row of sentences. Of a sentence of more than `PLAIN` words, parts that its own words
+bound are taken as sentences: a part begins at each word pair whose hash is the least of some `WINDOW` in a row, so
+the same words are cut in the same places wherever they stand. Shorter sentences are never cut.
 
-Repeats that keep to no sentences are found by runs of `LONG` - `GAP` + 1 words: of
-any `GAP` such runs in a row the one with the least hash is a span as well. The choice in
-a passage thus comes from the passage alone, and any `LONG` words that repeat
-another `LONG`, to the letter, hold an equal span.
+A span is a run of at least `SENTENCES` consecutive sentences with at least `WORDS` words: from each
+sentence on the shortest such run, and up to each sentence the shortest such run. Every longer run that repeats is made of
+such runs, so all runs count. Spans are hashed and met globally; every occurrence but the first, by doc_id and
+position, covers its sentences, and covered sentences are removed. What texts share in less than a span, a line
+or a name, is left alone.
 
-Spans are hashed and met globally; every occurrence but the first, by doc_id and
-position, covers its sentences, and covered sentences are removed. A line or two that
-texts share are no span and stay.
+A passage may begin and end inside sentences: any 50 words that repeat another 50, to the letter, hold a span, as at
+most `PLAIN` words at either end have bounds that depend on what stands around them, and the shortest span from a bound has
+at most `WORDS` - 1 + `PLAIN` words.
 
 Within an Arrow batch only the first occurrence of a hash goes to the shuffle,
 later ones are known to be repeats at once. A passage that a third of all
@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import _MULT, mix64, steps, unused, words_of
 
-SENTENCES, LONG, GAP = 2, 50, 12
+#: Sentences and words of a span at least, words of a sentence that is never cut at most, words in a row one of which begins a part of a longer one.
+SENTENCES, WORDS, PLAIN, WINDOW = 2, 15, 12, 6
 _Q = np.uint64(0xD1342543DE82EF95)
 _QINV = np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
 #: What ends a sentence, and what may close after it.
@@ -75,7 +76,31 @@ def sentences(data: np.ndarray, offsets: np.ndarray):
     return starts, ends, h, np.append(sent, m), np.searchsorted(sent, first)
 
 
-def _spans(h: np.ndarray, sent: np.ndarray, first_sentence: np.ndarray):
+def parted(h: np.ndarray, sent: np.ndarray, first_sentence: np.ndarray, plain: int = PLAIN, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Sentences as `sentences` gives them, those of more than ``plain`` words in parts."""
+    n = len(h)
+    if len(sent) < 2 or not (np.diff(sent) > plain).any():
+        return sent, first_sentence
+    pair = mix64(h + np.append(h[1:], np.uint64(0)) * _MULT[1])
+    of = np.repeat(np.arange(len(sent) - 1), np.diff(sent))
+    # Where a window would go over the end of its sentence, no choice is made.
+    least = np.full(max(n - window + 1, 0), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for k in range(window):
+        np.minimum(least, pair[k : k + len(least)], out=least)
+    inside = np.zeros(n, dtype=bool)
+    if len(least):
+        inside[: len(least)] = of[: len(least)] == of[window - 1 :]
+    begins = np.zeros(n, dtype=bool)
+    for k in range(window):
+        m = len(least)
+        begins[k : k + m] |= inside[:m] & (pair[k : k + m] == least)
+    begins &= (np.diff(sent) > plain)[of]
+    begins[sent[:-1]] = True
+    parts = np.flatnonzero(begins)
+    return np.append(parts, n), np.searchsorted(parts, sent[first_sentence])
+
+
+def _spans(h: np.ndarray, sent: np.ndarray, first_sentence: np.ndarray, words: int = WORDS):
     """(text, first sentence, sentence after the last, hash) of all spans; sentences count from 0 in their text."""
     n = len(sent) - 1
     if n <= 0:
@@ -84,14 +109,15 @@ def _spans(h: np.ndarray, sent: np.ndarray, first_sentence: np.ndarray):
     text = np.repeat(np.arange(len(first_sentence) - 1), np.diff(first_sentence))
     begin, stop = sent[:-1], sent[1:]
     i = np.arange(n)
-    upto = np.maximum(i + SENTENCES, np.searchsorted(sent, begin + LONG))
+    upto = np.maximum(i + SENTENCES, np.searchsorted(sent, begin + words))
     good = upto <= first_sentence[text + 1]
-    back = np.minimum(i + 1 - SENTENCES, np.searchsorted(sent, stop - LONG, side="right") - 1)
-    fine = (back >= first_sentence[text]) & (stop >= LONG)
-    alone = i[stop - begin >= LONG]
-    a = np.concatenate([i[good], back[fine], alone])
-    b = np.concatenate([upto[good], i[fine] + 1, alone + 1])
-    a, b = np.unique(np.stack([a, b]), axis=1) if len(a) else (a, b)
+    back = np.minimum(i + 1 - SENTENCES, np.searchsorted(sent, stop - words, side="right") - 1)
+    fine = (back >= first_sentence[text]) & (stop >= words)
+    a = np.concatenate([i[good], back[fine]])
+    b = np.concatenate([upto[good], i[fine] + 1])
+    # Each span once.
+    both = np.unique(a * (n + 1) + b)
+    a, b = both // (n + 1), both % (n + 1)
     x = _hashes(h, sent[a], sent[b])
     t = text[a] if len(a) else a
     return t, a - first_sentence[t], b - first_sentence[t], x
@@ -109,103 +135,82 @@ def _hashes(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix64((sums[b] - sums[a]) * q[a] + (b - a).astype(np.uint64) * _MULT[0])
 
 
-def _runs(h: np.ndarray, sent: np.ndarray, first_sentence: np.ndarray):
-    """(text, first word, word after the last, hash) of the chosen runs of words; words count from 0 in their text."""
-    size = LONG - GAP + 1
-    first, n, e = sent[first_sentence], len(h) - LONG + 1, np.zeros(0, dtype=np.int64)
-    if n <= 0:
-        return e, e, e, np.zeros(0, dtype=np.uint64)
-    a = np.arange(len(h) - size + 1)
-    text = np.searchsorted(first, a, side="right") - 1
-    # No run goes over the end of a text, and no choice is made where one would.
-    x = _hashes(h, a, a + size) | np.uint64(1)
-    x[a + size > first[text + 1]] = 0
-    least = x[:n].copy()
-    for k in range(1, GAP):
-        np.minimum(least, x[k : k + n], out=least)
-    most = np.zeros(len(x), dtype=np.uint64)
-    for k in range(GAP):
-        np.maximum(most[k : k + n], least, out=most[k : k + n])
-    a = np.flatnonzero((most == x) & (x > 0))
-    t = text[a]
-    return t, a - first[t], a - first[t] + size, mix64(x[a])
-
-
-def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column("doc_id").to_numpy()
-        parts = []
-        for r, _, data, offsets in steps(batch.column("text")):
-            _, _, h, sent, firsts = sentences(data, offsets)
-            for words, (t, a, b, x) in enumerate((_spans(h, sent, firsts), _runs(h, sent, firsts))):
-                parts.append((ids[r + t], a, b, x, np.full(len(t), bool(words))))
-        if not parts:
-            continue
-        d, a, b, x, words = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.lexsort((a, d, x))
-        d, a, b, x, words = d[order], a[order], b[order], x[order], words[order]
-        new = np.ones(len(x), dtype=bool)
-        new[1:] = x[1:] != x[:-1]
-        head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(x) else np.zeros(0, dtype=np.int64)
-        repeat = (d != d[head]) | (a != a[head])
-        # A known repeat needs no meeting: it gets a key of its own.
-        own = mix64(x ^ mix64(d.astype(np.uint64) * _Q + a.astype(np.uint64)))
-        key = np.where(repeat, own, x).astype(np.int64)
-        # In one number, as most of what is shuffled are these rows: a span has at most `LONG` sentences or words, but for a lone sentence.
-        place = (a << 10) | ((b - a) << 2) | (words.astype(np.int64) << 1) | repeat
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(d), pa.array(place)], names=["h", "doc_id", "place"])
-
-
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, a, b, words): sentences, or words, a to b - 1 of the document repeat an earlier span."""
-    texts = docs.filter("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = texts.mapInArrow(_span_rows, "h long, doc_id long, place long")
-    a = F.shiftright("place", 10)
-    turn = F.dense_rank().over(Window.partitionBy("h").orderBy("doc_id", a))
+def _span_rows(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column("doc_id").to_numpy(), batch.column("text_key").to_numpy()
+            parts = []
+            for r, _, data, offsets in steps(batch.column("text")):
+                _, _, h, sent, firsts = sentences(data, offsets)
+                t, a, b, x = _spans(h, *parted(h, sent, firsts), words)
+                parts.append((ids[r + t], texts[r + t], a, b, x))
+            if not parts:
+                continue
+            d, own, a, b, x = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.lexsort((a, own, d, x))
+            d, own, a, b, x = d[order], own[order], a[order], b[order], x[order]
+            new = np.ones(len(x), dtype=bool)
+            new[1:] = x[1:] != x[:-1]
+            head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(x) else np.zeros(0, dtype=np.int64)
+            repeat = (d != d[head]) | (own != own[head]) | (a != a[head])
+            # A known repeat needs no meeting: it gets a key of its own.
+            key = np.where(repeat, mix64(x ^ mix64(d.astype(np.uint64) * _Q + a.astype(np.uint64) + own.astype(np.uint64))), x).astype(np.int64)
+            # In one number, as most of what is shuffled are these rows; a span has at most max(WORDS, SENTENCES) sentences.
+            place = (a << 17) | ((b - a) << 1) | repeat
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(d), pa.array(own), pa.array(place)], names=["h", "doc_id", "text_key", "place"])
+
+    return run
+
+
+def repeated_spans(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, text_key, a, b): sentences a to b - 1 of the text of that key, the hash of doc_id's text, repeat an earlier span."""
+    texts = docs.filter("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    spans = texts.mapInArrow(_span_rows(words), "h long, doc_id long, text_key long, place long")
+    a = F.shiftright("place", 17)
+    turn = F.dense_rank().over(Window.partitionBy("h").orderBy("doc_id", "text_key", a))
     again = spans.withColumn("turn", turn).filter("place & 1 = 1 or turn > 1")
-    size = F.shiftright("place", 2).bitwiseAND(F.lit(255))
-    return again.select("doc_id", a.cast("int").alias("a"), (a + size).cast("int").alias("b"), (F.col("place").bitwiseAND(F.lit(2)) == 2).alias("words"))
+    return again.select("doc_id", "text_key", a.cast("int").alias("a"), (a + F.shiftright("place", 1).bitwiseAND(F.lit(65535))).cast("int").alias("b"))
 
 
-def _without(text: pa.Array, spans: pa.Array, windows: pa.Array) -> pa.Array:
+def _without(text: pa.Array, spans: pa.Array) -> pa.Array:
     kept, total, gone = [], [], []
-    rows, words = spans.to_pylist(), windows.to_pylist()
+    rows = spans.to_pylist()
     for r, e, data, offsets in steps(text):
-        starts, _, _, sent, firsts = sentences(data, offsets)
+        starts, _, h, sent, firsts = sentences(data, offsets)
+        part, first_parts = parted(h, sent, firsts)
         for i in range(e - r):
-            lo, hi = int(firsts[i]), int(firsts[i + 1])
-            at = sent[lo : hi + 1] - sent[lo]  # the words at which sentences begin
-            drop = np.zeros(at[-1], dtype=bool)
+            lo, hi = int(first_parts[i]), int(first_parts[i + 1])
+            total.append(int(firsts[i + 1] - firsts[i]))
+            drop = np.zeros(hi - lo, dtype=bool)
             for s in rows[r + i] or ():
-                drop[at[min(s["a"], hi - lo)] : at[min(s["b"], hi - lo)]] = True
-            for s in words[r + i] or ():
                 drop[s["a"] : s["b"]] = True
-            total.append(hi - lo)
             if not drop.any():
                 gone.append(0)
                 kept.append(data[offsets[i] : offsets[i + 1]].tobytes().decode())
                 continue
-            gone.append(len(np.unique(np.searchsorted(at, np.flatnonzero(drop), side="right"))))
-            edges = np.append(starts[sent[lo] : sent[hi]], offsets[i + 1])
+            at = part[lo:hi][drop]  # first words of what goes, and so the sentences that lose it
+            gone.append(len(np.unique(np.searchsorted(sent, at, side="right"))))
+            edges = np.append(starts[part[lo:hi]], offsets[i + 1])
             edges[0] = offsets[i]
             turns = np.flatnonzero(np.diff(np.concatenate([[True], drop, [True]]).astype(np.int8))).reshape(-1, 2)
             kept.append(b"".join(data[edges[j] : edges[k]].tobytes() for j, k in turns).decode())
     return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=["text", "n_sentences", "n_removed"])
 
 
-def dedup_substrings(docs: DataFrame) -> DataFrame:
-    """One row per input row: ``docs`` with repeated passages cut from ``text``, plus n_sentences and n_removed, the sentences that lose words.
+def dedup_substrings(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """One row per input row: ``docs`` with repeated passages cut from ``text``, plus n_sentences and n_removed, the sentences that go, wholly or in part.
 
-    The first occurrence, by doc_id and position, stays. A text whose every
+    The first occurrence, by doc_id (a number) and position, stays; spans have ``words`` words at least. A text whose every
     sentence repeats becomes empty. Null texts stay null, texts without words
-    and rows without doc_id stay as they are. Rows with one doc_id count as one
-    document. Input columns named n_sentences or n_removed are replaced.
+    and rows without doc_id stay as they are. Rows of one doc_id and text are one
+    document; other texts of that doc_id are documents of their own, in no order that matters. Input columns named n_sentences or n_removed are replaced.
     """
     rest = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    spans, words, result = unused(docs, "spans_to_cut"), unused(docs, "words_to_cut"), unused(docs, "cut_result")
-    span = F.struct("a", "b")
-    cuts = repeated_spans(docs).groupBy("doc_id").agg(F.collect_set(F.when(~F.col("words"), span)).alias(spans), F.collect_set(F.when(F.col("words"), span)).alias(words))
+    spans, key, result = unused(docs, "spans_to_cut"), unused(docs, "text_key"), unused(docs, "cut_result")
+    cuts = repeated_spans(docs, words).groupBy("doc_id", F.col("text_key").alias(key)).agg(F.collect_set(F.struct("a", "b")).alias(spans))
+    cuts = cuts.withColumnRenamed("doc_id", own := unused(docs, "doc_of_spans"))
     without = F.arrow_udf(_without, "struct<text string, n_sentences long, n_removed long>")
-    out = docs.select(*rest).join(cuts, "doc_id", "left").withColumn(result, without("text", spans, words))
+    keyed = docs.select(*rest).withColumn(key, F.xxhash64("text"))
+    out = keyed.join(cuts.withColumnRenamed(key, f"{key}_"), (F.col("doc_id") == F.col(own)) & (F.col(key) == F.col(f"{key}_")), "left").withColumn(result, without("text", spans))
     out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.col(result)["text"]))
     return out.select(*rest, F.col(result)["n_sentences"].alias("n_sentences"), F.col(result)["n_removed"].alias("n_removed"))
