@@ -81,8 +81,10 @@ def parted(h: np.ndarray, sent: np.ndarray, first_sentence: np.ndarray, plain: i
     n = len(h)
     if len(sent) < 2 or not (np.diff(sent) > plain).any():
         return sent, first_sentence
-    pair = mix64(h + np.append(h[1:], np.uint64(0)) * _MULT[1])
     of = np.repeat(np.arange(len(sent) - 1), np.diff(sent))
+    after = np.append(h[1:], np.uint64(0))
+    after[sent[1:] - 1] = 0  # pairs stay within their sentence
+    pair = mix64(h + after * _MULT[1])
     # Where a window would go over the end of its sentence, no choice is made.
     least = np.full(max(n - window + 1, 0), np.iinfo(np.uint64).max, dtype=np.uint64)
     for k in range(window):

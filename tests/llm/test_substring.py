@@ -20,10 +20,10 @@ def bounds(words, text):
     out = set(begins)
     for s, e in zip(begins, [*begins[1:], len(words)], strict=True):
         if e - s > substring.PLAIN:
-            hashes = pair_hashes([w for _, w in words])
-            for k in range(s, e - substring.WINDOW + 1):
+            hashes = pair_hashes([w for _, w in words[s:e]])
+            for k in range(e - s - substring.WINDOW + 1):
                 window = hashes[k : k + substring.WINDOW]
-                out |= {k + j for j, x in enumerate(window) if x == min(window)}
+                out |= {s + k + j for j, x in enumerate(window) if x == min(window)}
     return [*sorted(out), len(words)]
 
 
