@@ -10,9 +10,9 @@ such runs, so all runs count. Spans are hashed and met globally; every occurrenc
 position, covers its sentences, and covered sentences are removed. What texts share in less than a span, a line
 or a name, is left alone.
 
-A passage may begin and end inside sentences: any 50 words that repeat another 50, to the letter, hold a span, as at
-most `PLAIN` words at either end have bounds that depend on what stands around them, and the shortest span from a bound has
-at most `WORDS` - 1 + `PLAIN` words.
+A passage may begin and end inside sentences: any 51 words that repeat another 51, to the letter, hold a span, as at
+most `PLAIN` words at its beginning and `WINDOW` + 1 at its end have bounds that depend on what stands around them, and the shortest
+span from a bound has at most `WORDS` - 1 + `PLAIN` words.
 
 Within an Arrow batch only the first occurrence of a hash goes to the shuffle,
 later ones are known to be repeats at once. A passage that a third of all
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import _MULT, mix64, steps, unused, words_of
 
 #: Sentences and words of a span at least, words of a sentence that is never cut at most, words in a row one of which begins a part of a longer one.
-SENTENCES, WORDS, PLAIN, WINDOW = 2, 15, 12, 6
+SENTENCES, WORDS, PLAIN, WINDOW = 2, 15, 12, 12
 _Q = np.uint64(0xD1342543DE82EF95)
 _QINV = np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
 #: What ends a sentence, and what may close after it.
@@ -150,14 +150,15 @@ def _span_rows(words: int):
                 continue
             d, own, a, b, x = (np.concatenate(c) for c in zip(*parts, strict=True))
             order = np.lexsort((a, own, d, x))
-            d, own, a, b, x = d[order], own[order], a[order], b[order], x[order]
             new = np.ones(len(x), dtype=bool)
-            new[1:] = x[1:] != x[:-1]
-            head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(x) else np.zeros(0, dtype=np.int64)
+            new[1:] = x[order[1:]] != x[order[:-1]]
+            head = np.zeros(len(x), dtype=np.int64)
+            head[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(x) else 0
             repeat = (d != d[head]) | (own != own[head]) | (a != a[head])
             # A known repeat needs no meeting: it gets a key of its own.
             key = np.where(repeat, mix64(x ^ mix64(d.astype(np.uint64) * _Q + a.astype(np.uint64) + own.astype(np.uint64))), x).astype(np.int64)
-            # In one number, as most of what is shuffled are these rows; a span has at most max(WORDS, SENTENCES) sentences.
+            # Most of what is shuffled are these rows: the place is one number, as a span has at most max(WORDS, SENTENCES)
+            # sentences, and a text's rows stay together, where they compress well.
             place = (a << 17) | ((b - a) << 1) | repeat
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(d), pa.array(own), pa.array(place)], names=["h", "doc_id", "text_key", "place"])
 
@@ -165,27 +166,30 @@ def _span_rows(words: int):
 
 
 def repeated_spans(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, text_key, a, b): sentences a to b - 1 of the text of that key, the hash of doc_id's text, repeat an earlier span."""
+    """(doc_id, text_key, span): of the text of that key, the hash of doc_id's text, span & 65535 sentences from span >> 16 on repeat an earlier span."""
     texts = docs.filter("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     spans = texts.mapInArrow(_span_rows(words), "h long, doc_id long, text_key long, place long")
     a = F.shiftright("place", 17)
     turn = F.dense_rank().over(Window.partitionBy("h").orderBy("doc_id", "text_key", a))
     again = spans.withColumn("turn", turn).filter("place & 1 = 1 or turn > 1")
-    return again.select("doc_id", "text_key", a.cast("int").alias("a"), (a + F.shiftright("place", 1).bitwiseAND(F.lit(65535))).cast("int").alias("b"))
+    return again.select("doc_id", "text_key", F.shiftright("place", 1).alias("span"))
 
 
 def _without(text: pa.Array, spans: pa.Array) -> pa.Array:
     kept, total, gone = [], [], []
-    rows = spans.to_pylist()
+    size = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, ends = spans.flatten().to_numpy(zero_copy_only=False), np.cumsum(size)
     for r, e, data, offsets in steps(text):
         starts, _, h, sent, firsts = sentences(data, offsets)
         part, first_parts = parted(h, sent, firsts)
         for i in range(e - r):
             lo, hi = int(first_parts[i]), int(first_parts[i + 1])
             total.append(int(firsts[i + 1] - firsts[i]))
-            drop = np.zeros(hi - lo, dtype=bool)
-            for s in rows[r + i] or ():
-                drop[s["a"] : s["b"]] = True
+            own = flat[ends[r + i] - size[r + i] : ends[r + i]]
+            edge = np.zeros(hi - lo + 1, dtype=np.int64)
+            np.add.at(edge, own >> 16, 1)
+            np.add.at(edge, (own >> 16) + (own & 65535), -1)
+            drop = np.cumsum(edge)[:-1] > 0
             if not drop.any():
                 gone.append(0)
                 kept.append(data[offsets[i] : offsets[i + 1]].tobytes().decode())
@@ -209,7 +213,7 @@ def dedup_substrings(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """
     rest = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
     spans, key, result = unused(docs, "spans_to_cut"), unused(docs, "text_key"), unused(docs, "cut_result")
-    cuts = repeated_spans(docs, words).groupBy("doc_id", F.col("text_key").alias(key)).agg(F.collect_set(F.struct("a", "b")).alias(spans))
+    cuts = repeated_spans(docs, words).groupBy("doc_id", F.col("text_key").alias(key)).agg(F.collect_set("span").alias(spans))
     cuts = cuts.withColumnRenamed("doc_id", own := unused(docs, "doc_of_spans"))
     without = F.arrow_udf(_without, "struct<text string, n_sentences long, n_removed long>")
     keyed = docs.select(*rest).withColumn(key, F.xxhash64("text"))
