@@ -100,7 +100,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> tup
     share = lambda c: np.log((c + SMOOTHING) / (c.sum() + SMOOTHING * BUCKETS))
     log_ratio = share(good) - share(raw)
     scored = cut(docs.select("doc_id", log_weight(log_ratio)("text").alias("log_weight")))
-    held = scored.join(F.broadcast(known.filter("held and quality = 1")), "doc_id").agg(F.sort_array(F.collect_list("log_weight")).alias("w")).first()["w"] or []
+    # One weight a label, the least of its rows, so at most ``max_labels`` however often a doc_id comes.
+    own = scored.join(F.broadcast(known.filter("held and quality = 1")), "doc_id").groupBy("doc_id").agg(F.min("log_weight").alias("w"))
+    held = sorted(r["w"] for r in own.select("w").collect())
     level = held[math.floor(LOSS * len(held))] if held and good.sum() else -math.inf
     return Model(log_ratio, level), scored
 

@@ -3,9 +3,11 @@
 Three base patterns find assignments, access keys and hex runs. On top, texts
 are lexed as source or configuration syntax into name-literal pairs (quoted,
 prefixed, triple-quoted, concatenated and bare values; names with dots, quotes, brackets,
-camel case; elements and key-value attributes of XML; command-line flags);
-names assigned to names carry their constant along; and each literal is scored
+camel case; elements and key-value attributes of XML; command-line flags; calls, whose function or
+first literal is the name; lists and tuples, element by element; definitions; indented blocks);
+names assigned to names carry their constant along, in joins and templates too; and each literal is scored
 by how sensitive its target name is and how much it looks like a credential.
+Private keys in PEM, passwords in URLs and tokens of an Authorization header say themselves what they are.
 """
 
 from __future__ import annotations
@@ -41,12 +43,28 @@ _PAIR = re.compile(
 )
 # A join goes on in the next line after its sign, or with its sign indented there: a diff's + is not, a sentence's stop has no space before it.
 _LINE = r"\\?\r?\n[\x20\t]*"
-_JOIN = rf"[\x20\t]*(?:\+|\.\.?)[\x20\t]*|[\x20\t]*(?:\+|\.\.|(?<=[\x20\t])\.)[\x20\t]*{_LINE}|[\x20\t]*\r?\n[\x20\t]+(?:\+|\.\.?)[\x20\t]*|[\x20\t]*\\\r?\n[\x20\t]*"
+_JOIN = rf"[\x20\t]*(?:\+|\.\.?|\|\||\?\?)[\x20\t]*|[\x20\t]*(?:\+|\.\.|(?<=[\x20\t])\.)[\x20\t]*{_LINE}|[\x20\t]*\r?\n[\x20\t]+(?:\+|\.\.?)[\x20\t]*|[\x20\t]*\\\r?\n[\x20\t]*"
 _MORE = re.compile(rf"(?:{_JOIN})({_STRING}|{_NAME})", re.ASCII)
 #: Names and values that no sign joins: elements, attributes by key and value, and flags.
 _ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*+)(?:\s[^<>]*+)?+>([^<>]++)</", re.ASCII)
 _KEYED = re.compile(r"""\b(?:key|name)\s*+=\s*+["']([\w.:$ -]++)["']\s++value\s*+=\s*+(?:"([^"<>\n]*+)"|'([^'<>\n]*+)')""", re.ASCII)
 _FLAG = re.compile(rf"(?<![\w-])--?([A-Za-z][\w-]*+)[ \t]++(?!-)({_STRING}|[^\s\"'`;|&<>()]++)", re.ASCII)
+#: Calls with literals among their first arguments; a sign and a literal may follow, as in `env("X") || "default"`.
+_CALL = re.compile(rf"(?P<name>{_NAME})\((?P<args>[\x20\t]*(?:{_STRING}|{_NAME})(?:[\x20\t]*,[\x20\t]*(?:{_STRING}|{_NAME}))?+)?[\x20\t]*(?:\)[\x20\t]*(?:\|\||\?\?|\bor\b)[\x20\t]*(?P<other>{_STRING}))?", re.ASCII)
+_ASSIGNED = re.compile(r"""["'\]]?[\x20\t]*(?::=|=>|=|:)[\x20\t]*(?:new\x20|await\x20)?$""")
+_OR = re.compile(rf"(?P<name>{_NAME})[\x20\t]*(?::=|=>|=|:)[\x20\t]*{_NAME}[\x20\t]*(?:\|\||\?\?|\bor\b)[\x20\t]*(?P<value>{_STRING})", re.ASCII)
+_READS = re.compile(r"(?i)(?:^|[._:])(?:get_?env|env|environ\.get|fetch|get|get_?property|lookup|config)$")
+#: `name = ["...", "..."]`, `a, b = "...", "..."`, `#define NAME "..."`, `IDENTIFIED BY '...'`, and a key whose value is on the next lines.
+_SERIES = rf"{_STRING}(?:\s*+,\s*+{_STRING})*+"
+_LIST = re.compile(rf"(?:[\"'](?P<quoted>[\w.$@-]++)[\"']|(?P<name>{_NAME}))[\x20\t]*(?::=|=>|=|:)[\x20\t]*[\[({{]\s*+(?P<values>{_SERIES})", re.ASCII)
+_TUPLE = re.compile(rf"(?P<names>{_NAME}(?:[\x20\t]*,[\x20\t]*{_NAME})++)[\x20\t]*=[\x20\t]*\(?(?P<values>{_SERIES})", re.ASCII)
+_DEFINE = re.compile(rf"#[\x20\t]*define[\x20\t]++(\w++)[\x20\t]++\(?({_STRING}|[^\s\"'()]++)", re.ASCII)
+_SQL = re.compile(rf"\b(?ai:IDENTIFIED\s++(?:WITH\s++\w++\s++)?(?:BY|AS)(?:\s++PASSWORD)?|PASSWORD)\s++({_STRING})")
+_BLOCK = re.compile(r"""^([\x20\t]*+)(?:-\x20++)?["']?([A-Za-z_][\w.-]*+)["']?[\x20\t]*+(?::|=>?)[\x20\t]*+([|>][+-]?\d?)?[\x20\t]*+\r?\n""", re.ASCII | re.MULTILINE)
+_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]++ ){0,4}?PRIVATE KEY(?: BLOCK)?-----((?:[^-]|-(?!----))*+)-----END")
+_URL = re.compile(r"""(?<![\w+.-])[A-Za-z][\w+.-]{1,30}://[^\s:@/"'<>]*+:([^\s@/"'<>]++)@""", re.ASCII)
+_BEARER = re.compile(r"""\b(?ai:Authorization["']?\s*+[:=,]\s*+["']?(?:Bearer|Basic|Token)|Bearer)\x20++([\w.~+/=-]{8,})""")
+_STRINGS, _NAMES, _TEMPLATE = re.compile(_STRING), re.compile(_NAME, re.ASCII), re.compile(r"\$?\{([A-Za-z_]\w*+)\}")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: Parts of names and how sensitive they make the target.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.7, "mnemonic": 0.8, "phrase": 0.5, "seed": 0.4, "secret": 1.0, "secrets": 1.0, "token": 0.8, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.5, "bearer": 0.8, "private": 0.5, "signing": 0.5, "encryption": 0.5, "access": 0.4, "client": 0.2, "api": 0.4, "key": 0.5, "pat": 0.4, "jwt": 0.6, "dsn": 0.4, "salt": 0.4}
@@ -104,12 +122,84 @@ def _stated(text: str) -> Iterator[tuple[str, str, int]]:
         for m in _KEYED.finditer(text):
             k = 2 if m[2] is not None else 3
             yield m[1], m[k], m.start(k)
+    if "(" in text:
+        yield from _called(text)
+    if '"' in text or "'" in text or "`" in text or "#" in text:
+        yield from _grouped(text)
+    if ":" in text or "=" in text:
+        yield from _blocks(text)
     if "-" in text:
         for m in _FLAG.finditer(text):
             a, b = _inside(m[2]) or (0, len(m[2]))
             yield m[1], m[2][a:b], m.start(2) + a
 
 
+def _literal(v: str, start: int) -> tuple[str, int]:
+    """A value without its quotes and outer blanks, and where that begins."""
+    a, b = _inside(v) or (0, len(v))
+    held = v[a:b].strip()
+    return held, start + (v.find(held, a) if held else a)
+
+
+def _literals(text: str, start: int, end: int) -> list[tuple[str, int]]:
+    return [_literal(m[0], m.start()) for m in _STRINGS.finditer(text, start, end)]
+
+
+def _called(text: str) -> Iterator[tuple[str, str, int]]:
+    """Pairs of calls: by the name that they are assigned to, their first literal, or their function."""
+    for m in _CALL.finditer(text):
+        own = _literals(text, *m.span("args")) if m["args"] else []
+        reads = bool(_READS.search(m["name"]))
+        line = text.rfind("\n", max(0, m.start() - 200), m.start()) + 1
+        before = text[max(line, m.start() - 200) : m.start()]
+        target = None
+        if sign := _ASSIGNED.search(before):
+            target = next(reversed(_NAMES.findall(before[: sign.start()])), None)
+        values = own[1:] if len(own) > 1 or reads else own
+        if m["other"]:
+            values = [*values, _literal(m["other"], m.start("other"))]
+        for v, at in values:
+            if target:
+                yield target, v, at
+            yield (own[0][0] if len(own) > 1 or (reads and own) else m["name"]), v, at
+        if len(own) == 1 and not reads:
+            yield m["name"], *own[0]
+
+
+def _grouped(text: str) -> Iterator[tuple[str, str, int]]:
+    """Pairs of lists, tuples, definitions, SQL and defaults after a sign."""
+    for m in _LIST.finditer(text):
+        yield from ((m["quoted"] or m["name"], v, at) for v, at in _literals(text, *m.span("values")))
+    for m in _TUPLE.finditer(text):
+        yield from ((name, v, at) for name, (v, at) in zip(_NAMES.findall(m["names"]), _literals(text, *m.span("values")), strict=False))
+    for m in _DEFINE.finditer(text):
+        yield m[1], *_literal(m[2], m.start(2))
+    for m in _SQL.finditer(text):
+        yield "password", *_literal(m[1], m.start(1))
+    for m in _OR.finditer(text):
+        yield m["name"], *_literal(m["value"], m.start("value"))
+
+
+def _blocks(text: str) -> Iterator[tuple[str, str, int]]:
+    """Pairs of keys whose value is on the next line, or, after `|` or `>`, on all lines that are indented more."""
+    at = 0
+    while m := _BLOCK.search(text, at):
+        at = m.end()
+        while name_score(m[2]) and at < len(text):
+            end = text.find("\n", at)
+            end = len(text) if end < 0 else end
+            line = text[at:end]
+            held = line.strip()
+            if held and len(line) - len(line.lstrip()) <= len(m[1]):
+                break
+            if held and (m[3] or not re.match(r"[\w.-]++[\"']?\s*+[:=](?:\s|$)", held)):
+                value = held.strip("\"',")
+                yield m[2], value, at + line.find(value)
+            if not m[3]:
+                break
+            at = end + 1
+
+
 #: Longer than any word of `_DULL`, whose other patterns look at the beginning and the end.
 HEAD = 64
 
@@ -165,10 +255,16 @@ def lexed(text: str) -> list[tuple[int, int]]:
             if own := _inside(v):
                 held = v[own[0] : own[1]].strip()
                 begin = start + v.find(held, own[0])
-                pieces.append((held, begin, begin + len(held)))
+                # A template takes up constants; where it is nothing else, it is no literal.
+                taken_up = [constants[n] for n in _TEMPLATE.findall(held) if n in constants] if "{" in held else []
+                if not taken_up or _TEMPLATE.sub("", held):
+                    pieces.append((held, begin, begin + len(held)))
+                pieces += taken_up
             elif v in constants:
                 pieces.append(constants[v])
-            elif len(parts) == 1:
+            elif any(n in constants for n in re.split(r"\+|\|\||\?\?", v)):
+                pieces += [constants[n] for n in re.split(r"\+|\|\||\?\?", v) if n in constants]
+            elif len(parts) == 1 and text[at : at + 1] != "(":  # a call's name is no value
                 pieces.append((v, start, start + len(v)))
         value = constants[name] = pieces[0] if len(pieces) == 1 and isinstance(pieces[0], Literal) else Literal(pieces)
         values.append(value)  # keeps it, so that its id is its own
@@ -187,10 +283,17 @@ def lexed(text: str) -> list[tuple[int, int]]:
                         found.add(p)
     # The name in a keyed attribute is no value, although `key` is a name.
     found -= {(m.start(1), m.end(1)) for m in _KEYED.finditer(text)} if "value" in text else set()
+    # In a tuple the name before the sign isn't the first value's.
+    for m in _TUPLE.finditer(text) if "," in text and "=" in text else ():
+        v, start = _literals(text, *m.span("values"))[0]
+        found.discard((start, start + len(v)))
     for name, v, start in _stated(text):
         s = name_score(name)
         if v and s and (s + literal_score(v) >= THRESHOLD + 0.3 or _is_phrase(name, v)):
             found.add((start, start + len(v)))
+    found |= {m.span(1) for m in _PEM.finditer(text)} if "PRIVATE KEY" in text else set()
+    found |= {m.span(1) for m in _URL.finditer(text) if not _DULL.match(m[1]) and m[1].lower() not in SENSITIVE and not m[1].isdigit()} if "://" in text else set()
+    found |= {m.span(1) for m in _BEARER.finditer(text) if literal_score(m[1]) > 0.5} if " " in text else set()
     return sorted(found)
 
 
@@ -201,7 +304,7 @@ def spans_of(text: str | None) -> list[tuple[int, str, int]]:
     out = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8] if ":" in text or "=" in text else []
     out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    if ":" in text or "=" in text or "</" in text or " -" in text or text.startswith("-"):
+    if any(x in text for x in (":", "=", "</", " -", "(", "#", "'", '"')) or text.startswith("-"):
         out += [(a, 3, b) for a, b in lexed(text)]
     return [(a, KINDS[k], b) for a, k, b in sorted(out)]
 
