@@ -26,7 +26,7 @@ def cyclic_weight(rank: Column) -> Column:
     return (rank % 3 + 1).cast("double")
 
 
-def _plan(docs: DataFrame, seed: int) -> DataFrame:
+def _plan(docs: DataFrame, seed: int, keyed: bool = False) -> DataFrame:
     # A source's key: code point order, null last, never null.
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source"))
     return docs.select(
@@ -35,6 +35,7 @@ def _plan(docs: DataFrame, seed: int) -> DataFrame:
         key.alias("src"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 16).alias("k"),
+        *([F.xxhash64("text").alias("text_key")] if keyed else []),
     )
 
 
@@ -87,16 +88,16 @@ def _end(copies: DataFrame, budget: float) -> int | None:
     return ends.withColumn("upto", upto).filter(F.col("upto") > F.lit(budget)).agg(F.min("f")).first()[0]
 
 
-def mix(docs: DataFrame, share: float = 1.0, max_repeats: int = 3, weights: dict[str, float] | None = None, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.0, max_repeats: int = 3, weights: dict[str, float] | None = None, seed: int = 17, keyed: bool = False) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, finish, taken, copies.
 
     ``taken`` is size times ``copies``, the number of passes in which the mix
     takes the document. Null text has size 0, null sources are one source, a
     source of weight 0 or without words has taken 0. Repeated rows count as
     documents of their own, whose keys are equal; equal shuffle keys go by size. An empty table gives
-    no rows. Same input and seed, same mix.
+    no rows. Same input and seed, same mix. With ``keyed`` the hash of the text is a column, text_key.
     """
-    plan = cut(_plan(docs, seed))
+    plan, key = cut(_plan(docs, seed, keyed)), ["text_key"] if keyed else []
     goal = targets(plan, share, max_repeats, weights)
     order = ["k", "size", "doc_id", "row"]
     plan = cut(_ranged(plan.withColumn("row", F.monotonically_increasing_id()), "src", *order))
@@ -106,7 +107,7 @@ def mix(docs: DataFrame, share: float = 1.0, max_repeats: int = 3, weights: dict
     sums = sums.join(goal, "src", "left")
     inside = Window.partitionBy("src", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sent = F.col("before") + F.sum("size").over(inside)
-    rows = cut(plan.join(sums, ["src", "part"]).withColumn("sent", sent).select("doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), "sent"))
+    rows = cut(plan.join(sums, ["src", "part"]).withColumn("sent", sent).select("doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), "sent", *key))
 
     def finish(copy: int) -> Column:
         t = F.floor((F.lit(copy) * F.col("source_size") + F.col("sent")).cast("double") / F.col("target") * F.lit(float(UNIT)))
@@ -118,7 +119,7 @@ def mix(docs: DataFrame, share: float = 1.0, max_repeats: int = 3, weights: dict
     limit = _end(copies, budget * share)
     taken = [F.coalesce(F.col(f"f{c}") < F.lit(limit if limit is not None else 2**62), F.lit(False)).cast("long") for c in range(max_repeats)]
     out = rows.withColumn("copies", sum(taken[1:], taken[0]))
-    return out.select("doc_id", "source", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), "target", F.col("f0").alias("finish"), (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return out.select("doc_id", "source", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), "target", F.col("f0").alias("finish"), (F.col("size") * F.col("copies")).alias("taken"), "copies", *key)
 
 
 def mixed_stream(docs: DataFrame, **options) -> DataFrame:
@@ -126,3 +127,18 @@ def mixed_stream(docs: DataFrame, **options) -> DataFrame:
     plan = mix(docs, **options)
     copy = F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("copy")
     return plan.filter("copies > 0").select("doc_id", "source", "size", "source_size", "target", "finish", copy).withColumn("finish", F.col("finish") + (F.col("copy") * F.col("source_size") / F.col("target") * F.lit(float(UNIT))).cast("long")).orderBy("finish", "doc_id", "copy")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents that the mix takes, with all their columns and size, source_size, target, taken and copies: how often each is to be read.
+
+    Rows with one doc_id, source and text come out as one, with the copies of all. Columns of ``docs`` with those names are replaced.
+    """
+    told = ["size", "source_size", "target", "taken", "copies"]
+    own, key = [c for c in docs.columns if c.lower() not in told], ["doc_id", "source", "text_key"]
+    plan = mix(docs, keyed=True, **options).filter("copies > 0").groupBy(*key).agg(*[F.first(c).alias(c) for c in told[:3]], *[F.sum(c).alias(c) for c in told[3:]])
+    plan = plan.withColumnsRenamed({c: f"mix_{c}" for c in key})
+    rows = docs.select(*own).withColumn("mix_key", F.xxhash64("text"))
+    rows = rows.withColumn("mix_turn", F.row_number().over(Window.partitionBy("doc_id", "source", "mix_key").orderBy("mix_key"))).filter("mix_turn = 1")
+    same = F.col("doc_id").eqNullSafe(F.col("mix_doc_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_key") == F.col("mix_text_key"))
+    return rows.join(plan, same).select(*own, *told)
