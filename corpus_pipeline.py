@@ -13,7 +13,7 @@ from urllib.parse import quote
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm import decontam, minhash, mixing, quality, secrets
-from marlstone.llm.common import shared_folder, table
+from marlstone.llm.common import remove, shared_folder, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +44,12 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document that is taken, by its id, with the number of times.
+    """The mix: each document that is taken, with its text and all columns, and the number of times.
 
-    Documents without words are never taken; null sources are one source; repeated rows are documents of
-    their own; of rows with one doc_id, source and size the first ones are taken.
+    Documents without words are never taken; null sources are one source; of rows with one doc_id, source and size the
+    first ones are taken; rows with one doc_id, source and text come out as one, with the copies of all.
     """
-    return mixing.mix(docs).filter("copies > 0").select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
+    return mixing.mixed_documents(docs)
 
 
 STAGES = [
@@ -64,10 +64,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what lies between them is in the cluster's shared folder."""
+    """All stages over ``documents``. What lies between them is in the cluster's shared folder and removed when the next stage
+    is written; the table before the mix stays, as the result reads it."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{quote(name)}")
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

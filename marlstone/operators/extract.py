@@ -89,25 +89,6 @@ def gaps(**facts: Column) -> Column:
     return F.filter(F.array(*[F.when(c.isNull(), F.lit(name)) for name, c in facts.items()]), lambda x: x.isNotNull())
 
 
-def guarded_gap_fill(pages: DataFrame, model_output: DataFrame, key: str) -> DataFrame:
-    """What a model proposed for missing facts, as far as the page bears it out.
-
-    ``model_output`` has key, title, deadline_text, deadline_kind, cost_text.
-    A proposal must stand verbatim in the page; deadlines and costs are read
-    again from the quoted words, and nothing that the page already gave is
-    replaced.
-    """
-    r = pages.join(model_output, key, "left")
-    quoted = lambda c: appears_verbatim(F.col(c), F.col("text"))
-    kept = {
-        "title": F.coalesce(F.col("page_title"), F.when(quoted("title"), F.col("title"))),
-        "deadline": F.when(quoted("deadline_text"), parse_date(F.col("deadline_text"))["date"]),
-        "deadline_kind": F.when(quoted("deadline_text"), F.coalesce(date_kind(F.col("deadline_text")), F.col("deadline_kind"))),
-        "cost": F.when(quoted("cost_text"), cost(F.col("cost_text"))),
-    }
-    return r.select(key, *[c.alias(n) for n, c in kept.items()])
-
-
 #: Lists of a model's answer are read up to these lengths.
 MOST_REQUIREMENTS, MOST_BENEFITS = 10, 8
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import domains as D
 from ..functions.dates import age_on, period_key
-from ..functions.layout import checkpointed
+from ..functions.layout import Rounds
 from .folds import Accept, Budget, Quota, Report, fold_log
 
 
@@ -87,7 +87,7 @@ def live_runs(runs: DataFrame, limit: Column, cap: int = 12, cap_seconds: int =
     own = [c for c in runs.columns if c not in ("outcome", "granted")]
     rows = runs.select(*own).withColumns({"run_capped": no, "run_recent": no, "run_spent": F.struct(F.lit(0).cast("long").alias("granted"), no.alias("exhausted"))})
     clear = lambda *names: ~F.greatest(no, *[F.coalesce(F.col("run_spent.exhausted") if n == "run_spent" else F.col(n), no) for n in names])
-    rounds = 0
+    rounds, kept = 0, Rounds(runs.sparkSession)
     while True:
         before = rows.withColumn("run_before", F.struct("run_capped", "run_recent", "run_spent"))
         rows = accepted(before, "user", cap, cap_seconds, at, seq, counts=clear("run_recent", "run_spent"))
@@ -97,7 +97,7 @@ def live_runs(runs: DataFrame, limit: Column, cap: int = 12, cap_seconds: int =
         asks = clear("run_capped", "run_recent")
         rows = fold_log(rows, period_key(F.col(at)), Budget(), "run_spent", {"n": F.coalesce("n", F.lit(0)).cast("long"), "limit": F.coalesce(limit, F.lit(0)).cast("long"), "asks": asks}, at, seq)
         rounds += 1
-        rows = checkpointed(rows)
+        rows = kept.keep(rows)
         if not rows.filter(~F.col("run_before").eqNullSafe(F.struct("run_capped", "run_recent", "run_spent"))).head(1):
             break
         rows = rows.drop("run_before")

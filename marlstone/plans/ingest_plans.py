@@ -12,6 +12,7 @@ from ..operators import dml
 from ..operators import extract as E
 from ..operators import provenance as P
 from ..operators import search as S
+from ..operators.ingest import ingest_in_order
 from ..sources import tables as T
 from ..sources.tables import ctes
 from .registry import query
@@ -89,6 +90,12 @@ def k05_batch(spark: SparkSession, d: str) -> DataFrame:
     return K.batch_representatives(_records(spark, d))
 
 
+@query()
+def k05_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """The whole batch in order, each record against what earlier ones have become; every fifth is a listing already."""
+    return ingest_in_order(_records(spark, d), F.col("id") % 5 == 0)[0]
+
+
 @query("SELECT sha256(text) AS hash, min(doc_id) AS first_id, count(*)::BIGINT AS n FROM documents GROUP BY 1")
 def k_hash_groups(spark: SparkSession, d: str) -> DataFrame:
     return T.load(spark, d, "documents").groupBy(X.sha256(F.col("text")).alias("hash")).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))

@@ -163,10 +163,12 @@ def test_html_facts(spark):
 
 
 def test_model_proposals_must_stand_in_the_page(spark):
-    pages = spark.createDataFrame([(1, "Apply by 12 September 2026. The fee is £20.", None)], "id int, text string, page_title string")
-    out = spark.createDataFrame([(1, "Invented", "apply by 12 september 2026", "RESULT_DATE", "the fee is £90")], "id int, title string, deadline_text string, deadline_kind string, cost_text string")
-    r = E.guarded_gap_fill(pages, out, "id").first()
-    assert r.title is None and r.deadline == datetime(2026, 9, 12, 23, 59) and r.deadline_kind == "APPLICATION_DEADLINE" and r.cost is None
+    facts = "title string, summary string, organizer string, format string"
+    page = (1, "Apply by 12 September 2026. The fee is £20. " + "More text. " * 20, *[None] * 10, [])
+    pages = spark.createDataFrame([page], f"id int, text string, {facts}, deadline timestamp, age_min int, age_max int, cost_type string, cost_amount double, cost_currency string, requirements array<string>")
+    out = spark.createDataFrame([(1, "Invented", None, None, None, "apply by 12 september 2026", None, None, None, "the fee is £90", [], [])], f"id int, {facts}, deadline_text string, age_min int, age_max int, age_text string, cost_text string, requirements array<string>, benefits array<string>")
+    r = E.fill_gaps(pages, out, "id").first()
+    assert r.title is None and r.deadline == datetime(2026, 9, 12, 23, 59) and r.cost_type is None and r.rejected == ["title", "cost"]
 
 
 def test_sentences_to_filters(spark):
