@@ -142,6 +142,24 @@ def v_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return _provenance(spark, d).groupBy("id").agg(F.count_if("conflict").alias("conflicts"))
 
 
+_OBSERVED = f"""WITH o AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 7 ELSE event_id % 40 END AS id, {T._pick(FIELDS, 'event_id // 40')} AS field, 'v' || (event_id // 7 % 3) AS v, {T._pick(METHODS, 'event_id * 5 // 3')} AS m, ts FROM events),
+r AS (SELECT *, {_map_sql(METHOD_RANK, 'm')} AS rank FROM o),
+b AS (SELECT *, rank > coalesce(max(rank) OVER (PARTITION BY id, field ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS takes FROM r),
+c AS (SELECT *, count(*) FILTER (WHERE takes) OVER (PARTITION BY id, field ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS turn FROM b),
+d AS (SELECT *, first_value(v) OVER w AS cv, first_value(m) OVER w AS cm FROM c WINDOW w AS (PARTITION BY id, field, turn ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT *, lag(cv) OVER (PARTITION BY id, field ORDER BY ts, event_id) AS was, lag(event_id) OVER (PARTITION BY id, field ORDER BY ts, event_id) IS NOT NULL AS known, max(turn) OVER (PARTITION BY id, field) AS last FROM d)
+SELECT id, field, any_value(cv) FILTER (WHERE turn = last) AS value, any_value(cm) FILTER (WHERE turn = last) AS method, epoch_us(max(ts) FILTER (WHERE turn = last AND v = cv)) AS "at",
+  count(*) FILTER (WHERE known AND was <> v)::BIGINT AS conflicts, count(*)::BIGINT AS n FROM e GROUP BY id, field"""
+
+
+@query(_OBSERVED)
+def v04_history(spark: SparkSession, d: str) -> DataFrame:
+    """Fields after any number of observations; a third of them are of one record."""
+    k = F.col("event_id")
+    e = T.load(spark, d, "events").select(F.when(k % 3 == 0, 7).otherwise(k % 40).cast("long").alias("id"), T.pick(FIELDS, F.floor(k / 40)).alias("field"), F.concat(F.lit("v"), (F.floor(k / 7) % 3).cast("string")).alias("value"), T.pick(METHODS, F.floor(k * 5 / 3)).alias("method"), F.col("ts").alias("at"), k.alias("seq"))
+    return P.merge_history(e).withColumn("at", F.unix_micros("at"))
+
+
 @query(
     f"""WITH e AS (SELECT event_id, event_id % 2 = 0 AS t, event_id % 3 <> 0 AS dl, {T._pick(METHODS, 'event_id')} AS tm, {T._pick(METHODS, 'event_id + event_id % 2')} AS dm, event_id % 5 < 2 AS off FROM events)
 SELECT event_id, CASE WHEN dm = 'AI_EXTRACTED' THEN 'NEEDS_REVIEW' WHEN off AND tm = 'STRUCTURED_MARKUP' AND dm = 'STRUCTURED_MARKUP' THEN 'RECENTLY_VERIFIED' WHEN NOT dl OR NOT t THEN 'UNVERIFIED' WHEN off THEN 'RECENTLY_VERIFIED' ELSE 'NEEDS_REVIEW' END AS state FROM e"""

@@ -141,6 +141,28 @@ def test_three_limits_as_one_run(spark, seed, limit):
     assert {"executed", "capped", "recent"} <= {o for o, _ in want} and 1 < rounds < 40
 
 
+def test_observations_as_a_left_fold(spark, wide):
+    from marlstone.domains import METHOD_RANK
+    from marlstone.operators import provenance as P
+
+    r, rows, t = random.Random(6), [], 0
+    for k in range(1200):
+        t += r.choice([0, 1, 9])
+        methods = [m for m in METHOD_RANK if METHOD_RANK[m] < 1 + k / 250] if k % 2 else list(METHOD_RANK)[:2]
+        rows.append((t, r.choice([1, 1, 1, 2, None]), r.choice("ab"), r.choice(["x", "y", None]), r.choice(methods + ["unknown"])))
+    state, conflicts, n = {}, {}, {}
+    for t, i, f, v, m in rows:
+        k, rank = (i, f), METHOD_RANK.get(m, -1)
+        n[k], now = n.get(k, 0) + 1, state.get(k)
+        conflicts[k] = conflicts.get(k, 0) + (now is not None and now[0] != v)
+        if now is None or rank > METHOD_RANK.get(now[1], -1):
+            state[k] = (v, m, t)
+        elif now[0] == v:
+            state[k] = (v, now[1], t)
+    got = P.merge_history(log(spark, rows, "id long, field string, value string, method string")).collect()
+    assert {(x.id, x.field): (x.value, x.method, (x.at - T0).total_seconds(), x.conflicts, x.n) for x in got} == {k: (*state[k], conflicts[k], n[k]) for k in state}
+
+
 def test_edges(spark):
     schema = "seq long, at timestamp, k string, n long, accepted int"
     some = spark.createDataFrame([(1, T0, "a", 2, 7), (2, None, "a", 2, 7), (3, T0, None, None, 7), (4, T0, None, -5, 7)], schema)
