@@ -84,6 +84,11 @@ def requirements(rows: DataFrame, key: str) -> DataFrame:
     return hits.withColumn("rn", F.row_number().over(first)).filter("rn = 1").select(key, "label", F.col("sentence").alias("raw_text"))
 
 
+def markup_first(markup: DataFrame, text: DataFrame, key: str, kind: str = "kind") -> DataFrame:
+    """Dates that the markup gives, and those of the text whose kind it gives none of on the same page."""
+    return markup.unionByName(text.join(markup.select(key, kind).distinct(), [key, kind], "left_anti"))
+
+
 def gaps(**facts: Column) -> Column:
     """Names of facts that are missing, in the order given."""
     return F.filter(F.array(*[F.when(c.isNull(), F.lit(name)) for name, c in facts.items()]), lambda x: x.isNotNull())

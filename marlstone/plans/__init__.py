@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import deadline_plans, extract_plans, ingest_plans, match_plans, text_plans, time_plans  # noqa: F401
+from . import deadline_plans, detail_plans, extract_plans, ingest_plans, match_plans, text_plans, time_plans  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
