@@ -14,6 +14,7 @@ from ..operators import extract as E
 from ..operators import provenance as P
 from ..operators import temporal as TM
 from ..sources import html_reader as H
+from ..sources import keyed
 from ..sources import sinks
 from ..sources import tables as T
 from ..sources.tables import ctes
@@ -155,3 +156,11 @@ def x16_quotations(spark: SparkSession, d: str) -> DataFrame:
     part = F.substring(t, 3, 20)
     needle = F.when(k == 0, F.translate(part, "abcdefghij", "ABCDEFGHIJ")).when(k == 1, F.replace(part, F.lit(" "), F.lit("   "))).when(k == 2, F.reverse(part)).otherwise(F.substring(t, 1, 2))
     return T.load(spark, d, "conversations").select("conv_id", "turn", X.appears_verbatim(needle, t).alias("verbatim"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey IN (1, 7, 64, 999, 1500, 3001, 0)")
+def s05_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """A few orders by key, from a table that is laid out for it."""
+    name = f"orders_{uuid.uuid4().hex}"
+    keyed.write_keyed(T.load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), name, "o_orderkey", f"{shared_folder(spark)}/{name}", buckets=16)
+    return keyed.lookup(spark, name, "o_orderkey", [1, 7, 64, 999, 1500, 3001, 0, None, 7])
