@@ -123,6 +123,15 @@ class Forest:
         self.members[x] += moved
         return True
 
+    def apart(self, i: int) -> np.ndarray:
+        """The nodes after i that are not joined with it yet: of a group of copies none are left after its first node."""
+        return i + 1 + np.flatnonzero(self.root[i + 1 :] != self.root[i])
+
+
+def _agree(sig: np.ndarray, i: int, rows: np.ndarray, least: float) -> np.ndarray:
+    """Which of ``rows`` have signatures that agree with row i's on ``least`` of the minima."""
+    return (sig[rows] == sig[i]).sum(axis=1) >= least * sig.shape[1]
+
 
 def _likely(sig: np.ndarray, i: int, first: int, least: float) -> np.ndarray:
     """Rows from ``first`` on whose signatures agree with row i's on ``least`` of the minima."""
@@ -139,7 +148,8 @@ def _block_links(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Itera
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint16).reshape(len(ids), -1)
             forest = Forest(len(ids))
             for i in range(len(ids) - 1):
-                for j in _likely(sig, i, i + 1, threshold - SLACK):
+                rest = forest.apart(i)
+                for j in rest[_agree(sig, i, rest, threshold - SLACK)]:
                     if forest.join(i, int(j)):
                         a.append(ids[i])
                         b.append(ids[j])
@@ -167,7 +177,9 @@ def _cluster_links(percent: int, threshold: float) -> Callable[[Iterator[pa.Reco
             forest = Forest(len(ids))
             sig = np.stack([minima(s) for s in sets]) if len(ids) > 8 else None
             for i in range(len(ids) - 1):
-                near = _likely(sig, i, i + 1, threshold - SLACK) if sig is not None else np.arange(i + 1, len(ids))
+                near = forest.apart(i)
+                if sig is not None:
+                    near = near[_agree(sig, i, near, threshold - SLACK)]
                 # The smaller set bounds the intersection, the larger one the union.
                 near = near[100 * np.minimum(n[near], n[i]) >= percent * np.maximum(n[near], n[i])]
                 for j in near:
