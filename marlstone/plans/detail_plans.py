@@ -164,3 +164,26 @@ def s05_lookup(spark: SparkSession, d: str) -> DataFrame:
     name = f"orders_{uuid.uuid4().hex}"
     keyed.write_keyed(T.load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), name, "o_orderkey", f"{shared_folder(spark)}/{name}", buckets=16)
     return keyed.lookup(spark, name, "o_orderkey", [1, 7, 64, 999, 1500, 3001, 0, None, 7])
+
+
+_AGES = "SELECT o_orderkey AS id, o_orderkey % 5 AS form, 3 + o_orderkey % 20 AS a, 5 + o_orderkey // 7 % 25 AS b FROM orders"
+
+
+@query(
+    f"""WITH o AS ({_AGES}), f AS (SELECT *, a >= 5 AND a <= b AS ranged FROM o)
+SELECT id, CASE WHEN form IN (0, 1) AND ranged THEN a WHEN form = 3 AND a >= 5 THEN a WHEN form = 4 AND ranged THEN a END::INT AS age_min,
+  CASE WHEN form IN (0, 1) AND ranged THEN b WHEN form = 2 AND a >= 5 THEN a - 1 WHEN form = 4 AND ranged THEN b WHEN form = 4 THEN 17 END::INT AS age_max FROM f"""
+)
+def t03_ages(spark: SparkSession, d: str) -> DataFrame:
+    """Ages of many forms and values; a range that can't be one gives way to the next form."""
+    k = F.col("o_orderkey")
+    a, b = (3 + k % 20).cast("string"), (5 + F.floor(k / 7) % 25).cast("string")
+    text = (
+        F.when(k % 5 == 0, F.concat(F.lit("Open to students aged "), a, F.lit("-"), b, F.lit(".")))
+        .when(k % 5 == 1, F.concat(F.lit("It is for "), a, F.lit(" to "), b, F.lit(" year olds.")))
+        .when(k % 5 == 2, F.concat(F.lit("Under "), a, F.lit(" only.")))
+        .when(k % 5 == 3, F.concat(F.lit("At least "), a, F.lit(" years old.")))
+        .otherwise(F.concat(F.lit("Once for students aged "), a, F.lit("-"), b, F.lit(", now for all under 18.")))
+    )
+    ages = E.age_range(text)
+    return T.load(spark, d, "orders").select(k.alias("id"), ages["min"].alias("age_min"), ages["max"].alias("age_max"))
