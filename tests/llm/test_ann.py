@@ -96,3 +96,12 @@ def test_edges(spark):
     same = [(i, [1.0, 1.0], 0) for i in range(100)]
     got = run(spark, same)
     assert [j for j, _ in got[0]] == list(range(1, 21)) and [j for j, _ in got[20]] == list(range(20))
+
+
+def test_very_long_vectors(spark):
+    g = np.random.default_rng(9)
+    v = g.standard_normal((60, 5_000))
+    got = run(spark, [(i, [float(x) for x in row], 0) for i, row in enumerate(v.tolist())])
+    for q in (0, 20, 40):
+        order = [int(j) for j in np.argsort(-(v @ v[q])) if j != q][:20]
+        assert len({j for j, _ in got[q]} & set(order)) >= 18 and len(got[q]) == 20

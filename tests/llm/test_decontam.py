@@ -74,6 +74,16 @@ def test_edges(spark):
     assert sorted(str(r.doc_id) for r in decontam.drop_contaminated(a, b).collect()) == ["1", "2", "4", "None"]
 
 
+def test_extra_columns_and_a_doc_id_of_many_rows(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(7, f"text {i} {item if i == 3 else 'clean'}", "a", 1.0, 0, 0) for i in range(60)] + [(8, "clean", "b", 1.0, 0, 0)], "doc_id long, text string, item_id string, similarity double, item long, start int")
+    bench = spark.createDataFrame([(1, item, "x")], "item_id long, text string, doc_id string")
+    got = decontam.contamination(docs, bench).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(7, 1)]
+    left = decontam.drop_contaminated(docs, bench)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {8}
+
+
 def test_index_finds_all_within_radius():
     g = np.random.default_rng(3)
     items = decontam.Items([(i, " ".join(f"{x}" for x in g.integers(0, 99, 12))) for i in range(50)])

@@ -84,6 +84,31 @@ def test_quality_edges(spark, docs):
     assert quality.resample(spark.createDataFrame([], DOCS), labels).collect() == []
 
 
+def test_quality_of_odd_rows(spark, docs):
+    """Repeated rows, ties, very long texts and clashing columns; one doc_id that holds a third of all rows."""
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 300, 2)] + [(0, 1)] * 50, "doc_id long, quality int")
+    long, same = (5000, words(random.Random(1), "aa", 60_000), "aa", "x"), (0, docs[0][1], "aa", "x")
+    rows = docs + [same] * 150 + [long, (5001, "w" * 300_000, "aa", "x"), (None, docs[1][1], "aa", "x"), (None, docs[1][1], "aa", "x")]
+    table = spark.createDataFrame([(*r, 1, 2.0, True) for r in rows], DOCS + ", k int, w double, kept boolean")
+    got = quality.resample(table, labels).collect()
+    assert len(got) == len(rows)
+    assert len({(x.log_weight, x.kept) for x in got if x.doc_id == 0}) == 1 and len({(x.log_weight, x.kept) for x in got if x.doc_id is None}) == 1
+    assert all(np.isfinite(x.log_weight) and x.kept is not None for x in got)
+    kept = quality.keep_selected(table, labels)
+    assert kept.columns == table.columns
+    count = lambda it: sorted(str(i) for i in it)
+    assert count(x.doc_id for x in kept.collect()) == count(x.doc_id for x in got if x.kept)
+
+
+def test_languages_of_odd_rows(spark, docs):
+    rows = [*docs, *docs[:40], *[docs[0]] * 100, (7000, words(random.Random(5), "bb", 60_000), "bb", "x"), (7001, "ß" * 200_000, "bb", "x")]
+    table = spark.createDataFrame([(*r, "z", 0.5, True) for r in rows], DOCS + ", lang_pred string, score double, held_out boolean")
+    got = langid.held_out_languages(table).collect()
+    assert len(got) == len(rows) and len({(x.lang_pred, x.score) for x in got if x.doc_id == docs[0][0]}) == 1
+    by_id = {x.doc_id: x.lang_pred for x in got}
+    assert by_id[7000] == "bb" and by_id[7001] in STYLES
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <div class="cookie-notice"><p>We use cookies on this site.</p></div>
 <header><a href="/">Home</a></header><nav><ul><li><a href="/a">One</a><li><a href="/b">Two</a></ul></nav><!-- x -->
