@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, runs_of, steps, words_of
+from .common import cut, mix64, runs_of, steps, unused, words_of
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 19
 CHUNK_ITEMS, CHUNK_BYTES = 1_000, 8_000_000
@@ -218,7 +218,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without documents that hold a benchmark item; all columns stay.
 
-    Rows without doc_id stay, as nothing names them. Null and empty texts stay, repeated rows
+    Rows without doc_id are looked at by their text. Null and empty texts stay, repeated rows
     go or stay together, an empty table or benchmark drops nothing. doc_id must be a number.
     """
-    return docs.join(contaminated(docs, benchmark, threshold), "doc_id", "left_anti")
+    left = docs.join(contaminated(docs, benchmark, threshold), "doc_id", "left_anti")
+    nameless = docs.filter("doc_id is null")
+    if nameless.isEmpty():
+        return left
+    key = unused(docs, "text_key")
+    keyed = nameless.withColumn(key, F.xxhash64("text"))
+    bad = contaminated(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark, threshold).withColumnRenamed("doc_id", key)
+    return left.filter("doc_id is not null").unionByName(keyed.join(bad, key, "left_anti").drop(key))

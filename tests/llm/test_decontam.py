@@ -71,7 +71,9 @@ def test_edges(spark):
     assert set(got) == {(3, 1), (3, 4), (None, 1), (None, 4), (5, 1), (5, 4)}
     assert got[5, 1] == (1.0, 40_000)
     assert found(spark, [], [(1, item)])[2] == {} and found(spark, docs, [])[2] == {}
-    assert sorted(str(r.doc_id) for r in decontam.drop_contaminated(a, b).collect()) == ["1", "2", "4", "None"]
+    assert sorted(str(r.doc_id) for r in decontam.drop_contaminated(a, b).collect()) == ["1", "2", "4"]
+    a, b, _ = found(spark, [(None, item), (None, "clean"), (None, None), (5, "clean")], [(1, item)])
+    assert sorted((str(r.doc_id), r.text) for r in decontam.drop_contaminated(a, b).collect() if r.text) == [("5", "clean"), ("None", "clean")]
 
 
 def test_extra_columns_and_a_doc_id_of_many_rows(spark):
