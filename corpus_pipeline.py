@@ -34,7 +34,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item. Null and empty texts and rows without doc_id stay, repeated rows go or stay together."""
+    """Documents without a benchmark item. Null and empty texts stay, rows without doc_id are looked at by their text, repeated rows go or stay together."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
