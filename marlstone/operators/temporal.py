@@ -90,10 +90,10 @@ def live_runs(runs: DataFrame, limit: Column, cap: int = 12, cap_seconds: int =
     rounds, kept = 0, Rounds(runs.sparkSession)
     while True:
         before = rows.withColumn("run_before", F.struct("run_capped", "run_recent", "run_spent"))
-        rows = accepted(before, "user", cap, cap_seconds, at, seq, counts=clear("run_recent", "run_spent"))
-        rows = rows.withColumn("run_capped", ~F.col("accepted")).drop("accepted")
-        rows = accepted(rows, "query", 1, repeat_seconds, at, seq, counts=clear("run_capped", "run_spent") & ~F.coalesce("failed", no))
-        rows = rows.withColumn("run_recent", ~F.col("accepted")).drop("accepted")
+        rows = fold_log(before, F.col("user"), Accept(cap, cap_seconds * 1_000_000), "run_ok", {"counts": clear("run_recent", "run_spent")}, at, seq)
+        rows = rows.withColumn("run_capped", ~F.col("run_ok")).drop("run_ok")
+        rows = fold_log(rows, F.col("query"), Accept(1, repeat_seconds * 1_000_000), "run_ok", {"counts": clear("run_capped", "run_spent") & ~F.coalesce("failed", no)}, at, seq)
+        rows = rows.withColumn("run_recent", ~F.col("run_ok")).drop("run_ok")
         asks = clear("run_capped", "run_recent")
         rows = fold_log(rows, period_key(F.col(at)), Budget(), "run_spent", {"n": F.coalesce("n", F.lit(0)).cast("long"), "limit": F.coalesce(limit, F.lit(0)).cast("long"), "asks": asks}, at, seq)
         rounds += 1
