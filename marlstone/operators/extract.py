@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import domains as D
 from ..functions.dates import lookup, parse_date
 from ..functions.patterns import first_kind, first_match, matches
-from ..functions.text import appears_verbatim, collapse, non_blank, sentences, title_case, trimmed
+from ..functions.text import collapse, non_blank, sentences, stands_in, title_case, trimmed, verbatim_form
 
 
 def date_kind(sentence: Column) -> Column:
@@ -109,29 +109,30 @@ def fill_gaps(pages: DataFrame, answers: DataFrame, key: str, year: Column | Non
     Adds ``benefits`` and ``rejected``, the fields whose quotation or second reading failed, in order.
     """
     names = ["title", "summary", "organizer", "format", "deadline_text", "age_min", "age_max", "age_text", "cost_text", "requirements", "benefits"]
-    r = pages.join(answers.select(key, F.struct(*names).alias("answer")), key, "left")
-    text, said = F.col("text"), lambda f: F.col("answer")[f]
-    open_ = F.coalesce(F.length("text") >= 200, F.lit(False))
-    here = lambda v: F.coalesce(appears_verbatim(v, text), F.lit(False))
-    given = lambda f: non_blank(said(f))
-    asked = {f: open_ & F.col(f).isNull() & given(f).isNotNull() for f in ("title", "summary", "organizer")}
-    asked["deadline"] = open_ & F.col("deadline").isNull() & given("deadline_text").isNotNull()
-    no_age = F.col("age_min").isNull() & F.col("age_max").isNull()
-    asked["age"] = open_ & no_age & given("age_text").isNotNull()
-    asked["cost"] = open_ & F.col("cost_type").isNull() & given("cost_text").isNotNull()
+    r = pages.join(answers.select(key, *[F.col(f).alias(f"_said_{f}") for f in names]), key, "left")
+    said = lambda f: F.col(f"_said_{f}")
+    # Each step stands behind a generator, so it is made once a page and not wherever it is used.
+    step = lambda df, **made: df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
+    here = lambda v: stands_in(v, F.col("_form"))
     quote = {"title": "title", "summary": "summary", "organizer": "organizer", "deadline": "deadline_text", "age": "age_text", "cost": "cost_text"}
-    quoted = {f: asked[f] & here(given(q)) for f, q in quote.items()}
-    date = F.when(quoted["deadline"], parse_date(given("deadline_text"), year)["date"])
-    price = F.when(quoted["cost"], cost(given("cost_text")))
-    priced = F.coalesce(price["cost_type"] != "UNKNOWN", F.lit(False))
     list_of = lambda f, n: F.slice(F.filter(F.coalesce(said(f), F.array().cast("array<string>")), lambda x: F.length(F.trim(x)) > 0), 1, n)
-    needs, gains = list_of("requirements", MOST_REQUIREMENTS), list_of("benefits", MOST_BENEFITS)
-    no_needs = open_ & (F.coalesce(F.size("requirements"), F.lit(0)) <= 0)
-    told = F.when(open_, F.filter(gains, here))
+    open_, given = F.col("_open"), lambda f: F.col(f"_given_{f}")
+    r = step(r, _form=verbatim_form(F.col("text")), _open=F.coalesce(F.length("text") >= 200, F.lit(False)), **{f"_given_{f}": non_blank(said(q)) for f, q in quote.items()})
+    missing = {f: F.col(f).isNull() for f in ("title", "summary", "organizer", "deadline")} | {"age": F.col("age_min").isNull() & F.col("age_max").isNull(), "cost": F.col("cost_type").isNull()}
+    r = step(r, _no_needs=open_ & (F.coalesce(F.size("requirements"), F.lit(0)) <= 0), **{f"_asked_{f}": open_ & missing[f] & given(f).isNotNull() for f in quote})
+    asked, no_needs = {f: F.col(f"_asked_{f}") for f in quote}, F.col("_no_needs")
+    looked = lambda test, texts: F.when(test, F.transform(texts, lambda x: F.struct(x.alias("text"), here(x).alias("here"))))
+    lists = {"_needs": looked(no_needs, list_of("requirements", MOST_REQUIREMENTS)), "_gains": looked(open_, list_of("benefits", MOST_BENEFITS))}
+    r = step(r, **lists, **{f"_quoted_{f}": F.when(asked[f], here(given(f))).otherwise(False) for f in quote})
+    quoted = {f: F.col(f"_quoted_{f}") for f in quote}
+    r = step(r, _date=F.when(quoted["deadline"], parse_date(given("deadline"), year)["date"]), _price=F.array(F.when(quoted["cost"], cost(given("cost")))))
+    date, price = F.col("_date"), F.get("_price", F.lit(0))
+    priced = F.coalesce(price["cost_type"] != "UNKNOWN", F.lit(False))
+    texts = lambda name, test: F.transform(F.filter(name, test), lambda x: x["text"])
     bad = [F.when(asked[f] & ~quoted[f], F.lit(f)) for f in ("title", "summary", "organizer")]
     bad.append(F.when(asked["deadline"] & date.isNull(), F.lit("deadline")))
     bad += [F.when(asked[f] & ~quoted[f], F.lit(f)) for f in ("age", "cost")]
-    listed = [F.when(test, F.transform(F.filter(v, lambda x: ~here(x)), lambda x: F.concat(F.lit(f"{f}: "), x))) for f, v, test in (("requirement", needs, no_needs), ("benefit", gains, open_))]
+    listed = [F.transform(texts(v, lambda x: ~x["here"]), lambda x: F.concat(F.lit(f"{f}: "), x)) for f, v in (("requirement", "_needs"), ("benefit", "_gains"))]
     empty = F.array().cast("array<string>")
     return r.select(
         key,
@@ -140,8 +141,8 @@ def fill_gaps(pages: DataFrame, answers: DataFrame, key: str, year: Column | Non
         F.coalesce("deadline", date).alias("deadline"),
         *[F.coalesce(f, F.when(quoted["age"], said(f))).alias(f) for f in ("age_min", "age_max")],
         *[F.coalesce(F.col(c), F.when(priced, price[p])).alias(c) for c, p in (("cost_type", "cost_type"), ("cost_amount", "amount"), ("cost_currency", "currency"))],
-        F.when(no_needs, F.filter(needs, here)).otherwise(F.col("requirements")).alias("requirements"),
-        F.coalesce(told, empty).alias("benefits"),
+        F.when(no_needs, texts("_needs", lambda x: x["here"])).otherwise(F.col("requirements")).alias("requirements"),
+        F.coalesce(texts("_gains", lambda x: x["here"]), empty).alias("benefits"),
         F.concat(F.filter(F.array(*bad), lambda x: x.isNotNull()), *[F.coalesce(x, empty) for x in listed]).alias("rejected"),
     )
 

@@ -222,3 +222,11 @@ def test_verbatim(spark):
 
 def test_markup_without_bottom():
     assert H.nodes(["[" * 200_000, "{", '{"@type": "Course", "name": "x"}']) == [{"@type": "Course", "name": "x"}]
+
+
+def test_gap_filling_makes_a_pages_form_once(spark):
+    """A page's form for quotations stood once at every quotation in the plan, and was made there."""
+    from marlstone.plans.extract_plans import t11_fill_gaps
+
+    plan = t11_fill_gaps(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(lower(text") <= 1
