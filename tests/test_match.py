@@ -105,3 +105,24 @@ def test_thin_areas_and_completeness(spark):
     assert got == [["research", "leadership", "volunteering", "course", "sports", "arts"], []]
     p = spark.createDataFrame([tuple(BASE_P.values())], PROFILE)
     assert tuple(B.completeness(p).first()) == (1, 70, "interests")
+
+
+def test_panels_say_what_pairs_say(spark):
+    """Ranking by kinds of students gives what evaluating each pair gives."""
+    from marlstone import plans
+    from marlstone.plans import match_plans as MP
+
+    d = "/root/testdata/sf0.001"
+    got = {(r.user_id, r.place): (r.opp_id, r.score, r.confidence) for r in plans.queries()["r01_rank_topk"](spark, d).collect()}
+    profiles, pairs = MP._profiles(spark, d), MP._pairs(spark, d)
+    scores = M.scores(pairs, MP._facts(spark, d), MP.T.rules(spark, d), profiles, MP.T.now())
+    want = {(r.user_id, r.place): (r.opp_id, r.score, r.confidence) for r in M.rank(scores, MP._facts(spark, d), 3).collect()}
+    assert got == want
+
+
+def test_kinds_count_their_students(spark):
+    from marlstone.operators import panels as P
+
+    rows = [(1, 15, "GB"), (2, 15, "GB"), (3, 16, "GB"), (4, 15, None), (5, None, None), (6, None, None)]
+    got = P.kinds(spark.createDataFrame(rows, "user_id long, age int, country_code string"), ["age"]).collect()
+    assert sorted((r.user_id, r.alike) for r in got) == [(1, 2), (3, 1), (4, 1), (5, 2)]
