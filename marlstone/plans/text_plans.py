@@ -245,10 +245,13 @@ ASKED = [
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
-    q = T.pick(ASKED, F.col("c_custkey"))
+    """What each student's sentence asks for; a sentence is parsed once, however many students say it."""
+    said = T.load(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), T.pick(ASKED, F.col("c_custkey")).alias("q"))
+    # As many tasks as cores: a sentence is much work and its row a few bytes. A generator, so that what reads a filter doesn't parse again.
     f = S.parse_query(F.col("q"))
-    rows = T.load(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), q.alias("q")).withColumns(f)
-    return rows.withColumn("keywords", S.residual_keywords(F.col("q"), F.col("categories"), F.col("subjects"), F.col("country")))
+    rows = said.select("q").distinct().repartition(spark.sparkContext.defaultParallelism).select("q", F.inline(F.array(F.struct(*[c.alias(n) for n, c in f.items()]))))
+    rows = rows.select("*", F.explode(F.array(S.residual_keywords(F.col("q"), F.col("categories"), F.col("subjects"), F.col("country")))).alias("keywords"))
+    return said.join(rows.withColumnRenamed("q", "q_"), F.col("q").eqNullSafe(F.col("q_"))).drop("q_")
 
 
 def _in_sql(terms: list[tuple[str, str]], text: str) -> str:

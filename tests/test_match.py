@@ -126,3 +126,11 @@ def test_kinds_count_their_students(spark):
     rows = [(1, 15, "GB"), (2, 15, "GB"), (3, 16, "GB"), (4, 15, None), (5, None, None), (6, None, None)]
     got = P.kinds(spark.createDataFrame(rows, "user_id long, age int, country_code string"), ["age"]).collect()
     assert sorted((r.user_id, r.alike) for r in got) == [(1, 2), (3, 1), (4, 1), (5, 2)]
+
+
+def test_sentences_are_parsed_once(spark):
+    """Patterns run over distinct sentences: the parsing stands above their grouping, not above the students."""
+    from marlstone.plans.text_plans import _asked
+
+    plan = _asked(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [q" in plan
