@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .. import domains as D
 from ..functions.dates import age_on, period_key
-from ..functions.layout import Rounds
-from .folds import Accept, Budget, Quota, Report, fold_log
+from .folds import Accept, Quota, Report, fold_log
+from .segments import decide
 
 
 def quota(requests: DataFrame, limit: int, at: str = "at", n: str = "n", seq: str = "seq") -> DataFrame:
@@ -78,32 +78,10 @@ def live_runs(runs: DataFrame, limit: Column, cap: int = 12, cap_seconds: int =
     has not failed, else `executed`; only executed runs enter the logs, and each takes as many of its n searches as its month has left.
     ``limit`` is the month's limit as set at the time of the run; a month whose limit is reached stays closed.
 
-    Each limit has a log with a key of its own, so in every round each is folded under what the other two
-    said last. What is true of all runs before some time comes out right for the first run after it too, so every
-    round settles the earliest run that was still wrong, and what no round changes any more is
-    the answer, and the only one. Rounds are as many as runs hang on each other across logs, few in practice.
+    A user's, a query's and the month's runs hang on each other, so runs are decided in order of time, over segments of the log (`segments`).
+    Rounds are as many as segments at most.
     """
-    no = F.lit(False)
-    own = [c for c in runs.columns if c not in ("outcome", "granted")]
-    rows = runs.select(*own).withColumns({"run_capped": no, "run_recent": no, "run_spent": F.struct(F.lit(0).cast("long").alias("granted"), no.alias("exhausted"))})
-    clear = lambda *names: ~F.greatest(no, *[F.coalesce(F.col("run_spent.exhausted") if n == "run_spent" else F.col(n), no) for n in names])
-    rounds, kept = 0, Rounds(runs.sparkSession)
-    while True:
-        before = rows.withColumn("run_before", F.struct("run_capped", "run_recent", "run_spent"))
-        rows = fold_log(before, F.col("user"), Accept(cap, cap_seconds * 1_000_000), "run_ok", {"counts": clear("run_recent", "run_spent")}, at, seq)
-        rows = rows.withColumn("run_capped", ~F.col("run_ok")).drop("run_ok")
-        rows = fold_log(rows, F.col("query"), Accept(1, repeat_seconds * 1_000_000), "run_ok", {"counts": clear("run_capped", "run_spent") & ~F.coalesce("failed", no)}, at, seq)
-        rows = rows.withColumn("run_recent", ~F.col("run_ok")).drop("run_ok")
-        asks = clear("run_capped", "run_recent")
-        rows = fold_log(rows, period_key(F.col(at)), Budget(), "run_spent", {"n": F.coalesce("n", F.lit(0)).cast("long"), "limit": F.coalesce(limit, F.lit(0)).cast("long"), "asks": asks}, at, seq)
-        rounds += 1
-        rows = kept.keep(rows)
-        if not rows.filter(~F.col("run_before").eqNullSafe(F.struct("run_capped", "run_recent", "run_spent"))).head(1):
-            break
-        rows = rows.drop("run_before")
-    outcome = F.when(F.col(at).isNull(), None).when(F.col("run_capped"), "capped").when(F.col("run_spent.exhausted"), "exhausted").when(F.col("run_recent"), "recent").otherwise("executed")
-    out = rows.withColumn("outcome", outcome).withColumn("granted", F.when(F.col("outcome") == "executed", F.col("run_spent.granted")).otherwise(0))
-    return out.select(*own, "outcome", "granted"), rounds
+    return decide(runs, limit, period_key(F.col(at)), cap, cap_seconds * 1_000_000, repeat_seconds * 1_000_000, at, seq)
 
 
 def reported_states(listings: DataFrame, outcomes: DataFrame, key: str) -> DataFrame:

@@ -141,6 +141,19 @@ def test_three_limits_as_one_run(spark, seed, limit):
     assert {"executed", "capped", "recent"} <= {o for o, _ in want} and 1 < rounds < 40
 
 
+def test_runs_that_hang_on_each_other_take_no_more_rounds_than_segments(spark):
+    # A full cap keeps its phase for ever, so each run hangs on all before it.
+    r, t, rows = random.Random(5), 86_400 * 2 - 3000, []
+    for i in range(3000):
+        t += r.choice([0, 0, 1, 3])
+        rows.append((t, r.choice(["u", "v", "w", None]), r.choice("abcdefghijklmnopqrstuvwxyz"), r.randint(0, 4), r.random() < 0.3, r.choice([300, 320, None]) if i > 400 else 310))
+    out, rounds = TM.live_runs(log(spark, rows, "user string, query string, n long, failed boolean, lim long"), F.col("lim"), 3, 40, 60)
+    got = {x.seq: (x.outcome, x.granted) for x in out.collect()}
+    want = runs_model([(*x, limit or 0) for *x, limit in rows], 3, 40, 60)
+    assert [got[i] for i in range(len(rows))] == want
+    assert {"executed", "capped", "recent", "exhausted"} == {o for o, _ in want} and rounds <= spark.sparkContext.defaultParallelism
+
+
 def test_observations_as_a_left_fold(spark, wide):
     from marlstone.domains import METHOD_RANK
     from marlstone.operators import provenance as P
