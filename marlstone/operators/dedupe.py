@@ -9,9 +9,12 @@ with the same normalised title are one title here, whatever their number.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.layout import checkpointed
 from ..functions.text import dice, normalise_title, overlap, title_tokens, trigrams
 
 MERGE, REVIEW, TOKEN_WEIGHT = 0.9, 0.75, 0.95
@@ -30,7 +33,8 @@ def similar_titles(titles: DataFrame, threshold: float = REVIEW) -> DataFrame:
 
     ``titles`` has the column title, already normalised. Nothing is missed.
     """
-    t = titles.select("title").distinct().withColumns({"grams": trigrams(F.col("title")), "tokens": title_tokens(F.col("title"))})
+    # Written once: else filters on what is exploded are moved below the distinct, and every record's grams are made for each use.
+    t = checkpointed(titles.select("title").distinct().withColumns({"grams": trigrams(F.col("title")), "tokens": title_tokens(F.col("title"))}))
     grams, tokens = _ranked(t, "grams"), _ranked(t, "tokens")
     # Dice >= t needs an overlap of t/(2-t) of either side, so it shows among the first n - ceil(...) + 1 grams of both.
     head = grams.filter(F.col("rank") <= F.col("n") - F.ceil(F.lit(threshold / (2 - threshold)) * F.col("n")) + 1)
@@ -75,43 +79,81 @@ def _same_cycle(a: str, b: str) -> Column:
     return F.coalesce(F.col(a) == F.col(b), F.lit(True))
 
 
-def candidates(incoming: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(id, corpus_pos, similarity, verdict): for each incoming record the lowest corpus position of every
-    way in which it can be a duplicate. The corpus is grouped by what the ways look at before it is joined,
-    so a title that thousands of records share costs one row per organiser and cycle.
+def _ways(incoming: DataFrame, corpus: DataFrame) -> list[tuple[list[str], DataFrame]]:
+    """The ways in which prepared records can be duplicates: what a way looks at besides the cycle, and (that, cycle, corpus_pos, similarity, verdict).
+
+    Records alike in these columns are one row here, and so are those of the corpus, so a title that thousands of records share
+    costs one row a cycle, and one an organiser and cycle where organisers count. REVIEW rows look at all organisers: where their
+    lowest position is one that is SAME, the SAME row is there too, and comes first.
     """
-    i, c = prepared(incoming), prepared(corpus)
-    group = lambda *by: c.groupBy(*by, F.col("cycle").alias("c_cycle")).agg(F.min("pos").alias("corpus_pos"))
-    sure = [i.select("id", "cycle", by).join(group(by), by).filter(_same_cycle("cycle", "c_cycle")).select("id", "corpus_pos", F.lit(1.0).alias("similarity"), F.lit("SAME").alias("verdict")) for by in ("url", "hash")]
-    by_title = group("norm", "org").withColumnsRenamed({"norm": "y", "org": "c_org"})
-    near = i.select("id", F.col("norm").alias("x"), "org", "cycle").join(_all_titles(i, c), "x").join(by_title, "y").filter(_same_cycle("cycle", "c_cycle"))
-    same_org = F.coalesce(F.col("org") == F.col("c_org"), F.lit(False))
-    no = F.lit(False)
-    near = near.select("id", "corpus_pos", "similarity", verdict(F.lit(True), no, no, same_org, F.col("similarity")).alias("verdict"))
-    return sure[0].unionByName(sure[1]).unionByName(near)
+    asked = lambda *by: incoming.select(*by, "cycle").distinct()
+    group = lambda *by: corpus.groupBy(*by, F.col("cycle").alias("c_cycle")).agg(F.min("pos").alias("corpus_pos"))
+    fits = _same_cycle("cycle", "c_cycle")
+
+    def way(by: list[str], rows: DataFrame, similarity: Column, verdict: str) -> tuple[list[str], DataFrame]:
+        return by, rows.filter(fits).select(*by, "cycle", "corpus_pos", similarity.alias("similarity"), F.lit(verdict).alias("verdict"))
+
+    titles = checkpointed(_all_titles(incoming, corpus)).withColumnRenamed("x", "norm")
+    other = lambda *by: group(*by).withColumnRenamed("norm", "y")
+    return [
+        *[way([by], asked(by).join(group(by), by), F.lit(1.0), "SAME") for by in ("url", "hash")],
+        way(["norm", "org"], asked("norm", "org").join(titles.filter(F.col("similarity") >= MERGE), "norm").join(other("norm", "org"), ["y", "org"]), F.col("similarity"), "SAME"),
+        way(["norm"], asked("norm").join(titles, "norm").join(other("norm"), "y"), F.col("similarity"), "REVIEW"),
+    ]
+
+
+def _told(incoming: DataFrame, by: list[str], table: DataFrame, how: str = "inner") -> DataFrame:
+    """Records next to their rows of ``table``, which has what the way looks at and the cycle."""
+    keys = [*by, "cycle"]
+    same = [F.col(c).eqNullSafe(F.col(f"way_{c}")) if c == "cycle" else F.col(c) == F.col(f"way_{c}") for c in keys]
+    return incoming.join(table.withColumnsRenamed({c: f"way_{c}" for c in keys}), same, how).drop(*[f"way_{c}" for c in keys])
+
+
+def candidates(incoming: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(id, corpus_pos, similarity, verdict): for each incoming record the lowest corpus positions of every way in which it can be a duplicate."""
+    i = prepared(incoming)
+    rows = [_told(i, by, table).select("id", "corpus_pos", "similarity", "verdict") for by, table in _ways(i, prepared(corpus))]
+    return functools.reduce(DataFrame.unionByName, rows)
 
 
 def find_duplicate(incoming: DataFrame, corpus: DataFrame) -> DataFrame:
     """Best match per incoming record: largest similarity, then lowest corpus position; SAME before REVIEW of one candidate."""
-    w = Window.partitionBy("id").orderBy(F.desc("similarity"), "corpus_pos", F.desc("verdict"))
-    return candidates(incoming, corpus).withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+    i, bests = prepared(incoming), []
+    out = i.select("id", "url", "hash", "norm", "org", "cycle")
+    for k, (by, table) in enumerate(_ways(i, prepared(corpus))):
+        one = F.struct((-F.col("similarity")).alias("falling"), "corpus_pos", (F.col("verdict") != "SAME").alias("review"))
+        out = _told(out, by, table.groupBy(*by, "cycle").agg(F.min(one).alias(f"best_{k}")), "left")
+        bests.append(f"best_{k}")
+    best = F.array_min(F.filter(F.array(*bests), lambda x: x.isNotNull()))
+    # One row an id, whatever ids records have.
+    rows = out.select("id", best.alias("b")).filter("b is not null").groupBy("id").agg(F.min("b").alias("b"))
+    return rows.select("id", "b.corpus_pos", (-F.col("b.falling")).alias("similarity"), F.when(F.col("b.review"), "REVIEW").otherwise("SAME").alias("verdict"))
+
+
+def _first(i: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Prepared records with the position of the first SAME, and whether some candidate is near."""
+    names = []
+    for k, (by, table) in enumerate(_ways(i, corpus)):
+        i = _told(i, by, table.groupBy(*by, "cycle").agg(F.min("corpus_pos").alias(f"first_{k}")), "left")
+        names.append(f"first_{k}")
+    *same, review = names
+    return i.withColumns({"merge_into": F.least(*same), "near": F.col(review).isNotNull()}).drop(*names)
 
 
 def first_same(incoming: DataFrame, corpus: DataFrame) -> DataFrame:
     """Ingest rule: the first SAME by corpus position is merged into; without one, any REVIEW sends the record to review."""
-    c = candidates(incoming, corpus).groupBy("id").agg(F.min(F.when(F.col("verdict") == "SAME", F.col("corpus_pos"))).alias("merge_into"), F.bool_or(F.col("verdict") == "REVIEW").alias("near"))
-    out = incoming.select("id").join(c, "id", "left")
-    status = F.when(F.col("merge_into").isNotNull(), "merged").when(F.coalesce("near", F.lit(False)), "review").otherwise("created")
+    out = _first(prepared(incoming), prepared(corpus))
+    status = F.when(F.col("merge_into").isNotNull(), "merged").when(F.col("near"), "review").otherwise("created")
     return out.select("id", "merge_into", status.alias("status"))
 
 
 def batch_representatives(batch: DataFrame) -> DataFrame:
     """Within one batch: each record's lowest-position SAME partner before it, or none. One hop, as a batch has no order of its own.
 
-    A record is its own candidate too, so groups below its position are looked up by their lowest position.
+    A record is its own candidate too, so the lowest position of all is looked at.
     """
-    m = candidates(batch, batch).filter("verdict = 'SAME'").join(batch.select("id", "pos"), "id").filter("corpus_pos < pos")
-    return batch.select("id").join(m.groupBy("id").agg(F.min("corpus_pos").alias("merge_into")), "id", "left")
+    b = prepared(batch)
+    return _first(b, b).select("id", F.when(F.col("merge_into") < F.col("pos"), F.col("merge_into")).alias("merge_into"))
 
 
 def verification_state(has_title: Column, has_deadline: Column, title_method: Column, deadline_method: Column, official: Column, needs_human: Column) -> Column:

@@ -91,3 +91,41 @@ def test_a_source_of_another_title_brings_its_organiser(spark):
     got, _ = ingest_in_order(frame(spark, rows))
     assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted([(1, None, "created"), (2, 1, "merged"), (3, 1, "merged"), (4, 1, "merged"), (5, None, "created"), (None, None, None)], key=repr)
     assert ingest_in_order(frame(spark, []))[0].collect() == []
+
+
+def test_records_alike_are_compared_once(spark):
+    r = random.Random(3)
+    titles = ["Steel Prize", "Steel Prize 2026", "Steel Prizes", "Open Lab Week", "Open Lab Weeks", "Debate Days", None]
+    one = lambda k: (k, k, r.choice([None, "", *(f"u{n}" for n in range(40))]), r.choice([None, "", *(f"h{n}" for n in range(60))]), r.choice(titles), r.choice(["o1", "o2", "o3", None, ""]), r.choice([2025, 2026, None]), False)
+    rows = [one(k) for k in range(300)]
+    new, old = rows[::2], rows[1::2]
+    norm = {x.title: x.norm for x in spark.createDataFrame([(t,) for t in titles], "title string").withColumn("norm", X.normalise_title(F.col("title"))).collect()}
+    sim = {(p.a, p.b): p.similarity for p in K.similar_titles(spark.createDataFrame([(n,) for n in {*norm.values()} - {None}], "title string")).collect()}
+    close = lambda a, b: 0.0 if a is None or b is None else 1.0 if a == b else sim.get((min(a, b), max(a, b)), 0.0)
+
+    def compared(x, others):
+        for y in others:
+            if x[6] is None or y[6] is None or x[6] == y[6]:
+                s = close(norm[x[4]], norm[y[4]])
+                sure = any(x[k] and x[k] == y[k] for k in (2, 3))
+                if sure or s >= K.REVIEW:
+                    yield 1.0 if sure else s, y[1], "SAME" if sure or (x[5] and x[5] == y[5] and s >= K.MERGE) else "REVIEW"
+
+    best, first, batch = {}, {}, {}
+    for x in new:
+        found = list(compared(x, old))
+        if found:
+            s, pos, v = min(found, key=lambda c: (-c[0], c[1], c[2] != "SAME"))
+            best[x[0]] = (pos, round(s, 9), v)
+        same = [pos for _, pos, v in found if v == "SAME"]
+        first[x[0]] = (min(same, default=None), "merged" if same else "review" if found else "created")
+    for x in rows:
+        batch[x[0]] = min((pos for _, pos, v in compared(x, rows) if v == "SAME" and pos < x[1]), default=None)
+    new, old = frame(spark, new), frame(spark, old)
+    assert {x.id: (x.corpus_pos, round(x.similarity, 9), x.verdict) for x in K.find_duplicate(new, old).collect()} == best
+    assert {x.id: (x.merge_into, x.status) for x in K.first_same(new, old).collect()} == first
+    assert {x.id: x.merge_into for x in K.batch_representatives(frame(spark, rows)).collect()} == batch
+    # Copies under other ids and later positions are more records, not more comparisons.
+    ways = lambda a, b: [t.count() for _, t in K._ways(K.prepared(a), K.prepared(b))]
+    again = lambda df: df.unionByName(df.withColumns({"id": F.col("id") + 1000, "pos": F.col("pos") + 1000}))
+    assert ways(new, old) == ways(again(new), again(old))
