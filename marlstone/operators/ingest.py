@@ -98,23 +98,24 @@ def ingest_in_order(records: DataFrame, known: Column | None = None) -> tuple[Da
     asks = asking.select("pos", _asked(_key("h", F.col("hash")), cycle).alias("keys")).unionByName(titled.filter(F.col("similarity") >= MERGE).select("pos", _asked(_key("t", F.col("y"), F.col("org")), cycle).alias("keys")))
     asks = checkpointed(asks)
 
+    # Sightings of a known URL follow its first record, so rounds are about first records only. Their joins are never broadcast: what
+    # passes the driver would be a table a round.
     rounds, kept = 0, Rounds(records.sparkSession)
+    firsts = r.filter("first = pos")
     while True:
-        founders = r.select(F.col("pos").alias("owner"), F.col("norm").alias("o_norm"), F.col("cycle").alias("o_cycle"))
-        sources = r.filter("first = pos").select("pos", "hash", "org", "owner").join(founders, "owner")
+        founders = firsts.select(F.col("pos").alias("owner"), F.col("norm").alias("o_norm"), F.col("cycle").alias("o_cycle"))
+        sources = firsts.select("pos", "hash", "org", "owner").join(founders.hint("merge"), "owner")
         by = [_brought(_key("h", F.col("hash")), F.col("o_cycle")), _brought(_key("t", F.col("o_norm"), F.col("org")), F.col("o_cycle"))]
         found = _least_before(asks, sources.select("pos", "owner", F.concat(*[F.coalesce(k, F.array()) for k in by]).alias("keys")))
-        told = r.join(found, "pos", "left").withColumn("now", F.when(F.col("is_known"), F.col("pos")).otherwise(F.coalesce("least", "pos"))).drop("least")
-        # Sightings of a known URL follow its first record.
-        firsts = told.filter("first = pos").select(F.col("pos").alias("first"), F.col("now").alias("of_first"))
-        told = kept.keep(told.join(firsts, "first", "left").withColumn("now", F.when(F.col("first") < F.col("pos"), F.col("of_first")).otherwise(F.col("now"))))
+        told = firsts.join(found.hint("merge"), "pos", "left").withColumn("now", F.when(F.col("is_known"), F.col("pos")).otherwise(F.coalesce("least", "pos"))).drop("least")
+        told = kept.keep(told)
         rounds += 1
         settled = not told.filter("now <> owner").head(1)
-        r = told.withColumn("owner", F.col("now")).select(*r.columns)
+        firsts = told.withColumn("owner", F.col("now")).select(*r.columns)
         if settled:
             break
-
-    listings = r.filter("owner = pos").select("pos", "owner", _brought(_key("c", F.col("norm")), cycle).alias("keys"))
+    listings = firsts.filter("owner = pos").select("pos", "owner", _brought(_key("c", F.col("norm")), cycle).alias("keys"))
+    r = r.drop("owner").join(firsts.select("first", "owner"), "first")
     near = _least_before(titled.select("pos", _asked(_key("c", F.col("y")), cycle).alias("keys")), listings).select("pos", F.lit(True).alias("near"))
     out = r.filter("not is_known").join(near, "pos", "left")
     status = F.when(F.col("owner") < F.col("pos"), "merged").when(F.coalesce("near", F.lit(False)), "review").otherwise("created")

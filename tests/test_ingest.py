@@ -129,3 +129,19 @@ def test_records_alike_are_compared_once(spark):
     ways = lambda a, b: [t.count() for _, t in K._ways(K.prepared(a), K.prepared(b))]
     again = lambda df: df.unionByName(df.withColumns({"id": F.col("id") + 1000, "pos": F.col("pos") + 1000}))
     assert ways(new, old) == ways(again(new), again(old))
+
+
+def test_rounds_are_about_first_records_only(spark, monkeypatch):
+    from marlstone.operators import ingest
+
+    sizes, keep = [], ingest.Rounds.keep
+
+    def counted(self, df):
+        out = keep(self, df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(ingest.Rounds, "keep", counted)
+    rows = [(k, k, f"u{k % 3}", f"h{k % 2}", "Steel Prize", "o", None, False) for k in range(60)]
+    check(spark, rows)
+    assert set(sizes) == {3}
