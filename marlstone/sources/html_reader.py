@@ -1,4 +1,4 @@
-"""HTML and JSON-LD reader: pages to raw facts, Arrow batches of pages per task.
+"""HTML and JSON-LD reader: pages to raw facts, a few pages at a time.
 
 Only the parsing is Python, by the tokenizer of `markup`; what the
 facts mean is decided by column expressions afterwards.
@@ -8,9 +8,7 @@ from __future__ import annotations
 
 import json
 from collections import deque
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +20,8 @@ DROPPED = {"script", "style", "noscript", "svg", "nav", "footer", "header", "for
 #: JSON-LD types that describe an opportunity.
 TYPES = {"Event", "EducationEvent", "Course", "CourseInstance", "EducationalOccupationalProgram", "Scholarship", "JobPosting", "Grant", "MonetaryGrant"}
 FIELDS = ["name", "description", "startDate", "endDate", "applicationDeadline", "applicationStartDate", "validThrough"]
-SCHEMA = "page_id long, title string, og_title string, og_description string, body string, ld_name string, ld_description string, ld_start string, ld_end string, ld_deadline string, ld_opens string, ld_valid_through string, ld_price string, ld_currency string, ld_mode string"
+#: What is read of a page.
+SCHEMA = "title string, og_title string, og_description string, body string, ld_name string, ld_description string, ld_start string, ld_end string, ld_deadline string, ld_opens string, ld_valid_through string, ld_price string, ld_currency string, ld_mode string"
 
 
 class Reader(Markup):
@@ -103,16 +102,13 @@ def _facts(html: str) -> list[str | None]:
 
 
 def read(pages: DataFrame) -> DataFrame:
-    """Raw facts of each page (page_id, html): see `SCHEMA`. Null html gives empty facts."""
+    """Raw facts of each page (page_id, html): see `SCHEMA`. Null html gives empty facts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [_facts(h.as_py() or "") for h in b.column("html")]
-            names = [x.split()[0] for x in SCHEMA.split(", ")]
-            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names[1:]]
-            yield pa.RecordBatch.from_arrays([b.column("page_id").cast(pa.int64()), *[pa.array(c, pa.string()) for c in cols]], names=names)
-
-    return pages.select("page_id", "html").mapInArrow(run, SCHEMA)
+    Pages go to Python a hundred at a time, as rows do without Arrow, so how much it holds hangs on a
+    page's size and neither on their number nor on the session's Arrow batches.
+    """
+    facts = F.udf(lambda html: _facts(html or ""), SCHEMA, useArrow=False)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), facts("html").alias("facts")).select("page_id", "facts.*")
 
 
 def number(text: Column) -> Column:

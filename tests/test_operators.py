@@ -230,3 +230,30 @@ def test_gap_filling_makes_a_pages_form_once(spark):
 
     plan = t11_fill_gaps(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("translate(lower(text") == 3  # one form names its text three times
+
+
+def test_reading_pages_holds_few_of_them(spark):
+    """How much Python holds hangs on a page's size, not on how many pages a partition has."""
+    import os
+
+    def workers() -> dict[int, int]:
+        """Peak MB of each Python process below this one."""
+        stat, peak = {}, {}
+        for pid in filter(str.isdigit, os.listdir("/proc")):
+            try:
+                status = dict(line.split(":", 1) for line in open(f"/proc/{pid}/status") if ":" in line)
+            except OSError:
+                continue
+            stat[int(pid)] = int(status["PPid"])
+            if status["Name"].strip().startswith("python") and "VmHWM" in status:
+                peak[int(pid)] = int(status["VmHWM"].split()[0]) // 1000
+        below = lambda p: p in stat and (stat[p] == os.getpid() or below(stat[p]))
+        return {p: mb for p, mb in peak.items() if below(p)}
+
+    for pid in workers():
+        with open(f"/proc/{pid}/clear_refs", "w") as f:
+            f.write("5")  # its peak starts anew
+    before = workers()
+    pages = spark.range(2000, numPartitions=1).select(F.col("id").alias("page_id"), F.concat(F.lit("<title>A</title><p>"), F.repeat(F.lit("words "), 30_000)).alias("html"))
+    assert H.read(pages).filter("title = 'A' and length(body) > 180000").count() == 2000
+    assert max(mb - before.get(pid, 0) for pid, mb in workers().items()) < 500
