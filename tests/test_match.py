@@ -134,3 +134,22 @@ def test_sentences_are_parsed_once(spark):
 
     plan = _asked(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [q" in plan
+
+
+def test_open_lists_are_counted_once_a_kind(spark):
+    """How many of a list a student may enter is worked out for kinds of students; more of the same kinds add nothing to it."""
+    from marlstone.operators import panels as P
+    from marlstone.plans import match_plans as MP
+
+    d = "/root/testdata/sf0.001"
+    along = MP._facts_along(spark, d, MP._listed(spark, d))
+    students = MP._students(spark, d, along)
+    more = students.unionByName(students.withColumn("user_id", F.col("user_id") + 1_000_000))
+    _, once = MP._open_counts(students, along)
+    part, twice = MP._open_counts(more, along)
+    kinds = students.select("country_code", *part.columns).distinct().count()
+    got = sorted(map(repr, twice.collect()))
+    assert len(got) <= kinds < more.count() and got == sorted(map(repr, once.collect()))
+    want = E.eligibility_of(MP._pairs(spark, d), MP.T.rules(spark, d), MP.T.profiles(spark, d)).groupBy("user_id").agg(F.count_if("eligible").alias("open"))
+    rows = P.panel(students, [part], [once]).select("user_id", "open")
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, want.collect()))
