@@ -153,3 +153,25 @@ def test_open_lists_are_counted_once_a_kind(spark):
     want = E.eligibility_of(MP._pairs(spark, d), MP.T.rules(spark, d), MP.T.profiles(spark, d)).groupBy("user_id").agg(F.count_if("eligible").alias("open"))
     rows = P.panel(students, [part], [once]).select("user_id", "open")
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_pairs_are_counted_by_numbers(spark):
+    """Pairs are read from where their arrays lie and counted by small numbers, words are made of the counts; they are what evaluating each pair gives."""
+    from marlstone import plans
+    from marlstone.plans import match_plans as MP
+
+    d = "/root/testdata/sf0.001"
+    pairs = MP._scored(spark, d)
+    assert "string" not in dict(pairs.dtypes).values()
+    assert "arrays_zip" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    keys = ["opp_id", "eligible", "score", "confidence", "unknown_dimensions"]
+    scores = M.scores(MP._pairs(spark, d), MP._facts(spark, d), MP.T.rules(spark, d), MP._profiles(spark, d), MP.T.now())
+    want = scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    assert sorted(map(tuple, plans.queries()["m08_score"](spark, d).select(*keys, "n").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_areas_of_activities_are_looked_up_once(spark):
+    a = spark.createDataFrame([(["COMPETITION"] * 4,), ([None] * 3,), (None,)], "k array<string>")
+    thin = a.select(B.thin_areas(F.transform("k", lambda x: F.struct(x.alias("kind")))).alias("thin"))
+    assert thin._jdf.queryExecution().analyzed().toString().count("map(COMPETITION") == 1
+    assert [len(r.thin) for r in thin.collect()] == [6, 0, 0]
