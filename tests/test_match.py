@@ -170,6 +170,14 @@ def test_pairs_are_counted_by_numbers(spark):
     assert sorted(map(tuple, plans.queries()["m08_score"](spark, d).select(*keys, "n").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_overlap_and_its_words(spark):
+    tags = [(s, 1.0, k) for s, k in (("a", "SUBJECT"), ("b", "INTEREST"), ("c", "SUBJECT"), ("d", "CAREER_FIELD"))]
+    rows = [(0, [], tags), (1, ["x"], tags), (2, ["a", "d"], tags), (3, ["a", "b"], tags), (4, ["a", "b", "c"], tags), (5, None, tags), (6, ["a"], None)]
+    pairs = spark.createDataFrame(rows, "i int, s array<string>, tags array<struct<slug:string,weight:double,kind:string>>").withColumn("interests", F.transform("s", lambda x: F.struct(x.alias("slug"))))
+    got = [tuple(r) for r in pairs.orderBy("i").select(B.overlap(), B.skill_relevance()).collect()]
+    assert got == [(-1, "UNKNOWN"), (0, "LOW"), (1, "MEDIUM"), (2, "HIGH"), (2, "HIGH"), (0, "LOW"), (0, "LOW")]
+
+
 def test_areas_of_activities_are_looked_up_once(spark):
     a = spark.createDataFrame([(["COMPETITION"] * 4,), ([None] * 3,), (None,)], "k array<string>")
     thin = a.select(B.thin_areas(F.transform("k", lambda x: F.struct(x.alias("kind")))).alias("thin"))
